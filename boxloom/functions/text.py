@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from boxloom.functions.geometry import Box, half_up
 from boxloom.functions.ladders import ladder
@@ -100,7 +101,7 @@ def slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 40)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_compat(values: pd.Series) -> pd.Series:
     """Compatibility decomposition, which Spark has no built-in for."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
