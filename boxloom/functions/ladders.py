@@ -233,8 +233,8 @@ def layout_permission(model: Column, energy: Column, confidence: Column, risks:
     )
 
 
-def promotion(page_area: Column, image_min_area: int = 100, shape_min_area: int = 160,
-              text_ratio_max: float = 0.18) -> Column:
+def promotion(page_area: Column, image_min_area: int = 400, shape_min_area: int = 1200,
+              text_ratio_max: float = 0.12) -> Column:
     """Struct of action and reason for a classified candidate.
 
     Reads role, kind, verdict, confidence, w, h, area, text_ratio, text_blocks and has_clip.

@@ -59,17 +59,24 @@ def no_wrap_width(units: Column, script: Column, size: Column) -> Column:
 
 
 def fit_font_size(text: Column, b: Box) -> Column:
-    """Largest size from 8 up to the box limit whose estimated text fits; 8 when none does."""
-    units, script = visual_units(text), script_class(text)
-    top = F.greatest(F.lit(8), F.least(half_up(b.h * 0.8), F.lit(55)))
+    """Largest size from 8 up to the box limit whose estimated text fits; 8 when none does.
+
+    Width and height grow linearly with the size, so the answer is a quotient; the neighbours are tried because a
+    quotient of doubles may land just beside the true bound.
+    """
+    units = visual_units(text)
+    ratio = ladder([(script_class(text) == "latin", 0.78), (script_class(text) == "mixed", 0.86)], 0.84)
     wide = F.greatest(F.lit(1), half_up(b.w * 0.98))
     tall = F.greatest(F.lit(1), half_up(b.h * 0.98))
-    fitting = F.filter(
-        F.sequence(F.lit(8).cast("bigint"), top.cast("bigint")),
-        lambda s: (F.ceil(rendered_width(units, s)) <= wide) & (measured_height(script, s) <= tall),
-    )
+    top = F.greatest(F.lit(8), F.least(half_up(b.h * 0.8), F.lit(55)))
+
+    def fits(s: Column) -> Column:
+        return (units * s <= wide) & (s * ratio <= tall)
+
+    guess = F.least(top, F.floor(wide / units), F.floor(tall / ratio))
+    best = F.when(fits(guess + 1) & (guess + 1 <= top), guess + 1).when(fits(guess), guess).otherwise(guess - 1)
     blank = (F.length(F.trim(text)) == 0) | (b.w <= 0) | (b.h <= 0)
-    return F.when(blank, F.lit(8)).otherwise(F.coalesce(F.array_max(fitting), F.lit(8))).cast("bigint")
+    return F.when(blank, F.lit(8)).otherwise(F.greatest(F.lit(8), best)).cast("bigint")
 
 
 def looks_like_marker(text: Column) -> Column:

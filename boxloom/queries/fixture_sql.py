@@ -29,7 +29,7 @@ FIXTURE_SQL = {
         SELECT page_id, region_id, x + suppkey % 7 AS x, y, w, h, score_milli / 1000.0 AS score,
           CASE WHEN copy_no = 3 OR kind_no = 3 THEN 'overview' ELSE 'tile' END AS source_kind,
           CASE WHEN kind_no = 4 THEN NULL ELSE concat('item ', partkey) END AS name,
-          CASE WHEN kind_no = 2 THEN 'control' WHEN kind_no = 0 THEN 'text' ELSE 'image' END AS class_name FROM regions""",
+          CASE kind_no WHEN 0 THEN 'Text' WHEN 1 THEN 'Image' WHEN 2 THEN 'Icon' WHEN 3 THEN 'TextButton' ELSE 'Card' END AS class_name FROM regions""",
     "slices": """
         SELECT page_id, region_id, x, y, w, h, CASE kind_no WHEN 0 THEN 'rect' WHEN 1 THEN 'subject' WHEN 2 THEN 'shape'
           ELSE 'card' END AS cut_mode FROM regions WHERE confidence = 'high'""",
