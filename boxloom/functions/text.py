@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from boxloom.functions.geometry import Box, half_up
@@ -35,12 +35,12 @@ def _count(text: Column, pattern: str) -> Column:
 def visual_units(text: Column) -> Column:
     """Width of a text in ems: every character counts by its class; at least 1."""
     t = F.trim(text)
-    known, total = None, None
+    # hundredths of an em above the width of an unclassified character, so the sum stays exact
+    extra = None
     for pattern, unit in UNITS:
-        n = _count(t, pattern)
-        known = n if known is None else known + n
-        total = n * unit if total is None else total + n * unit
-    return F.greatest(F.lit(1.0), total + (F.length(t) - known) * OTHER_UNITS)
+        n = _count(t, pattern) * round((unit - OTHER_UNITS) * 100)
+        extra = n if extra is None else extra + n
+    return F.greatest(F.lit(1.0), (extra + F.length(t) * round(OTHER_UNITS * 100)) / 100.0)
 
 
 def rendered_width(units: Column, size: Column) -> Column:
@@ -58,25 +58,29 @@ def no_wrap_width(units: Column, script: Column, size: Column) -> Column:
     return F.ceil(rendered_width(units, size) * safety + pad)
 
 
-def fit_font_size(text: Column, b: Box) -> Column:
-    """Largest size from 8 up to the box limit whose estimated text fits; 8 when none does.
+def with_font_size(df: DataFrame, text: Column, b: Box, name: str) -> DataFrame:
+    """Add the largest size from 8 up to the box limit whose estimated text fits; 8 when none does.
 
     Width and height grow linearly with the size, so the answer is a quotient; the neighbours are tried because a
     quotient of doubles may land just beside the true bound.
     """
-    units = visual_units(text)
     ratio = ladder([(script_class(text) == "latin", 0.78), (script_class(text) == "mixed", 0.86)], 0.84)
-    wide = F.greatest(F.lit(1), half_up(b.w * 0.98))
-    tall = F.greatest(F.lit(1), half_up(b.h * 0.98))
-    top = F.greatest(F.lit(8), F.least(half_up(b.h * 0.8), F.lit(55)))
+    measured = df.withColumns({
+        "_units": visual_units(text), "_ratio": ratio,
+        "_wide": F.greatest(F.lit(1), half_up(b.w * 0.98)), "_tall": F.greatest(F.lit(1), half_up(b.h * 0.98)),
+        "_top": F.greatest(F.lit(8), F.least(half_up(b.h * 0.8), F.lit(55))),
+        "_blank": (F.length(F.trim(text)) == 0) | (b.w <= 0) | (b.h <= 0),
+    })
+    units, ratio, wide, tall, top = (F.col(c) for c in ("_units", "_ratio", "_wide", "_tall", "_top"))
+    guessed = measured.withColumn("_guess", F.least(top, F.floor(wide / units), F.floor(tall / ratio)))
+    guess = F.col("_guess")
 
     def fits(s: Column) -> Column:
         return (units * s <= wide) & (s * ratio <= tall)
 
-    guess = F.least(top, F.floor(wide / units), F.floor(tall / ratio))
     best = F.when(fits(guess + 1) & (guess + 1 <= top), guess + 1).when(fits(guess), guess).otherwise(guess - 1)
-    blank = (F.length(F.trim(text)) == 0) | (b.w <= 0) | (b.h <= 0)
-    return F.when(blank, F.lit(8)).otherwise(F.greatest(F.lit(8), best)).cast("bigint")
+    size = F.when(F.col("_blank"), F.lit(8)).otherwise(F.greatest(F.lit(8), best)).cast("bigint")
+    return guessed.withColumn(name, size).drop("_units", "_ratio", "_wide", "_tall", "_top", "_blank", "_guess")
 
 
 def looks_like_marker(text: Column) -> Column:

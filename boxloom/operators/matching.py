@@ -98,11 +98,12 @@ def locate_lines(lines: DataFrame, primitives: DataFrame, min_score: float = 0.4
         (C("x") - F.greatest(F.lit(8), F.ceil(C("h") * 0.8) + 1)).alias("x"), (C("y") - F.greatest(F.lit(6), C("h"))).alias("y"),
         (C("w") + F.greatest(F.lit(8), F.ceil(C("h") * 0.8) + 1) * 2).alias("w"), (C("h") + F.greatest(F.lit(6), C("h")) * 2).alias("h"))
     line = box("a_o")
-    pairs = near_pairs(grown, usable, fragment_fits(line, frag)).withColumnRenamed("a_line_id", "line_id")
-    on_line = overlap(expand(line, 2, 3), frag)
-    joined_up = (on_line > 0) & (on_line / F.greatest(F.lit(1), frag.area) >= 0.18)
+    pairs = near_pairs(grown, usable).where(fragment_fits(line, frag)).withColumnRenamed("a_line_id", "line_id")
+    pairs = pairs.withColumns({"_score": match_score(line, frag) * 0.82, "_on": overlap(expand(line, 2, 3), frag)})
+    pairs = pairs.withColumn("_up", (C("_on") > 0) & (C("_on") / F.greatest(F.lit(1), frag.area) >= 0.18))
+    joined_up = C("_up")
     best = pairs.groupBy(*keys).agg(
-        F.max(F.struct((match_score(line, frag) * 0.82).alias("score"), (-C("b_region_id")).alias("neg_id"), *[
+        F.max(F.struct(C("_score").alias("score"), (-C("b_region_id")).alias("neg_id"), *[
             c.alias(n) for c, n in zip(frag, "xywh")])).alias("single"),
         F.count(F.when(joined_up, 1)).alias("n"),
         F.min(F.when(joined_up, C("b_region_id"))).alias("lo_id"), F.max(F.when(joined_up, C("b_region_id"))).alias("hi_id"),
@@ -147,7 +148,8 @@ def locate_lines(lines: DataFrame, primitives: DataFrame, min_score: float = 0.4
 
 def demote_shared(located: DataFrame, keys: list[str], own: Box, phys: Box) -> DataFrame:
     """Matches claimed by several lines are given up by all of them."""
-    claims = located.where(C("reason").isNull()).groupBy("page_id", "who").agg(F.count("*").alias("claims"))
+    # counted conditionally: a filter here would be pushed, fully expanded, below the projections above
+    claims = located.groupBy("page_id", "who").agg(F.count(F.when(C("reason").isNull(), 1)).alias("claims"))
     joined = located.join(claims, ["page_id", "who"], "left")
     reason = F.coalesce("reason", F.when(C("claims") > 1, "shared_m29_bbox_for_multiple_ocr_lines"))
     kept = reason.isNull()

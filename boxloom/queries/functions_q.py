@@ -22,8 +22,8 @@ def _n(pattern, text="t"):
 _SCRIPT = f"CASE WHEN regexp_matches(text, '{CJK_SQL}') AND regexp_matches(text, '[A-Za-z0-9]') THEN 'mixed' WHEN regexp_matches(text, '{CJK_SQL}') THEN 'cjk' ELSE 'latin' END"
 _WS = r"[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _PARTS = [(_WS, 0.32), (CJK_SQL, 1.0), ("[0-9]", 0.58), ("[A-Z]", 0.66), ("[a-z]", 0.56), ("[￥¥$%]", 0.62)]
-_UNITS = ("greatest(1.0::DOUBLE, " + " + ".join(f"{_n(p)} * {u}::DOUBLE" for p, u in _PARTS)
-          + " + (length(t) - (" + " + ".join(_n(p) for p, _ in _PARTS) + ")) * 0.42::DOUBLE)")
+_UNITS = ("greatest(1.0::DOUBLE, (" + " + ".join(f"{_n(p)} * {round((u - 0.42) * 100)}" for p, u in _PARTS)
+          + " + length(t) * 42) / 100.0::DOUBLE)")
 fixture("measured", f"SELECT doc_id, n_chars, text, {_SCRIPT} AS script, {_UNITS} AS units FROM (SELECT *, trim(text, ' ') AS t FROM documents)")
 
 
@@ -62,7 +62,7 @@ def f3(spark, sf_dir):
     SELECT project_id, slice_id, coalesce(list_max(list_filter(range(8, top::BIGINT + 1), lambda s:
       ceil(greatest(s::DOUBLE, units * s)) <= wide AND ceil(s * 0.78::DOUBLE) <= tall)), 8) AS size FROM m""".replace("{units}", _UNITS)))
 def f4(spark, sf_dir):
-    return catalog_slices(spark, sf_dir).select("project_id", "slice_id", tx.fit_font_size(C("name"), box()).alias("size"))
+    return tx.with_font_size(catalog_slices(spark, sf_dir), C("name"), box(), "size").select("project_id", "slice_id", "size")
 
 
 @query("f5_marker_label", sql("", r"""
