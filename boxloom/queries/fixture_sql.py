@@ -156,3 +156,12 @@ def even(expr: str, digits: int) -> str:
 
 def up(expr: str, digits: int = 0) -> str:
     return f"(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits})" if digits else f"floor(({expr}) + 0.5)"
+
+
+def greedy(source: str, fields: str, order: str, pred: str) -> str:
+    """Rows kept when taken in ``order`` per page unless ``pred`` holds between a kept row k and the candidate x[1]."""
+    struct = "{" + ", ".join(f"'{f}': {f}" for f in fields.split()) + "}"
+    return f"""
+        SELECT page_id, unnest(list_reduce(list([{struct}] ORDER BY {order}), lambda acc, x: CASE WHEN
+          len(list_filter(acc, lambda k: {pred})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS r
+        FROM {source} GROUP BY page_id"""
