@@ -24,3 +24,123 @@ def detection_case_summary(detections: DataFrame, matches: DataFrame) -> DataFra
     return joined.select(
         "page_id", "detections", "controls", "media", "matched", "risks",
         ((C("controls") > 0) & (C("surfaces") <= 1)).alias("low_control"), (C("risks") > 0).alias("high_risk"))
+
+
+# ---- two trees ---------------------------------------------------------------------------------------
+
+def container_verdicts(own: DataFrame, other: DataFrame, floor: float = 0.6) -> DataFrame:
+    """Containers of one tree marked matched when some container of the other agrees."""
+    from boxloom.functions.geometry import box, iou
+    from boxloom.operators.spatial import near_pairs
+
+    slim = ("tree_id", "node_id", "x", "y", "w", "h")
+    hits = near_pairs(own.select(*slim), other.select(*slim), iou(box("a_"), box("b_")) >= floor, key="tree_id").select(
+        "tree_id", C("a_node_id").alias("node_id")).distinct().withColumn("_hit", F.lit(True))
+    joined = own.join(hits, ["tree_id", "node_id"], "left")
+    return joined.withColumn("verdict", F.when(C("_hit"), "matched").otherwise("extra")).drop("_hit")
+
+
+def _third(v):
+    return F.rint(v * 1000) / 1000
+
+
+def grouping_quality(trees: DataFrame, reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Recall, precision and F1 of container grouping per tree."""
+    def tally(verdicts: DataFrame, n: str, hit: str) -> DataFrame:
+        return verdicts.groupBy("tree_id").agg(F.count("*").alias(n), F.count(F.when(C("verdict") == "matched", 1)).alias(hit))
+
+    r = tally(container_verdicts(reference, candidate), "reference_n", "matched")
+    c = tally(container_verdicts(candidate, reference), "candidate_n", "matched_candidate")
+    joined = trees.join(r, "tree_id", "left").join(c, "tree_id", "left").fillna(0)
+    joined = joined.withColumn("_r", F.when(C("reference_n") > 0, C("matched") / C("reference_n")).otherwise(0.0)).withColumn(
+        "_p", F.when(C("candidate_n") > 0, C("matched_candidate") / C("candidate_n")).otherwise(0.0))
+    both = C("_r") + C("_p")
+    return joined.select(
+        "tree_id", "reference_n", "candidate_n", "matched", "matched_candidate", _third(C("_r")).alias("recall"), _third(C("_p")).alias("precision"),
+        F.when(both > 0, _third(C("_r") * 2 * C("_p") / both)).otherwise(0.0).alias("f1"),
+        F.when(C("reference_n") > 0, _third(C("candidate_n") / C("reference_n"))).otherwise(0.0).alias("container_ratio"))
+
+
+def batch_score(quality: DataFrame, reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Mean and worst score over all trees: 0.7 recall + 0.3 depth agreement."""
+    r = reference.groupBy("tree_id").agg(F.max("depth").alias("_rd"))
+    c = candidate.groupBy("tree_id").agg(F.max("depth").alias("_cd"))
+    depth = F.least("_cd", "_rd") / F.greatest(C("_rd"), F.lit(1))
+    scored = quality.join(r, "tree_id").join(c, "tree_id").withColumn("score", _third(C("recall") * 0.7 + depth * 0.3))
+    return scored.agg(F.count("*").alias("cases"), _third(F.avg("score")).alias("mean_score"), F.min("score").alias("worst_score"),
+                      _third(F.avg("container_ratio")).alias("mean_ratio"))
+
+
+def first_events(events: DataFrame) -> DataFrame:
+    """Earliest event per node."""
+    return events.groupBy("node_id").agg(F.min("event_id").alias("event_id"))
+
+
+def feature_records(verdicts: DataFrame, walked: DataFrame, events: DataFrame) -> DataFrame:
+    """Container verdicts with tree facts, parent area and the first create event."""
+    from boxloom.operators.tree import with_children
+
+    nodes = with_children(walked).select("tree_id", "node_id", "parent_id", "children", "depth", C("w").alias("nw"), C("h").alias("nh"))
+    parents = walked.select("tree_id", C("node_id").alias("parent_id"), (C("w") * C("h")).alias("parent_area"))
+    facts = verdicts.select("tree_id", "node_id", "verdict", "leaves", (C("has_text") == 1).alias("has_text"), (C("has_image") == 1).alias("has_image"))
+    joined = facts.join(nodes, ["tree_id", "node_id"]).join(parents, ["tree_id", "parent_id"], "left").join(first_events(events), "node_id", "left")
+    ratio = F.when(C("parent_area") > 0, F.rint(C("nw") * C("nh") / C("parent_area") * 10000) / 10000)
+    return joined.select("tree_id", "node_id", "verdict", "leaves", "has_text", "has_image", "children", "depth", F.least("nw", "nh").alias("short_side"),
+                         ratio.alias("area_ratio"), "event_id", (C("node_id") % 2 == 0).alias("spatial"))
+
+
+def _binned(records: DataFrame) -> DataFrame:
+    from boxloom.functions.ladders import area_ratio_bin, short_side_bin
+
+    return records.withColumn("side_bin", short_side_bin(C("short_side"))).withColumn("area_bin", area_ratio_bin(C("area_ratio")))
+
+
+def feature_distribution(records: DataFrame) -> DataFrame:
+    """Matched and extra counts per feature value, in one pass over the records."""
+    names = ("has_text", "side_bin", "area_bin", "depth")
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), C(n).cast("string").alias("value")) for n in names])
+    long = _binned(records).select("verdict", F.explode(pairs).alias("p")).select("verdict", "p.*")
+    counts = long.groupBy("feature", "value").agg(F.count(F.when(C("verdict") == "matched", 1)).alias("matched"),
+                                                  F.count(F.when(C("verdict") == "extra", 1)).alias("extra"))
+    return counts.withColumn("precision", _third(C("matched") / (C("matched") + C("extra"))))
+
+
+def top_extra_signatures(records: DataFrame, n: int) -> DataFrame:
+    """Most frequent feature combinations among extras."""
+    signature = F.concat_ws("|", C("has_text").cast("string"), "side_bin", "area_bin")
+    counts = _binned(records).groupBy(signature.alias("signature")).agg(
+        F.count(F.when(C("verdict") == "matched", 1)).alias("matched"), F.count(F.when(C("verdict") == "extra", 1)).alias("extra"))
+    return counts.orderBy(C("extra").desc(), "matched", "signature").limit(n)
+
+
+def rule_backtest(records: DataFrame) -> DataFrame:
+    """What each collapse rule would have removed, and at what cost."""
+    quiet = ~C("has_text")
+    rules = {"spatial<=20": C("spatial") & quiet & (C("short_side") <= 20), "spatial<=32": C("spatial") & quiet & (C("short_side") <= 32),
+             "layer<=8": ~C("spatial") & quiet & (C("short_side") <= 8), "any<=8": quiet & (C("short_side") <= 8)}
+    hits = F.array(*[F.struct(F.lit(n).alias("rule"), c.alias("hit")) for n, c in rules.items()])
+    long = records.select("verdict", F.explode(hits).alias("r")).select("verdict", "r.*")
+    matched, extra, hit = C("verdict") == "matched", C("verdict") == "extra", C("hit")
+    sums = long.groupBy("rule").agg(
+        F.count(F.when(hit, 1)).alias("collapsed"), F.count(F.when(hit & extra, 1)).alias("extra"),
+        F.count(F.when(hit & matched, 1)).alias("matched_lost"), F.count(F.when(matched, 1)).alias("_all"))
+    return sums.withColumn("precision", F.when(C("collapsed") > 0, _third(C("extra") / C("collapsed"))).otherwise(0.0)).withColumn(
+        "recall_risk", F.when(C("_all") > 0, _third(C("matched_lost") / C("_all"))).otherwise(0.0)).drop("_all")
+
+
+def tree_states(links: DataFrame) -> DataFrame:
+    """Each child of a proposed grouping: on a cycle, an inferred root (its parent is unknown), or fine."""
+    from boxloom.operators.tree import cycle_members
+
+    known = links.select("page_id", C("child_id").alias("parent_id")).distinct().withColumn("_known", F.lit(True))
+    cycles = cycle_members(links).withColumnRenamed("id", "child_id").withColumn("_cycle", F.lit(True))
+    joined = links.join(known, ["page_id", "parent_id"], "left").join(cycles, ["page_id", "child_id"], "left")
+    state = F.when(C("_cycle"), "cycle").when(C("_known").isNull(), "root").otherwise("ok")
+    return joined.select("page_id", C("child_id").alias("id"), state.alias("state"))
+
+
+def batch_states(sent: DataFrame, received: DataFrame) -> DataFrame:
+    """Batches sent without an answer and answers nobody asked for."""
+    a, b = sent.distinct().withColumn("_sent", F.lit(True)), received.distinct().withColumn("_got", F.lit(True))
+    return a.join(b, "batch", "full").select("batch", F.when(C("_sent").isNull(), "unknown_batch_id").when(
+        C("_got").isNull(), "missing_model_result").otherwise("ok").alias("state"))
