@@ -44,3 +44,14 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
     """
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(name) <= n)
+
+
+def following(df: DataFrame, keys: list[str], slot: Column, order: list[Column], values: list[str], prefix: str = "next_") -> DataFrame:
+    """The given columns of the next row in (slot, order), null on the last row of a group."""
+    slotted = df.withColumn("_slot", slot).withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    payload = F.struct(*values)
+    firsts = slotted.groupBy(*keys, "_slot").agg(F.min_by(payload, F.col("_order")).alias("_first"))
+    nexts = firsts.select(*keys, "_slot", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_beyond"))
+    inside = F.lead(payload).over(Window.partitionBy(*keys, "_slot").orderBy("_order"))
+    joined = slotted.join(nexts, [*keys, "_slot"]).withColumn("_next", F.coalesce(inside, F.col("_beyond")))
+    return joined.select(*df.columns, *[F.col("_next")[v].alias(prefix + v) for v in values])
