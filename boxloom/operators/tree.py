@@ -11,7 +11,7 @@ C = F.col
 
 
 def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id") -> DataFrame:
-    """Depth, path, ancestor ids and summed offsets of every node, one join per level over all trees at once.
+    """Depth, path, ancestor ids, preorder key and summed offsets of every node, one join per level over all trees.
 
     ``abs_x``/``abs_y`` read x and y as relative to the parent; ``marked_depth`` counts ancestors for which ``marked``
     holds.  A node's ancestor list is as long as its depth.
@@ -20,7 +20,7 @@ def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id") -
     base = cut_lineage(nodes.withColumn("_mark", extra))
     empty = F.array().cast("array<bigint>")
     level = base.where(C("parent_id").isNull()).select(
-        *base.columns, F.lit(0).alias("depth"), F.lit(0).alias("marked_depth"), F.lit("root").alias("path"), empty.alias("ancestors"),
+        *base.columns, F.lit(0).alias("depth"), F.lit(0).alias("marked_depth"), F.lit("root").alias("path"), empty.alias("ancestors"), empty.alias("preorder"),
         C("x").alias("abs_x"), C("y").alias("abs_y"))
     found, rest = [], base.where(C("parent_id").isNotNull())
     while True:
@@ -30,10 +30,10 @@ def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id") -
         found.append(level)
         parents = level.select(
             key, C("node_id").alias("parent_id"), (C("depth") + 1).alias("depth"), (C("marked_depth") + C("_mark")).alias("marked_depth"),
-            C("path").alias("_path"), F.concat("ancestors", F.array("node_id")).alias("ancestors"), C("abs_x").alias("_x"), C("abs_y").alias("_y"))
+            C("path").alias("_path"), C("preorder").alias("_pre"), F.concat("ancestors", F.array("node_id")).alias("ancestors"), C("abs_x").alias("_x"), C("abs_y").alias("_y"))
         level = rest.join(parents, [key, "parent_id"]).select(
             *base.columns, "depth", "marked_depth", F.concat("_path", F.lit(".children["), C("ord").cast("string"), F.lit("]")).alias("path"),
-            "ancestors", (C("_x") + C("x")).alias("abs_x"), (C("_y") + C("y")).alias("abs_y"))
+            "ancestors", F.concat("_pre", F.array(C("ord").cast("bigint"))).alias("preorder"), (C("_x") + C("x")).alias("abs_x"), (C("_y") + C("y")).alias("abs_y"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
