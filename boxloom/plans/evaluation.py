@@ -144,3 +144,186 @@ def batch_states(sent: DataFrame, received: DataFrame) -> DataFrame:
     a, b = sent.distinct().withColumn("_sent", F.lit(True)), received.distinct().withColumn("_got", F.lit(True))
     return a.join(b, "batch", "full").select("batch", F.when(C("_sent").isNull(), "unknown_batch_id").when(
         C("_got").isNull(), "missing_model_result").otherwise("ok").alias("state"))
+
+
+# ---- case tables -------------------------------------------------------------------------------------
+
+# fixed values: repair weight of each kind of risk
+REPAIR_WEIGHTS = {"ownership_errors": 8, "ownership_conflicts": 4, "materialization_warnings": 3, "materialization_skips": 2,
+                  "deferred_auto_layout": 1, "rejected_auto_layout": 2, "token_gaps": 1}
+
+
+def quality_summary(risks: DataFrame) -> DataFrame:
+    """Repair cost, score and grade of each case from its risk counts."""
+    cost = None
+    for name, weight in REPAIR_WEIGHTS.items():
+        term = C(name) * weight
+        cost = term if cost is None else cost + term
+    scored = risks.withColumn("repair_cost", cost).withColumn("score", _third(1.0 - F.least(F.lit(0.75), C("repair_cost") / 400.0)))
+    grade = F.when(C("score") >= 0.90, "high").when(C("score") >= 0.72, "medium").otherwise("low")
+    return scored.select("case_id", "repair_cost", "score", grade.alias("grade"))
+
+
+def repair_cost_items(risks: DataFrame) -> DataFrame:
+    """Corpus cost of each kind of risk that occurs."""
+    items = F.array(*[F.struct(F.lit(n).alias("item"), C(n).alias("count"), (C(n) * w).alias("cost")) for n, w in REPAIR_WEIGHTS.items()])
+    return risks.select(F.explode(items).alias("i")).select("i.*").where("count > 0").groupBy("item").agg(F.sum("count").alias("count"), F.sum("cost").alias("cost"))
+
+
+def skip_split(skips: DataFrame, ignored: tuple[str, ...]) -> DataFrame:
+    """Skips somebody has to act on, and those that are expected."""
+    quiet = C("reason").isin(*ignored)
+    return skips.groupBy("case_id").agg(F.sum(F.when(quiet, 0).otherwise(C("n"))).alias("actionable"), F.sum(F.when(quiet, C("n")).otherwise(0)).alias("expected"))
+
+
+def batch_summary(cases: DataFrame) -> DataFrame:
+    """Totals, averages and maxima over all cases in one aggregation."""
+    done, ok = C("status") == "completed", C("supported")
+    return cases.agg(
+        F.count("*").alias("cases"), F.count(F.when(ok, 1)).alias("supported"), F.count(F.when(~ok, 1)).alias("unsupported"),
+        F.count(F.when(~done, 1)).alias("failed"), F.count(F.when(~done & ok, 1)).alias("supported_failed"),
+        F.sum("visible").alias("visible_claims"), F.sum("conflicts").alias("conflicts"), F.sum("missing").alias("missing_artifacts"),
+        F.sum("nodes").alias("nodes"), F.sum("text_blocks").alias("text_blocks"), F.sum("fallbacks").alias("fallbacks"),
+        F.max("elapsed_ms").alias("slowest_ms"), F.sum("elapsed_ms").alias("elapsed_ms"),
+        F.max("conflicts").alias("most_conflicts"), (F.sum("visible") / F.count("*")).alias("mean_visible"))
+
+
+def failure_types(rows: DataFrame, max_rasters: int, max_tiny: int) -> DataFrame:
+    """Failure types of a case and the part suspected."""
+    from boxloom.functions.ladders import ladder, reasons
+
+    found = reasons((~C("ocr_present"), "OCR_MISSING"), (~C("dsl_valid"), "DSL_INVALID"), (C("full_page") > 0, "FULL_PAGE_BACKING"),
+                    (C("missing") > 0, "MISSING_ASSET"), (C("shape_assets") > 0, "SHAPE_ASSET"), (C("text_overlap") > 0, "TEXT_DUPLICATED"),
+                    (C("rasters") > max_rasters, "ASSET_EXPLOSION"), (C("tiny") > max_tiny, "TINY_FRAGMENT_EXPLOSION"))
+
+    def any_of(*names):
+        return F.arrays_overlap("failures", F.array(*[F.lit(n) for n in names]))
+
+    owner = ladder([(any_of("OCR_MISSING"), "ocr/provider"), (any_of("PIPELINE_EXCEPTION", "IMAGE_LOAD_FAILURE"), "batch/input"),
+                    (any_of("DSL_INVALID", "MISSING_ASSET"), "dsl/assets"), (any_of("FULL_PAGE_BACKING", "TEXT_DUPLICATED"), "ownership/planner"),
+                    (any_of("ASSET_EXPLOSION", "TINY_FRAGMENT_EXPLOSION"), "candidate extraction")], "unknown")
+    return rows.withColumn("failures", found).withColumn("owner", owner)
+
+
+def metric_deltas(oracle: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Metric by metric difference of two runs of a case; a metric missing on one side counts 0."""
+    joined = oracle.withColumnRenamed("value", "oracle").join(candidate.withColumnRenamed("value", "candidate"), ["case_id", "metric"], "full").fillna(0, ["oracle", "candidate"])
+    return joined.withColumn("delta", C("candidate") - C("oracle"))
+
+
+def hard_gate(deltas: DataFrame) -> DataFrame:
+    """Cases whose candidate run breaks a hard rule."""
+    gates = {"missingAssetCount": "MISSING_ASSET", "shapeAssetCount": "SHAPE_ASSET", "fullPageVisibleRaster": "FULL_PAGE_BACKING"}
+    bad = F.coalesce(*[F.when((C("metric") == m) & (C("candidate") > 0), F.lit(n)) for m, n in gates.items()])
+    return deltas.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_set(bad)), ",").alias("failures")).withColumn("passed", C("failures") == "")
+
+
+def funnel_trace(candidates: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
+    """Each candidate through the later stages, and the first one that stopped it.
+
+    ``stages`` maps transparent, contract, promoted, plan, replayed and skipped to tables keyed by candidate_id.
+    """
+    joined = candidates
+    for name, table in stages.items():
+        joined = joined.join(table, "candidate_id", "left")
+    shape = C("role") == "internal_shape"
+    shown = C("action").isin("text_replay", "image_replay", "icon_replay", "shape_replay")
+    rules = [
+        (C("candidate_decision") != "accepted_report_candidate", F.lit("decomposition"), C("candidate_decision")),
+        (~shape & C("eligible").isNull(), F.lit("transparent_assets"), F.lit("missing_transparent_asset_item")),
+        (~shape & ~C("eligible"), F.lit("transparent_assets"), F.lit("not_visible_replay_eligible")),
+        (C("mode").isNull(), F.lit("evidence_contract"), F.lit("missing_evidence_contract")),
+        (~C("mode").isin("allow_visible_replay", "allow_foreground_claim"), F.lit("evidence_contract"), F.lit("evidence_contract_not_allowing_foreground_claim")),
+        (C("promoted_id").isNull(), F.lit("source_promotion"), F.lit("missing_promoted_source_object")),
+        (C("action").isNull(), F.lit("replay_plan"), F.lit("missing_final_plan_item")),
+        (~shown, F.lit("replay_plan"), C("action")),
+        (C("node_id").isNotNull(), F.lit("none"), F.lit("visible_replay_materialized")),
+    ]
+    stage, reason = F.lit("materialization"), F.coalesce("skip_reason", F.lit("missing_materialized_node"))
+    for condition, s, r in reversed(rules):
+        hit = F.coalesce(condition, F.lit(False))
+        stage, reason = F.when(hit, s).otherwise(stage), F.when(hit, r).otherwise(reason)
+    return joined.select("candidate_id", "role", stage.alias("stage"), reason.alias("reason"))
+
+
+def funnel_counts(trace: DataFrame) -> DataFrame:
+    """Counts by stage, by reason and by role in one pass over the trace."""
+    parts = F.array(*[F.struct(F.lit(k).alias("facet"), C(k).alias("value")) for k in ("stage", "reason", "role")])
+    return trace.select(F.explode(parts).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
+
+
+def promotion_outcome(candidates: DataFrame, assets: DataFrame, contracts: DataFrame, objects: DataFrame) -> DataFrame:
+    """Promoted or rejected with the first reason; reads role, decision, media_id and the joined tables."""
+    from boxloom.functions.ladders import ladder
+
+    known = objects.select(C("object_id").alias("media_id"), F.lit(True).alias("_media")).distinct()
+    j = candidates.join(assets, "candidate_id", "left").join(contracts, "candidate_id", "left").join(known, "media_id", "left")
+    icon = C("role") == "internal_icon_candidate"
+    reason = ladder([
+        (~C("role").isin("internal_icon_candidate", "internal_shape"), "not_promotable_internal_candidate"),
+        (C("candidate_decision") != "accepted_report_candidate", "internal_candidate_not_accepted"),
+        (C("_media").isNull(), "missing_parent_media_source_object"),
+        (icon & C("eligible").isNull(), "missing_transparent_asset_item"), (icon & ~C("eligible"), "not_visible_replay_eligible"),
+        (C("mode").isNull(), "missing_evidence_contract"),
+        (~C("mode").isin("allow_visible_replay", "allow_foreground_claim"), "evidence_contract_not_allowing_foreground_claim"),
+    ], "")
+    return j.select("candidate_id", reason.alias("reason"), (reason == "").alias("promoted"))
+
+
+def pipeline_summary(elements: DataFrame, text_ratio: float = 0.08) -> DataFrame:
+    """Per page: emitted elements by kind, tiny images, images over text and suppressions."""
+    image = C("action") == "emit_image"
+    return elements.groupBy("page_id").agg(
+        F.count("*").alias("candidates"), F.count(F.when(image, 1)).alias("images"), F.count(F.when(C("action") == "emit_shape", 1)).alias("shapes"),
+        F.count(F.when(image & (C("area") < 400), 1)).alias("tiny_images"), F.count(F.when(image & (C("text_ratio") > text_ratio), 1)).alias("text_overlap_images"),
+        F.count(F.when(C("action") == "suppress", 1)).alias("suppressed"))
+
+
+def suppression_reasons(elements: DataFrame) -> DataFrame:
+    return elements.where("action = 'suppress'").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def layer_rule_violations(layers: DataFrame, assets: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """Layer rules: reference shown, asset missing or unknown, full-page backing, decision missing."""
+    known = assets.select("page_id", "asset_id").distinct().withColumn("_known", F.lit(True))
+    j = layers.join(known, ["page_id", "asset_id"], "left")
+    from boxloom.functions.ladders import reasons
+
+    raster = C("visible") & (C("kind") == "raster")
+    inside_w = F.greatest(F.lit(0), F.least(C("x") + C("w"), F.lit(page_w)) - F.greatest(C("x"), F.lit(0)))
+    inside_h = F.greatest(F.lit(0), F.least(C("y") + C("h"), F.lit(page_h)) - F.greatest(C("y"), F.lit(0)))
+    rules = reasons(
+        (C("visible") & (C("kind") == "reference"), "DRAFT_REFERENCE_IMAGE_VISIBLE"), (raster & C("asset_id").isNull(), "DRAFT_ASSET_ID_MISSING"),
+        (raster & C("asset_id").isNotNull() & C("_known").isNull(), "DRAFT_ASSET_NOT_FOUND"),
+        (raster & (inside_w * inside_h / (page_w * page_h) >= 0.98), "DRAFT_VISIBLE_FULL_IMAGE_BACKING"), (C("decision").isNull(), "DRAFT_DECISION_MISSING"))
+    return j.select("page_id", "region_id", F.explode(rules).alias("rule"))
+
+
+def tree_rule_violations(nodes: DataFrame, walked: DataFrame) -> DataFrame:
+    """Document rules on flattened nodes: repeated ids, bad types, empty boxes, missing text, unknown parents, leaf frames."""
+    from boxloom.functions.ladders import reasons
+
+    copies = nodes.groupBy("tree_id", "node_id").agg(F.count("*").alias("_copies"))
+    paths = walked.select("tree_id", "node_id", "path").distinct()
+    j = nodes.join(copies, ["tree_id", "node_id"]).join(paths, ["tree_id", "node_id"], "left")
+    rules = reasons((C("_copies") > 1, "NODE_ID_DUPLICATE"), (~C("type").isin("frame", "text", "image", "shape"), "NODE_TYPE_INVALID"),
+                    ((C("w") <= 0) | (C("h") <= 0), "NODE_BBOX_INVALID"), ((C("type") == "text") & (F.coalesce(F.trim("characters"), F.lit("")) == ""), "TEXT_REQUIRED"),
+                    (C("path").isNull(), "NODE_UNREACHABLE"))
+    return j.select("tree_id", "node_id", "path", F.explode(rules).alias("rule"))
+
+
+def flow_metrics(members: DataFrame, keys: list[str], expected_gap: int) -> DataFrame:
+    """Vertical flow of a group: hull, required size, fit, cross spread, median cross size, gaps."""
+    from boxloom.functions.geometry import hull
+    from boxloom.operators.ranking import following
+    from boxloom.operators.raster import order_statistic
+
+    gaps = following(members, keys, C("y"), [C("y"), C("x"), C("w"), C("h"), C("region_id")], ["y"]).withColumn("g", C("next_y") - C("y") - C("h")).where("g > 0")
+    stats = gaps.groupBy(*keys).agg(F.max("g").alias("max_gap"), F.count("*").alias("_gn"), F.sum("g").alias("_g1"), F.sum(C("g") * C("g")).alias("_g2"))
+    base = members.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("h").alias("_sum"), (F.max("x") - F.min("x")).alias("cross_spread"),
+                                      F.median("w").alias("median_cross"), *hull())
+    s = base.join(stats, keys, "left").fillna(0, ["max_gap", "_gn", "_g1", "_g2"])
+    required = (C("n") - 1) * expected_gap + C("_sum")
+    variance = F.when(C("_gn") > 0, (C("_gn") * C("_g2") - C("_g1") * C("_g1")) / (C("_gn") * C("_gn"))).otherwise(0.0)
+    return s.select(*keys, "n", "x", "y", "w", "h", required.alias("required"), (required / C("h")).alias("fit_ratio"), "cross_spread", "median_cross", "max_gap",
+                    variance.alias("gap_variance"))
