@@ -60,21 +60,20 @@ def primitive_type(image_area: Column) -> Column:
     return ladder([(c, PRIMITIVE_TYPE[n]) for c, n in primitive_rules(image_area)], PRIMITIVE_TYPE["none"])
 
 
-def primitive_confidence(image_area: Column) -> Column:
-    by_rule = {
-        "thin_line": F.lit(0.86), "rect": F.greatest(F.lit(0.0), F.least(F.lit(0.95), 0.72 + C("fill_ratio") * 0.2)),
-        "surface": F.lit(0.74),
+def with_primitive_class(df, image_area: Column):
+    """Add type, confidence and reasons; the rule is decided once and the three values follow from its name."""
+    ruled = df.withColumn("_rule", ladder([(c, n) for c, n in primitive_rules(image_area)], "none"))
+    rule = C("_rule")
+    measured = {
+        "rect": F.greatest(F.lit(0.0), F.least(F.lit(0.95), 0.72 + C("fill_ratio") * 0.2)),
         "image": F.greatest(F.lit(0.0), F.least(F.lit(0.92), 0.55 + F.least(C("texture_score"), F.lit(0.4)))),
-        "symbol": F.lit(0.62), "long_line": F.lit(0.7),
     }
-    return ladder([(c, by_rule[n]) for c, n in primitive_rules(image_area)], 0.35)
-
-
-def primitive_reasons(image_area: Column) -> Column:
-    def arr(n):
-        return F.array(*[F.lit(r) for r in PRIMITIVE_REASONS[n]])
-
-    return ladder([(c, arr(n)) for c, n in primitive_rules(image_area)], arr("none"))
+    fixed = {"thin_line": 0.86, "surface": 0.74, "symbol": 0.62, "long_line": 0.7}
+    return ruled.withColumns({
+        "type": ladder([(rule == n, t) for n, t in PRIMITIVE_TYPE.items()], None),
+        "confidence": ladder([(rule == n, v) for n, v in {**measured, **fixed}.items()], 0.35),
+        "reasons": ladder([(rule == n, F.array(*[F.lit(r) for r in rs])) for n, rs in PRIMITIVE_REASONS.items()], None),
+    }).drop("_rule")
 
 
 # ---- replay actions ------------------------------------------------------------------------------

@@ -25,10 +25,8 @@ def _reason_sql(name):
                        'symbol': '0.62::DOUBLE', 'long_line': '0.7::DOUBLE', 'none': '0.35::DOUBLE'})} AS confidence,
       {primitive_case({k: _reason_sql(k) for k in lad.PRIMITIVE_TYPE})} AS reasons FROM primitives"""))
 def p13(spark, sf_dir):
-    page = F.lit(1080 * 1920)
-    return primitives(spark, sf_dir).select(
-        *KEYS, lad.primitive_type(page).alias("type"), lad.primitive_confidence(page).alias("confidence"),
-        F.array_join(lad.primitive_reasons(page), ",").alias("reasons"))
+    classed = lad.with_primitive_class(primitives(spark, sf_dir), F.lit(1080 * 1920))
+    return classed.select(*KEYS, "type", "confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
 ACTION_SQL = """CASE WHEN replay_decision = 'text_replay' AND pixel_owner = 'editable_text' AND confidence <> 'low' THEN 'text_replay'
