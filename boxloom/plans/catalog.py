@@ -170,7 +170,7 @@ def expired_jobs(jobs: DataFrame, keep: int) -> DataFrame:
     slot = F.to_date("updated_at")
     ranked = row_numbers(finished.withColumn("_all", F.lit(1)), ["_all"], slot, [C("updated_at"), C("job_id")], "age_rank")
     # a one-row aggregate: its size is fixed
-    return ranked.join(F.broadcast(excess), C("age_rank") <= C("excess")).drop("_all", "excess")
+    return ranked.join(F.broadcast(excess.withColumn("_all", F.lit(1))), "_all").where(C("age_rank") <= C("excess")).drop("_all", "excess")
 
 
 def review_pages(candidates: DataFrame, state: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Region-shaped inputs derived from the given tables by integer arithmetic.
 
-All of them are map-side projections (plus explode), so deriving them costs no shuffle.
+All of them are map-side projections (plus explode), so deriving them costs no shuffle beyond spreading a table that
+comes in too few splits.
 """
 
 from __future__ import annotations
