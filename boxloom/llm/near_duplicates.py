@@ -166,9 +166,13 @@ class _Graph:
     def resolve(self, candidates: DataFrame) -> None:
         """Verify the best partner of each class, then every pair that still crosses components."""
         candidates = stored(candidates, "candidates")
+        if self.labels is not None and candidates.isEmpty():
+            return
         best = candidates.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
         self.add(best)
-        self.add(stored(self.crossing(candidates.select("a", "b")), "crossing"))
+        rest = stored(self.crossing(candidates.select("a", "b")), "crossing")
+        if not rest.isEmpty():
+            self.add(rest)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -199,6 +203,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         if graph.labels is not None:
             spread = open_lists.groupBy(F.col("v").alias("lv"), F.col("s").alias("ls")).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1"))
             open_lists = stored(open_lists.join(spread.select("lv", "ls"), (F.col("v") == F.col("lv")) & (F.col("s") == F.col("ls"))).drop("lv", "ls"), "open-lists")
+            if open_lists.isEmpty():
+                break
         if round_no == STAR_ROUNDS:
             pairs = _pairs_within(open_lists, ["v", "s"], percent, crossing=True)
         else:

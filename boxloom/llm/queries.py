@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import chat_windows, decontamination, language, near_duplicates, passages, toxicity
-from boxloom.llm.common import held_out, prepare, table
+from boxloom.llm import byte_pairs, chat_windows, decontamination, language, near_duplicates, neighbours, passages, records, toxicity
+from boxloom.llm.common import held_out, prepare, stored, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -25,6 +26,28 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op2_token_records")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as binary records and read back by their index."""
+    return records.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_byte_pairs")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 CHAT_SQL = """
@@ -60,7 +83,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
-    return chat_windows.digests(chat_windows.chat_windows(turns.unionByName(control)))
+    return chat_windows.digests(stored(chat_windows.chat_windows(turns.unionByName(control)), "chat-windows"))
 
 
 @query("op5_near_duplicates")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import decontamination, near_duplicates, passages, toxicity
+from boxloom.llm import byte_pairs, decontamination, near_duplicates, passages, toxicity
 from boxloom.llm.common import fresh_folder, held_out, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,7 +37,14 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(leaks, F.col("doc_id") == F.col("leak"), "left_anti").select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeated_passages", cut_repeats), ("decontamination", drop_leaks)]
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (32-bit little-endian), their number, and the text they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_pairs.decode(byte_pairs.encode(docs, path, pattern), path, pattern)
+    return coded.select("doc_id", F.decode("decoded", F.lit("UTF-8")).alias("text"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeated_passages", cut_repeats), ("decontamination", drop_leaks), ("byte_pairs", to_tokens)]
 ORACLE_SQL = None
 
 
