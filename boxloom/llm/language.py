@@ -94,33 +94,46 @@ class Model:
             held = self.tables[size]
             found = [held[g] for g in (padded[i : i + size] for i in range(len(padded) - size + 1)) if g in held]
             if found:
-                return np.mean(found, axis=0)
+                return np.add.reduce(found) / len(found)
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
+class WordScores(dict):
+    """Number of each word met, and its scores in that row of ``rows``."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.rows = np.zeros((1024, len(model.langs)), dtype=np.float32)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        if number == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[number] = self.model.word(word)
+        return number
+
+
 def identify(documents: DataFrame, labelled: DataFrame, per_language: int = 1500, max_chars: int = 20_000, top_words: int = 10_000, top_grams: int = 5_000) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (0 to 1) of every document, learned from ``labelled`` (text, lang)."""
     model = Model(training_counts(labelled, per_language, max_chars, top_words, top_grams).collect())
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
+        m, known = shared.value, WordScores(shared.value)
         for batch in batches:
+            # a full memory of words is emptied between batches, which changes no score
+            if len(known) > CACHE_ENTRIES:
+                known = WordScores(m)
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
-                counts = Counter(LETTERS.findall(text.lower())) if text else None
-                if not counts or not m.langs:
+                words = LETTERS.findall(text.lower()) if text else []
+                if not words or not m.langs:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                if len(cache) > CACHE_ENTRIES // 4:
-                    cache.clear()
-                for w in counts:
-                    if w not in cache:
-                        cache[w] = m.word(w)
-                n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-                sums = n @ np.array([cache[w] for w in counts], dtype=np.float64)
-                sums *= min(1.0, EVIDENCE_WORDS / n.sum())
+                numbers = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+                sums = known.rows[numbers].sum(axis=0, dtype=np.float64) * min(1.0, EVIDENCE_WORDS / len(words))
                 odds = np.exp(sums - sums.max())
                 best = int(np.argmax(sums))
                 langs.append(m.langs[best])

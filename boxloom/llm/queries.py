@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import byte_pairs, chat_windows, decontamination, language, near_duplicates, neighbours, passages, records, toxicity
+from boxloom.llm import byte_pairs, chat_windows, decontamination, language, near_duplicates, neighbours, passages, records, toxicity, warc_fixity
 from boxloom.llm.common import held_out, prepare, stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -135,3 +135,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is left of its text, and the removed ranges of the original."""
     kept = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "text", "removed", "n_removed")
+
+
+@query("op10_warc_fixity", "SELECT page_id, 'changed' AS kind FROM pages WHERE page_id % 97 = 13 OR page_id % 101 = 7")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages that an audit finds changed in a replica with inverted bytes."""
+    damaged = (F.col("page_id") % 97 == 13) | (F.col("page_id") % 101 == 7)
+    return warc_fixity.rehearsal(spark, table(spark, sf_dir, "pages"), damaged).select("page_id", "kind")
