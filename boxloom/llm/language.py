@@ -5,7 +5,7 @@ scored by the longest of its character n-grams that are known (from ``MAX_GRAM``
 
 The model is learned from a bounded sample: per language the ``per_language`` documents with the smallest hash
 of their text, not longer than ``max_chars``; of each language the ``top_words`` words and, for each length, the
-``top_grams`` n-grams are kept.  These bounds are parameters and do not follow the input.  Every document is
+``top_grams`` n-grams are kept (up to 1,000 documents a language, Spark limits the sample before it is shuffled).  These bounds are parameters and do not follow the input.  Every document is
 scored on its whole text.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; so is every text when nothing
@@ -114,7 +114,7 @@ class WordScores(dict):
         return number
 
 
-def identify(documents: DataFrame, labelled: DataFrame, per_language: int = 1500, max_chars: int = 20_000, top_words: int = 10_000, top_grams: int = 5_000) -> DataFrame:
+def identify(documents: DataFrame, labelled: DataFrame, per_language: int = 1000, max_chars: int = 20_000, top_words: int = 10_000, top_grams: int = 5_000) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (0 to 1) of every document, learned from ``labelled`` (text, lang)."""
     model = Model(training_counts(labelled, per_language, max_chars, top_words, top_grams).collect())
     shared = documents.sparkSession.sparkContext.broadcast(model)
