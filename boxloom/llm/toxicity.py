@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
 Examples are a bounded sample of labelled rows: of each class the ``per_class`` rows with the smallest hash of
-their id.  The vocabulary holds the words that are associated with the label in the sample (G-test over ``min_g``, in
+their id.  Terms are words, beginnings of words (``PREFIXES`` characters, for inflected forms) and marks for a term that
+a text repeats.  The vocabulary holds the terms that are associated with the label in the sample (G-test over ``min_g``, in
 ``min_documents`` examples at least, ``top_terms`` at most), so vectors are short.  Weights are (1 + log tf) * idf,
 and cosines are exact in this space.
 
@@ -27,13 +28,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import plain_words
+from boxloom.llm.common import CACHE_ENTRIES, plain_words
 
 BLOCK = 64
+PREFIXES = range(5, 11)
+REPEATED = (2, 4)
 NEIGHBOURS = 15
 DECISION = 0.3
 
 
+def terms_of(word: str) -> list[str]:
+    """The word and its beginnings."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
+
+
+def term_counts(text: str | None) -> Counter:
+    """Counts of all terms of a text."""
+    counts: Counter = Counter()
+    for word, n in Counter(plain_words(text)).items():
+        for term in terms_of(word):
+            counts[term] += n
+    for least in REPEATED:
+        counts.update({f"{term} {least}": 1 for term, n in list(counts.items()) if n >= least and " " not in term})
+    return counts
+
+
 def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, dict[int, int]]:
     """Examples (id, label, word counts) and the number of labelled rows of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -45,7 +64,7 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[li
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(plain_words(t)) for t in batch.column(2).to_pylist()]
+            counts = [term_counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], ["doc_id", "label", "words"])
 
@@ -79,6 +98,7 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.votes = np.array([weights[i] for i in order], dtype=np.float64)
         self.terms, self.idf = terms, idf
+        self.words: dict[str, list[str]] = {}
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((len(terms), blocks))
         postings: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in terms]
@@ -94,6 +114,20 @@ class BlockMaxIndex:
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: raw[t] / norm for t in sorted(raw)} if norm else {}
 
+    def known_terms(self, text: str | None) -> Counter:
+        """Counts of the terms that are in the vocabulary."""
+        counts: Counter = Counter()
+        for word, n in Counter(plain_words(text)).items():
+            if (terms := self.words.get(word)) is None:
+                if len(self.words) >= CACHE_ENTRIES:
+                    self.words.clear()
+                terms = self.words[word] = [t for t in terms_of(word) if t in self.terms or any(f"{t} {r}" in self.terms for r in REPEATED)]
+            for term in terms:
+                counts[term] += n
+        for least in REPEATED:
+            counts.update({f"{term} {least}": 1 for term, n in list(counts.items()) if n >= least and " " not in term})
+        return counts
+
     def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """The k largest cosines and their places, ties to the smaller id; ``without`` is an id left out."""
         if not vector:
@@ -160,13 +194,13 @@ class Classifier:
         self.knots, self.levels = _monotone(np.array(xs), np.array(ys), np.array(ws)) if xs else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def score(self, text: str | None) -> tuple[float, list]:
-        found = self.index.nearest(self.index.vector(Counter(plain_words(text)))) if self.index.terms else []
+        found = self.index.nearest(self.index.vector(self.index.known_terms(text))) if self.index.terms else []
         if not found:
             return self.without, []
         return float(np.interp(self.index.vote(found), self.knots, self.levels)), [(int(self.index.ids[p]), c, int(self.index.labels[p])) for c, p in found[:3]]
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, min_g: float = 30.0, min_documents: int = 4, top_terms: int = 1000) -> Classifier:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, min_g: float = 24.0, min_documents: int = 4, top_terms: int = 1000) -> Classifier:
     """Fit on a bounded sample of the labelled rows; see the module text for the bounds."""
     rows, sizes = _sample(documents, labels, per_class)
     rows = rows.persist()
