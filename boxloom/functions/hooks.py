@@ -1,4 +1,4 @@
-"""Places to plug in user code: a scalar scorer, a per-page function and a row generator."""
+"""Places to plug in user code: a scalar scorer, a function over the cells of a page and a row generator."""
 
 from __future__ import annotations
 
@@ -17,20 +17,23 @@ def scorer(fn: Callable[..., pd.Series]):
     return F.pandas_udf(fn, DoubleType())
 
 
-def per_page(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, max_rows: int = 100_000, cell: int = 512) -> DataFrame:
-    """Run ``fn`` on the rows of one page at a time.
+def per_cell(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, cell: int = 4096, halo: int = 0) -> DataFrame:
+    """Run ``fn`` on the rows of one grid cell of a page at a time, at every page size.
 
-    A page too large for one task is handed over in grid cells, so ``fn`` must treat rows by neighbourhood; pages of
-    ordinary size arrive whole, as cell (0, 0).
+    ``fn`` gets the columns of ``df`` and ``owned``: true for rows whose top-left corner lies in the cell, false for rows
+    within ``halo`` pixels of it, which are there to be looked at only.  Results of a page are partial ones: what is
+    wanted per page is combined from them by an aggregate.
     """
-    sizes = df.groupBy("page_id").agg(F.count("*").alias("_n")).where(C("_n") > max_rows).select("page_id", F.lit(True).alias("_big"))
-    cx, cy = F.floor(C("x") / cell), F.floor(C("y") / cell)
-    marked = df.join(sizes, "page_id", "left").withColumn("_cx", F.when(C("_big"), cx).otherwise(0)).withColumn("_cy", F.when(C("_big"), cy).otherwise(0))
+    def cells(low: str) -> Column:
+        return F.sequence(F.floor((C(low) - halo) / cell), F.floor((C(low) + halo) / cell))
+
+    dealt = df.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y"))).withColumn(
+        "owned", (C("_cx") == F.floor(C("x") / cell)) & (C("_cy") == F.floor(C("y") / cell)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.drop(columns=["_big", "_cx", "_cy"]))
+        return fn(pdf.drop(columns=["_cx", "_cy"]))
 
-    return marked.groupBy("page_id", "_cx", "_cy").applyInPandas(run, schema)
+    return dealt.groupBy("page_id", "_cx", "_cy").applyInPandas(run, schema)
 
 
 @F.udtf(returnType="node_id bigint, parent_id bigint, depth int, type string")

@@ -100,23 +100,18 @@ def _anchor_scores(a: Box, t: Box) -> list[tuple[str, Column]]:
     ]
 
 
-def text_anchors(candidates: DataFrame, texts: DataFrame, floor: float = 0.05) -> DataFrame:
-    """Best text anchor of each candidate scoring at least ``floor``.
-
-    A pair can only score that much within about 2.5 standard deviations, and these follow the box sides, so both boxes
-    are grown by that much before the grid join and nothing is missed.
-    """
-    k = 2.45 * 1.15
-
-    def grown(df: DataFrame, ident: str) -> DataFrame:
-        px, py = F.ceil(C("w") * k + 60), F.ceil(C("h") * k + 60)
-        return df.select("page_id", ident, *[C(c).alias("o" + c) for c in "xywh"], (C("x") - px).alias("x"), (C("y") - py).alias("y"),
-                         (C("w") + px * 2).alias("w"), (C("h") + py * 2).alias("h"))
-
-    pairs = near_pairs(grown(candidates, "region_id"), grown(texts, "line_id"), C("a_region_id") != C("b_line_id"), cell=512)
-    scored = pairs.select("page_id", C("a_region_id").alias("region_id"), C("b_line_id").alias("line_id"),
+def text_anchors(candidates: DataFrame, texts: DataFrame, media: DataFrame) -> DataFrame:
+    """Best text anchor of each candidate among the texts of a media region that holds both, whatever its score."""
+    def held(df: DataFrame, ident: str) -> DataFrame:
+        inside = near_pairs(df.select("page_id", ident, *"xywh"), media.select("page_id", C("region_id").alias("media_id"), *"xywh"), contains(box("b_"), box("a_"), 0))
+        return inside.select("page_id", "b_media_id", "a_" + ident, *["a_" + c for c in "xywh"])
+
+    left = held(candidates, "region_id").where("b_media_id <> a_region_id")
+    right = held(texts, "line_id").select("page_id", "b_media_id", *[C("a_" + c).alias("t_" + c) for c in ("line_id", *"xywh")])
+    pairs = left.join(right, ["page_id", "b_media_id"]).where(C("a_region_id") != C("t_line_id"))
+    scored = pairs.select("page_id", C("a_region_id").alias("region_id"), C("t_line_id").alias("line_id"),
                           F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.lit(n).alias("relation"), v.alias("score"))
-                                              for i, (n, v) in enumerate(_anchor_scores(box("a_o"), box("b_o")))])).alias("s")).where(C("s.score") >= floor)
+                                              for i, (n, v) in enumerate(_anchor_scores(box("a_"), box("t_")))])).alias("s"))
     best = scored.groupBy(*KEY).agg(F.max(F.struct(C("s.score").alias("score"), (-C("line_id")).alias("neg"), (-C("s.o")).alias("o"), C("s.relation").alias("relation"))).alias("m"))
     return best.select(*KEY, (-C("m.neg")).alias("line_id"), C("m.relation").alias("relation"), half_even(C("m.score"), 3).alias("score"))
 

@@ -238,13 +238,13 @@ def text_owner_surfaces(blocks: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def drop_covered_tiles(detections: DataFrame, page_area: int, share: float = 0.72) -> DataFrame:
-    """Tile detections mostly inside a usable overview detection are dropped."""
+    """Detections of any other source than the overview, mostly inside a usable overview detection, are dropped."""
     usable = detections.where(
         (C("source_kind") == "overview") & (C("w") >= 8) & (C("h") >= 8)
         & (C("w") * C("h") / page_area).between(0.01, 0.82)).select("page_id", *"xywh")
-    tiles = detections.where("source_kind = 'tile'")
-    kept = keep_matching(tiles, usable, share_of(A(), B()) >= share, negate=True)
-    return detections.where("source_kind = 'overview'").unionByName(kept.select(*detections.columns))
+    overview = F.coalesce(C("source_kind") == "overview", F.lit(False))
+    kept = keep_matching(detections.where(~overview), usable, share_of(A(), B()) >= share, negate=True)
+    return detections.where(overview).unionByName(kept.select(*detections.columns))
 
 
 def not_overlapping(boxes: DataFrame, existing: DataFrame, limit: float = 0.6) -> DataFrame:

@@ -40,6 +40,13 @@ def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id") -
     return out.drop("_mark")
 
 
+def unreached(nodes: DataFrame, walked: DataFrame, key: str = "tree_id") -> DataFrame:
+    """Nodes that a walk from the roots does not meet, with the reason: their parent is missing, or they hang on a cycle."""
+    lost = nodes.join(walked.select(key, "node_id"), [key, "node_id"], "left_anti")
+    there = nodes.select(key, C("node_id").alias("parent_id"), F.lit(True).alias("_there"))
+    return lost.join(there, [key, "parent_id"], "left").withColumn("reason", F.when(C("_there"), "below_a_lost_node_or_cycle").otherwise("missing_parent")).drop("_there")
+
+
 def with_children(walked: DataFrame, key: str = "tree_id") -> DataFrame:
     """Add the number of direct children."""
     counts = walked.where(C("parent_id").isNotNull()).groupBy(key, C("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
@@ -79,7 +86,7 @@ def containers(walked: DataFrame, min_leaves: int = 2, key: str = "tree_id") ->
     return subtree_facts(walked, key).where(C("leaves") >= min_leaves)
 
 
-def cycle_members(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def cycle_members(edges: DataFrame) -> DataFrame:
     """(page_id, id) of nodes on a cycle of child -> parent links.
 
     Nodes without a remaining parent or child are peeled off until nothing changes; a survivor is on a cycle when it
@@ -99,7 +106,7 @@ def cycle_members(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         size = now
     reach = live
-    for _ in range(max_rounds):
+    while True:
         hop = reach.alias("a").join(reach.select("page_id", C("src").alias("dst"), C("dst").alias("far")).alias("b"), ["page_id", "dst"]).select(
             "page_id", "src", C("far").alias("dst"))
         grown = cut_lineage(reach.unionByName(hop).distinct())

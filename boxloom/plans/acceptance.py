@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from boxloom.functions.geometry import iou
+from boxloom.functions.geometry import box, iou, normalize
 from boxloom.operators.greedy import keep_greedily
 from boxloom.operators.matching import drop_covered_tiles, not_overlapping
 from boxloom.operators.ranking import first_per_group, row_numbers
@@ -20,9 +20,16 @@ def union_in_order(overview: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def accept(detections: DataFrame, slices: DataFrame, width: int, height: int, max_boxes: int) -> DataFrame:
-    """Size gates, overview preference, no repeats of slices or of accepted boxes, at most ``max_boxes`` per page."""
+    """Boxes inside the page, size gates, overview preference, no repeats of slices or of accepted boxes, at most ``max_boxes`` per page.
+
+    Boxes that are not finite or not positive go first; the others are clipped to the page before any rule reads them.
+    """
     area = width * height
-    preferred = drop_covered_tiles(detections, area)
+    raw = box("")
+    finite = [c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf")) for c in raw]
+    usable = detections.where(finite[0] & finite[1] & finite[2] & finite[3] & (raw.w > 0) & (raw.h > 0))
+    clipped = normalize(raw, F.lit(width), F.lit(height), 1)
+    preferred = drop_covered_tiles(usable.withColumns({n: c.cast("bigint") for c, n in zip(clipped, "xywh")}), area)
     sized = preferred.where((C("w") >= 8) & (C("h") >= 8) & (C("w") * C("h") / area <= 0.82))
     fresh = not_overlapping(sized, slices).withColumn("_pass", F.when(C("source_kind") == "overview", 0).otherwise(1))
     kept = keep_greedily(fresh, [C("_pass")], lambda k, c: iou(k, c) >= 0.72)

@@ -35,7 +35,7 @@ def controlled_groups(groups: DataFrame, members: DataFrame, order: list[Column]
     return first_per_group(kept, ["page_id"], [*order, C("group_id")], most, "position")
 
 
-def major_groups(layers: DataFrame, min_area: int, max_rounds: int = 200) -> DataFrame:
+def major_groups(layers: DataFrame, min_area: int) -> DataFrame:
     """Owners (smallest first) with the layers they hold, each layer in one group.
 
     An owner needs two held layers still free, one of them text or raster.  In every round an owner decides once no
@@ -50,9 +50,7 @@ def major_groups(layers: DataFrame, min_area: int, max_rounds: int = 200) -> Dat
     inner = held.select("page_id", C("a_region_id").alias("owner_id"), C("b_region_id").alias("item_id"), C("b_kind").alias("kind"),
                         F.struct(a.area.alias("area"), C("a_region_id").alias("id")).alias("rank"))
     open_rows, out = cut_lineage(own.unionByName(inner)), None
-    for _ in range(max_rounds):
-        if open_rows.isEmpty():
-            break
+    while not open_rows.isEmpty():
         wanted = open_rows.groupBy("page_id", "item_id").agg(F.min("rank").alias("first"))
         state = open_rows.join(wanted, ["page_id", "item_id"])
         mine = state.groupBy("page_id", "owner_id").agg(
@@ -65,8 +63,6 @@ def major_groups(layers: DataFrame, min_area: int, max_rounds: int = 200) -> Dat
         rest = rest.join(taken, ["page_id", "item_id"], "left_anti").join(taken.withColumnRenamed("item_id", "owner_id"), ["page_id", "owner_id"], "left_anti")
         open_rows = cut_lineage(rest)
         out = won if out is None else out.unionByName(won)
-    else:
-        raise RuntimeError("groups did not settle; raise max_rounds")
     return out.select("page_id", "owner_id", C("item_id").alias("region_id"), "kind")
 
 

@@ -37,15 +37,16 @@ def object_edges(objects: DataFrame) -> DataFrame:
 
 
 def directed(edges: DataFrame) -> DataFrame:
-    """Each edge from both ends: how far ``own`` lies in ``other`` and whether the relation says so."""
-    def side(own: str, other: str, own_id: str, other_id: str, ratio: str, inside: str) -> DataFrame:
+    """Each edge from both ends, in one read: how far ``own`` lies in ``other`` and whether the relation says so."""
+    def side(own: str, other: str, own_id: str, other_id: str, ratio: str, inside: str) -> Column:
         named = [F.col(f"{p}_{c}").alias(f"{n}_{c}") for p, n in ((own, "own"), (other, "other"))
                  for c in ("pixel_owner", "replay_decision", "confidence", "action", "x", "y", "w", "h")]
-        return edges.select("page_id", C(own_id).alias("own_id"), C(other_id).alias("other_id"), "primary_rel", C(ratio).alias("own_in_other"),
-                            (C("primary_rel") == inside).alias("contained"), *named)
+        return F.struct(C(own_id).alias("own_id"), C(other_id).alias("other_id"), C(ratio).alias("own_in_other"),
+                        (C("primary_rel") == inside).alias("contained"), *named)
 
-    return side("a", "b", "left_id", "right_id", "left_in_right", "contained_by").unionByName(
-        side("b", "a", "right_id", "left_id", "right_in_left", "contains"))
+    ends = F.array(side("a", "b", "left_id", "right_id", "left_in_right", "contained_by"), side("b", "a", "right_id", "left_id", "right_in_left", "contains"))
+    return edges.select("page_id", "primary_rel", F.explode(ends).alias("e")).select("page_id", "e.own_id", "e.other_id", "primary_rel", "e.own_in_other", "e.contained", *[
+        f"e.{n}_{c}" for n in ("own", "other") for c in ("pixel_owner", "replay_decision", "confidence", "action", "x", "y", "w", "h")])
 
 
 def lies_in_media(threshold) -> Column:

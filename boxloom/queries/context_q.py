@@ -64,20 +64,21 @@ _ANCHORS = ", ".join(f"{{'o': {i}, 'relation': '{n}', 'score': {v}}}" for i, (n,
     ("above_text", _dir(_DX, "(t.y - a.y - a.h)", "a.h", "t.h", _WIDE)), ("below_text", _dir(_DX, "(a.y - t.y - t.h)", "a.h", "t.h", _WIDE)),
     ("left_of_text", _dir(_DY, "(t.x - a.x - a.w)", "a.w", "t.w", _TALL)), ("right_of_text", _dir(_DY, "(a.x - t.x - t.w)", "a.w", "t.w", _TALL)),
     ("near_text", f"exp(-({_DX} * {_DX}) / (pow(greatest(24::DOUBLE, {_WIDE} * 1.15::DOUBLE), 2) * 2)) * exp(-({_DY} * {_DY}) / (pow(greatest(18::DOUBLE, {_TALL} * 1.15::DOUBLE), 2) * 2)) * CASE WHEN {inter('a', 't')} > 0 THEN 0.35 ELSE 1 END"))))
+_IN = "m.x <= {p}.x AND m.y <= {p}.y AND m.x + m.w >= {p}.x + {p}.w AND m.y + m.h >= {p}.y + {p}.h"
 fixture("anchors", f"""
     SELECT page_id, region_id, line_id, s.relation AS relation, {even('s.score', 3)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, region_id ORDER BY s.score DESC, line_id, s.o) AS n FROM (
-      SELECT a.page_id, a.region_id, t.line_id, unnest([{_ANCHORS}]) AS s FROM regions a JOIN text_lines t ON a.page_id = t.page_id AND a.region_id <> t.line_id WHERE a.kind_no = 2) WHERE s.score >= 0.05) WHERE n = 1""",
+      SELECT a.page_id, a.region_id, t.line_id, unnest([{_ANCHORS}]) AS s FROM regions a JOIN text_lines t ON a.page_id = t.page_id AND a.region_id <> t.line_id WHERE a.kind_no = 2 AND EXISTS (SELECT 1 FROM regions m WHERE m.page_id = a.page_id AND m.kind_no = 1 AND {_IN.format(p='a')} AND {_IN.format(p='t')}))) WHERE n = 1""",
         "regions text_lines")
 
 
 @query("j16_text_anchors", sql("anchors", "SELECT page_id, region_id, line_id, relation, score FROM anchors"))
 def j16(spark, sf_dir):
-    return cx.text_anchors(R(spark, sf_dir).where("kind_no = 2"), fx.text_lines(spark, sf_dir))
+    return cx.text_anchors(R(spark, sf_dir).where("kind_no = 2"), fx.text_lines(spark, sf_dir), R(spark, sf_dir).where("kind_no = 1"))
 
 
 @query("t7_best_candidate_per_text", sql("anchors", "SELECT page_id, line_id, arg_min(region_id, (-score, region_id)) AS region_id, max(score) AS score FROM anchors GROUP BY page_id, line_id"))
 def t7(spark, sf_dir):
-    return cx.best_per_text(cx.text_anchors(R(spark, sf_dir).where("kind_no = 2"), fx.text_lines(spark, sf_dir)))
+    return cx.best_per_text(cx.text_anchors(R(spark, sf_dir).where("kind_no = 2"), fx.text_lines(spark, sf_dir), R(spark, sf_dir).where("kind_no = 1")))
 
 
 @query("j38_clipped_boxes", sql("regions text_lines", f"""

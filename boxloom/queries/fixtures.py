@@ -1,7 +1,6 @@
 """Region-shaped inputs derived from the given tables by integer arithmetic.
 
-All of them are map-side projections (plus explode), so deriving them costs no shuffle beyond spreading a table that
-comes in too few splits.
+All of them are map-side projections (plus explode), so deriving them costs no shuffle.
 """
 
 from __future__ import annotations
@@ -12,10 +11,8 @@ PAGE_W, PAGE_H = 1080, 1920
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that comes in fewer splits than there are cores is spread over them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table; its splits follow ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 KIND = {

@@ -23,28 +23,33 @@ def kept_sql(name, source, fields, order, pred, where="true"):
                        "SELECT page_id, r.region_id AS region_id FROM k")
 
 
-@query("g1_detection_acceptance", sql("detections slices", f"""
-    , o AS (SELECT * FROM detections WHERE source_kind = 'overview' AND w * h / 2073600.0 BETWEEN 0.01 AND 0.82),
-    c AS (SELECT *, CASE source_kind WHEN 'overview' THEN 0 ELSE 1 END AS pass FROM detections d WHERE w >= 8 AND h >= 8 AND w * h / 2073600.0 <= 0.82
-      AND (source_kind = 'overview' OR NOT EXISTS (SELECT 1 FROM o WHERE o.page_id = d.page_id AND {ioa('d', 'o')} >= 0.72))
+fixture("clipped", """
+    SELECT * REPLACE (greatest(1, least(w, 1080 - x)) AS w, greatest(1, least(h, 1920 - y)) AS h) FROM (
+      SELECT * REPLACE (greatest(0, least(x, 1079)) AS x, greatest(0, least(y, 1919)) AS y) FROM detections WHERE w > 0 AND h > 0)""", "detections")
+
+
+@query("g1_detection_acceptance", sql("clipped slices", f"""
+    , o AS (SELECT * FROM clipped WHERE source_kind = 'overview' AND w * h / 2073600.0 BETWEEN 0.01 AND 0.82),
+    c AS (SELECT *, CASE source_kind WHEN 'overview' THEN 0 ELSE 1 END AS pass FROM clipped d WHERE w >= 8 AND h >= 8 AND w * h / 2073600.0 <= 0.82
+      AND (coalesce(source_kind = 'overview', false) OR NOT EXISTS (SELECT 1 FROM o WHERE o.page_id = d.page_id AND {ioa('d', 'o')} >= 0.72))
       AND NOT EXISTS (SELECT 1 FROM slices s WHERE s.page_id = d.page_id AND {iou('d', 's')} >= 0.6)),
     k AS ({greedy('c', BOX + ' pass', 'pass, region_id', iou('k', X) + ' >= 0.72')}),
-    n AS (SELECT page_id, r.region_id AS region_id, row_number() OVER (PARTITION BY page_id ORDER BY r.pass, r.region_id) AS position FROM k)
-    SELECT page_id, region_id, position FROM n WHERE position <= 12"""))
+    n AS (SELECT page_id, r.region_id AS region_id, r.x AS x, r.y AS y, r.w AS w, r.h AS h, row_number() OVER (PARTITION BY page_id ORDER BY r.pass, r.region_id) AS position FROM k)
+    SELECT page_id, region_id, x, y, w, h, position FROM n WHERE position <= 12"""))
 def g1(spark, sf_dir):
     return acceptance.accept(fx.detections(spark, sf_dir), fx.slices(spark, sf_dir), fx.PAGE_W, fx.PAGE_H, 12).select(
-        "page_id", "region_id", "position")
+        "page_id", "region_id", *"xywh", "position")
 
 
-@query("g1_page_counts", sql("detections slices", f"""
-    , o AS (SELECT * FROM detections WHERE source_kind = 'overview' AND w * h / 2073600.0 BETWEEN 0.01 AND 0.82),
-    c AS (SELECT *, CASE source_kind WHEN 'overview' THEN 0 ELSE 1 END AS pass FROM detections d WHERE w >= 8 AND h >= 8 AND w * h / 2073600.0 <= 0.82
-      AND (source_kind = 'overview' OR NOT EXISTS (SELECT 1 FROM o WHERE o.page_id = d.page_id AND {ioa('d', 'o')} >= 0.72))
+@query("g1_page_counts", sql("clipped slices", f"""
+    , o AS (SELECT * FROM clipped WHERE source_kind = 'overview' AND w * h / 2073600.0 BETWEEN 0.01 AND 0.82),
+    c AS (SELECT *, CASE source_kind WHEN 'overview' THEN 0 ELSE 1 END AS pass FROM clipped d WHERE w >= 8 AND h >= 8 AND w * h / 2073600.0 <= 0.82
+      AND (coalesce(source_kind = 'overview', false) OR NOT EXISTS (SELECT 1 FROM o WHERE o.page_id = d.page_id AND {ioa('d', 'o')} >= 0.72))
       AND NOT EXISTS (SELECT 1 FROM slices s WHERE s.page_id = d.page_id AND {iou('d', 's')} >= 0.6)),
     k AS ({greedy('c', BOX + ' pass', 'pass, region_id', iou('k', X) + ' >= 0.72')}),
     a AS (SELECT page_id, least(12, count(*)) AS accepted FROM k GROUP BY page_id)
     SELECT d.page_id, coalesce(any_value(a.accepted), 0) AS accepted, count(*) - coalesce(any_value(a.accepted), 0) AS rejected
-    FROM detections d LEFT JOIN a USING (page_id) GROUP BY d.page_id"""))
+    FROM clipped d LEFT JOIN a USING (page_id) GROUP BY d.page_id"""))
 def g1_counts(spark, sf_dir):
     dets = fx.detections(spark, sf_dir)
     return acceptance.page_counts(dets, acceptance.accept(dets, fx.slices(spark, sf_dir), fx.PAGE_W, fx.PAGE_H, 12))

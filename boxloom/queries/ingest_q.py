@@ -118,6 +118,16 @@ def snk4(spark, sf_dir):
     return snapshot(fx.catalog_slices(spark, sf_dir), fx.catalog_pages(spark, sf_dir))
 
 
+@query("snk3_case_summary", sql("cases", "SELECT case_id, lang, source, status, visible, conflicts, nodes, elapsed_ms, true AS csv_agrees FROM cases"))
+def snk3(spark, sf_dir):
+    """Case summary written as JSON and CSV and read back."""
+    from boxloom.session import shared_folder
+    from boxloom.sources.sinks import summary_round_trip
+
+    rows = fx.cases(spark, sf_dir).select("case_id", "lang", "source", "status", "visible", "conflicts", "nodes", "elapsed_ms")
+    return summary_round_trip(rows, shared_folder(spark, "summary"))
+
+
 # 16 x 16 pixels per document, coloured from the document's own numbers
 _PIX = ("(x * 7 + y * 13 + page_id * 29 + n_chars) % 256 AS r, (x * x + y * 5 + page_id) % 256 AS g, (x * y + n_chars * 3) % 256 AS b")
 fixture("pixels", f"SELECT page_id, x, y, {_PIX} FROM (SELECT doc_id AS page_id, n_chars, x, unnest(range(16)) AS y FROM (SELECT *, unnest(range(16)) AS x FROM documents))")

@@ -10,6 +10,7 @@ from boxloom.queries import fixtures as fx
 from boxloom.queries.fixture_sql import even, fixture
 from boxloom.queries.ladders_q import acted
 from boxloom.queries.registry import query, sql
+from boxloom.session import cut_lineage
 
 C = F.col
 VIS = "('text_replay', 'image_replay', 'icon_replay', 'shape_replay')"
@@ -137,20 +138,20 @@ fixture("j28", f"""
 
 @query("j26_overlap_conflicts", sql("j26", "SELECT * FROM j26"))
 def j26(spark, sf_dir):
-    edges = edges_of(spark, sf_dir)
+    edges = cut_lineage(edges_of(spark, sf_dir))
     return own.overlap_conflicts(edges, rp.cleanup_targets(edges).where("target_id % 3 <> 0")).drop("type")
 
 
 @query("j27_missing_cleanup", sql("j27", "SELECT * FROM j27"))
 def j27(spark, sf_dir):
-    edges = edges_of(spark, sf_dir)
+    edges = cut_lineage(edges_of(spark, sf_dir))
     return own.missing_cleanup(edges, rp.cleanup_targets(edges).where("target_id % 3 <> 0"))
 
 
 @query("j28_invalid_cleanup", sql("j28", "SELECT * FROM j28"))
 def j28(spark, sf_dir):
     plan = acted(spark, sf_dir)
-    edges = rp.object_edges(plan)
+    edges = cut_lineage(rp.object_edges(plan))
     return own.invalid_cleanup(wild_claims(spark, sf_dir, plan, edges), plan, plan, edges)
 
 
@@ -174,7 +175,7 @@ def q5(spark, sf_dir):
 def q4(spark, sf_dir):
     # some hidden rows wrongly name a role
     plan = acted(spark, sf_dir).withColumn("role", F.expr("CASE WHEN region_id % 17 = 0 THEN 'm29_text' ELSE role END"))
-    edges = rp.object_edges(plan)
+    edges = cut_lineage(rp.object_edges(plan))
     targets = rp.cleanup_targets(edges).where("target_id % 3 <> 0")
     return own.conflict_report(plan, edges, targets, wild_claims(spark, sf_dir, plan, edges))
 

@@ -76,10 +76,12 @@ def j4_page_relation_counts(spark, sf_dir):
 
 
 @query("a3_relation_label_counts", sql("edges", """
-    SELECT 'primary' AS family, primary_rel AS label, count(*) AS n FROM edges GROUP BY 2
-    UNION ALL SELECT 'secondary', label, count(*) FROM (SELECT unnest(secondary_rels) AS label FROM edges) GROUP BY 2"""))
+    SELECT 'primary' AS family, primary_rel AS label, count(*) AS n FROM edges WHERE primary_rel <> 'disjoint' GROUP BY 2
+    UNION ALL SELECT 'primary', 'disjoint', (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM regions GROUP BY page_id)) - (SELECT count(*) FROM edges WHERE primary_rel <> 'disjoint')
+    UNION ALL SELECT 'near_edge', label, count(*) FROM (SELECT unnest(secondary_rels) AS label FROM edges) GROUP BY 2"""))
 def a3_relation_label_counts(spark, sf_dir):
-    return rel.label_counts(rel.region_relations(regions(spark, sf_dir)))
+    table = regions(spark, sf_dir)
+    return rel.label_counts(table, rel.region_relations(table))
 
 
 _SHARE = "(area / 2073600.0)"

@@ -79,9 +79,11 @@ def x1(spark, sf_dir):
 @query("x2_page_hook", sql("regions", "SELECT page_id, count(*) AS regions, sum(w * h) AS area FROM regions GROUP BY page_id"))
 def x2(spark, sf_dir):
     def page_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "regions": [len(pdf)], "area": [int((pdf["w"] * pdf["h"]).sum())]})
+        own = pdf[pdf["owned"]]
+        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "regions": [len(own)], "area": [int((own["w"] * own["h"]).sum())]})
 
-    return hooks.per_page(fx.regions(spark, sf_dir).select("page_id", "x", "y", "w", "h"), page_sums, "page_id bigint, regions bigint, area bigint")
+    cells = hooks.per_cell(fx.regions(spark, sf_dir).select("page_id", "x", "y", "w", "h"), page_sums, "page_id bigint, regions bigint, area bigint")
+    return cells.groupBy("page_id").agg(F.sum("regions").alias("regions"), F.sum("area").alias("area"))
 
 
 @query("x3_table_hook", sql("", """

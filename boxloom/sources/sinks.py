@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from boxloom.functions.geometry import box, normalize
 from boxloom.functions.ladders import normalize_cut_mode
 from boxloom.plans.catalog import slice_violations
+from boxloom.session import cut_lineage
 
 from pyspark.sql import functions as F
 
@@ -17,9 +19,29 @@ def write_summary(rows: DataFrame, out: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(out + "/csv")
 
 
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Rows dealt by a hash of their project, so a folder holds many projects and one file per writing task."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int")).repartition("bucket")
+
+
 def write_manifest(rows: DataFrame, out: str) -> None:
-    """Manifest lines as JSON, one folder per project."""
-    rows.write.mode("overwrite").partitionBy("project_id").json(out)
+    """Manifest lines as JSON, one folder per bucket of projects."""
+    _bucketed(rows).write.mode("overwrite").partitionBy("bucket").json(out)
+
+
+def summary_round_trip(rows: DataFrame, out: str) -> DataFrame:
+    """Write the summary and read both files back: the JSON columns, and whether the CSV line of the key says the same."""
+    write_summary(rows, out)
+    spark, key, *rest = rows.sparkSession, *rows.columns
+    text = spark.read.option("header", True).csv(out + "/csv").select(*[F.col(c).alias("_" + c) for c in rows.columns])
+    lines = spark.read.schema(rows.schema).json(out + "/json")
+    same = F.lit(True)
+    for c in rest:
+        same = same & F.col(c).cast("string").eqNullSafe(F.col("_" + c))
+    return lines.join(text, F.col(key).cast("string") == F.col("_" + key), "left").select(*rows.columns, F.coalesce(same, F.lit(False)).alias("csv_agrees"))
 
 
 def snapshot(slices: DataFrame, pages: DataFrame, min_size: int = 8) -> DataFrame:
@@ -31,7 +53,7 @@ def snapshot(slices: DataFrame, pages: DataFrame, min_size: int = 8) -> DataFram
 
 
 def save_slices(slices: DataFrame, pages: DataFrame, out: str) -> None:
-    """Replace the slices of the given projects only; nothing is written while a violation remains.
+    """Replace the slices of the given projects only, within their buckets; nothing is written while a violation remains.
 
     An unknown cut mode is no violation here, it is normalised.
     """
@@ -39,5 +61,16 @@ def save_slices(slices: DataFrame, pages: DataFrame, out: str) -> None:
     if broken:
         raise ValueError(f"slices not saved: {broken[0]['rule']} {broken[0]['slice_id']}")
     spark: SparkSession = slices.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    snapshot(slices, pages).write.mode("overwrite").partitionBy("project_id").parquet(out)
+    fresh = _bucketed(snapshot(slices, pages))
+    given = slices.select("project_id").distinct()
+    try:
+        kept = spark.read.schema(fresh.schema).parquet(out).join(given, "project_id", "left_anti")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        kept = None
+    if kept is not None:
+        # other projects of the touched buckets; written aside first, as their files are replaced
+        touched = fresh.select("bucket").unionByName(spark.read.schema(fresh.schema).parquet(out).join(given, "project_id", "left_semi").select("bucket")).distinct()
+        fresh = cut_lineage(fresh.unionByName(kept.join(touched, "bucket", "left_semi").select(*fresh.columns)).repartition("bucket"))
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)

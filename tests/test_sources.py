@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from boxloom.functions.hooks import per_page
+from boxloom.functions.hooks import per_cell
 from boxloom.functions.text import slug_any
 from boxloom.sources import ingest, sinks
 
@@ -59,7 +59,14 @@ def test_slug_decomposes_only_what_needs_it(spark):
     assert [r[0] for r in df.select(slug_any(F.col("t"))).collect()] == ["Mein-Cafe-1", "plain-name"]
 
 
-def test_page_hook_sees_whole_pages(spark):
-    df = spark.createDataFrame([(1, 10, 10), (1, 900, 900), (2, 5, 5)], "page_id bigint, x bigint, y bigint")
-    out = per_page(df, lambda p: p.groupby("page_id", as_index=False).size().rename(columns={"size": "n"}), "page_id bigint, n bigint")
-    assert {(r.page_id, r.n) for r in out.collect()} == {(1, 2), (2, 1)}
+def test_cell_hook_has_one_contract_at_every_size(spark):
+    rows = [(1, 10, 10), (1, 4200, 10), (1, 4090, 10), (2, 5, 5)] + [(3, x % 9000, x % 50) for x in range(120_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, x bigint, y bigint")
+
+    def sizes(p):
+        return p.groupby("page_id", as_index=False).agg(own=("owned", "sum"), seen=("owned", "size"))
+
+    parts = per_cell(df, sizes, "page_id bigint, own bigint, seen bigint", halo=20).groupBy("page_id").sum("own", "seen").collect()
+    assert {r["page_id"]: r["sum(own)"] for r in parts} == {1: 3, 2: 1, 3: 120_000}
+    assert all(r["sum(seen)"] > r["sum(own)"] for r in parts)
+
