@@ -21,7 +21,7 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     below = links.select(F.col("hi").alias("node"), F.col("lo").alias("other")).groupBy("node").agg(F.min("other").alias("m"))
     moved = links.join(below, F.col("lo") == F.col("node"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
     own = below.select(F.col("node").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(own).distinct()
+    return moved.unionByName(own)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Near duplicates by bottom-k sketches of one hash function, inverted lists and exact verification.
 
 1. Each document becomes the set of its word shingles; equal sets form a class, represented by the smallest id.
-2. A class keeps the ``SKETCH`` smallest hashes of its set.  The smallest ``LISTED`` of them are its retained values, and
-   inverted lists by value generate candidates.  Sets with a Jaccard similarity of 0.8 share 0.8 of the values that are
-   smallest in their union; a pair that shares less than ``SHARED`` of the retained values is out (probability below 1e-7
-   at the threshold).  So a class needs listing only under its rarest values, up to one more than it may fail to share.
-3. Lists of up to ``SHORT`` classes give all their pairs.  Longer lists are split by set size, and then resolved in rounds: in
-   each round a leader is paired with the classes of its list that are not yet connected to it.  Lists whose classes
-   lie in few components then give all pairs that cross components, whatever their number, so no link is lost.
+2. A class keeps the ``SKETCH`` smallest hashes of its set.  The smallest ``LISTED`` of them (all, of a small set) are its
+   retained values, and inverted lists by value generate candidates.  Sets with a Jaccard similarity of 0.8 share 0.8 of
+   the values that are smallest in their union; that a similar pair shares less than ``SHARED`` of the retained values has a
+   probability of 1e-5 at the very threshold and far less above it, and for small sets the bound is exact.  So a class needs
+   listing only under its rarest values, up to one more than it may fail to share.
+3. Lists of up to ``SHORT`` classes give all their pairs.  The classes of longer lists are listed anew, by the rarest shingles of
+   their full sets (an exact bound), which parts those that have only a popular passage in common.  What is long even then,
+   split by set size, holds large groups of near copies: each list gives the pairs with its leader.  Afterwards the
+   classes that such lists connect are compared by blocks of full sets, pairs of blocks being dealt out; out come not the
+   pairs of a group but the links that join components, so no link between components is lost.
 4. The union sketch of a pair (the smallest hashes of both) estimates its similarity; pairs well below the threshold go.
 5. The rest is verified on full shingle sets: first the best partner of each class, then only those pairs that still
    lie in different components.  Components are those of the verified links.
@@ -33,9 +36,9 @@ from boxloom.llm.common import WordHashes, mix, shingle_hashes, stored
 from boxloom.llm.components import components
 
 SKETCH, LISTED = 64, 32
-SHARED = 0.4
+SHARED = 0.5
 SHORT = 32
-STAR_ROUNDS = 3
+BLOCK = 512
 # estimates have a standard deviation of 0.05 at the threshold
 MARGIN = 0.2
 NO_ID = 2**63 - 1
@@ -70,17 +73,130 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "rank bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """Inverted lists (``v``, ``rep``, ``n``) of the rarest retained values of each class."""
-    listed = F.slice("sketch", 1, LISTED)
-    every = classes.select("rep", "n", F.size(listed).alias("m"), F.explode(listed).alias("v"))
-    often = every.groupBy(F.col("v").alias("w")).agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    shared = every.join(often, F.col("v") == F.col("w"))
-    by_rarity = W.partitionBy("rep").orderBy("df", "v")
+def _rare_prefix(every: DataFrame) -> DataFrame:
+    """Inverted lists of the rarest values of each class, in rows (``family``, ``v``, ``rep``, ``n``).
+
+    ``every`` has a row for each of the ``m`` values that a class lists in a family, and ``share``, the part of them that it
+    has in common with any similar class.  Whoever has that much in common shares one of the ``m - share * m + 1`` rarest.
+    """
+    often = every.groupBy(F.col("family").alias("wf"), F.col("v").alias("w")).agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    shared = every.join(often, (F.col("v") == F.col("w")) & (F.col("family") == F.col("wf")))
+    own = W.partitionBy("family", "rep")
     # values of one class alone are the rarest and need no list, but take their places
-    alone = F.col("m") - F.count("*").over(W.partitionBy("rep"))
-    place = alone + F.row_number().over(by_rarity)
-    return shared.withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * SHARED) + 1).select("v", "rep", "n")
+    place = F.col("m") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "v"))
+    # the share is rounded down a little first, so that no rounding error adds a value to it
+    return shared.withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * F.col("share") - 1e-6) + 1).select("family", "v", "rep", "n")
+
+
+def _sketch_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Lists of retained values.
+
+    Family 0 holds the sets that their sketch holds whole: similar ones have ``percent`` of the larger set in common, exactly.
+    Family 1 holds the sets that have a similar one beyond the sketch, with ``LISTED`` retained values each.
+    """
+    whole = classes.where(F.col("n") <= SKETCH).select(F.lit(0).alias("family"), "rep", "n", "sketch", F.lit(percent / 100).alias("share"))
+    part = classes.where(100 * F.col("n") > percent * SKETCH).select(F.lit(1).alias("family"), "rep", "n", F.slice("sketch", 1, LISTED).alias("sketch"), F.lit(SHARED).alias("share"))
+    return _rare_prefix(whole.unionByName(part).select("family", "rep", "n", F.size("sketch").alias("m"), "share", F.explode("sketch").alias("v")))
+
+
+def _full_sets(documents: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """Whole shingle sets of some classes: ``rep``, ``shingles``."""
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, size, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    return stored(_texts(documents, reps).mapInArrow(to_sets, "rep bigint, shingles array<bigint>"), "full-sets")
+
+
+def _full_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists of the rarest shingles of full sets: exact, and apart from what most of them share."""
+    m = F.size("shingles")
+    return _rare_prefix(sets.select(F.lit(2).alias("family"), "rep", m.cast("long").alias("n"), m.alias("m"), F.lit(percent / 100).alias("share"), F.explode("shingles").alias("v")))
+
+
+def _spanning_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of sets that join components which nothing has joined before, at most one per join.
+
+    A block is (ids, components, set sizes, shingles in one array).
+    """
+    values = np.unique(one[3])
+
+    def incidence(block: tuple) -> np.ndarray:
+        at = np.minimum(np.searchsorted(values, block[3]), len(values) - 1)
+        known = values[at] == block[3]
+        matrix = np.zeros((len(block[0]), len(values)), dtype=np.float32)
+        matrix[np.repeat(np.arange(len(block[0])), block[2])[known], at[known]] = 1
+        return matrix
+
+    shared = (incidence(one) @ incidence(two).T).astype(np.int64)
+    similar = 100 * shared >= percent * (one[2][:, None] + two[2][None, :] - shared)
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(similar & (one[1][:, None] != two[1][None, :]))):
+        x, y = top(int(one[1][i])), top(int(two[1][j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            links.append((int(one[0][i]), int(two[0][j])))
+    return links
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links that join components inside large lists, by exact comparison of blocks of full sets.
+
+    ``members`` has ``cluster`` (classes that large lists connect), ``rep``, ``component`` and ``shingles``.  Pairs of blocks are dealt
+    out; of the pairs of classes only those come out that join two components.
+    """
+    counts = members.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(counts, F.col("cluster") == F.col("c")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        shingles = table["shingles"].combine_chunks()
+        sizes = np.diff(shingles.offsets.to_numpy()).astype(np.int64)
+        return pa.table({
+            "cluster": table["cluster"][:1], "block": table["block"][:1], "blocks": table["blocks"][:1].cast(pa.int32()), "ids": [table["rep"].to_numpy().tobytes()], "components": [table["component"].to_numpy().tobytes()],
+            "sizes": [sizes.tobytes()], "shingles": [shingles.flatten().to_numpy().tobytes()]})
+
+    packed = stored(dealt.groupBy("cluster", "block").applyInArrow(pack, "cluster bigint, block int, blocks int, ids binary, components binary, sizes binary, shingles binary"), "blocks")
+    parts = ("ids", "components", "sizes", "shingles")
+    left = packed.select("cluster", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *parts)
+    right = packed.select(F.col("cluster").alias("c"), F.explode(F.sequence(F.lit(0), "block")).alias("k"), F.col("block").alias("l"), *[F.col(p).alias(f"{p}_b") for p in parts])
+    work = left.join(right, (F.col("cluster") == F.col("c")) & (F.col("i") == F.col("k")) & (F.col("j") == F.col("l"))).select(*parts, *[f"{p}_b" for p in parts])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for r in range(batch.num_rows):
+                one, two = [tuple(np.frombuffer(batch[p + end][r].as_buffer(), dtype=np.int64) for p in parts) for end in ("", "_b")]
+                links += _spanning_links(one, two, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    return work.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text of each wanted id (column ``need``)."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    return rows.join(wanted, F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"])
+
+
+def _by_length(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of lists of up to SHORT classes, and of longer ones."""
+    keys = [c for c in lists.columns if c not in ("rep", "n")]
+    lengths = lists.groupBy(*[F.col(k).alias(f"l_{k}") for k in keys]).agg(F.count("*").alias("length")).where(F.col("length") > 1)
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"l_{k}"))
+    counted = stored(lists.join(lengths, same).drop(*[f"l_{k}" for k in keys]), "lists")
+    return counted.where(F.col("length") <= SHORT).drop("length"), counted.where(F.col("length") > SHORT).drop("length")
 
 
 def _close(percent: int):
@@ -88,14 +204,12 @@ def _close(percent: int):
     return 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
 
 
-def _pairs_within(lists: DataFrame, keys: list[str], percent: int, crossing: bool = False) -> DataFrame:
-    """All pairs of each list; with ``crossing`` those of different components."""
-    other = lists.select(*[F.col(k).alias(f"{k}_b") for k in keys], F.col("rep").alias("b"), F.col("n").alias("n_b"), *([F.col("component").alias("component_b")] if crossing else []))
+def _pairs_within(lists: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """All pairs of each list."""
+    other = lists.select(*[F.col(k).alias(f"{k}_b") for k in keys], F.col("rep").alias("b"), F.col("n").alias("n_b"))
     same = F.col("rep") < F.col("b")
     for k in keys:
         same = same & (F.col(k) == F.col(f"{k}_b"))
-    if crossing:
-        same = same & (F.col("component") != F.col("component_b"))
     return lists.join(other, same & _close(percent)).select(F.col("rep").alias("a"), "b")
 
 
@@ -132,8 +246,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").where(F.col("text").isNotNull())
-    sets = rows.join(needed, F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id"]).mapInArrow(to_sets, "id bigint, shingles binary")
+    sets = _texts(documents, needed).mapInArrow(to_sets, "id bigint, shingles binary")
     left, right = sets.select(F.col("id").alias("ia"), F.col("shingles").alias("xa")), sets.select(F.col("id").alias("ib"), F.col("shingles").alias("xb"))
     joined = pairs.select("a", "b").join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib"))
     return joined.select("a", "b", "xa", "xb").mapInArrow(compare, "a bigint, b bigint")
@@ -153,9 +266,9 @@ class _Graph:
         labels = self.labels.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_c"))
         return rows.join(labels, F.col(column) == F.col(f"{name}_node"), "left").withColumn(name, F.coalesce(f"{name}_c", column)).drop(f"{name}_node", f"{name}_c")
 
-    def add(self, pairs: DataFrame) -> None:
-        """Verify ``pairs`` and merge what they link."""
-        found = stored(_verified(pairs, self.documents, self.size, self.percent), "verified")
+    def add(self, links: DataFrame) -> None:
+        """Merge what verified links join."""
+        found = stored(links, "verified")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = components(self.links)
 
@@ -164,15 +277,13 @@ class _Graph:
         return rows.where(F.col("ca") != F.col("cb")).drop("ca", "cb")
 
     def resolve(self, candidates: DataFrame) -> None:
-        """Verify the best partner of each class, then every pair that still crosses components."""
+        """Verify the best partner of each class, then the pairs that still cross components."""
         candidates = stored(candidates, "candidates")
-        if self.labels is not None and candidates.isEmpty():
-            return
         best = candidates.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
-        self.add(best)
+        self.add(_verified(best, self.documents, self.size, self.percent))
         rest = stored(self.crossing(candidates.select("a", "b")), "crossing")
         if not rest.isEmpty():
-            self.add(rest)
+            self.add(_verified(rest, self.documents, self.size, self.percent))
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -185,37 +296,24 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     classes = stored(members.where((F.col("rank") == F.col("rep")) & (F.col("n") > 0) & (F.col("rank") != NO_ID)).select("rep", "n", "sketch").dropDuplicates(["rep"]), "classes")
     graph = _Graph(documents, classes, size, percent)
 
-    lists = stored(_postings(classes), "postings")
-    lengths = lists.groupBy(F.col("v").alias("lv")).agg(F.count("*").alias("length")).where(F.col("length") > 1)
-    lists = lists.join(lengths, F.col("v") == F.col("lv")).drop("lv")
-    short = lists.where(F.col("length") <= SHORT).drop("length")
-    # long lists: sets of similar size meet in the list of their common or neighbouring size bucket
+    short, long = _by_length(_sketch_lists(classes, percent))
+    # long lists: their classes are listed anew by full sets, where what many have in common comes last; sets of similar
+    # size meet in the list of their common or neighbouring size bucket
+    sets = _full_sets(documents, long.select(F.col("rep").alias("need")).distinct(), size)
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
-    long = lists.where(F.col("length") > SHORT).select("v", "rep", "n", F.explode(F.array(bucket, bucket - 1)).alias("s"))
-    sizes = long.groupBy(F.col("v").alias("lv"), F.col("s").alias("ls")).agg(F.count("*").alias("length")).where(F.col("length") > 1)
-    long = stored(long.join(sizes, (F.col("v") == F.col("lv")) & (F.col("s") == F.col("ls"))).drop("lv", "ls"), "long-lists")
-    fair = long.where(F.col("length") <= SHORT).drop("length")
-    hot = long.where(F.col("length") > SHORT).drop("length")
-
-    within = _pairs_within(short, ["v"], percent).unionByName(_pairs_within(fair, ["v", "s"], percent))
-    for round_no in range(STAR_ROUNDS + 1):
-        open_lists = graph.labelled(hot, "rep", "component")
-        if graph.labels is not None:
-            spread = open_lists.groupBy(F.col("v").alias("lv"), F.col("s").alias("ls")).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1"))
-            open_lists = stored(open_lists.join(spread.select("lv", "ls"), (F.col("v") == F.col("lv")) & (F.col("s") == F.col("ls"))).drop("lv", "ls"), "open-lists")
-            if open_lists.isEmpty():
-                break
-        if round_no == STAR_ROUNDS:
-            pairs = _pairs_within(open_lists, ["v", "s"], percent, crossing=True)
-        else:
-            order = F.struct((F.xxhash64("rep", F.lit(round_no)) if round_no else F.col("rep")).alias("place"), F.col("rep"), F.col("n"), F.col("component"))
-            leaders = open_lists.groupBy(F.col("v").alias("lv"), F.col("s").alias("ls")).agg(F.min(order).alias("lead"))
-            leaders = leaders.select("lv", "ls", F.col("lead.rep").alias("b"), F.col("lead.n").alias("n_b"), F.col("lead.component").alias("cb"))
-            pairs = open_lists.join(leaders, (F.col("v") == F.col("lv")) & (F.col("s") == F.col("ls")) & (F.col("component") != F.col("cb")) & _close(percent))
-            pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-        if round_no == 0:
-            pairs = pairs.unionByName(within)
-        graph.resolve(_estimated(pairs, classes, percent))
+    fair, hot = _by_length(_full_lists(sets, percent).select("family", "v", F.explode(F.array(bucket, bucket - 1)).alias("s"), "rep", "n"))
+    leaders = hot.groupBy(F.col("v").alias("lv"), F.col("s").alias("ls")).agg(F.min(F.struct("rep", "n")).alias("lead"))
+    led = hot.join(leaders, (F.col("v") == F.col("lv")) & (F.col("s") == F.col("ls"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("n_b")).distinct()
+    led = stored(led, "led")
+    within = _pairs_within(short, ["family", "v"], percent).unionByName(_pairs_within(fair, ["v", "s"], percent))
+    within = within.unionByName(led.where((F.col("a") < F.col("b")) & _close(percent)).select("a", "b"))
+    graph.resolve(_estimated(within, classes, percent))
+    if not led.isEmpty():
+        # classes that large lists connect, with the components found so far
+        clusters = components(led)
+        grouped = sets.join(led.select(F.col("b").alias("in_hot")).distinct(), F.col("rep") == F.col("in_hot"), "left_semi").join(clusters, F.col("rep") == F.col("node"), "left")
+        grouped = graph.labelled(grouped.select("rep", "shingles", F.coalesce("component", "rep").alias("cluster")), "rep", "component")
+        graph.add(_block_links(grouped, percent))
 
     labels = graph.labels.select(F.col("node"), F.col("component"))
     result = members.select("rank", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
