@@ -55,13 +55,17 @@ def cut(texts: list[str | None], hashes: LowerHashes) -> dict[str, np.ndarray]:
         tokens += found
     values = hashes.of(tokens)
     is_word = values != np.uint64(hashes["\n"])
-    line = np.cumsum(~is_word)[is_word]
+    newlines = np.cumsum(~is_word)
+    # lines of the texts before, and words before, of each text
+    first_token = np.cumsum([0, *counts[:-1]])
+    bases = {"line_base": newlines[first_token - 1] * (first_token > 0), "word_base": (first_token - newlines[first_token - 1]) * (first_token > 0)}
+    line = newlines[is_word]
     document = np.repeat(np.arange(len(texts)), counts)[is_word]
     h = values[is_word]
     n = len(h)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return {"document": none, "line": none, "begin": none, "end": none, "h1": none, "h2": none}
+        return {"document": none, "line": none, "begin": none, "end": none, "h1": none, "h2": none, **bases}
     new_line = np.concatenate([[True], line[1:] != line[:-1]])
     left = np.where(new_line, np.uint64(0), np.concatenate([[np.uint64(0)], h[:-1]]))
     right = np.where(np.concatenate([new_line[1:], [True]]), np.uint64(0), np.concatenate([h[1:], [np.uint64(0)]]))
@@ -78,7 +82,7 @@ def cut(texts: list[str | None], hashes: LowerHashes) -> dict[str, np.ndarray]:
     at = (np.arange(n) - np.repeat(begin, end - begin) + 1).astype(np.uint64)
     h1 = np.add.reduceat(mix(h + at * _STEP), begin) ^ (end - begin).astype(np.uint64)
     h2 = np.bitwise_xor.reduceat(mix(mix(h) ^ mix(at + np.uint64(7))), begin)
-    return {"document": document[begin], "line": line[begin], "begin": begin, "end": end, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
+    return {"document": document[begin], "line": line[begin], "begin": begin, "end": end, "h1": h1.view(np.int64), "h2": h2.view(np.int64), **bases}
 
 
 def unit_rows(documents: DataFrame) -> DataFrame:
@@ -105,11 +109,37 @@ def flagged_units(documents: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("rank").alias("flag_rank")).agg(F.collect_list("h1").alias("flag_units"))
 
 
-def removals(text: str, elsewhere: set[int], hashes: LowerHashes, run_words: int, line_words: int) -> list[tuple[int, int]]:
-    """Ranges of code points to remove from a text."""
-    u = cut([text], hashes)
-    if not len(u["begin"]):
-        return []
+def flags(u: dict[str, np.ndarray], elsewhere: list[list[int] | None]) -> np.ndarray:
+    """Units that an earlier document holds (``elsewhere``, by text) or that stand earlier in their own text."""
+    order = np.lexsort((u["h2"], u["h1"], u["document"]))
+    d, a, b = u["document"][order], u["h1"][order], u["h2"][order]
+    flagged = np.zeros(len(order), dtype=bool)
+    flagged[order[1:]] = (d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    edges = np.searchsorted(u["document"], np.arange(len(elsewhere) + 1))
+    for number, held in enumerate(elsewhere):
+        if held:
+            part = slice(edges[number], edges[number + 1])
+            flagged[part] |= np.isin(u["h1"][part], np.array(held, dtype=np.int64))
+    return flagged
+
+
+def with_removals(u: dict[str, np.ndarray], flagged: np.ndarray, run_words: int, line_words: int) -> np.ndarray:
+    """Numbers of the texts that have a run or a whole line to remove."""
+    if not flagged.any():
+        return np.zeros(0, dtype=np.int64)
+    words = (u["end"] - u["begin"]) * flagged
+    new_run = np.ones(len(flagged), dtype=bool)
+    new_run[1:] = (flagged[1:] != flagged[:-1]) | (u["document"][1:] != u["document"][:-1])
+    new_line = np.ones(len(flagged), dtype=bool)
+    new_line[1:] = u["line"][1:] != u["line"][:-1]
+    runs, lines = np.flatnonzero(new_run), np.flatnonzero(new_line)
+    long_runs = runs[np.add.reduceat(words, runs) >= run_words]
+    whole_lines = lines[np.logical_and.reduceat(flagged, lines) & (np.add.reduceat(words, lines) >= line_words)]
+    return np.unique(u["document"][np.concatenate([long_runs, whole_lines])])
+
+
+def removals(text: str, begin: list[int], end: list[int], line: list[int], flagged: list[bool], run_words: int, line_words: int) -> list[tuple[int, int]]:
+    """Ranges of code points to remove from a text, by its units (word numbers, line numbers, flags)."""
     spans, bounds, line_start = [], {}, 0
     number = 0
     for m in TOKEN.finditer(text):
@@ -119,12 +149,6 @@ def removals(text: str, elsewhere: set[int], hashes: LowerHashes, run_words: int
         else:
             spans.append(m.span())
     bounds[number] = (line_start, len(text))
-    seen: set[tuple[int, int]] = set()
-    flagged = []
-    for a, b in zip(u["h1"].tolist(), u["h2"].tolist()):
-        flagged.append(a in elsewhere or (a, b) in seen)
-        seen.add((a, b))
-    begin, end, line = u["begin"].tolist(), u["end"].tolist(), u["line"].tolist()
     units_of_line: dict[int, int] = {}
     for x in line:
         units_of_line[x] = units_of_line.get(x, 0) + 1
@@ -172,25 +196,29 @@ def remove_repeats(documents: DataFrame, run_words: int = 15, line_words: int =
     original text and ``n_removed`` counts their code points.
     """
     kept = [c for c in documents.columns if c not in ("removed", "n_removed")]
-    flags = flagged_units(documents)
+    held = flagged_units(documents)
     left = documents.select(*kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__rank"))
-    joined = left.join(flags, F.col("__rank") == F.col("flag_rank"), "left").drop("__rank", "flag_rank")
+    joined = left.join(held, F.col("__rank") == F.col("flag_rank"), "left").drop("__rank", "flag_rank")
     at = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = LowerHashes()
         for batch in batches:
             texts, spans, sizes = [], [], []
-            whole = batch.column(at).to_pylist()
+            whole, elsewhere = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             u = cut(whole, hashes)
-            again = np.lexsort((u["h2"], u["h1"], u["document"]))
-            d, a, b = u["document"][again], u["h1"][again], u["h2"][again]
-            inside = set(d[1:][(d[1:] == d[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])].tolist())
-            for number, (text, flagged) in enumerate(zip(whole, batch.column(batch.num_columns - 1).to_pylist())):
-                found = removals(text, set(flagged or ()), hashes, run_words, line_words) if flagged or number in inside else []
+            flagged = flags(u, elsewhere)
+            touched = set(with_removals(u, flagged, run_words, line_words).tolist())
+            edges = np.searchsorted(u["document"], np.arange(len(whole) + 1))
+            for number, text in enumerate(whole):
+                found = []
+                if number in touched:
+                    part = slice(edges[number], edges[number + 1])
+                    begin, end = (u[k][part] - u["word_base"][number] for k in ("begin", "end"))
+                    found = removals(text, begin.tolist(), end.tolist(), (u["line"][part] - u["line_base"][number]).tolist(), flagged[part].tolist(), run_words, line_words)
                 if found:
-                    edges = [0, *(x for r in found for x in r), len(text)]
-                    text = "".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+                    ends = [0, *(x for r in found for x in r), len(text)]
+                    text = "".join(text[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2))
                 texts.append(text)
                 spans.append([{"start": a, "end": b} for a, b in found])
                 sizes.append(sum(b - a for a, b in found))
