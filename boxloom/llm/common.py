@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ CACHE_ENTRIES = 400_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+# folder of the operator that is being built, if it deletes what it stores on the way
+_OPEN_LABELS: list[str] = []
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -51,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new name inside the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join([shared_folder(spark), *_OPEN_LABELS[-1:], f"{label}-{uuid.uuid4().hex}"])
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -61,6 +64,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only(build):
+    """Run ``build`` (a DataFrame maker), store its result and delete what it stored on the way."""
+
+    @functools.wraps(build)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        outer = _OPEN_LABELS[:]
+        folder = f"work-{uuid.uuid4().hex}"
+        _OPEN_LABELS.append(folder)
+        try:
+            result = build(df, *args, **kwargs)
+        finally:
+            _OPEN_LABELS[:] = outer
+        result = stored(result, build.__name__)
+        system, path = file_system(f"{shared_folder(df.sparkSession)}/{folder}")
+        system.delete_dir_contents(path, missing_dir_ok=True)
+        return result
+
+    return run
+
+
 def file_system(uri: str):
     """The file system and path of a folder named by a URI or a plain path."""
     from pyarrow import fs

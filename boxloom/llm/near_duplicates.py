@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import WordHashes, mix, shingle_hashes, stored
+from boxloom.llm.common import WordHashes, mix, only, shingle_hashes, stored
 from boxloom.llm.components import components
 
 SKETCH, LISTED = 64, 32
@@ -286,6 +286,7 @@ class _Graph:
             self.add(_verified(rest, self.documents, self.size, self.percent))
 
 
+@only
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (it is that id)."""
     everything = stored(sketches(documents, size), "sketches")
