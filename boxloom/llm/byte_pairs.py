@@ -4,7 +4,7 @@ A text is split by the pattern of the vocabulary; every piece is encoded by itse
 position, token); a recursive query joins neighbouring tokens with the merge table and contracts each piece's leftmost pair of
 the least rank until nothing merges.  Decoding joins token ids with the vocabulary and concatenates by an ordered aggregate.
 
-Only different pieces are encoded; the pieces a worker met first are remembered up to ``CACHE_ENTRIES``.  Long pieces use a
+Only different pieces are encoded; the pieces a worker met first are remembered up to ``KNOWN_PIECES``.  Long pieces use a
 second form of the recursion that contracts all occurrences of the least pair at once where no later merge can come
 in between, and that is restarted after a bounded number of levels, so its memory stays in proportion to the piece.
 
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import CACHE_ENTRIES
-
+# pieces that a worker remembers
+KNOWN_PIECES = 600_000
 CHUNK_BYTES = 300_000
 LONG_PIECE = 64
 LEVEL_ROWS = 2_000_000
@@ -60,9 +60,9 @@ WITH RECURSIVE s(w, p, t, lvl) AS (
 SELECT s.w, s.p, s.t FROM s JOIN (SELECT w, max(lvl) AS lvl FROM s GROUP BY w) USING (w, lvl) ORDER BY s.w, s.p
 """
 
-DECODE_SQL = """
-SELECT d, string_agg(v.shown, '' ORDER BY p) FROM (SELECT d, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM coded) JOIN vocabulary v USING (t) GROUP BY d
-"""
+DECODE_SQL = "SELECT string_agg(v.shown, '' ORDER BY c.p) FROM coded c JOIN vocabulary v USING (t)"
+# pseudo token that ends a row when several rows are decoded at once, and how it shows
+END_OF_ROW, ROW_SIGN = -1, chr(0x200)
 
 
 class BytePairs:
@@ -79,6 +79,12 @@ class BytePairs:
         self.known: dict[str, bytes] = {}
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
+        self.has_merges = self.has_vocabulary = False
+
+    def _merges(self) -> None:
+        """Table of token pairs and what they merge to, made by the first encoding."""
+        if self.has_merges:
+            return
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -91,9 +97,14 @@ class BytePairs:
         # a token that can merge on to a lower rank is contracted one occurrence at a time
         alone = np.isin(r, np.concatenate([a[a > r], b[b > r]]))
         self._table("merges", pa.table({"k": a * 65536 + b, "r": r, "alone": alone}))
-        # bytes shown as the characters U+0100 and on, so that no control character is in a SQL string
-        shown = ["".join(chr(256 + x) for x in token) for token in self.ranks]
-        self._table("vocabulary", pa.table({"t": pa.array(list(self.ranks.values()), pa.int64()), "shown": shown}))
+        self.has_merges = True
+
+    def _vocabulary(self) -> None:
+        """Table of tokens, made by the first decoding; bytes show as U+0100 and on, so that no control character is in a SQL string."""
+        if not self.has_vocabulary:
+            shown = ["".join(chr(256 + x) for x in token) for token in self.ranks]
+            self._table("vocabulary", pa.table({"t": pa.array([*self.ranks.values(), END_OF_ROW], pa.int64()), "shown": [*shown, ROW_SIGN]}))
+            self.has_vocabulary = True
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -108,6 +119,7 @@ class BytePairs:
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of each piece as little-endian 32-bit numbers."""
+        self._merges()
         result, groups, size = {}, [[]], 0
         for piece in pieces:
             raw = piece.encode()
@@ -151,7 +163,7 @@ class BytePairs:
             tails.update(s[1:])
         parts = {u: self.split(u) for u in heads} | {" " + u: self.split(" " + u) for u in tails}
         new = self.encode_pieces(list({p for found in parts.values() for p in found} - self.known.keys()))
-        if len(self.known) + len(new) <= CACHE_ENTRIES:
+        if len(self.known) + len(new) <= KNOWN_PIECES:
             self.known.update(new)
         value = lambda p: new[p] if p in new else self.known[p]
         head = {u: b"".join(map(value, parts[u])) for u in heads}
@@ -159,16 +171,16 @@ class BytePairs:
         return [b"" if s[0] is None else head[s[0]] + b"".join(map(tail.__getitem__, s[1:])) for s in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes that the ids of each row stand for."""
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        """Bytes that the ids of each row stand for, by one ordered aggregate over all rows; a sign between rows parts them again."""
+        self._vocabulary()
         values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
-        if len(values) and values.max() >= len(self.ranks):
+        if len(values) and (values.max() > max(self.ranks.values()) or values.min() < 0):
             raise ValueError(f"token id {values.max()} is not in the vocabulary")
-        coded = pa.table({"d": np.arange(len(ids)), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
-        self.db.register("coded", coded)
-        found = dict(self.db.execute(DECODE_SQL).fetchall())
+        ends = np.cumsum([len(x) // 4 for x in ids])
+        self.db.register("coded", pa.table({"t": np.insert(values, ends, END_OF_ROW), "p": np.arange(len(values) + len(ids))}))
+        shown = self.db.execute(DECODE_SQL).fetchall()[0][0] or ""
         self.db.unregister("coded")
-        return [found.get(i, "").encode("utf-16-le")[::2] for i in range(len(ids))]
+        return [row.encode("utf-16-le")[::2] for row in shown.split(ROW_SIGN)[:-1]]
 
 
 _CODERS: dict[tuple[str, str], BytePairs] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # rows and bytes of one Arrow batch, so that a worker holds a few MB of text at a time
-BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "2097152"}
 # entries of a per-worker cache; a full cache is emptied, which costs time and changes no result
 CACHE_ENTRIES = 400_000
 
