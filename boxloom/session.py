@@ -23,6 +23,8 @@ RUNTIME_SETTINGS = {
     # split a hot join key even where that costs one more exchange afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # merge sessions before the shuffle, so a busy key sends few rows
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -57,15 +57,23 @@ def _advance(state: list, status: str, ts) -> list:
     return state
 
 
-def job_states_stream(events: DataFrame, timeout: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
-    """Every change of a job's state; finished jobs free their state, running ones fail when their time is up."""
-    limit = pd.Timedelta(timeout)
+def job_states_stream(events: DataFrame, timeout: str = "1 hour", watermark: str = "10 minutes", queue_timeout: str = "7 days") -> DataFrame:
+    """Every change of a job's state.
+
+    Finished jobs free their state, running ones fail when their time is up, and queued ones that never start are
+    canceled after ``queue_timeout``, so no state stays for ever.
+    """
+    limit, queue_limit = pd.Timedelta(timeout), pd.Timedelta(queue_timeout)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current = list(state.get) if state.exists else [None, None, None, None]
         before = list(current)
-        if state.hasTimedOut:
+        if state.hasTimedOut and current[0] == "queued":
+            current = ["canceled", current[1], None, current[1] + queue_limit]
+        elif state.hasTimedOut and current[0] == "running":
             current = ["failed", current[1], current[2], current[2] + limit]
+        elif state.hasTimedOut:
+            pass
         else:
             rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
             for status, ts in zip(rows["status"], rows["ts"]):
@@ -77,7 +85,9 @@ def job_states_stream(events: DataFrame, timeout: str = "1 hour", watermark: str
             state.remove()
             return
         state.update(tuple(current))
-        if current[0] == "running":
+        if current[0] == "queued":
+            state.setTimeoutTimestamp(max(int((current[1] + queue_limit).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        elif current[0] == "running":
             state.setTimeoutTimestamp(max(int((current[2] + limit).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         elif current[0] in FINISHED:
             state.setTimeoutTimestamp(max(int(current[3].timestamp() * 1000) + int(limit.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))

@@ -13,9 +13,6 @@ def with_watermark(df: DataFrame, delay: str) -> DataFrame:
 
 def activity_sessions(events: DataFrame, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Activity sessions per key, closed after ``gap`` without an event."""
-    spark = events.sparkSession
-    # merge sessions before the shuffle, so a busy key sends few rows
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = with_watermark(events, delay).groupBy(key, F.session_window("ts", gap).alias("s"))
     return grouped.agg(F.count("*").alias("events")).select(key, C("s.start").alias("start"), C("s.end").alias("expires_at"), "events")
 

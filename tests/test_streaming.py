@@ -26,20 +26,50 @@ def run(df, name, mode, tmp_path):
     return df.sparkSession.table(name)
 
 
+def closed_stream(spark, events, tmp_path, name, last):
+    """A file stream of ``events`` and then of one event years later, which moves the watermark past everything."""
+    path = str(tmp_path / f"{name}-data")
+    events.repartition(1).write.parquet(path)
+    late = spark.createDataFrame([last], events.schema)
+    late.repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def far_event(events):
+    row = events.orderBy(F.desc("ts")).first().asDict()
+    return {**row, "job_id": -1, "status": "queued", "ts": row["ts"].replace(year=row["ts"].year + 5)}
+
+
 def test_sessions_stream_equals_batch(spark, tmp_path):
     configure(spark)
-    stream, batch = stream_of(spark, tmp_path)
-    got = run(windows.activity_sessions(stream, "job_id", "4 hours"), "sessions", "append", tmp_path)
-    want = {tuple(r) for r in windows.activity_sessions(batch, "job_id", "4 hours").collect()}
-    rows = {tuple(r) for r in got.collect()}
-    # append mode emits a session once the watermark has passed its end
-    assert rows and rows <= want
+    batch = fx.job_events(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = closed_stream(spark, batch, tmp_path, "closing", far_event(batch))
+    got = {tuple(r) for r in run(windows.activity_sessions(stream, "job_id", "4 hours"), "sessions", "append", tmp_path).collect()}
+    assert got == {tuple(r) for r in windows.activity_sessions(batch, "job_id", "4 hours").collect()}
+
+
+def test_stage_windows_stream_equals_batch(spark, tmp_path):
+    configure(spark)
+    batch = fx.job_events(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = closed_stream(spark, batch, tmp_path, "stages", far_event(batch))
+    got = {tuple(r) for r in run(windows.stage_windows(stream, "1 hour"), "stage_windows", "append", tmp_path).collect()}
+    assert got == {tuple(r) for r in windows.stage_windows(batch, "1 hour").collect()}
+
+
+def test_time_outs_fire(spark, tmp_path):
+    configure(spark)
+    rows = [(1, 1, "queued", "2024-01-01 00:00:00"), (2, 1, "running", "2024-01-01 00:01:00"), (3, 2, "queued", "2024-01-01 00:00:00")]
+    batch = spark.createDataFrame(rows, "event_id bigint, job_id bigint, status string, t string").select("event_id", "job_id", "status", F.to_timestamp("t").alias("ts"))
+    stream = closed_stream(spark, batch, tmp_path, "outs", far_event(batch))
+    out = run(jobs.job_states_stream(stream, "1 hour", queue_timeout="2 days"), "outs", "update", tmp_path)
+    ends = {r.job_id: (r.status, str(r.finished_at)) for r in out.where("finished_at IS NOT NULL").collect()}
+    assert ends == {1: ("failed", "2024-01-01 01:01:00"), 2: ("canceled", "2024-01-03 00:00:00")}
 
 
 def test_job_states_stream_reaches_the_batch_outcome(spark, tmp_path):
     configure(spark)
     stream, batch = stream_of(spark, tmp_path)
-    out = run(jobs.job_states_stream(stream, "100000 hours"), "states", "update", tmp_path)
+    out = run(jobs.job_states_stream(stream, "100000 hours", queue_timeout="100000 hours"), "states", "update", tmp_path)
     last = {r.job_id: r.status for r in out.groupBy("job_id").agg(F.max_by("status", F.coalesce("finished_at", "running_at", "queued_at")).alias("status")).collect()}
     want = {r.job_id: r.status for r in jobs.job_outcomes(batch).collect()}
     assert last == want
