@@ -15,6 +15,7 @@ so repeated rows are repeated records; an empty table gives no file and an empty
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxloom.llm.byte_pairs import UNSAFE_BLANK
-from boxloom.llm.common import CACHE_ENTRIES, file_system, fresh_folder, stored
+from boxloom.llm.common import file_system, fresh_folder, stored
 
 # Fixed values of the record format: the CRC-32C polynomial (reflected) and the mask.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 LANE = 256
+# units that a writing worker remembers (about 150 bytes each)
+KNOWN_UNITS = 1_200_000
 # one pre-token whatever the Unicode version: a word of Latin letters with at most one blank before it
 PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -148,7 +151,7 @@ class TokenWriter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
         self.known: dict[str, bytes] = {}
         # the byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -156,7 +159,7 @@ class TokenWriter:
         self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def unit(self, unit: str) -> bytes:
         """Ids of a unit that stands between safe blanks."""
@@ -168,7 +171,7 @@ class TokenWriter:
             return self.unit(unit[:-1]) + self.unit(unit[-1])
         else:
             value = self.packed(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        if len(self.known) < CACHE_ENTRIES:
+        if len(self.known) < KNOWN_UNITS:
             self.known[unit] = value
         return value
 
@@ -274,7 +277,9 @@ def read_records(manifest: DataFrame, folder: str, block_records: int = 2000) ->
                             "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())})
                         start += int(sizes.sum())
 
-    return manifest.repartition("file_no").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # a fixed number of tasks: the few rows of a manifest would else be coalesced into one
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(tasks, "file_no").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(spark: SparkSession, documents: DataFrame, tokenizer_path: str) -> DataFrame:

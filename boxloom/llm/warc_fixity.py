@@ -115,7 +115,8 @@ def copy_replica(manifest: DataFrame, source: str, target: str, damage: DataFram
                 write.move(draft, f"{to_path}/{name}")
             yield batch.select(["file"])
 
-    return stored(files.repartition("file").mapInArrow(run, "file string"), "replica").count()
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(files.repartition(tasks, "file").mapInArrow(run, "file string"), "replica").count()
 
 
 def leaves(manifest: DataFrame, folder: str) -> DataFrame:
@@ -148,7 +149,10 @@ def leaves(manifest: DataFrame, folder: str) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "digest"])
 
-    return stored(manifest.mapInArrow(run, f"{RECORD}, digest binary"), "leaves")
+    # a task reads the records of whole files in their order
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = manifest.repartition(tasks, "file").sortWithinPartitions("file", "record_no")
+    return stored(dealt.mapInArrow(run, f"{RECORD}, digest binary"), "leaves")
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
