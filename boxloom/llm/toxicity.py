@@ -98,7 +98,7 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.votes = np.array([weights[i] for i in order], dtype=np.float64)
         self.terms, self.idf = terms, idf
-        self.words: dict[str, list[str]] = {}
+        self.words: dict[str, tuple[str, ...]] = {}
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((len(terms), blocks))
         postings: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in terms]
@@ -121,7 +121,7 @@ class BlockMaxIndex:
             if (terms := self.words.get(word)) is None:
                 if len(self.words) >= CACHE_ENTRIES:
                     self.words.clear()
-                terms = self.words[word] = [t for t in terms_of(word) if t in self.terms or any(f"{t} {r}" in self.terms for r in REPEATED)]
+                terms = self.words[word] = tuple(t for t in terms_of(word) if t in self.terms or any(f"{t} {r}" in self.terms for r in REPEATED))
             for term in terms:
                 counts[term] += n
         for least in REPEATED:
