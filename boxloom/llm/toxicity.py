@@ -98,15 +98,17 @@ class BlockMaxIndex:
         self.labels = np.array([labels[i] for i in order], dtype=np.float64)
         self.votes = np.array([weights[i] for i in order], dtype=np.float64)
         self.terms, self.idf = terms, idf
-        self.words: dict[str, tuple[str, ...]] = {}
+        self.wanted = {t.split(" ")[0] for t in terms}
+        self.starts = {t[: PREFIXES[0]] for t in self.wanted if t.endswith("*")}
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((len(terms), blocks))
-        postings: list[list[list[tuple[int, float]]]] = [[[] for _ in range(blocks)] for _ in terms]
+        # postings of each block side by side: terms, places in the block, weights
+        listed: list[list[tuple[int, int, float]]] = [[] for _ in range(blocks)]
         for place, i in enumerate(order):
             for t, w in vectors[i].items():
-                postings[t][place // BLOCK].append((place % BLOCK, w))
+                listed[place // BLOCK].append((t, place % BLOCK, w))
                 self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], w)
-        self.postings = [[(np.array([p for p, _ in b], dtype=np.int64), np.array([w for _, w in b])) if b else None for b in term] for term in postings]
+        self.postings = [tuple(np.array(x) for x in zip(*sorted(block))) for block in listed]
 
     def vector(self, counts: Counter) -> dict[int, float]:
         raw = {self.terms[w]: (1 + math.log(n)) for w, n in counts.items() if w in self.terms}
@@ -118,12 +120,11 @@ class BlockMaxIndex:
         """Counts of the terms that are in the vocabulary."""
         counts: Counter = Counter()
         for word, n in Counter(plain_words(text)).items():
-            if (terms := self.words.get(word)) is None:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                terms = self.words[word] = tuple(t for t in terms_of(word) if t in self.terms or any(f"{t} {r}" in self.terms for r in REPEATED))
-            for term in terms:
-                counts[term] += n
+            # most words are no term and do not begin like one
+            if word in self.wanted or word[: PREFIXES[0]] in self.starts:
+                for term in terms_of(word):
+                    if term in self.wanted:
+                        counts[term] += n
         for least in REPEATED:
             counts.update({f"{term} {least}": 1 for term, n in list(counts.items()) if n >= least and " " not in term})
         return counts
@@ -134,15 +135,14 @@ class BlockMaxIndex:
             return []
         terms, values = np.array(list(vector)), np.array(list(vector.values()))
         bounds = values @ self.most[terms]
+        dense = np.zeros(len(self.terms))
+        dense[terms] = values
         best: list[tuple[float, int, int]] = []
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] * (1 - 1e-12) - 1e-12:
                 break
-            found = np.zeros(BLOCK)
-            for t, v in vector.items():
-                if (posting := self.postings[t][b]) is not None:
-                    found[posting[0]] += v * posting[1]
-            found = np.round(found, 12)
+            of, place_in, weight = self.postings[b]
+            found = np.round(np.bincount(place_in, dense[of] * weight, BLOCK), 12)
             for p in np.flatnonzero(found):
                 place = int(b) * BLOCK + int(p)
                 if self.ids[place] != without:
@@ -183,6 +183,7 @@ class Classifier:
         vectors = [bare.vector({w: n for w, n in r["words"] if w in terms}) for r in rows]
         held = [i for i, v in enumerate(vectors) if v]
         self.index = BlockMaxIndex([int(rows[i]["doc_id"]) for i in held], [int(rows[i]["label"]) for i in held], [share[int(rows[i]["label"])] for i in held], [vectors[i] for i in held], terms, idf)
+        self.answers: dict[tuple, tuple[float, list]] = {}
         none = [(int(r["label"]), share[int(r["label"])]) for r, v in zip(rows, vectors) if not v]
         self.without = sum(y * w for y, w in none) / sum(w for _, w in none) if none else 0.0
         xs, ys, ws = [], [], []
@@ -194,10 +195,16 @@ class Classifier:
         self.knots, self.levels = _monotone(np.array(xs), np.array(ys), np.array(ws)) if xs else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def score(self, text: str | None) -> tuple[float, list]:
-        found = self.index.nearest(self.index.vector(self.index.known_terms(text))) if self.index.terms else []
-        if not found:
-            return self.without, []
-        return float(np.interp(self.index.vote(found), self.knots, self.levels)), [(int(self.index.ids[p]), c, int(self.index.labels[p])) for c, p in found[:3]]
+        """Calibrated score and nearest examples; texts with the same terms have the same answer, which is remembered."""
+        counts = self.index.known_terms(text) if self.index.terms else {}
+        key = tuple(sorted(counts.items()))
+        if key not in self.answers:
+            if len(self.answers) >= CACHE_ENTRIES // 8:
+                self.answers.clear()
+            found = self.index.nearest(self.index.vector(counts))
+            near = [(int(self.index.ids[p]), c, int(self.index.labels[p])) for c, p in found[:3]]
+            self.answers[key] = (float(np.interp(self.index.vote(found), self.knots, self.levels)), near) if found else (self.without, [])
+        return self.answers[key]
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, min_g: float = 24.0, min_documents: int = 4, top_terms: int = 1000) -> Classifier:

@@ -49,7 +49,13 @@ def test_toxicity(make):
     index = model.index
     for i in range(0, 400, 7):
         v = index.vector(index.known_terms(rows[i][1]))
-        every = sorted(((round(sum(w * x for t, w in v.items() for p, x in zip(*(index.postings[t][b] or ((), ()))) if p == k), 12), -int(index.ids[b * 64 + k])) for b in range(-(-len(index.ids) // 64)) for k in range(min(64, len(index.ids) - b * 64))), reverse=True)
+        every = []
+        for terms, places, weights in index.postings:
+            sums = [0.0] * 64
+            for t, p, w in zip(terms.tolist(), places.tolist(), weights.tolist()):
+                sums[p] += v.get(t, 0.0) * w
+            every += [(round(x, 12), 0) for x in sums]
+        every.sort(reverse=True)
         assert [c for c, _ in index.nearest(v)] == [c for c, _ in every[:15] if c > 0]
     assert {r.score for r in score(docs, train(docs, make([], LABELS))).collect()} == {0.0}
     assert docs.where(F.col("doc_id") == 901).count() == 1
