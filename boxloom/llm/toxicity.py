@@ -1,16 +1,18 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine over all terms of the examples.
 
 Examples are a bounded sample of labelled rows: of each class the ``per_class`` rows with the smallest hash of
-their id.  Terms are words, beginnings of words (``PREFIXES`` characters, for inflected forms) and marks for a term that
-a text repeats.  The vocabulary holds the terms that are associated with the label in the sample (G-test over ``min_g``, in
-``min_documents`` examples at least, ``top_terms`` at most), so vectors are short.  Weights are (1 + log tf) * idf,
-and cosines are exact in this space.
-
-The index keeps, for each term, its postings in example order, cut in blocks, with the largest weight of each block.
-A search visits blocks by falling upper bound and stops when no block can beat the k-th neighbour: the result is the
-exact one.  Neighbours vote with their cosine; the share of toxic votes is calibrated by a monotone fit on
-leave-one-out scores of the examples, weighted back to the class shares of all labelled rows.  A text without a term of
-the vocabulary has no neighbour and gets the toxic share of such examples.
+their id.  Terms are words, beginnings of words (``PREFIXES`` characters, for inflected forms), marks for a term that
+a text repeats, and marks for the share of capitals and of words said twice running.  Every term of every example is
+indexed; a text with one known word has neighbours.  Weights are (1 + log tf) * idf * relevance.  Relevance is
+``FLOOR`` for a term that does not depend on the label and grows with the square of its G statistic up to 1 at
+``FULL_G``; no term has weight 0, so all count in the products and in the norm.  Plain TF-IDF (relevance 1 for all)
+follows a text's subject, not its tone.
+
+Terms are held by 64-bit hash.  The most common ones are a dense matrix that a block of texts is multiplied with, the
+others have postings; all products are added up, so the nearest examples are the exact ones.  Neighbours vote with their
+cosine, beside ``PRIOR`` votes for the class shares; the share of toxic votes is calibrated by a monotone fit on leave-one-out scores of the examples, weighted back
+to the class shares of all labelled rows.  A text without a known term has no neighbour and gets the toxic share of such
+examples.
 
 Defined cases: null text is empty; labels that are null or conflict count as toxic if any says 1 (null only: unlabelled);
 without labelled rows every score is 0; ties in cosine go to the smaller example id; repeated rows are scored each; an
@@ -19,20 +21,27 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import math
+import operator
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import CACHE_ENTRIES, plain_words
+from boxloom.llm.common import CACHE_ENTRIES, mix, plain_words
 
 BLOCK = 64
 PREFIXES = range(5, 11)
 REPEATED = (2, 4)
+# shares from which a text is marked, and the words from which shares are asked for
+CAPITALS, TWICE, LEAST_WORDS = (0.25, 0.5, 0.75, 0.9), (0.1, 0.3, 0.5), 5
+FLOOR, FULL_G = 0.02, 24.0
+COMMON_TERMS = 1024
+# votes for the class shares, so that faint likeness alone decides nothing
+PRIOR = 1.0
 NEIGHBOURS = 15
 DECISION = 0.3
 
@@ -42,19 +51,47 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
 
-def term_counts(text: str | None) -> Counter:
-    """Counts of all terms of a text."""
-    counts: Counter = Counter()
-    for word, n in Counter(plain_words(text)).items():
-        for term in terms_of(word):
-            counts[term] += n
-    for least in REPEATED:
-        counts.update({f"{term} {least}": 1 for term, n in list(counts.items()) if n >= least and " " not in term})
-    return counts
+def _hash(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+
+
+def _repeat_hashes(hashes: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the marks for terms that a text repeats."""
+    return mix(hashes + np.uint64(least))
+
+
+def _marks(text: str, words: list[str]) -> list[str]:
+    """Marks of the share of capitals and of words that repeat the one before."""
+    if len(words) < LEAST_WORDS:
+        return []
+    lower, letters = text.lower(), sum(map(len, words))
+    if len(lower) == len(text):
+        capitals = int((np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)).sum())
+    else:
+        capitals = sum(map(str.isupper, text))
+    twice = sum(map(operator.eq, words, words[1:]))
+    return [f"# capitals {s}" for s in CAPITALS if capitals >= s * letters] + [f"# twice {s}" for s in TWICE if twice >= s * len(words)]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of their counts."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all terms of a text."""
+    words = plain_words(text)
+    pairs = [(_hash(term), n) for word, n in Counter(words).items() for term in terms_of(word)]
+    keys, counts = _summed(np.array([h for h, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
+    marks = [np.array([_hash(m) for m in _marks(text, words)] if words else [], np.uint64)]
+    marks += [_repeat_hashes(keys[counts >= least], least) for least in REPEATED]
+    more = np.concatenate(marks)
+    return np.concatenate([keys, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
 
 
 def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, dict[int, int]]:
-    """Examples (id, label, word counts) and the number of labelled rows of each class."""
+    """Examples (id, label, hashes and counts of terms) by falling id and the number of labelled rows of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sizes = {int(r["label"]): int(r["count"]) for r in known.groupBy("label").count().collect()}
     picked = None
@@ -64,98 +101,153 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[li
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [term_counts(t) for t in batch.column(2).to_pylist()]
+            found = [term_counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], ["doc_id", "label", "words"])
+                [batch.column(0), batch.column(1), pa.array([k.astype("<u8").tobytes() for k, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())],
+                ["doc_id", "label", "terms", "counts"])
 
     # the sample is at most 2 * per_class ids, so its broadcast is bounded
     texts = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("doc_id"))
     rows = texts.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"), F.min("text").alias("text"))
-    return rows.mapInArrow(counted, "doc_id bigint, label int, words map<string,bigint>"), sizes
+    found = rows.mapInArrow(counted, "doc_id bigint, label int, terms binary, counts binary").collect()
+    return sorted(([r["doc_id"], r["label"], r["terms"], r["counts"]] for r in found), reverse=True), sizes
 
 
-def _vocabulary(rows: DataFrame, min_g: float, min_documents: int, top_terms: int) -> list:
-    """Terms whose presence depends on the label, by the G statistic of the 2 x 2 table."""
-    totals = rows.groupBy("label").count()
-    n = {int(r["label"]): int(r["count"]) for r in totals.collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
+def _relevance(toxic_df: np.ndarray, df: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Weight of each term by the G statistic of its 2 x 2 table, ``FLOOR`` at least."""
     if not toxic or not clean:
-        return []
-    per_term = rows.select("label", F.explode(F.map_keys("words")).alias("term")).groupBy("term").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("a"), F.count("*").alias("df"))
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, df, both = F.col("a"), F.col("df"), toxic + clean
-    g = 2 * (part(a, df * toxic / both) + part(df - a, df * clean / both) + part(toxic - a, (both - df) * toxic / F.lit(both)) + part(clean - (df - a), (both - df) * clean / F.lit(both)))
-    return per_term.where(df >= min_documents).withColumn("g", g).where(F.col("g") >= min_g).orderBy(F.desc("g"), "term").limit(top_terms).select("term", "df").collect()
-
-
-class BlockMaxIndex:
-    """Postings by term in example order with the largest weight of each block of examples."""
-
-    def __init__(self, ids: list[int], labels: list[int], weights: list[float], vectors: list[dict[int, float]], terms: dict[str, int], idf: np.ndarray):
-        # neighbours that share terms lie in the same blocks, which tightens the bounds
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:2], ids[i]))
-        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
-        self.labels = np.array([labels[i] for i in order], dtype=np.float64)
-        self.votes = np.array([weights[i] for i in order], dtype=np.float64)
-        self.terms, self.idf = terms, idf
-        self.wanted = {t.split(" ")[0] for t in terms}
-        self.starts = {t[: PREFIXES[0]] for t in self.wanted if t.endswith("*")}
-        blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(terms), blocks))
-        # postings of each block side by side: terms, places in the block, weights
-        listed: list[list[tuple[int, int, float]]] = [[] for _ in range(blocks)]
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                listed[place // BLOCK].append((t, place % BLOCK, w))
-                self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], w)
-        self.postings = [tuple(np.array(x) for x in zip(*sorted(block))) for block in listed]
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {self.terms[w]: (1 + math.log(n)) for w, n in counts.items() if w in self.terms}
-        raw = {t: v * self.idf[t] for t, v in raw.items()}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {t: raw[t] / norm for t in sorted(raw)} if norm else {}
-
-    def known_terms(self, text: str | None) -> Counter:
-        """Counts of the terms that are in the vocabulary."""
-        counts: Counter = Counter()
-        for word, n in Counter(plain_words(text)).items():
-            # most words are no term and do not begin like one
-            if word in self.wanted or word[: PREFIXES[0]] in self.starts:
-                for term in terms_of(word):
-                    if term in self.wanted:
-                        counts[term] += n
-        for least in REPEATED:
-            counts.update({f"{term} {least}": 1 for term, n in list(counts.items()) if n >= least and " " not in term})
-        return counts
+        return np.ones(len(df))
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1) / e), 0.0)
+    a, b, both = toxic_df, df - toxic_df, toxic + clean
+    rest = np.maximum(both - df, 1e-9)
+    g = 2 * (part(a, df * toxic / both) + part(b, df * clean / both) + part(toxic - a, rest * toxic / both) + part(clean - b, rest * clean / both))
+    return FLOOR + (1 - FLOOR) * np.minimum(1.0, g / FULL_G) ** 2
+
+
+class Index:
+    """All terms of the examples with their postings; ``vectors`` are the examples' term numbers and counts."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, hashes: np.ndarray, idf: np.ndarray, terms: np.ndarray, places: np.ndarray, counts: np.ndarray):
+        self.ids, self.labels, self.votes = ids, labels, weights
+        self.share = float((labels * weights).sum() / weights.sum()) if len(ids) else 0.0
+        self.hashes, self.idf = hashes, idf
+        self.marks = [(least, self.numbers(_repeat_hashes(hashes, least)).astype(np.int32)) for least in REPEATED]
+        # a term's postings lie side by side, in example order
+        raw = (1 + np.log(counts)) * idf.astype(np.float32)[terms]
+        if len(ids):  # an example's terms lie side by side
+            raw /= np.sqrt(np.add.reduceat(raw * raw, np.searchsorted(places, np.arange(len(ids), dtype=np.int32)), dtype=np.float64)).astype(np.float32)[places]
+        order = np.argsort(terms, kind="stable")
+        self.places, self.weights = places[order].astype(np.int32), raw[order]
+        del raw, order
+        df = np.bincount(terms, minlength=len(hashes))
+        self.begin = np.concatenate([[0], np.cumsum(df)])
+        common = np.argsort(-df, kind="stable")[:COMMON_TERMS]
+        self.row = np.full(len(hashes), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.common, self.dense = common, None
+        self.known: dict[str, bytes] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "known": {}}
+
+    @property
+    def postings(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Terms, places in the block and weights of each block of examples."""
+        terms = np.repeat(np.arange(len(self.hashes)), np.diff(self.begin))
+        for b in range(-(-len(self.ids) // BLOCK)):
+            held = self.places // BLOCK == b
+            yield terms[held], self.places[held] % BLOCK, self.weights[held].astype(np.float64)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Term numbers, -1 for unknown terms."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the term numbers of words."""
+        if len(self.known) + len(words) > CACHE_ENTRIES // 2:
+            self.known.clear()
+        words = [w for w in words if w not in self.known]
+        found = [[_hash(t) for t in terms_of(w)] for w in words]
+        numbers = self.numbers(np.array([h for f in found for h in f], np.uint64)).astype(np.int32)
+        ends = np.cumsum([0] + [4 * len(f) for f in found]) - 4 * np.cumsum(np.concatenate([[0], numbers < 0]))[np.cumsum([0] + [len(f) for f in found])]
+        packed = numbers[numbers >= 0].tobytes()
+        for word, a, b in zip(words, ends.tolist(), ends[1:].tolist()):
+            self.known[word] = packed[a:b]
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of the known terms of each text and their weights, of length 1."""
+        split = [plain_words(t) for t in texts]
+        counted = [Counter(words) for words in split]
+        self.learn({*(w for c in counted for w in c)})
+        result = []
+        for text, words, count in zip(texts, split, counted):
+            of = [self.known[word] for word in count]
+            times = np.repeat(np.fromiter(count.values(), np.int64, len(of)), np.fromiter(map(len, of), np.int64, len(of)) // 4)
+            keys, counts = _summed(np.frombuffer(b"".join(of), np.int32), times)
+            more = [self.numbers(np.array([_hash(m) for m in _marks(text, words)], np.uint64))] if words else []
+            more += [marks[keys[counts >= least]] for least, marks in self.marks]
+            extra = np.concatenate(more).astype(np.int64)
+            extra = extra[extra >= 0]
+            result.append(self.weighted(np.concatenate([keys, extra]), np.concatenate([counts, np.ones(len(extra), np.int64)])))
+        return result
+
+    def weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(counts)) * self.idf[terms]
+        norm = np.sqrt((raw * raw).sum())
+        return terms, raw / norm if norm else raw
+
+    def known_terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known terms of one text."""
+        return self.vectors([text])[0]
+
+    def vector(self, known: tuple[np.ndarray, np.ndarray]) -> dict[int, float]:
+        return dict(zip(known[0].tolist(), known[1].tolist()))
 
     def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """The k largest cosines and their places, ties to the smaller id; ``without`` is an id left out."""
-        if not vector:
-            return []
-        terms, values = np.array(list(vector)), np.array(list(vector.values()))
-        bounds = values @ self.most[terms]
-        dense = np.zeros(len(self.terms))
-        dense[terms] = values
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] * (1 - 1e-12) - 1e-12:
-                break
-            of, place_in, weight = self.postings[b]
-            found = np.round(np.bincount(place_in, dense[of] * weight, BLOCK), 12)
-            for p in np.flatnonzero(found):
-                place = int(b) * BLOCK + int(p)
-                if self.ids[place] != without:
-                    best.append((float(found[p]), int(self.ids[place]), place))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return [(c, place) for c, _, place in best]
+        return self.nearest_of([(np.array(list(vector), np.int64), np.array(list(vector.values())))], k, [without])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` for each of some vectors."""
+        size = len(self.ids)
+        if not size:
+            return [[] for _ in vectors]
+        if self.dense is None:
+            self.dense = np.zeros((size, len(self.common)), np.float32)
+            for row, term in enumerate(self.common.tolist()):
+                held = slice(self.begin[term], self.begin[term + 1])
+                self.dense[self.places[held], row] = self.weights[held]
+        asked = np.zeros((len(vectors), len(self.common)))
+        for i, (terms, values) in enumerate(vectors):
+            rows = self.row[terms]
+            asked[i, rows[rows >= 0]] = values[rows >= 0]
+        # single precision finds the candidates; their sums are then made in double precision
+        sums = asked.astype(np.float32) @ self.dense.T
+        result = []
+        for i, (terms, values) in enumerate(vectors):
+            rare = self.row[terms] < 0
+            terms, values = terms[rare], values[rare]
+            lengths = self.begin[terms + 1] - self.begin[terms]
+            at = np.repeat(self.begin[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            rest = np.bincount(self.places[at], self.weights[at] * np.repeat(values, lengths), size)
+            total = sums[i] + rest
+            if without is not None and without[i] is not None:
+                total[self.ids == without[i]] = 0.0
+            least = max(0.0, np.partition(total, size - k)[size - k] - 1e-5) if size > k else 0.0
+            places = np.flatnonzero((total >= least) & (total > 0))
+            exact = np.round(rest[places] + self.dense[places].astype(np.float64) @ asked[i], 12)
+            best = sorted((-c, d, p) for c, d, p in zip(exact.tolist(), self.ids[places].tolist(), places.tolist()))[:k]
+            result.append([(-c, p) for c, _, p in best if c < 0])
+        return result
 
     def vote(self, found: list[tuple[float, int]]) -> float:
-        """Share of toxic votes; cosines are the votes, weighted back to the class shares."""
+        """Share of toxic votes; cosines are the votes, weighted back to the class shares, beside ``PRIOR`` votes at these shares."""
         cosines, places = np.array([c for c, _ in found]), [p for _, p in found]
         votes = cosines * self.votes[places]
-        return float((votes * self.labels[places]).sum() / votes.sum())
+        return float(((votes * self.labels[places]).sum() + PRIOR * self.share) / (votes.sum() + PRIOR))
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,57 +265,54 @@ def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 class Classifier:
     """Index, calibration and the share for texts without a neighbour."""
 
-    def __init__(self, rows: list, vocabulary: list, sizes: dict[int, int]):
-        count = Counter(int(r["label"]) for r in rows)
-        share = {c: sizes.get(c, 0) / n for c, n in count.items()}
-        # a text of the vocabulary's words only is met as often as in the sample, so weights stay positive
-        terms = {r["term"]: i for i, r in enumerate(vocabulary)}
-        idf = np.array([math.log(1 + len(rows) / r["df"]) for r in vocabulary])
-        bare = BlockMaxIndex([], [], [], [], terms, idf)
-        vectors = [bare.vector({w: n for w, n in r["words"] if w in terms}) for r in rows]
-        held = [i for i, v in enumerate(vectors) if v]
-        self.index = BlockMaxIndex([int(rows[i]["doc_id"]) for i in held], [int(rows[i]["label"]) for i in held], [share[int(rows[i]["label"])] for i in held], [vectors[i] for i in held], terms, idf)
-        self.answers: dict[tuple, tuple[float, list]] = {}
-        none = [(int(r["label"]), share[int(r["label"])]) for r, v in zip(rows, vectors) if not v]
-        self.without = sum(y * w for y, w in none) / sum(w for _, w in none) if none else 0.0
-        xs, ys, ws = [], [], []
-        for i in held:
-            if found := self.index.nearest(vectors[i], without=int(rows[i]["doc_id"])):
-                xs.append(self.index.vote(found))
-                ys.append(float(rows[i]["label"]))
-                ws.append(share[int(rows[i]["label"])])
-        self.knots, self.levels = _monotone(np.array(xs), np.array(ys), np.array(ws)) if xs else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def score(self, text: str | None) -> tuple[float, list]:
-        """Calibrated score and nearest examples; texts with the same terms have the same answer, which is remembered."""
-        counts = self.index.known_terms(text) if self.index.terms else {}
-        key = tuple(sorted(counts.items()))
-        if key not in self.answers:
-            if len(self.answers) >= CACHE_ENTRIES // 8:
-                self.answers.clear()
-            found = self.index.nearest(self.index.vector(counts))
-            near = [(int(self.index.ids[p]), c, int(self.index.labels[p])) for c, p in found[:3]]
-            self.answers[key] = (float(np.interp(self.index.vote(found), self.knots, self.levels)), near) if found else (self.without, [])
-        return self.answers[key]
-
-
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000, min_g: float = 24.0, min_documents: int = 4, top_terms: int = 1000) -> Classifier:
+    def __init__(self, rows: list, sizes: dict[int, int]):
+        ids, labels, keys, counts = [], [], [], []
+        while rows:  # emptied on the way, so the terms are held once
+            doc, label, k, n = rows.pop()
+            ids.append(doc)
+            labels.append(label)
+            keys.append(np.frombuffer(k, "<u8"))
+            counts.append(np.frombuffer(n, "<u4"))
+        ids, labels, lengths = np.array(ids, np.int64), np.array(labels, np.int64), np.array([len(k) for k in keys], np.int64)
+        count = Counter(labels.tolist())
+        share = np.array([sizes.get(y, 0) / count[y] for y in labels.tolist()])
+        keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+        hashes = np.unique(keys)
+        terms = np.searchsorted(hashes, keys).astype(np.int32)
+        del keys
+        counts = np.concatenate([np.zeros(0, np.uint32), *counts]).astype(np.float32)
+        # examples without a term are not in the index
+        held = np.flatnonzero(lengths)
+        places = np.repeat(np.arange(len(held), dtype=np.int32), lengths[held])
+        df = np.bincount(terms, minlength=len(hashes))
+        relevance = _relevance(np.bincount(terms[(labels[held] == 1)[places]], minlength=len(hashes)), df, count[1], count[0])
+        # a term that every example holds keeps a positive weight
+        idf = np.log(1 + len(ids) / df) * relevance
+        self.index = Index(ids[held], labels[held].astype(np.float64), share[held], hashes, idf, terms, places, counts)
+        none = lengths == 0
+        self.without = float((labels * share)[none].sum() / share[none].sum()) if none.any() else 0.0
+        ends = np.cumsum(lengths[held])
+        xs, at = [], []
+        for first in range(0, len(held), BLOCK):
+            block = range(first, min(first + BLOCK, len(held)))
+            vectors = [self.index.weighted(terms[ends[i] - lengths[held[i]] : ends[i]], counts[ends[i] - lengths[held[i]] : ends[i]]) for i in block]
+            for i, found in zip(block, self.index.nearest_of(vectors, without=[int(self.index.ids[i]) for i in block])):
+                if found:
+                    xs.append(self.index.vote(found))
+                    at.append(held[i])
+        self.knots, self.levels = _monotone(np.array(xs), labels[at].astype(np.float64), share[at]) if xs else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list]]:
+        """Calibrated score and nearest examples of each text."""
+        for first in range(0, len(texts), BLOCK):
+            for found in self.index.nearest_of(self.index.vectors(texts[first : first + BLOCK])):
+                near = [(int(self.index.ids[p]), c, int(self.index.labels[p])) for c, p in found[:3]]
+                yield (float(np.interp(self.index.vote(found), self.knots, self.levels)), near) if found else (self.without, [])
+
+
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> Classifier:
     """Fit on a bounded sample of the labelled rows; see the module text for the bounds."""
-    rows, sizes = _sample(documents, labels, per_class)
-    rows = rows.persist()
-    try:
-        vocabulary = _vocabulary(rows, min_g, min_documents, top_terms)
-        examples = [(r["doc_id"], r["label"]) for r in rows.select("doc_id", "label").collect()]
-        found: dict[int, list] = {doc: [] for doc, _ in examples}
-        if vocabulary:
-            chosen = rows.sparkSession.createDataFrame([(r["term"],) for r in vocabulary], "chosen string")
-            pairs = rows.select("doc_id", F.explode("words").alias("term", "n")).join(F.broadcast(chosen), F.col("term") == F.col("chosen"))
-            for r in pairs.select("doc_id", "term", "n").collect():
-                found[r["doc_id"]].append((r["term"], r["n"]))
-        held = [{"doc_id": doc, "label": label, "words": sorted(found[doc])} for doc, label in sorted(examples)]
-    finally:
-        rows.unpersist()
-    return Classifier(held, vocabulary, sizes)
+    return Classifier(*_sample(documents, labels, per_class))
 
 
 def score(documents: DataFrame, classifier: Classifier) -> DataFrame:
@@ -233,7 +322,7 @@ def score(documents: DataFrame, classifier: Classifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            results = [shared.value.score(t) for t in batch.column(1).to_pylist()]
+            results = list(shared.value.scores(batch.column(1).to_pylist()))
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in results]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in results], pa.float64()), pa.array([int(s >= DECISION) for s, _ in results], pa.int32()), pa.array(evidence, kind)],
@@ -250,7 +339,7 @@ def keep_clean(documents: DataFrame, classifier: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [shared.value.score(t)[0] < DECISION for t in batch.column(at).to_pylist()]
+            keep = [s < DECISION for s, _ in shared.value.scores(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -59,3 +59,17 @@ def test_toxicity(make):
         assert [c for c, _ in index.nearest(v)] == [c for c, _ in every[:15] if c > 0]
     assert {r.score for r in score(docs, train(docs, make([], LABELS))).collect()} == {0.0}
     assert docs.where(F.col("doc_id") == 901).count() == 1
+
+
+def test_toxicity_uses_all_terms(make):
+    """A word without a tie to the label gives neighbours and counts in the cosine; a rarer toxic word is found."""
+    rnd = random.Random(5)
+    rows = [(i, text(rnd, "abcdefgh") + (" quiblor quiblor" if i % 4 == 0 and i < 48 else ""), "en", "s", 1) for i in range(400)]
+    model = train(make(rows, DOCS), make([(i, 1, int(i % 4 == 0)) for i in range(400)], LABELS))
+    word = max((w for w in rows[1][1].split() if sum(w in t.split() for _, t, *_ in rows) > 1), key=len)
+    fresh = [(1000, word, "en", "s", 1), (1001, word + " unheard", "en", "s", 1), (1002, text(rnd, "abcdefgh", 10) + " quiblor", "en", "s", 1), (1003, "unheard", "en", "s", 1), (1, rows[1][1], "en", "s", 1)]
+    got = {r.doc_id: r for r in score(make(fresh, DOCS), model).collect()}
+    assert got[1000].evidence and got[1000].evidence == got[1001].evidence and not got[1003].evidence
+    assert all(word in rows[e.doc_id][1].split() for e in got[1000].evidence) and got[1000].evidence[0].cosine < 1
+    assert got[1002].predicted == 1 and got[1000].predicted == 0
+    assert got[1].evidence[0].doc_id == 1 and abs(got[1].evidence[0].cosine - 1) < 1e-6 and got[1].evidence[1].cosine < 1
