@@ -150,7 +150,9 @@ class TokenWriter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library finds the strings of added tokens before it splits a text, so a text that holds one goes through it whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([UNSAFE_BLANK.pattern, *map(re.escape, sorted(added))]))
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
         self.known: dict[str, bytes] = {}
         # the byte alphabet of the vocabulary: printable bytes stand for themselves, the others follow from U+0100 on
@@ -181,7 +183,7 @@ class TokenWriter:
         for text in texts:
             if not text:
                 result.append(b"")
-            elif UNSAFE_BLANK.search(text):
+            elif self.whole.search(text):
                 result.append(self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
                 first, *rest = text.split(" ")

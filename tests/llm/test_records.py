@@ -54,3 +54,13 @@ def test_round_trip(spark, make):
     system, path = file_system(folder)
     assert len(system.get_file_info(__import__("pyarrow").fs.FileSelector(path))) == 2 * manifest.count()
     assert read_records(write_records(make([], DOCS), fresh_folder(spark, "t"), PATH), folder).count() == 0
+
+
+def test_added_tokens_as_the_library_has_them():
+    """A fresh tokenizer of the same file is the judge, also for texts that hold an added token's string."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    several = [*texts(), *(f for a in added for f in (a, f"a {a} b", f"x{a}y", f"{a}{a} end", f"a {a[:-1]} b"))]
+    assert added and [np.frombuffer(g, dtype="<u2").tolist() for g in TokenWriter(PATH).encode(several)] == [library.encode(t or "", add_special_tokens=False).ids for t in several]
