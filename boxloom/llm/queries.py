@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import byte_pairs, chat_windows, decontamination, language, near_duplicates, neighbours, passages, records, toxicity, warc_fixity
+from boxloom.llm import byte_pairs, chat_windows, decontamination, language, near_duplicates, neighbours, passages, periodic_runs, records, toxicity, warc_fixity, word_table
 from boxloom.llm.common import held_out, prepare, stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -142,3 +147,43 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all pages that an audit finds changed in a replica with inverted bytes."""
     damaged = (F.col("page_id") % 97 == 13) | (F.col("page_id") % 101 == 7)
     return warc_fixity.rehearsal(spark, table(spark, sf_dir, "pages"), damaged).select("page_id", "kind")
+
+
+def planted_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Documents whose id's crc32 is divisible by 10 get a periodic tail."""
+    n = len(words)
+    if doc_id is None or not n:
+        return words
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document (a tenth of them with a planted periodic tail) and digests of the runs and of the text without repeats."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=planted_tail)
+    # the longest run, then the first, then the one of the smallest period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_word_table")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids, found through a table of distinct words, and of the text they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = word_table.decode(word_table.encode(table(spark, sf_dir, "documents"), path), path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [",".join(map(str, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.string())], names=["doc_id", "ids", "decoded", "id_text"])
+
+    shown = coded.mapInArrow(run, "doc_id bigint, ids binary, decoded string, id_text string")
+    return shown.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("id_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
