@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import byte_pairs, chat_windows, decontamination, language, near_duplicates, neighbours, passages, periodic_runs, records, toxicity, warc_fixity, word_table
+from boxloom.llm import byte_pairs, chat_windows, conversation_trie, decontamination, language, near_duplicates, neighbours, passages, periodic_runs, records, toxicity, warc_fixity, word_table
 from boxloom.llm.common import held_out, prepare, stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -187,3 +187,53 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     shown = coded.mapInArrow(run, "doc_id bigint, ids binary, decoded string, id_text string")
     return shown.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("id_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# crc32 of the decimal id: bytes one after another, eight shifts each
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INTEGER, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT i.conv_id, t.no, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.base AND t.no <= i.h
+  UNION ALL SELECT i.conv_id, t.no, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.no > i.h),
+placed AS (
+  SELECT conv_id, row_number() OVER w AS d, count(*) OVER (PARTITION BY conv_id) AS total, md5(len(role)::VARCHAR || ':' || role || text) AS key,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY no)),
+steps AS (SELECT conv_id, d, total, words, md5(string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY d)) AS path FROM placed),
+places AS (
+  SELECT conv_id, d, total, words, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY d), '') AS above FROM steps
+  UNION ALL SELECT conv_id, 0, coalesce(any_value(total), 0), 0, '', NULL FROM ids LEFT JOIN (SELECT DISTINCT conv_id, total FROM steps) USING (conv_id) GROUP BY conv_id),
+nodes AS (
+  SELECT path, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CASE WHEN total = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM places GROUP BY path, d),
+children AS (SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)),
+sums AS (
+  SELECT p.path, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM full_nodes n JOIN places p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.path)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s USING (path) LEFT JOIN nodes a ON a.path = n.above
+"""
+
+
+def shared_beginnings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations whose first turns are those of the one whose id is the next lower multiple of 20; also their ids."""
+    ids = turns.select("conv_id").distinct().withColumn("h", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int"))
+    first = turns.where((F.col("conv_id") % 20 == 0) & (F.col("no") <= 3)).withColumnRenamed("conv_id", "base")
+    given = ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(first, "base").where(F.col("no") <= F.col("h"))
+    own = turns.join(ids, "conv_id").where(F.col("no") > F.col("h"))
+    columns = ["conv_id", "no", "key", "words"]
+    return given.select(*columns).unionByName(own.select(*columns)), ids.select("conv_id")
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt so that twenty of them share beginnings."""
+    turns = stored(conversation_trie.keyed_turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    return conversation_trie.prefix_trie(*shared_beginnings(turns))
