@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,14 +176,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids, found through a table of distinct words, and of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = word_table.decode(word_table.encode(table(spark, sf_dir, "documents"), path), path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [",".join(map(str, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.string())], names=["doc_id", "ids", "decoded", "id_text"])
-
-    shown = coded.mapInArrow(run, "doc_id bigint, ids binary, decoded string, id_text string")
-    return shown.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("id_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("id_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 # crc32 of the decimal id: bytes one after another, eight shifts each

@@ -6,9 +6,9 @@ of numbers.  The words of all blocks are dealt to buckets by their hash; a bucke
 the tokenizers library and answers every block; blocks join these ids back by word number.  Decoding joins ids with the
 vocabulary's pieces, whose size the vocabulary bounds, so they are sent to every task.
 
-Blocks are written to the shared folder before they are read twice: word numbers depend on the order of rows.  A block ends
-after ``BLOCK_WORDS`` distinct words or ``BLOCK_CHARACTERS`` characters; a bucket has about ``BUCKET_WORDS`` words of blocks, so a
-frequent word brings one row part a block, not one an occurrence.
+Word numbers depend on the order of rows, so a block's documents and words are written to the shared folder before anything
+reads them.  A block ends after ``BLOCK_WORDS`` distinct words or ``BLOCK_CHARACTERS`` characters; there is a bucket for every
+``BUCKET_CHARACTERS`` of the corpus.  A frequent word comes once a block, not once an occurrence.
 
 Defined cases: null text is empty and has no ids; repeated rows are encoded each; a null id is kept; texts that hold an added
 token's string (found by the library before it splits) and very long words are words of their own; an empty table gives an
@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import stored
+from boxloom.llm.common import file_system, fresh_folder, stored
 
 BLOCK_WORDS, BLOCK_CHARACTERS = 1_000_000, 64_000_000
-BUCKET_WORDS = 250_000
+BUCKET_CHARACTERS = 12_000_000
 # documents of one result batch hold about this many ids
 BATCH_IDS = 1_000_000
 # White space (and signs that some tables count as white space) on which no word begins or ends, and before which none begins.
@@ -85,61 +85,82 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def word_blocks(documents: DataFrame, path: str) -> DataFrame:
-    """Blocks of documents: ``block``, ``doc_ids``, ``sizes`` (words of each document), ``numbers`` (squeezed), ``words``."""
+class _Block:
+    """Documents as lists of word numbers, and the numbered words."""
+
+    def __init__(self):
+        self.known, self.ids, self.sizes, self.numbers, self.characters = _Numbers(), [], [], [], 0
+
+    def add(self, doc_id: int | None, text: str, words: list[str]) -> None:
+        self.ids.append(doc_id)
+        self.sizes.append(len(words))
+        self.numbers.append(np.fromiter(map(self.known.__getitem__, words), dtype=np.uint32, count=len(words)))
+        self.characters += len(text)
+
+    def full(self) -> bool:
+        return len(self.known) >= BLOCK_WORDS or self.characters >= BLOCK_CHARACTERS
+
+    def documents(self) -> pa.Table:
+        flat = np.concatenate(self.numbers)
+        return pa.table({"doc_ids": pa.array([self.ids], pa.list_(pa.int64())), "sizes": pa.array([self.sizes], pa.list_(pa.int64())), "numbers": pa.array([_squeezed(flat)], pa.large_binary())})
+
+    def packs(self, block: str, buckets: int) -> pa.RecordBatch:
+        """The words by bucket: their numbers as steps, their sizes in bytes, and the bytes."""
+        words = pa.array(list(self.known), pa.large_binary())
+        bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in self.known), dtype=np.int64, count=len(words))
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        if not len(some):  # a block without words is answered all the same
+            some = np.zeros(1, dtype=np.int64)
+        words = words.take(pa.array(order))
+        ends, data = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1], words.buffers()[2]
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        parts = [(order[cuts[b] : cuts[b + 1]], ends[cuts[b] : cuts[b + 1] + 1]) for b in some]
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(some, pa.int64()), "block": pa.array([block] * len(some), pa.string()), "numbers": pa.array([_squeezed(np.diff(n, prepend=0)) for n, _ in parts], pa.binary()),
+            "sizes": pa.array([_squeezed(np.diff(e)) for _, e in parts], pa.binary()),
+            "words": pa.array([squeeze(data[int(e[0]) : int(e[-1])].to_pybytes() if len(n) else b"") for n, e in parts], pa.binary())})
+
+
+def word_blocks(documents: DataFrame, path: str, folder: str, buckets: int) -> DataFrame:
+    """Write each block's documents to a file of ``folder``; return its distinct words by bucket.
+
+    Rows: ``bucket``, ``block`` (the file), ``numbers``, ``sizes`` and ``words`` (compressed).  A file is named by its attempt, so the
+    rows of a committed attempt always speak of their own file.
+    """
     odd = added_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
         from pyspark import TaskContext
 
-        part, serial = TaskContext.get().partitionId(), 0
-        known, ids, sizes, numbers, characters = _Numbers(), [], [], [], 0
+        context, serial, block = TaskContext.get(), 0, _Block()
+        system, place = file_system(folder)
+        system.create_dir(place, recursive=True)
 
-        def block() -> pa.RecordBatch:
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
-            return pa.RecordBatch.from_pydict({
-                "block": pa.array([(part << 32) + serial], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
-                "numbers": pa.array([_squeezed(flat)], pa.binary()), "words": pa.array([list(known)], pa.list_(pa.string()))})
+        def finished() -> pa.RecordBatch:
+            name = f"block-{context.partitionId()}-{context.taskAttemptId()}-{serial}.parquet"
+            with system.open_output_stream(f"{place}/{name}") as file:
+                parquet.write_table(block.documents(), file, compression="none")
+            return block.packs(name, buckets)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                words = [text] if any(t in text for t in odd) else split_words(text)
-                ids.append(doc_id)
-                sizes.append(len(words))
-                numbers.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
-                characters += len(text)
-                if len(known) >= BLOCK_WORDS or characters >= BLOCK_CHARACTERS:
-                    yield block()
-                    known, ids, sizes, numbers, characters, serial = _Numbers(), [], [], [], 0, serial + 1
-        if ids:
-            yield block()
+                block.add(doc_id, text, [text] if any(t in text for t in odd) else split_words(text))
+                if block.full():
+                    yield finished()
+                    block, serial = _Block(), serial + 1
+        if block.ids:
+            yield finished()
 
     rows = documents.select(documents["doc_id"].cast("long"), documents["text"])
-    return rows.mapInArrow(run, "block bigint, doc_ids array<bigint>, sizes array<bigint>, numbers binary, words array<string>")
-
-
-def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The words of each block by bucket: ``bucket``, ``block``, ``numbers`` (squeezed), ``words``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, block in enumerate(batch.column(0).to_pylist()):
-                words = batch.column(1)[k].values
-                bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(words))
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                places = [order[cuts[b] : cuts[b + 1]] for b in some]
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(some, pa.int64()), "block": pa.array([block] * len(some), pa.int64()), "numbers": pa.array([_squeezed(p) for p in places], pa.binary()),
-                    "words": pa.array([words.take(pa.array(p)).to_pylist() for p in places], pa.list_(pa.string()))})
-
-    return blocks.select("block", "words").mapInArrow(run, "bucket bigint, block bigint, numbers binary, words array<string>")
+    return rows.mapInArrow(run, "bucket bigint, block string, numbers binary, sizes binary, words binary")
 
 
 def _encoded(dealt: DataFrame, path: str) -> DataFrame:
-    """Each distinct word of a bucket encoded once: ``block``, ``numbers``, ``sizes`` and ``ids`` (squeezed)."""
+    """Each distinct word of a bucket encoded once: ``block``, ``numbers``, and ``sizes`` and ``ids`` of its words (compressed)."""
 
     def run(table: pa.Table) -> pa.Table:
         import os
@@ -151,55 +172,61 @@ def _encoded(dealt: DataFrame, path: str) -> DataFrame:
         # the contract's call has neither, whatever the file says
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        known, ids = _Numbers(), []
-        places = [list(map(known.__getitem__, words)) for words in table.column("words").to_pylist()]
+        known, ids, places = _Numbers(), [], []
+        spread = zstandard.ZstdDecompressor().decompress
+        for sizes, data in zip(table.column("sizes").to_pylist(), table.column("words").to_pylist()):
+            ends = np.cumsum(np.concatenate([[0], _spread(sizes)]))
+            words = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(spread(data))]).to_pylist()
+            places.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
         words = list(known)
         for at in range(0, len(words), 2000):
             ids += [x.ids for x in tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         flat, starts = np.array([x for word in ids for x in word], dtype=np.int64), np.cumsum(sizes) - sizes
-        places = [np.array(p, dtype=np.int64) for p in places]
         return pa.table({
             "block": table.column("block"), "numbers": table.column("numbers"), "sizes": pa.array([_squeezed(sizes[p]) for p in places], pa.binary()),
             "ids": pa.array([_squeezed(flat[_ragged(starts[p], sizes[p])]) for p in places], pa.binary())})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "block bigint, numbers binary, sizes binary, ids binary")
+    return dealt.groupBy("bucket").applyInArrow(run, "block string, numbers binary, sizes binary, ids binary")
 
 
 def _assembled(block: pa.Table, parts: pa.Table) -> Iterator[pa.RecordBatch]:
     """The ids of each document of a block, from the answers of the buckets."""
-    for k in range(block.num_rows):
-        numbers, doc_sizes = _spread(block.column("numbers")[k].as_py()), np.array(block.column("sizes")[k].as_py(), dtype=np.int64)
-        at = [_spread(x) for x in parts.column("numbers").to_pylist()]
-        each = [_spread(x) for x in parts.column("sizes").to_pylist()]
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *(_spread(x) for x in parts.column("ids").to_pylist())])
-        places, sizes = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (at, each))
-        begins = np.cumsum(sizes) - sizes
-        start, size = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
-        start[places], size[places] = begins, sizes
-        doc_ids, ends = block.column("doc_ids")[k].as_py(), np.cumsum(doc_sizes)
-        # cut where about BATCH_IDS ids are full
-        totals = np.cumsum(np.concatenate([[0], size[numbers]]))[np.concatenate([[0], ends])]
-        first = 0
-        while first < len(doc_ids):
-            last = max(first + 1, int(np.searchsorted(totals, totals[first] + BATCH_IDS)) - 1)
-            words = numbers[ends[first] - doc_sizes[first] : ends[last - 1]]
-            data = flat[_ragged(start[words], size[words])].astype("<u4").tobytes()
-            cuts = ((totals[first : last + 1] - totals[first]) * 4).tolist()
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[first:last], pa.int64()), "ids": pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
-            first = last
+    numbers, doc_sizes = _spread(block.column("numbers")[0].as_py()), np.array(block.column("sizes")[0].as_py(), dtype=np.int64)
+    at = [np.cumsum(_spread(x)) for x in parts.column("numbers").to_pylist()]
+    each = [_spread(x) for x in parts.column("sizes").to_pylist()]
+    flat = np.concatenate([_spread(x) for x in parts.column("ids").to_pylist()])
+    places, sizes = np.concatenate(at), np.concatenate(each)
+    start, size = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+    start[places], size[places] = np.cumsum(sizes) - sizes, sizes
+    doc_ids, ends = block.column("doc_ids")[0].as_py(), np.cumsum(doc_sizes)
+    # cut where about BATCH_IDS ids are full
+    totals = np.concatenate([[0], np.cumsum(size[numbers])])[np.concatenate([[0], ends])]
+    first = 0
+    while first < len(doc_ids):
+        last = max(first + 1, int(np.searchsorted(totals, totals[first] + BATCH_IDS)) - 1)
+        words = numbers[ends[first] - doc_sizes[first] : ends[last - 1]]
+        data = flat[_ragged(start[words], size[words])].astype("<u4").tobytes()
+        cuts = ((totals[first : last + 1] - totals[first]) * 4).tolist()
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[first:last], pa.int64()), "ids": pa.array([data[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
+        first = last
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids`` (32-bit little-endian) of each whole text, as ``Tokenizer.from_file(path)`` gives them."""
-    blocks = stored(word_blocks(documents, path), "word-blocks")
-    words = blocks.select(F.sum(F.size("words"))).first()[0] or 0
-    encoded = _encoded(_dealt(blocks, words // BUCKET_WORDS + 1), path)
+    folder = fresh_folder(documents.sparkSession, "word-blocks")
+    characters = documents.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    dealt = stored(word_blocks(documents, path, folder, characters // BUCKET_CHARACTERS + 1), "word-packs")
 
-    def join(block: pa.Table, parts: pa.Table) -> pa.Table:
+    def join(parts: pa.Table) -> pa.Table:
+        from pyarrow import parquet
+
+        system, place = file_system(folder)
+        with system.open_input_file(f"{place}/{parts.column('block')[0].as_py()}") as file:
+            block = parquet.read_table(file)
         return pa.Table.from_batches(_assembled(block, parts), schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
-    return blocks.drop("words").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join, "doc_id bigint, ids binary")
+    return _encoded(dealt, path).groupBy("block").applyInArrow(join, "doc_id bigint, ids binary")
 
 
 def vocabulary(path: str) -> list[bytes | None]:
@@ -218,13 +245,18 @@ def vocabulary(path: str) -> list[bytes | None]:
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """``coded`` with ``decoded``: the text of its ``ids``, special tokens included."""
+    """``coded`` with ``decoded``, the text of its ``ids``, special tokens included, and ``id_text``, the ids in decimal, joined by commas."""
     pieces = coded.sparkSession.sparkContext.broadcast([p or b"" for p in vocabulary(path)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(enumerate(pieces.value))
+        piece = dict(enumerate(pieces.value))
+        shown = [str(i) for i in piece]
         for batch in batches:
-            texts = [b"".join([table.get(i, b"") for i in np.frombuffer(x, dtype="<u4").tolist()]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
-
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+            texts, decimals = [], []
+            for data in batch.column(1).to_pylist():
+                ids = np.frombuffer(data, dtype="<u4").tolist()
+                texts.append(b"".join([piece.get(i, b"") for i in ids]).decode("utf-8", "replace"))
+                decimals.append(",".join([shown[i] if i < len(shown) else str(i) for i in ids]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(decimals, pa.string())], names=["doc_id", "ids", "decoded", "id_text"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded string, id_text string")

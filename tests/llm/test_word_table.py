@@ -34,7 +34,7 @@ def test_words_are_cut_between_tokens(library):
 
 def test_equals_library(spark, make, library, monkeypatch):
     monkeypatch.setattr(word_table, "BLOCK_CHARACTERS", 3000)
-    monkeypatch.setattr(word_table, "BUCKET_WORDS", 50)
+    monkeypatch.setattr(word_table, "BUCKET_CHARACTERS", 9000)
     texts = [None, "", "plain words here", "plain words here", "a <|endoftext|> b", "<|endoftext|>", " lead", "tail ", "two  blanks\n\nand lines\nhere", "naïve 'quoted' don't 12 ½", "字 字。\n字", "w" * 40_000, "x y " * 9000]
     rows = [(k if k else None, t, "en", "s", 1) for k, t in enumerate(texts)] + [(k, t, "en", "s", 1) for k, t in enumerate(texts) if k in (3, 4)]
     out = word_table.decode(word_table.encode(make(rows, DOCS).repartition(3), PATH), PATH).collect()
