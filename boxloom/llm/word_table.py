@@ -17,6 +17,7 @@ empty result; columns besides ``doc_id`` and ``text`` are ignored; ids outside t
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.common import file_system, fresh_folder, stored
 
-BLOCK_WORDS, BLOCK_CHARACTERS = 1_000_000, 64_000_000
+BLOCK_WORDS, BLOCK_CHARACTERS = 500_000, 32_000_000
 BUCKET_CHARACTERS = 12_000_000
 # documents of one result batch hold about this many ids
 BATCH_IDS = 1_000_000
@@ -159,19 +160,25 @@ def word_blocks(documents: DataFrame, path: str, folder: str, buckets: int) -> D
     return rows.mapInArrow(run, "bucket bigint, block string, numbers binary, sizes binary, words binary")
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The library's tokenizer, once a worker; whatever the file says, it neither truncates nor pads."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def _encoded(dealt: DataFrame, path: str) -> DataFrame:
     """Each distinct word of a bucket encoded once: ``block``, ``numbers``, and ``sizes`` and ``ids`` of its words (compressed)."""
 
     def run(table: pa.Table) -> pa.Table:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        # the contract's call has neither, whatever the file says
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(path)
         known, ids, places = _Numbers(), [], []
         spread = zstandard.ZstdDecompressor().decompress
         for sizes, data in zip(table.column("sizes").to_pylist(), table.column("words").to_pylist()):
