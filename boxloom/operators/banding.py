@@ -57,7 +57,7 @@ def batches(items: DataFrame, page_height: int, cap: int = 25, window: int = 640
     The fold sees each y position once with its item count; the items of one position are dealt out by arithmetic.
     """
     banded = vertical_bands(items)
-    ranked = row_numbers(banded, ["page_id", "y"], F.floor(C("x") / 8), [C("x"), C("region_id")], "_j")
+    ranked = row_numbers(banded, ["page_id", "y"], [C("x"), C("region_id")], "_j")
     lines = banded.groupBy("page_id", "band", "y").agg(F.count("*").alias("_k"))
     lists = lines.groupBy("page_id", "band").agg(F.array_sort(F.collect_list(F.struct("y", "_k"))).alias("s"))
     zero = F.struct(F.lit(None).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("b"),

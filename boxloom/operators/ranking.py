@@ -1,24 +1,33 @@
 """Row numbers, running sums and neighbours inside groups, without sending a whole group to one task.
 
-The order is cut into slots: the leading order value, coarsened by the caller.  Rows are counted per
-``(group, slot)`` first (partial aggregation), slot offsets are running sums over those small counts, and only
-the rows of one slot are sorted together.
+Ranks come from range partitions with sampled bounds.  For running sums and neighbours the order is cut into slots: the
+leading order value, coarsened by the caller.  Rows are counted per ``(group, slot)`` first (partial aggregation), slot offsets
+are running sums over those small counts, and only the rows of one slot are sorted together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from boxloom.session import cut_lineage
 
-def row_numbers(df: DataFrame, keys: list[str], slot: Column, order: list[Column], name: str) -> DataFrame:
-    """1-based rank in (slot, order); ``slot`` must be monotone in the wanted order and not null."""
-    slotted = df.withColumn("_slot", slot)
-    sizes = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    joined = slotted.join(offsets, [*keys, "_slot"])
-    return joined.withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_slot", "_before")
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based rank of each row in its group, by ``order`` (whose ties are broken anyhow).
+
+    Rows are dealt to range partitions of (keys, order), whose bounds Spark samples, so a group of any size is cut into pieces
+    that fit a task; the pieces are counted and a running sum over the counts shifts the ranks inside each piece.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    shown = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
+    # the piece of a row must not change when a task runs again
+    dealt = cut_lineage(shown.repartitionByRange(*keys, *names).withColumn("_piece", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*names)
+    joined = dealt.join(offsets, [*keys, "_piece"])
+    return joined.withColumn(name, F.row_number().over(inside) + F.col("_before")).drop("_piece", "_before", *names)
 
 
 def running_sum(df: DataFrame, keys: list[str], slot: Column, order: list[Column], value: Column, name: str) -> DataFrame:

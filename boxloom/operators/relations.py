@@ -125,18 +125,6 @@ def page_relation_counts(regions: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def label_counts(regions: DataFrame, edges: DataFrame) -> DataFrame:
-    """How often each primary label occurs on all pairs of a page, and each secondary label on the near edges.
-
-    Far pairs have no edge; they are disjoint and counted as such from the page sizes.
-    """
-    kinds = ("near_equal", "contains", "contained_by", "overlaps", "disjoint")
-    totals = page_relation_counts(regions, edges).agg(*[F.sum(k).alias(k) for k in kinds])
-    primary = totals.select(F.explode(F.array(*[F.struct(F.lit("primary").alias("family"), F.lit(k).alias("label"), F.coalesce(F.col(k), F.lit(0)).alias("n")) for k in kinds])).alias("l")).select("l.*")
-    near = edges.select(F.lit("near_edge").alias("family"), F.explode("secondary_rels").alias("label")).groupBy("family", "label").agg(F.count("*").alias("n"))
-    return primary.where("n > 0").unionByName(near)
-
-
 def containment_and_text_edges(primitives: DataFrame, tolerance: int = 2, reach: int = 12) -> DataFrame:
     """Directed edges: a larger box around another, or a non-text box near a text box."""
     a, b = box("a_"), box("b_")

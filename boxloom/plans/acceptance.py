@@ -15,8 +15,7 @@ C = F.col
 def union_in_order(overview: DataFrame, tiles: DataFrame) -> DataFrame:
     """Overview boxes first, then tile boxes, each in input order."""
     both = overview.withColumn("_pass", F.lit(0)).unionByName(tiles.withColumn("_pass", F.lit(1)))
-    slot = F.struct("_pass", F.floor(C("region_id") / 1000000).alias("chunk"))
-    return row_numbers(both, ["page_id"], slot, [C("region_id")], "position").drop("_pass")
+    return row_numbers(both, ["page_id"], [C("_pass"), C("region_id")], "position").drop("_pass")
 
 
 def accept(detections: DataFrame, slices: DataFrame, width: int, height: int, max_boxes: int) -> DataFrame:

@@ -47,7 +47,7 @@ def counts_per_project(projects: DataFrame, pages: DataFrame, slices: DataFrame)
 
 def slice_positions(slices: DataFrame) -> DataFrame:
     """Slice order inside a page."""
-    return row_numbers(slices, PAGE, F.floor(C("slice_id") / 1000000), [C("slice_id"), C("x"), C("y"), C("w"), C("h"), C("name")], "position")
+    return row_numbers(slices, PAGE, [C("slice_id"), C("x"), C("y"), C("w"), C("h"), C("name")], "position")
 
 
 def default_names(slices: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def default_names(slices: DataFrame) -> DataFrame:
 
 def reindexed_pages(pages: DataFrame) -> DataFrame:
     """Dense page numbers in the old order."""
-    return row_numbers(pages, ["project_id"], F.floor(C("page_index") / 64), [C("page_index")], "new_index")
+    return row_numbers(pages, ["project_id"], [C("page_index")], "new_index")
 
 
 def next_page_number(pages: DataFrame) -> DataFrame:
@@ -151,8 +151,7 @@ def paint_order(page_w: int, page_h: int, texts: DataFrame, slices: DataFrame) -
     text = texts.select("page_id", F.lit(1).alias("kind_rank"), F.lit("text").alias("kind"), C("line_id").alias("ref_id"), *"xywh")
     cut = slices.select("page_id", F.lit(2).alias("kind_rank"), F.lit("slice").alias("kind"), C("region_id").alias("ref_id"), *"xywh")
     both = rest.unionByName(text).unionByName(cut).select(*cols)
-    slot = F.struct("kind_rank", F.floor(C("ref_id") / 100000000).alias("chunk"))
-    return row_numbers(both, ["page_id"], slot, [C("ref_id")], "paint_order")
+    return row_numbers(both, ["page_id"], [C("kind_rank"), C("ref_id")], "paint_order")
 
 
 def latest(df: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
@@ -167,8 +166,7 @@ def expired_jobs(jobs: DataFrame, keep: int) -> DataFrame:
     """
     excess = jobs.agg(F.greatest(F.lit(0), F.count("*") - keep).alias("excess"))
     finished = jobs.where(C("status").isin("succeeded", "failed", "canceled"))
-    slot = F.to_date("updated_at")
-    ranked = row_numbers(finished.withColumn("_all", F.lit(1)), ["_all"], slot, [C("updated_at"), C("job_id")], "age_rank")
+    ranked = row_numbers(finished.withColumn("_all", F.lit(1)), ["_all"], [C("updated_at"), C("job_id")], "age_rank")
     # a one-row aggregate: its size is fixed
     return ranked.join(F.broadcast(excess.withColumn("_all", F.lit(1))), "_all").where(C("age_rank") <= C("excess")).drop("_all", "excess")
 

@@ -108,8 +108,8 @@ def cleanup_targets(edges: DataFrame) -> DataFrame:
 
 def budget(visible: DataFrame, limit: int) -> DataFrame:
     """Rank of each visible object in the node budget and whether it falls outside."""
-    slot = F.struct(rank_of(C("action"), BUDGET_ORDER, 9).alias("a"), rank_of(C("confidence"), CONFIDENCE_ORDER, 2).alias("c"))
-    ranked = row_numbers(visible, ["page_id"], slot, [C("region_id")], "budget_rank")
+    order = [rank_of(C("action"), BUDGET_ORDER, 9), rank_of(C("confidence"), CONFIDENCE_ORDER, 2), C("region_id")]
+    ranked = row_numbers(visible, ["page_id"], order, "budget_rank")
     return ranked.withColumn("over_budget", C("budget_rank") > limit)
 
 
@@ -132,8 +132,7 @@ def replay_plan(objects: DataFrame, max_visible: int = 260) -> DataFrame:
     plan = acted.join(reasons, PAIR, "left")
     final = F.when(C("why").isNotNull(), "suppress_duplicate").otherwise(C("action"))
     planned = plan.withColumn("final_action", final).withColumn("final_role", F.when(C("why").isNull(), C("role")))
-    slot = rank_of(C("final_action"), PLAN_ORDER, 7)
-    return row_numbers(planned, ["page_id"], slot, [C("region_id")], "position")
+    return row_numbers(planned, ["page_id"], [rank_of(C("final_action"), PLAN_ORDER, 7), C("region_id")], "position")
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def ranked_tokens(uses: DataFrame, value: list[str], order: list[Column] | None
     early = first_per_group(keyed, ["tree_id", "_key"], [C("preorder"), C("part"), C("path")], paths, "_n")
     places = early.groupBy("tree_id", "_key").agg(F.array_sort(F.collect_list(F.struct("_n", "path"))).alias("_p"))
     joined = counts.join(places, ["tree_id", "_key"])
-    ranked = row_numbers(joined, ["tree_id"], -C("count"), order or [C(v) for v in value], "rank")
+    ranked = row_numbers(joined, ["tree_id"], [-C("count"), *(order or [C(v) for v in value])], "rank")
     return ranked.select("tree_id", "rank", *value, "count", confidence_for_count(C("count")).alias("confidence"), C("_p.path").alias("paths"))
 
 
@@ -43,7 +43,7 @@ def text_style_tokens(elements: DataFrame) -> DataFrame:
     key = ["font_family", "font_size", "font_weight", "line_height", "color"]
     uses = elements.where("type = 'text'").select("tree_id", "preorder", F.lit(0).alias("part"), "path", "font_family", "font_size", "font_weight",
                                                   F.lit(None).cast("bigint").alias("line_height"), normal_hex(C("color")).alias("color"))
-    return ranked_tokens(uses, key, [C(c).asc_nulls_first() for c in key])
+    return ranked_tokens(uses, key, [C(c) for c in key])
 
 
 def spacing_tokens(elements: DataFrame) -> DataFrame:

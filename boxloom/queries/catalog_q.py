@@ -127,15 +127,14 @@ def w12(spark, sf_dir):
 @query("t1_projects_by_recency", sql("projects", """
     SELECT user_id, project_id, updated_at, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, project_id) AS position FROM projects"""))
 def t1(spark, sf_dir):
-    slot = -F.unix_date(F.to_date("updated_at"))
-    ranked = row_numbers(fx.projects(spark, sf_dir), ["user_id"], slot, [C("updated_at").desc(), C("project_id")], "position")
+    ranked = row_numbers(fx.projects(spark, sf_dir), ["user_id"], [-F.unix_micros(C("updated_at").cast("timestamp")), C("project_id")], "position")
     return ranked.select("user_id", "project_id", "updated_at", "position")
 
 
 @query("t2_reading_order", sql("regions", """
     SELECT page_id, region_id, row_number() OVER (PARTITION BY page_id ORDER BY y, x, region_id) AS position FROM regions"""))
 def t2(spark, sf_dir):
-    ranked = row_numbers(fx.regions(spark, sf_dir), ["page_id"], C("y"), [C("y"), C("x"), C("region_id")], "position")
+    ranked = row_numbers(fx.regions(spark, sf_dir), ["page_id"], [C("y"), C("x"), C("region_id")], "position")
     return ranked.select("page_id", "region_id", "position")
 
 

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from boxloom.functions.ladders import PRIMITIVE_TYPE, primitive_type
-from boxloom.operators import relations as rel
+from boxloom.operators import all_pairs, relations as rel
 from boxloom.queries.fixture_sql import even, fixture, gap, inside, inter, up
 from boxloom.queries.fixtures import primitives, regions
 from boxloom.queries.registry import query, sql
+from boxloom.session import cut_lineage
 
 _AREA_A, _AREA_B = "(a.w * a.h)::DOUBLE", "(b.w * b.h)::DOUBLE"
 _NEAR = ("least(24, greatest(6, round_even(0.08::DOUBLE * least(greatest(least(a.w, a.h), 8), greatest(least(b.w, b.h), 8)), 0)::BIGINT))")
@@ -48,6 +49,20 @@ fixture("edges", f"""
     WHERE {gap('a', 'b')} <= {_NEAR}""", "regions")
 
 
+fixture("all_edges", f"""
+    SELECT a.page_id, a.region_id AS left_id, b.region_id AS right_id,
+      CASE WHEN {inter('a', 'b')} / {_AREA_A} >= 0.9 AND {inter('a', 'b')} / {_AREA_B} >= 0.9 THEN 'near_equal'
+           WHEN {inter('a', 'b')} / {_AREA_B} >= 0.95 THEN 'contains'
+           WHEN {inter('a', 'b')} / {_AREA_A} >= 0.95 THEN 'contained_by'
+           WHEN {inter('a', 'b')} > 0 THEN 'overlaps' ELSE 'disjoint' END AS primary_rel,
+      {_SECONDARY.replace('near_px', _NEAR).replace('gap <=', gap('a', 'b') + ' <=').replace('align_px', _ALIGN)} AS secondary_rels,
+      {inter('a', 'b')} AS shared_area,
+      {even(inter('a', 'b') + ' / ' + _AREA_A, 6)} AS left_in_right,
+      {even(inter('a', 'b') + ' / ' + _AREA_B, 6)} AS right_in_left,
+      {gap('a', 'b')} AS gap, {_NEAR} AS near_px, {_ALIGN} AS align_px
+    FROM regions a JOIN regions b ON a.page_id = b.page_id AND a.region_id < b.region_id""", "regions")
+
+
 @query("j4_region_relations", sql("edges", """
     SELECT page_id, left_id, right_id, primary_rel, array_to_string(secondary_rels, ',') AS secondary, shared_area,
       left_in_right, right_in_left, gap, near_px, align_px FROM edges"""))
@@ -75,13 +90,20 @@ def j4_page_relation_counts(spark, sf_dir):
     return rel.page_relation_counts(table, rel.region_relations(table))
 
 
-@query("a3_relation_label_counts", sql("edges", """
-    SELECT 'primary' AS family, primary_rel AS label, count(*) AS n FROM edges WHERE primary_rel <> 'disjoint' GROUP BY 2
-    UNION ALL SELECT 'primary', 'disjoint', (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM regions GROUP BY page_id)) - (SELECT count(*) FROM edges WHERE primary_rel <> 'disjoint')
-    UNION ALL SELECT 'near_edge', label, count(*) FROM (SELECT unnest(secondary_rels) AS label FROM edges) GROUP BY 2"""))
+@query("j4_page_label_counts", sql("all_edges", """
+    SELECT page_id, label, count(*) AS n FROM (SELECT page_id, unnest(secondary_rels) AS label FROM all_edges) GROUP BY 1, 2"""))
+def j4_page_label_counts(spark, sf_dir):
+    """How many pairs of each page, near or far, each secondary label holds for."""
+    table = cut_lineage(regions(spark, sf_dir).select("page_id", "region_id", *"xywh"))
+    return all_pairs.secondary_counts(table, rel.region_relations(table))
+
+
+@query("a3_relation_label_counts", sql("all_edges", """
+    SELECT 'primary' AS family, primary_rel AS label, count(*) AS n FROM all_edges GROUP BY 2
+    UNION ALL SELECT 'secondary', label, count(*) FROM (SELECT unnest(secondary_rels) AS label FROM all_edges) GROUP BY 2"""))
 def a3_relation_label_counts(spark, sf_dir):
-    table = regions(spark, sf_dir)
-    return rel.label_counts(table, rel.region_relations(table))
+    table = cut_lineage(regions(spark, sf_dir).select("page_id", "region_id", *"xywh"))
+    return all_pairs.label_counts(table, cut_lineage(rel.region_relations(table)))
 
 
 _SHARE = "(area / 2073600.0)"

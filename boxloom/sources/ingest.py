@@ -89,8 +89,7 @@ def canonical_cases(files: DataFrame, path: Column, content: Column) -> DataFram
     """Every file with the canonical file of its content (smallest path) and the case number of the hash order."""
     hashed = files.select(path.alias("path"), F.sha2(content, 256).alias("hash"))
     cases = hashed.groupBy("hash").agg(F.min("path").alias("canonical"), F.count("*").alias("copies"))
-    # cases are numbered in slots of the leading hash digits, so no task sorts them all
-    numbered = row_numbers(cases.withColumn("_all", F.lit(1)), ["_all"], F.substring("hash", 1, 3), [C("hash")], "case_no").drop("_all")
+    numbered = row_numbers(cases.withColumn("_all", F.lit(1)), ["_all"], [C("hash")], "case_no").drop("_all")
     return hashed.join(numbered, "hash")
 
 

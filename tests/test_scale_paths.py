@@ -1,13 +1,14 @@
 """The paths for very large pages must give what the ordinary ones give, however the input is partitioned."""
 
 import random
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from boxloom.functions import geometry as g
 from boxloom.functions.geometry import Box
-from boxloom.operators import banding, greedy, ranking, spatial
+from boxloom.operators import all_pairs, banding, greedy, ranking, spatial
 from boxloom.operators.graph import components
 
 C = F.col
@@ -88,7 +89,7 @@ def test_row_numbers_match_a_plain_window(spark):
     rows = boxes(150)
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     order = [C("y"), C("x"), C("region_id")]
-    got = {(r.page_id, r.region_id): r.n for r in ranking.row_numbers(df, ["page_id"], F.floor(C("y") / 50), order, "n").collect()}
+    got = {(r.page_id, r.region_id): r.n for r in ranking.row_numbers(df, ["page_id"], order, "n").collect()}
     for page in {r[0] for r in rows}:
         for i, row in enumerate(sorted((b for b in rows if b[0] == page), key=lambda b: (b[3], b[2], b[1])), 1):
             assert got[(page, row[1])] == i
@@ -134,3 +135,95 @@ def test_batches_equal_a_sequential_pass(spark):
             count += 1
             bottom = b[3] + b[5] if bottom is None else max(bottom, b[3] + b[5])
             assert got[(page, b[1])] == batch
+
+
+def plain_labels(a, b):
+    """Labels of a pair by plain arithmetic; a has the lower id."""
+    (_, _, ax, ay, aw, ah, _), (_, _, bx, by, bw, bh, _) = a, b
+    slack = min(12, max(2, round(0.04 * min(max(aw, ah), max(bw, bh)))))
+
+    def alike(p, q):
+        return abs(p - q) <= 2 or abs(p - q) / max(1, p, q) <= 0.08
+
+    out = set()
+    if ax + aw <= bx or bx + bw <= ax:
+        out.add("left_of" if ax + aw <= bx else "right_of")
+    if ay + ah <= by or by + bh <= ay:
+        out.add("above" if ay + ah <= by else "below")
+    for name, p, q in (("aligned_left", ax, bx), ("aligned_center_x", ax + aw / 2, bx + bw / 2), ("aligned_right", ax + aw, bx + bw),
+                       ("aligned_top", ay, by), ("aligned_center_y", ay + ah / 2, by + bh / 2), ("aligned_bottom", ay + ah, by + bh)):
+        if abs(p - q) <= slack:
+            out.add(name)
+    out |= {n for n, ok in (("same_width", alike(aw, bw)), ("same_height", alike(ah, bh)), ("same_size", alike(aw, bw) and alike(ah, bh))) if ok}
+    return out
+
+
+def groups_of(links):
+    lowest = {}
+    for a, b in links:
+        for k in (a, b):
+            lowest.setdefault(k, k)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(lowest[a], lowest[b])
+            changed |= lowest[a] != low or lowest[b] != low
+            lowest[a] = lowest[b] = low
+    return lowest
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counts_and_links_at_any_distance_equal_all_pairs(spark, seed):
+    rows = boxes(170, span=1500, seed=seed)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    pairs = [(a, b, plain_labels(a, b)) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
+    want = Counter((a[0], label) for a, b, labels in pairs for label in labels)
+    counted = all_pairs.alignment_counts(df).unionByName(all_pairs.size_counts(df)).unionByName(all_pairs.flow_counts(df))
+    assert {(r.page_id, r.label): r.n for r in counted.collect()} == want
+    flow, shape = {"left_of", "right_of", "above", "below"}, {"aligned_left", "aligned_center_x", "aligned_right", "aligned_top", "aligned_center_y", "aligned_bottom", "same_width", "same_height"}
+    # fewer boxes that overlap much, so that the links matter
+    for page in {r[0] for r in rows}:
+        edges = [(a[1], b[1]) for a, b, labels in pairs if a[0] == page and labels & flow and labels & shape]
+        links = [(r.left_id, r.right_id) for r in all_pairs.aligned_links(df.where(C("page_id") == page)).collect()]
+        assert set(links) <= set(edges) and groups_of(links) == groups_of(edges)
+
+
+def test_a_row_of_distant_boxes_is_one_group(spark):
+    rows = [(1, i, 400 * i, 100, 40 + 30 * i, 20, 0) for i in range(8)] + [(1, 50, 9000, 5000, 7, 333, 0)]
+    got = {(r.id, r.component) for r in components(all_pairs.aligned_links(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {(i, 0) for i in range(8)}
+
+
+def test_overlapping_aligned_boxes_meet_through_others(spark):
+    # boxes 0 and 1 lie on each other, 2 and 3 too, far below; every one is linked through the other side
+    rows = [(1, 0, 10, 0, 50, 50, 0), (1, 1, 10, 10, 90, 77, 0), (1, 2, 10, 500, 60, 41, 0), (1, 3, 10, 520, 31, 99, 0)]
+    got = {(r.id, r.component) for r in components(all_pairs.aligned_links(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {(i, 0) for i in range(4)}
+
+
+def test_kinds_over_blocks_equal_all_pairs(spark):
+    rows = boxes(200, span=1500, seed=5)
+    numbered = all_pairs.in_blocks(spark.createDataFrame(rows, SCHEMA).repartition(3), ["page_id"])
+    kind = F.when(F.abs(C("a_x") - C("b_x")) <= 9, "line").when(F.pmod(C("a_y") + C("b_y"), F.lit(97)) == 0, "odd").otherwise("rest")
+    got = {(r.page_id, r.kind, r.id): r.component for r in all_pairs.kind_components(numbered, kind, "kind").collect()}
+    want = {}
+    for page in {r[0] for r in rows}:
+        links = {}
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] == page and a[1] < b[1]:
+                    k = "line" if abs(a[2] - b[2]) <= 9 else "odd" if (a[3] + b[3]) % 97 == 0 else "rest"
+                    links.setdefault(k, []).append((a[1], b[1]))
+        want |= {(page, k, i): c for k, ls in links.items() for i, c in groups_of(ls).items()}
+    assert got == want
+
+
+def test_ranks_of_a_skewed_page_are_dealt_out(spark):
+    df = spark.range(40_000).select(F.when(C("id") % 10 == 0, C("id")).otherwise(-1).alias("page_id"), F.pmod(C("id") * 7919, F.lit(40_009)).alias("v"))
+    ranked = ranking.row_numbers(df, ["page_id"], [C("v")], "n")
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("v")))
+    assert ranked.exceptAll(plain).isEmpty() and plain.exceptAll(ranked).isEmpty()
+    # the range partitions cut the page that holds nine tenths of the rows
+    per_task = [len(p) for p in df.repartitionByRange(8, "page_id", "v").rdd.glom().collect()]
+    assert max(per_task) < 3 * sorted(per_task)[len(per_task) // 2]
