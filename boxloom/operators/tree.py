@@ -1,7 +1,13 @@
-"""Trees held as adjacency rows (tree_id, node_id, parent_id, ord)."""
+"""Trees held as adjacency rows (tree_id, node_id, parent_id, ord).
+
+Links are followed by pointer doubling: a row knows an ancestor and what lies between, and joining it with that ancestor's row
+doubles the distance, so the number of rounds is the logarithm of the depth.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxloom.functions.geometry import hull
@@ -10,41 +16,78 @@ from boxloom.session import cut_lineage
 C = F.col
 
 
-def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id") -> DataFrame:
-    """Depth, path, ancestor ids, preorder key and summed offsets of every node, one join per level over all trees.
+def _composed(state: DataFrame, key: str, combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Every row that points at an ancestor takes over what the ancestor's rows know, and points where they point.
 
-    ``abs_x``/``abs_y`` read x and y as relative to the parent; ``marked_depth`` counts ancestors for which ``marked``
-    holds.  A node's ancestor list is as long as its depth.
+    ``combine`` maps a column to a function of (the ancestor's value, the own value).
     """
-    extra = F.coalesce((F.lit(False) if marked is None else marked).cast("int"), F.lit(0))
-    base = cut_lineage(nodes.withColumn("_mark", extra))
-    empty = F.array().cast("array<bigint>")
-    level = base.where(C("parent_id").isNull()).select(
-        *base.columns, F.lit(0).alias("depth"), F.lit(0).alias("marked_depth"), F.lit("root").alias("path"), empty.alias("ancestors"), empty.alias("preorder"),
-        C("x").alias("abs_x"), C("y").alias("abs_y"))
-    found, rest = [], base.where(C("parent_id").isNotNull())
-    while True:
-        level = cut_lineage(level)
-        if level.isEmpty():
+    above = state.select(key, C("node_id").alias("jump"), C("jump").alias("_jump"), *[C(c).alias("_up_" + c) for c in combine])
+    pointing, done = state.where("jump IS NOT NULL"), state.where("jump IS NULL")
+    values = {c: f(C("_up_" + c), C(c)) for c, f in combine.items()}
+    moved = pointing.join(above, [key, "jump"]).select(*[values[c].alias(c) if c in values else C("_jump").alias("jump") if c == "jump" else C(c) for c in state.columns])
+    return done.unionByName(moved)
+
+
+def followed(links: DataFrame, key: str = "tree_id") -> tuple[DataFrame, int]:
+    """(key, node_id, jump, lost) of every node, and the rounds it took.
+
+    ``jump`` is null where a root or a node with a missing parent is above (then ``lost`` names that node); it is not null for
+    nodes on a cycle or below one.
+    """
+    slim = links.select(key, "node_id", "parent_id").distinct()
+    there = slim.select(key, C("node_id").alias("parent_id"), F.lit(True).alias("_there")).distinct()
+    marked = slim.join(there, [key, "parent_id"], "left")
+    missing = C("parent_id").isNotNull() & C("_there").isNull()
+    state = cut_lineage(marked.select(key, "node_id", F.when(~missing, C("parent_id")).alias("jump"), F.when(missing, C("node_id")).alias("lost")))
+    rounds, reach, largest = 0, 1, None
+    while not state.where("jump IS NOT NULL").isEmpty():
+        if largest is None:
+            largest = state.groupBy(key).count().agg(F.max("count")).first()[0]
+        if reach > largest:
             break
-        found.append(level)
-        parents = level.select(
-            key, C("node_id").alias("parent_id"), (C("depth") + 1).alias("depth"), (C("marked_depth") + C("_mark")).alias("marked_depth"),
-            C("path").alias("_path"), C("preorder").alias("_pre"), F.concat("ancestors", F.array("node_id")).alias("ancestors"), C("abs_x").alias("_x"), C("abs_y").alias("_y"))
-        level = rest.join(parents, [key, "parent_id"]).select(
-            *base.columns, "depth", "marked_depth", F.concat("_path", F.lit(".children["), C("ord").cast("string"), F.lit("]")).alias("path"),
-            "ancestors", F.concat("_pre", F.array(C("ord").cast("bigint"))).alias("preorder"), (C("_x") + C("x")).alias("abs_x"), (C("_y") + C("y")).alias("abs_y"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.drop("_mark")
-
-
-def unreached(nodes: DataFrame, walked: DataFrame, key: str = "tree_id") -> DataFrame:
-    """Nodes that a walk from the roots does not meet, with the reason: their parent is missing, or they hang on a cycle."""
-    lost = nodes.join(walked.select(key, "node_id"), [key, "node_id"], "left_anti")
-    there = nodes.select(key, C("node_id").alias("parent_id"), F.lit(True).alias("_there"))
-    return lost.join(there, [key, "parent_id"], "left").withColumn("reason", F.when(C("_there"), "below_a_lost_node_or_cycle").otherwise("missing_parent")).drop("_there")
+        for _ in range(2):
+            state = _composed(state, key, {"lost": lambda up, own: F.coalesce(own, up)}).distinct()
+        state, rounds, reach = cut_lineage(state), rounds + 1, reach * 4
+    return state, rounds
+
+
+def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id", lists: bool = True) -> DataFrame:
+    """Depth, root and summed offsets of every node that hangs on a root, and with ``lists`` its path, ancestor ids and preorder key.
+
+    ``abs_x``/``abs_y`` read x and y as relative to the parent; ``marked_depth`` counts ancestors for which ``marked``
+    holds.  Lists are as long as the depth.  Where an id is repeated in a tree, there is a row for every way to a root; nodes on
+    or below a cycle or a missing parent have none (see ``unreached``).
+    """
+    state, rounds = followed(nodes, key)
+    reached = state.where("jump IS NULL AND lost IS NULL").select(key, "node_id").distinct()
+    mark = F.coalesce((F.lit(False) if marked is None else marked).cast("int"), F.lit(0))
+    root = C("parent_id").isNull()
+    base = nodes.withColumn("_mark", mark).join(reached, [key, "node_id"], "left_semi").withColumns({
+        "jump": C("parent_id"), "depth": F.when(root, 0).otherwise(1), "marked_depth": C("_mark"), "root_id": C("node_id"), "abs_x": C("x"), "abs_y": C("y")})
+
+    def summed(up: Column, own: Column) -> Column:
+        return up + own
+
+    combine = {"depth": summed, "marked_depth": summed, "abs_x": summed, "abs_y": summed, "root_id": lambda up, own: up}
+    if lists:
+        none = F.array().cast("array<bigint>")
+        base = base.withColumns({
+            "path": F.when(root, F.lit("root")).otherwise(F.concat(F.lit(".children["), C("ord").cast("string"), F.lit("]"))),
+            "ancestors": F.array(C("node_id").cast("bigint")), "preorder": F.when(root, none).otherwise(F.array(C("ord").cast("bigint")))})
+        combine |= {"path": F.concat, "ancestors": F.concat, "preorder": F.concat}
+    out = cut_lineage(base)
+    for _ in range(rounds):
+        out = cut_lineage(_composed(_composed(out, key, combine), key, combine))
+    # a node is no ancestor of its own
+    out = out.withColumn("marked_depth", C("marked_depth") - C("_mark"))
+    return (out.withColumn("ancestors", F.slice("ancestors", F.lit(1), C("depth"))) if lists else out).drop("_mark", "jump")
+
+
+def unreached(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
+    """(key, node_id, reason) of nodes that hang on no root: their parent is missing, one above lacks its parent, or a cycle is above."""
+    state, _ = followed(nodes, key)
+    reason = F.when(C("jump").isNotNull(), "on_or_below_a_cycle").when(C("lost") == C("node_id"), "missing_parent").otherwise("below_a_missing_parent")
+    return state.where("jump IS NOT NULL OR lost IS NOT NULL").select(key, "node_id", reason.alias("reason"))
 
 
 def with_children(walked: DataFrame, key: str = "tree_id") -> DataFrame:
@@ -89,28 +132,77 @@ def containers(walked: DataFrame, min_leaves: int = 2, key: str = "tree_id") ->
 def cycle_members(edges: DataFrame) -> DataFrame:
     """(page_id, id) of nodes on a cycle of child -> parent links.
 
-    Nodes without a remaining parent or child are peeled off until nothing changes; a survivor is on a cycle when it
-    reaches itself among the survivors.
+    Nodes with a single parent only pass a way on.  Pointer doubling takes each of them to the first node with several
+    parents; a way that never leaves them ends in a plain cycle, whose nodes are those still pointed at.  The nodes with several
+    parents, linked by those ways, are a small graph whose strongly connected parts are found by colours.  A passing node
+    is on a cycle when the way it lies on leads from a part to itself.
     """
-    live = cut_lineage(edges.select("page_id", C("child_id").alias("src"), C("parent_id").alias("dst")).distinct())
-    size = live.count()
-    while size:
-        heads = live.select("page_id", C("src").alias("id")).distinct()
-        tails = live.select("page_id", C("dst").alias("id")).distinct()
-        both = heads.join(tails, ["page_id", "id"])
-        kept = live.join(both.withColumnRenamed("id", "src"), ["page_id", "src"], "left_semi").join(
-            both.withColumnRenamed("id", "dst"), ["page_id", "dst"], "left_semi")
-        live = cut_lineage(kept)
-        now = live.count()
-        if now == size:
-            break
-        size = now
-    reach = live
+    key = "page_id"
+    links = cut_lineage(edges.select(key, C("child_id").alias("src"), C("parent_id").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    parents = links.groupBy(key, "src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"))
+    single = parents.where("n = 1").select(key, C("src").alias("node_id"), C("dst").alias("jump"))
+    passing = cut_lineage(single)
+    size = passing.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    # ways of 1, 2, 4, ... steps over passing nodes; a way stops at the first node that does not pass
+    ways, reach = [passing], 1
+    while reach < size:
+        step = ways[-1].select(key, C("node_id").alias("jump"), C("jump").alias("_far"))
+        ways.append(cut_lineage(ways[-1].join(step, [key, "jump"], "left").select(key, "node_id", F.coalesce("_far", "jump").alias("jump"))))
+        reach *= 2
+    ends = ways[-1].join(passing.select(key, C("node_id").alias("jump"), F.lit(True).alias("_circles")), [key, "jump"], "left")
+    plain = ends.where("_circles").select(key, C("jump").alias("id")).distinct()
+    # the first node with several parents behind each link of such a node
+    branch = parents.where("n > 1").select(key, "src")
+    out = links.join(branch, [key, "src"], "left_semi")
+    heads = ends.where("_circles IS NULL").select(key, C("node_id").alias("dst"), C("jump").alias("_head"))
+    joined = out.join(heads, [key, "dst"], "left").select(key, "src", "dst", F.coalesce("_head", "dst").alias("head"))
+    joined = cut_lineage(joined.join(branch.withColumnRenamed("src", "head"), [key, "head"], "left_semi"))
+    parts = strong_parts(joined.select(key, "src", C("head").alias("dst")).distinct())
+    one, two = parts.withColumnsRenamed({"id": "src", "part": "_p"}), parts.withColumnsRenamed({"id": "head", "part": "_q"})
+    inner = cut_lineage(joined.join(one, [key, "src"]).join(two, [key, "head"]).where(C("_p") == C("_q")))
+    # every node of the ways that stay in a part: 1, 2, 4, ... steps on from those already known
+    met = inner.select(key, C("dst").alias("node_id")).distinct()
+    for way in ways:
+        met = cut_lineage(met.unionByName(met.join(way, [key, "node_id"]).select(key, C("jump").alias("node_id"))).distinct())
+    on = met.withColumnRenamed("node_id", "id").unionByName(inner.select(key, C("src").alias("id"))).unionByName(plain)
+    return on.distinct()
+
+
+def strong_parts(links: DataFrame) -> DataFrame:
+    """(page_id, id, part) of nodes in a strongly connected part that holds a link; ``part`` is its highest id.
+
+    Nodes without a link in or out are trimmed.  The rest take the highest id that reaches them as colour; the nodes that
+    reach the owner of their colour inside the colour are its part.  Parts leave, and the rest is coloured again.
+    """
+    key = "page_id"
+    live, found = cut_lineage(links.select(key, "src", "dst")), None
     while True:
-        hop = reach.alias("a").join(reach.select("page_id", C("src").alias("dst"), C("dst").alias("far")).alias("b"), ["page_id", "dst"]).select(
-            "page_id", "src", C("far").alias("dst"))
-        grown = cut_lineage(reach.unionByName(hop).distinct())
-        if grown.count() == reach.count():
+        count = -1
+        while count != (count := live.count()):
+            heads, tails = live.select(key, C("dst").alias("src")).distinct(), live.select(key, C("src").alias("dst")).distinct()
+            live = cut_lineage(live.join(heads, [key, "src"], "left_semi").join(tails, [key, "dst"], "left_semi"))
+        if not count:
             break
-        reach = grown
-    return reach.where(C("src") == C("dst")).select("page_id", C("src").alias("id")).distinct()
+        ids = live.select(key, C("src").alias("id")).unionByName(live.select(key, C("dst").alias("id"))).distinct()
+        colour, total = cut_lineage(ids.withColumn("c", C("id"))), None
+        while True:
+            passed = live.join(colour.withColumnsRenamed({"id": "src"}), [key, "src"]).select(key, C("dst").alias("id"), "c")
+            colour = cut_lineage(colour.unionByName(passed).groupBy(key, "id").agg(F.max("c").alias("c")))
+            now = colour.agg(F.sum(C("c").cast("decimal(38,0)"))).first()[0]
+            if now == total:
+                break
+            total = now
+        part, size = cut_lineage(colour.where(C("id") == C("c"))), -1
+        while size != (size := part.count()):
+            back = live.join(part.withColumnsRenamed({"id": "dst"}), [key, "dst"]).select(key, C("src").alias("id"), "c").join(colour, [key, "id", "c"], "left_semi")
+            part = cut_lineage(part.unionByName(back).distinct())
+        # a node alone is a part only with a link to itself
+        many = part.groupBy(key, "c").agg(F.count("*").alias("n"))
+        loops = live.where(C("src") == C("dst")).select(key, C("src").alias("id"), F.lit(True).alias("_loop")).distinct()
+        good = part.join(many, [key, "c"]).join(loops, [key, "id"], "left").where("n > 1 OR _loop").select(key, "id", C("c").alias("part"))
+        found = good if found is None else found.unionByName(good)
+        gone = part.select(key, C("id").alias("src"))
+        live = cut_lineage(live.join(gone, [key, "src"], "left_anti").join(gone.withColumnRenamed("src", "dst"), [key, "dst"], "left_anti"))
+    if found is None:
+        return links.select(key, C("src").alias("id"), C("src").alias("part")).where(F.lit(False))
+    return found

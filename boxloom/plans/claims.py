@@ -102,8 +102,8 @@ def crop_owners(layers: DataFrame, page_w: int, page_h: int) -> DataFrame:
                         F.when(C("twin").isNotNull(), "same_region_duplicate").otherwise("internal_fragment_covered_by_component_crop").alias("reason"))
     linked = layers.select(*KEY, "x", "y", "w", "h").join(owner, KEY, "left").select(
         C("page_id").alias("tree_id"), C("region_id").alias("node_id"), C("owner_id").alias("parent_id"), "reason", F.lit(0).alias("ord"), "x", "y", "w", "h")
-    followed = walk(linked).where("parent_id IS NOT NULL")
-    return followed.select(C("tree_id").alias("page_id"), C("node_id").alias("region_id"), C("parent_id").alias("owner_id"), "reason", F.get("ancestors", 0).alias("root_id"))
+    found = walk(linked, lists=False).where("parent_id IS NOT NULL")
+    return found.select(C("tree_id").alias("page_id"), C("node_id").alias("region_id"), C("parent_id").alias("owner_id"), "reason", "root_id")
 
 
 def replaced_parents(parents: DataFrame, crops: DataFrame, tolerance: int = 3) -> DataFrame:

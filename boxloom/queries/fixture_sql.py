@@ -92,12 +92,12 @@ def _trees(arity: int) -> str:
     return f"""
         SELECT tree_id, node_id, CASE WHEN node_id = 1 THEN NULL ELSE (node_id - 2) // {arity} + 1 END AS parent_id,
           CASE WHEN node_id = 1 THEN 0 ELSE (node_id - 2) % {arity} END AS ord,
-          CASE WHEN {arity} * (node_id - 1) + 2 <= n_nodes THEN 'frame' WHEN (tree_id + node_id) % 2 = 0 THEN 'text'
+          CASE WHEN {arity} * (node_id - 1) + 2 <= n_nodes THEN 'frame' WHEN size % 2 = 0 THEN 'text'
             ELSE 'image' END AS type,
-          12 * ((tree_id * 7 + node_id * 37) % 75) AS x, 24 * ((tree_id * 5 + node_id * 29) % 70) AS y,
-          8 * (1 + (node_id * 11 + tree_id) % 20) AS w, 8 * (1 + (node_id * 7 + tree_id) % 12) AS h
-        FROM (SELECT doc_id AS tree_id, 1 + n_chars % 60 AS n_nodes, unnest(range(1, 2 + n_chars % 60)) AS node_id
-              FROM documents)"""
+          12 * ((size * 7 + node_id * 37) % 75) AS x, 24 * ((size * 5 + node_id * 29) % 70) AS y,
+          8 * (1 + (node_id * 11 + size) % 20) AS w, 8 * (1 + (node_id * 7 + size) % 12) AS h
+        FROM (SELECT doc_id AS tree_id, len(parts) AS n_nodes, unnest(range(1, len(parts) + 1)) AS node_id, length(unnest(parts)) AS size
+              FROM (SELECT doc_id, list_filter(string_split_regex(text, '[.\n]+'), lambda s: trim(s) <> '') AS parts FROM documents))"""
 
 
 FIXTURE_SQL["trees"] = _trees(3)

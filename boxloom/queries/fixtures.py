@@ -123,18 +123,19 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf_dir: str, arity: int = 3) -> DataFrame:
-    """One layout tree per document; node 1 is the root."""
-    nodes = table(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS tree_id", "1 + n_chars % 60 AS n_nodes", "explode(sequence(1L, 1 + n_chars % 60)) AS node_id"
+    """One layout tree per document, one node per sentence or line of its text; node 1 is the root."""
+    parts = table(spark, sf_dir, "documents").selectExpr("doc_id AS tree_id", "filter(split(text, '[.\\n]+'), s -> trim(s) <> '') AS parts")
+    nodes = parts.selectExpr("tree_id", "CAST(size(parts) AS BIGINT) AS n_nodes", "posexplode(parts) AS (pos, part)").selectExpr(
+        "tree_id", "n_nodes", "pos + 1L AS node_id", "CAST(length(part) AS BIGINT) AS size"
     )
     return nodes.selectExpr(
         "tree_id", "node_id",
         f"CASE WHEN node_id = 1 THEN NULL ELSE (node_id - 2) div {arity} + 1 END AS parent_id",
         f"CASE WHEN node_id = 1 THEN 0L ELSE (node_id - 2) % {arity} END AS ord",
-        f"CASE WHEN {arity} * (node_id - 1) + 2 <= n_nodes THEN 'frame' WHEN (tree_id + node_id) % 2 = 0 "
+        f"CASE WHEN {arity} * (node_id - 1) + 2 <= n_nodes THEN 'frame' WHEN size % 2 = 0 "
         "THEN 'text' ELSE 'image' END AS type",
-        "12 * ((tree_id * 7 + node_id * 37) % 75) AS x", "24 * ((tree_id * 5 + node_id * 29) % 70) AS y",
-        "8 * (1 + (node_id * 11 + tree_id) % 20) AS w", "8 * (1 + (node_id * 7 + tree_id) % 12) AS h",
+        "12 * ((size * 7 + node_id * 37) % 75) AS x", "24 * ((size * 5 + node_id * 29) % 70) AS y",
+        "8 * (1 + (node_id * 11 + size) % 20) AS w", "8 * (1 + (node_id * 7 + size) % 12) AS h",
     )
 
 

@@ -24,8 +24,8 @@ fixture("walked", _walk_sql("trees").format(me="walked"), "trees")
 fixture("walked4", _walk_sql("trees4").format(me="walked4"), "trees4")
 
 
-def walked(spark, sf_dir, arity=3):
-    return tr.walk(fx.trees(spark, sf_dir, arity), (C("type") == "frame") & (C("node_id") % 2 == 0))
+def walked(spark, sf_dir, arity=3, lists=True):
+    return tr.walk(fx.trees(spark, sf_dir, arity), (C("type") == "frame") & (C("node_id") % 2 == 0), lists=lists)
 
 
 @query("src9_flatten_tree", sql("walked", "SELECT tree_id, node_id, parent_id, depth, path FROM walked", recursive=True))
@@ -35,7 +35,7 @@ def src9(spark, sf_dir):
 
 @query("src10_absolute_coordinates", sql("walked", "SELECT tree_id, node_id, abs_x, abs_y, w, h FROM walked", recursive=True))
 def src10(spark, sf_dir):
-    return walked(spark, sf_dir).select("tree_id", "node_id", "abs_x", "abs_y", "w", "h")
+    return walked(spark, sf_dir, lists=False).select("tree_id", "node_id", "abs_x", "abs_y", "w", "h")
 
 
 def _facts_sql(walk):
@@ -57,7 +57,7 @@ def g4(spark, sf_dir):
 
 @query("g4_marked_depth", sql("walked", "SELECT tree_id, node_id, depth, frames_above FROM walked", recursive=True))
 def g4_marked(spark, sf_dir):
-    return walked(spark, sf_dir).select("tree_id", "node_id", "depth", C("marked_depth").alias("frames_above"))
+    return walked(spark, sf_dir, lists=False).select("tree_id", "node_id", "depth", C("marked_depth").alias("frames_above"))
 
 
 fixture("sized", """
@@ -78,7 +78,7 @@ def _metrics_sql(sized):
 
 @query("a19_tree_metrics", sql("sized", _metrics_sql("sized"), recursive=True))
 def a19(spark, sf_dir):
-    return tr.tree_metrics(walked(spark, sf_dir))
+    return tr.tree_metrics(walked(spark, sf_dir, lists=False))
 
 
 _CMP = f"""
@@ -202,20 +202,35 @@ def g5(spark, sf_dir):
     """Parent links of slices with their depth; no depth cap applies."""
     linked = m.smallest_parents(fx.slices(spark, sf_dir)).select(
         C("page_id").alias("tree_id"), C("region_id").alias("node_id"), "parent_id", F.lit(0).alias("ord"), C("rel_x").alias("x"), C("rel_y").alias("y"), "w", "h")
-    return tr.walk(linked).select(C("tree_id").alias("page_id"), C("node_id").alias("region_id"), (C("depth") + 1).alias("depth"))
+    return tr.walk(linked, lists=False).select(C("tree_id").alias("page_id"), C("node_id").alias("region_id"), (C("depth") + 1).alias("depth"))
 
 
 
 
 @query("g17_tree_checks", sql("", """
-    WITH RECURSIVE l AS (SELECT DISTINCT user_id % 10 AS page_id, user_id % 60 AS child_id, ((user_id % 60) * 7 + (user_id % 10) * 3) % 80 AS parent_id FROM events),
+    WITH RECURSIVE l AS (SELECT event_id // 50 AS page_id, event_id % 50 AS child_id, (event_id % 50 * 7 + user_id % 10 * 3) % 60 AS parent_id FROM events
+      UNION SELECT event_id // 50, event_id % 50, (event_id + 1) % 50 FROM events WHERE event_type = 'error' AND user_id % 3 = 0),
     r AS (SELECT page_id, child_id AS src, parent_id AS dst FROM l UNION SELECT r.page_id, r.src, l.parent_id FROM r JOIN l ON r.page_id = l.page_id AND r.dst = l.child_id)
     SELECT page_id, child_id AS id, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.page_id = l.page_id AND r.src = r.dst AND r.src = l.child_id) THEN 'cycle'
       WHEN NOT EXISTS (SELECT 1 FROM l p WHERE p.page_id = l.page_id AND p.child_id = l.parent_id) THEN 'root' ELSE 'ok' END AS state FROM l"""))
 def g17(spark, sf_dir):
+    """Fifty events make a proposed grouping; each names a parent, some of them two, and some parents are unknown."""
+    events = fx.table(spark, sf_dir, "events")
+    links = events.selectExpr("event_id div 50 AS page_id", "event_id % 50 AS child_id", "(event_id % 50 * 7 + user_id % 10 * 3) % 60 AS parent_id")
+    second = events.where("event_type = 'error' AND user_id % 3 = 0").selectExpr("event_id div 50 AS page_id", "event_id % 50 AS child_id", "(event_id + 1) % 50 AS parent_id")
+    return ev.tree_states(links.unionByName(second).distinct())
+
+
+@query("g17_unreached_nodes", sql("", """
+    WITH RECURSIVE l AS (SELECT event_id // 50 AS page_id, event_id % 50 AS node_id, CASE WHEN event_id % 50 < 4 THEN NULL ELSE (event_id % 50 * 7 + user_id % 10 * 3) % 55 END AS parent_id FROM events),
+    up AS (SELECT page_id, node_id, node_id AS at, parent_id, 0 AS n FROM l UNION ALL SELECT u.page_id, u.node_id, l.node_id, l.parent_id, n + 1 FROM up u JOIN l ON u.page_id = l.page_id AND u.parent_id = l.node_id WHERE n < 60),
+    top AS (SELECT page_id, node_id, max(n) AS n, arg_max(parent_id, n) AS last, bool_or(parent_id IS NULL) AS rooted FROM up GROUP BY 1, 2)
+    SELECT page_id, node_id, CASE WHEN n >= 60 THEN 'on_or_below_a_cycle' WHEN n = 0 THEN 'missing_parent' ELSE 'below_a_missing_parent' END AS reason FROM top WHERE NOT rooted"""))
+def g17_unreached(spark, sf_dir):
+    """Members of a proposed grouping that hang on no root, and why."""
     links = fx.table(spark, sf_dir, "events").selectExpr(
-        "user_id % 10 AS page_id", "user_id % 60 AS child_id", "((user_id % 60) * 7 + (user_id % 10) * 3) % 80 AS parent_id").distinct()
-    return ev.tree_states(links)
+        "event_id div 50 AS page_id", "event_id % 50 AS node_id", "CASE WHEN event_id % 50 < 4 THEN NULL ELSE (event_id % 50 * 7 + user_id % 10 * 3) % 55 END AS parent_id")
+    return tr.unreached(links, "page_id")
 
 
 @query("g17_batch_check", sql("cases", """
