@@ -1,14 +1,15 @@
 """Order-dependent selection: greedy suppression, ordered claims and one-to-one matching.
 
-A conflict join (grid based) first finds the pairs that matter; only those pairs are resolved.  Two ways give the same
-answer: pages with few pairs are folded in one pass, pages with many are resolved in rounds of joins, so no page, whatever
-its size, has to fit into one task.
+A conflict join (grid based) first finds the pairs that matter; only those pairs are resolved.  The pairs of a cell pass
+through a task once, in rank order, and what they decide is all that is remembered; a page larger than a cell is resolved by its
+cells side by side, and decisions that cross a border go into the next round.  The work is linear in the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxloom.functions.geometry import Box, box
@@ -17,67 +18,90 @@ from boxloom.session import cut_lineage
 
 C = F.col
 
-# pairs of one page that a single task may fold
-FOLD_LIMIT = 4000
+# side of a cell in pixels: ordinary pages are one cell
+CELL_SPAN = 4096
+
+
+def _cell(b: Box, span: int) -> Column:
+    """Number of the cell that holds the box's top left corner."""
+    return (F.floor(b.x / span) * 1_000_003 + F.floor(b.y / span)).cast("bigint")
 
 
 def conflict_edges(items: DataFrame, order: list[Column], conflict: Callable[[Box, Box], Column], carry: tuple[str, ...] = (),
-                   extra: Column | None = None, margin: int = 0, ident: str = "region_id") -> DataFrame:
-    """(page, rank, first, second): ``first`` precedes ``second`` and, if kept, rules it out.
+                   extra: Column | None = None, margin: int = 0, ident: str = "region_id", span: int = CELL_SPAN) -> DataFrame:
+    """(page, rank, first, second, cells of both): ``first`` precedes ``second`` and, if kept, rules it out.
 
     ``conflict(kept, candidate)`` compares boxes; ``extra`` may use the carried columns as ``a_*`` (kept) and ``b_*``.
     """
     slim = items.select("page_id", ident, "x", "y", "w", "h", *carry, F.struct(*order, C(ident).alias("_id")).alias("rank"))
     on = (C("a_rank") < C("b_rank")) & conflict(box("a_"), box("b_"))
     pairs = near_pairs(slim, slim, on if extra is None else on & extra, margin)
-    return pairs.select("page_id", C("a_rank").alias("rank"), C("a_" + ident).alias("first"), C("b_" + ident).alias("second"))
-
-
-def _split(pairs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of small pages, and those of large pages where there are any."""
-    sizes = pairs.groupBy("page_id").count().where(C("count") > limit).select("page_id")
-    if sizes.isEmpty():
-        return pairs, None
-    return pairs.join(sizes, "page_id", "left_anti"), pairs.join(sizes, "page_id", "left_semi")
-
-
-def suppressed(edges: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
-    """(page_id, id) of everything ruled out when items are taken in rank order."""
-    edges = cut_lineage(edges)
-    small, large = _split(edges, limit)
-    gathered = small.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rank", "first", "second"))).alias("e"))
-
-    def step(out: Column, e: Column) -> Column:
-        skip = F.array_contains(out, e["first"]) | F.array_contains(out, e["second"])
-        return F.when(skip, out).otherwise(F.concat(out, F.array(e["second"])))
-
-    folded = gathered.select("page_id", F.explode(F.aggregate("e", F.array().cast("array<bigint>"), step)).alias("id"))
-    if large is None:
-        return folded
-    return folded.unionByName(_suppressed_in_rounds(large))
-
-
-def _suppressed_in_rounds(edges: DataFrame) -> DataFrame:
-    """Decide everything without an undecided predecessor, drop what it rules out, repeat."""
-    open_edges = cut_lineage(edges.select("page_id", "first", "second"))
-    out = None
-    while not open_edges.isEmpty():
-        heads = open_edges.select("page_id", C("first").alias("id")).distinct()
-        tails = open_edges.select("page_id", C("second").alias("id")).distinct()
-        kept = heads.join(tails, ["page_id", "id"], "left_anti")
-        hit = open_edges.join(kept.withColumnRenamed("id", "first"), ["page_id", "first"], "left_semi")
-        gone = cut_lineage(hit.select("page_id", C("second").alias("id")).distinct())
-        rest = open_edges.join(gone.withColumnRenamed("id", "second"), ["page_id", "second"], "left_anti")
-        open_edges = cut_lineage(rest.join(gone.withColumnRenamed("id", "first"), ["page_id", "first"], "left_anti"))
+    return pairs.select("page_id", C("a_rank").alias("rank"), C("a_" + ident).alias("first"), C("b_" + ident).alias("second"),
+                        _cell(box("a_"), span).alias("cell"), _cell(box("b_"), span).alias("other_cell"))
+
+
+# what a pass says of an edge: its second item goes, or its first item is not decided yet
+GOES, WAITS = 1, 2
+
+
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one cell after another, in rank order: page_id, cell, first, second, inner, blocked come first."""
+    at, gone, waiting = None, set(), set()
+    for batch in batches:
+        outcome = []
+        for page, cell, first, second, inner, blocked in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if (page, cell) != at:
+                at, gone, waiting = (page, cell), set(), set()
+            if first in gone:
+                outcome.append(0)
+            elif blocked or first in waiting:
+                outcome.append(WAITS)
+                if inner and second not in gone:
+                    waiting.add(second)
+            else:
+                outcome.append(GOES)
+                if inner:
+                    gone.add(second)
+                    waiting.discard(second)
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(outcome, pa.int32())], names=[*batch.schema.names, "outcome"])
+        yield out.filter(pa.array([o > 0 for o in outcome], pa.bool_()))
+
+
+def suppressed(edges: DataFrame) -> DataFrame:
+    """(page_id, id) of everything ruled out when items are taken in rank order.
+
+    ``rank`` is that of ``first``, which precedes ``second``.  Edges without cells have one cell a page.  An item waits while an
+    edge from another cell, whose first item is not decided, points at it; the lowest waiting item of a page never does for
+    long, so every round decides some, and all of them where no edge crosses a border.
+    """
+    crossing = "cell" in edges.columns
+    cells = [C("cell"), C("other_cell")] if crossing else [F.lit(0).cast("bigint").alias(c) for c in ("cell", "other_cell")]
+    left, out = cut_lineage(edges.select("page_id", "rank", "first", "second", *cells)), None
+    while True:
+        inner = C("cell") == C("other_cell")
+        if crossing:
+            blocked = left.where(~inner).select("page_id", C("second").alias("first"), F.lit(True).alias("_blocked")).distinct()
+            flagged = left.join(blocked, ["page_id", "first"], "left").withColumn("blocked", C("_blocked").isNotNull())
+        else:
+            flagged = left.withColumn("blocked", F.lit(False))
+        rows = flagged.select("page_id", "cell", "first", "second", inner.alias("inner"), "blocked", "rank", "other_cell")
+        ordered = rows.repartition("page_id", "cell").sortWithinPartitions("page_id", "cell", "rank", "first", "second")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", outcome int"
+        done = cut_lineage(ordered.mapInArrow(_passed, schema))
+        gone = done.where(C("outcome") == GOES).select("page_id", C("second").alias("id")).distinct()
         out = gone if out is None else out.unionByName(gone)
-    return out
+        if not crossing or done.where(C("outcome") == WAITS).isEmpty():
+            return out.distinct()
+        rest = done.where(C("outcome") == WAITS).select(*left.columns)
+        rest = rest.join(gone.withColumnRenamed("id", "second"), ["page_id", "second"], "left_anti")
+        left = cut_lineage(rest.join(gone.withColumnRenamed("id", "first"), ["page_id", "first"], "left_anti").select(*left.columns))
 
 
 def keep_greedily(items: DataFrame, order: list[Column], conflict: Callable[[Box, Box], Column], carry: tuple[str, ...] = (),
-                  extra: Column | None = None, ident: str = "region_id", limit: int = FOLD_LIMIT) -> DataFrame:
+                  extra: Column | None = None, ident: str = "region_id", span: int = CELL_SPAN) -> DataFrame:
     """Items that survive when each is kept unless an earlier kept one conflicts with it."""
-    edges = conflict_edges(items, order, conflict, carry, extra, ident=ident)
-    return items.join(suppressed(edges, limit).withColumnRenamed("id", ident), ["page_id", ident], "left_anti")
+    edges = conflict_edges(items, order, conflict, carry, extra, ident=ident, span=span)
+    return items.join(suppressed(edges).withColumnRenamed("id", ident), ["page_id", ident], "left_anti")
 
 
 def first_owner(kept: DataFrame, dropped: DataFrame, order: list[Column], conflict: Callable[[Box, Box], Column],
@@ -92,37 +116,27 @@ def first_owner(kept: DataFrame, dropped: DataFrame, order: list[Column], confli
     return best.select("page_id", "region_id", "o.*")
 
 
-def match_one_to_one(pairs: DataFrame, limit: int = FOLD_LIMIT) -> DataFrame:
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one page after another, in rank order, that find both sides free: page_id, left_id, right_id come first."""
+    at, lefts, rights = None, set(), set()
+    for batch in batches:
+        free = []
+        for page, left, right in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if page != at:
+                at, lefts, rights = page, set(), set()
+            free.append(left not in lefts and right not in rights)
+            if free[-1]:
+                lefts.add(left)
+                rights.add(right)
+        yield batch.filter(pa.array(free, pa.bool_()))
+
+
+def match_one_to_one(pairs: DataFrame) -> DataFrame:
     """Each left item, in ``left_rank`` order, takes the best right item not taken before it.
 
-    ``pairs`` holds page_id, left_rank, left_id, right_id, score; ties go to the lower right id.
+    ``pairs`` holds page_id, left_rank, left_id, right_id, score; ties go to the lower right id.  The pairs of a page pass through
+    a task once, which remembers the items taken.
     """
-    pairs = cut_lineage(pairs.select("page_id", F.struct("left_rank", (-C("score")).alias("neg"), "right_id").alias("rank"),
-                                     "left_id", "right_id", "score"))
-    small, large = _split(pairs, limit)
-    gathered = small.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rank", "left_id", "right_id", "score"))).alias("p"))
-    empty = F.array().cast("array<struct<left_id:bigint,right_id:bigint,score:double>>")
-
-    def step(taken: Column, p: Column) -> Column:
-        used = F.exists(taken, lambda t: (t["left_id"] == p["left_id"]) | (t["right_id"] == p["right_id"]))
-        row = F.struct(p["left_id"].alias("left_id"), p["right_id"].alias("right_id"), p["score"].alias("score"))
-        return F.when(used, taken).otherwise(F.concat(taken, F.array(row)))
-
-    folded = gathered.select("page_id", F.explode(F.aggregate("p", empty, step)).alias("m")).select("page_id", "m.*")
-    if large is None:
-        return folded
-    return folded.unionByName(_matched_in_rounds(large))
-
-
-def _matched_in_rounds(pairs: DataFrame) -> DataFrame:
-    """Take every pair that comes first for both its sides, drop pairs touching them, repeat."""
-    left, right = ["page_id", "left_id"], ["page_id", "right_id"]
-    rest, out = cut_lineage(pairs), None
-    while not rest.isEmpty():
-        by_left = rest.groupBy(*left).agg(F.min("rank").alias("l_first"))
-        by_right = rest.groupBy(*right).agg(F.min("rank").alias("r_first"))
-        taken = cut_lineage(rest.join(by_left, left).join(by_right, right).where(
-            (C("rank") == C("l_first")) & (C("rank") == C("r_first"))).select("page_id", "left_id", "right_id", "score"))
-        rest = cut_lineage(rest.join(taken.select(*left), left, "left_anti").join(taken.select(*right), right, "left_anti"))
-        out = taken if out is None else out.unionByName(taken)
-    return out
+    rows = pairs.select("page_id", "left_id", "right_id", "score", "left_rank", (-C("score")).alias("neg"))
+    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "left_rank", "neg", "right_id").select("page_id", "left_id", "right_id", "score")
+    return ordered.mapInArrow(_matched, ordered.schema)

@@ -54,20 +54,30 @@ def py_greedy(rows, limit):
     return {k[1] for k in kept}
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_fold_and_rounds_agree_with_sequential_greedy(spark, limit):
+@pytest.mark.parametrize("span", [4096, 120, 25])
+def test_cells_agree_with_sequential_greedy(spark, span):
     rows = boxes(220, span=300)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    kept = greedy.keep_greedily(df, [(-C("score")).alias("s")], lambda k, c: g.iou(k, c) > 0.2, limit=limit)
+    kept = greedy.keep_greedily(df, [(-C("score")).alias("s")], lambda k, c: g.iou(k, c) > 0.2, span=span)
     assert {r.region_id for r in kept.collect()} == py_greedy(rows, 0.2)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_one_to_one_matching(spark, limit):
+def test_a_chain_of_ten_thousand_conflicts(spark, monkeypatch):
+    cuts, original = [], greedy.cut_lineage
+    monkeypatch.setattr(greedy, "cut_lineage", lambda df: cuts.append(1) or original(df))
+    items = spark.range(10_000).select(F.lit(1).cast("bigint").alias("page_id"), C("id").alias("region_id"), (C("id") * 6).alias("x"), F.lit(0).cast("bigint").alias("y"),
+                                       F.lit(10).cast("bigint").alias("w"), F.lit(10).cast("bigint").alias("h"))
+    kept = greedy.keep_greedily(items, [C("region_id").alias("o")], lambda k, c: g.overlap(k, c) > 0)
+    assert kept.count() == 5000 and kept.where("region_id % 2 = 1").isEmpty()
+    # one round for each of the 15 cells that the chain runs through at most
+    assert len(cuts) <= 2 * 16
+
+
+def test_one_to_one_matching(spark):
     r = random.Random(5)
     pairs = [(0, a, a, b, round(r.random(), 3)) for a in range(12) for b in range(12) if r.random() < 0.4]
     df = spark.createDataFrame(pairs, "page_id bigint, left_rank bigint, left_id bigint, right_id bigint, score double")
-    got = {(x.left_id, x.right_id) for x in greedy.match_one_to_one(df, limit).collect()}
+    got = {(x.left_id, x.right_id) for x in greedy.match_one_to_one(df).collect()}
     used, want = set(), set()
     for a in range(12):
         free = sorted((-s, b) for _, _, l, b, s in pairs if l == a and b not in used)
