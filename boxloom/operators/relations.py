@@ -67,8 +67,8 @@ def _similar(p: Column, q: Column, o: RelationOptions) -> Column:
     return (diff <= o.size_abs) | (diff / F.greatest(F.lit(1), F.greatest(p, q)) <= o.size_ratio)
 
 
-def secondary_relations(a: Box, b: Box, o: RelationOptions = RelationOptions()) -> Column:
-    """All geometric labels that hold, in the fixed label order."""
+def secondary_conditions(a: Box, b: Box, o: RelationOptions = RelationOptions()) -> dict[str, Column]:
+    """The condition of each geometric label, in the fixed label order."""
     slack = align_threshold(a, b, o)
     left, above = a.x2 <= b.x, a.y2 <= b.y
     same_w, same_h = _similar(a.w, b.w, o), _similar(a.h, b.h, o)
@@ -79,7 +79,12 @@ def secondary_relations(a: Box, b: Box, o: RelationOptions = RelationOptions())
         F.abs(a.y - b.y) <= slack, F.abs(a.cy - b.cy) <= slack, F.abs(a.y2 - b.y2) <= slack,
         same_w, same_h, same_w & same_h,
     )
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in zip(holds, SECONDARY_LABELS)]))
+    return dict(zip(SECONDARY_LABELS, holds))
+
+
+def secondary_relations(a: Box, b: Box, o: RelationOptions = RelationOptions()) -> Column:
+    """All geometric labels that hold, in the fixed label order."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in secondary_conditions(a, b, o).items()]))
 
 
 def region_relations(regions: DataFrame, options: RelationOptions = RelationOptions(),

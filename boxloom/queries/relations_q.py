@@ -90,11 +90,16 @@ def j4_page_relation_counts(spark, sf_dir):
     return rel.page_relation_counts(table, rel.region_relations(table))
 
 
+def dealt(spark, sf_dir):
+    """Boxes dealt out and stored: the given table may be a single split."""
+    return cut_lineage(regions(spark, sf_dir).select("page_id", "region_id", *"xywh").repartition("page_id", "region_id"))
+
+
 @query("j4_page_label_counts", sql("all_edges", """
     SELECT page_id, label, count(*) AS n FROM (SELECT page_id, unnest(secondary_rels) AS label FROM all_edges) GROUP BY 1, 2"""))
 def j4_page_label_counts(spark, sf_dir):
     """How many pairs of each page, near or far, each secondary label holds for."""
-    table = cut_lineage(regions(spark, sf_dir).select("page_id", "region_id", *"xywh"))
+    table = dealt(spark, sf_dir)
     return all_pairs.secondary_counts(table, rel.region_relations(table))
 
 
@@ -102,7 +107,7 @@ def j4_page_label_counts(spark, sf_dir):
     SELECT 'primary' AS family, primary_rel AS label, count(*) AS n FROM all_edges GROUP BY 2
     UNION ALL SELECT 'secondary', label, count(*) FROM (SELECT unnest(secondary_rels) AS label FROM all_edges) GROUP BY 2"""))
 def a3_relation_label_counts(spark, sf_dir):
-    table = cut_lineage(regions(spark, sf_dir).select("page_id", "region_id", *"xywh"))
+    table = dealt(spark, sf_dir)
     return all_pairs.label_counts(table, cut_lineage(rel.region_relations(table)))
 
 

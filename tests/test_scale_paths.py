@@ -184,13 +184,17 @@ def groups_of(links):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_counts_and_links_at_any_distance_equal_all_pairs(spark, seed):
+def test_counts_and_links_at_any_distance_equal_all_pairs(spark, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(all_pairs, "BLOCK", 4)
     rows = boxes(170, span=1500, seed=seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     pairs = [(a, b, plain_labels(a, b)) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
     want = Counter((a[0], label) for a, b, labels in pairs for label in labels)
     counted = all_pairs.alignment_counts(df).unionByName(all_pairs.size_counts(df)).unionByName(all_pairs.flow_counts(df))
     assert {(r.page_id, r.label): r.n for r in counted.collect()} == want
+    every = all_pairs.secondary_counts(df, df.select("page_id").limit(0))
+    assert {(r.page_id, r.label): r.n for r in every.collect()} == want
     flow, shape = {"left_of", "right_of", "above", "below"}, {"aligned_left", "aligned_center_x", "aligned_right", "aligned_top", "aligned_center_y", "aligned_bottom", "same_width", "same_height"}
     # fewer boxes that overlap much, so that the links matter
     for page in {r[0] for r in rows}:

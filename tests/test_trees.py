@@ -23,7 +23,7 @@ def test_a_chain_of_ten_thousand(spark, monkeypatch):
     assert len(cuts) <= 2 * (ceil(log2(n) / 2) + 1)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_walk_and_lost_nodes_equal_a_traversal(spark, seed):
     r, rows = random.Random(seed), []
     for t in range(12):
@@ -69,7 +69,7 @@ def on_cycles(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_cycles_equal_reachability(spark, seed):
     r = random.Random(seed)
     rows = []
@@ -86,7 +86,7 @@ def test_a_cycle_of_ten_thousand(spark):
     ring = spark.range(n).select(F.lit(1).cast("bigint").alias("page_id"), F.col("id").alias("child_id"), F.pmod(F.col("id") + 1, F.lit(n)).alias("parent_id"))
     # a tail that leads into the ring, a chord across it, and a chain that leads nowhere
     more = spark.range(n, 2 * n).select(F.lit(1).cast("bigint").alias("page_id"), F.col("id").alias("child_id"), F.when(F.col("id") == 2 * n - 1, F.lit(77)).otherwise(F.col("id") + 1).alias("parent_id"))
-    chord = spark.createDataFrame([(1, 5, 5000), (2, 1, 2), (2, 2, 3)], LINKS)
-    for links in (ring.unionByName(more), ring.unionByName(more).unionByName(chord)):
-        found = tree.cycle_members(links)
-        assert found.count() == n and found.agg(F.max("id")).first()[0] == n - 1
+    chord = spark.createDataFrame([(3, 5, 5000), (2, 1, 2), (2, 2, 3)], LINKS)
+    links = ring.unionByName(more).unionByName(ring.withColumn("page_id", F.lit(3).cast("bigint"))).unionByName(chord)
+    found = tree.cycle_members(links).groupBy("page_id").agg(F.count("*"), F.max("id")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, n, n - 1), (3, n, n - 1)]
