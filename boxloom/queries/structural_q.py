@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from boxloom.plans import repetition as rp
 from boxloom.plans import structural as st
 from boxloom.queries import fixtures as fx
-from boxloom.queries.fixture_sql import fixture, inter, ioa
+from boxloom.queries.fixture_sql import even, fixture, ioa
 from boxloom.queries.matching_q import near_dup
 from boxloom.queries.registry import query, sql
 
@@ -70,3 +71,28 @@ def g13_assets(spark, sf_dir):
     layers = stacked(spark, sf_dir)
     gone = st.structural_rasters(layers, fx.PAGE_W, fx.PAGE_H).withColumn("reason", F.lit(st.STRUCTURAL))
     return st.assets_without(layers, gone)
+
+
+# candidates inside media: three media a page, icons roughly in rows
+_CONF = "CASE WHEN {d} = 'rejected_fragment' THEN 'low' WHEN {s} >= 0.68 AND anchor >= 0.45 THEN 'high' WHEN {s} >= 0.45 OR anchor >= 0.35 THEN 'medium' ELSE 'low' END"
+_ICON = ["page_id", "region_id", "partkey % 3 AS media_id", "x", "100 + 90 * (partkey % 3) + score_milli % 9 AS y", "w", "h",
+         "CASE WHEN kind_no = 4 THEN 'status_dot_candidate' ELSE 'internal_icon_candidate' END AS role", "CASE WHEN score_milli % 7 = 0 THEN 'rejected_fragment' ELSE 'accepted_report_candidate' END AS decision",
+         "CASE WHEN suppkey % 5 = 0 THEN NULL ELSE suppkey END AS ocr_id", "score_milli / 1000.0D AS score", "(suppkey % 100) / 100.0D AS anchor"]
+fixture("icons", f"SELECT *, {_CONF.format(d='decision', s='score')} AS confidence FROM (SELECT {', '.join(_ICON).replace('0D AS', '0::DOUBLE AS')} FROM regions)", "regions")
+_COUNTS = "decision = 'accepted_report_candidate' AND role = 'internal_icon_candidate' AND ocr_id IS NOT NULL"
+fixture("repetition", f"""
+    SELECT page_id, media_id, {even('(level + evenness) / 2', 3)} AS repetition FROM (
+      SELECT page_id, media_id, {even('greatest(0::DOUBLE, 1 - (max(y + h / 2.0) - min(y + h / 2.0)) / greatest(1::DOUBLE, list_sort(list(h))[count(*) // 2 + 1] * 1.5::DOUBLE))', 3)} AS level,
+        CASE WHEN count(*) = 2 THEN 0.65::DOUBLE WHEN avg(g) <= 0 THEN 0 ELSE {even('greatest(0::DOUBLE, 1 - sqrt(((count(g) * sum(g * g) - sum(g) * sum(g)))::DOUBLE) / sum(g)::DOUBLE)', 3)} END AS evenness
+      FROM (SELECT *, lead(2 * x + w) OVER (PARTITION BY page_id, media_id ORDER BY 2 * x + w, region_id) - 2 * x - w AS g FROM icons WHERE {_COUNTS}) GROUP BY 1, 2 HAVING count(*) >= 2)""", "icons")
+
+
+@query("w10_repetition_boost", sql("icons repetition", f"""
+    , r AS (SELECT i.*, CASE WHEN {_COUNTS} THEN p.repetition END AS repetition FROM icons i LEFT JOIN repetition p USING (page_id, media_id)),
+    n AS (SELECT *, CASE WHEN repetition IS NULL THEN score ELSE {even('least(1::DOUBLE, score + repetition * 0.12::DOUBLE)', 3)} END AS raised FROM r)
+    SELECT page_id, region_id, repetition, raised AS score, CASE WHEN repetition IS NULL THEN confidence ELSE {_CONF.format(d='decision', s='raised')} END AS confidence,
+      coalesce(repetition >= 0.55 AND confidence IN ('high', 'medium'), false) AS supported FROM n"""))
+def w10(spark, sf_dir):
+    """Icons of a medium gain by how evenly they stand in a row."""
+    icons = fx.regions(spark, sf_dir).selectExpr(*_ICON).withColumn("confidence", rp.anchored_confidence(C("score"), C("anchor"), C("decision")))
+    return rp.with_repetition(icons).select("page_id", "region_id", "repetition", "score", "confidence", "supported")
