@@ -127,7 +127,8 @@ def identify(documents: DataFrame, labelled: DataFrame, per_language: int = 1000
                 known = WordScores(m)
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
-                words = LETTERS.findall(text.lower()) if text else []
+                # runs of number signs like ² or ½ match the pattern and are no letters
+                words = [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w)] if text else []
                 if not words or not m.langs:
                     langs.append("und")
                     scores.append(0.0)

@@ -18,10 +18,10 @@ def test_language(make):
     alphabets = {"xx": "abcdef", "yy": "defghi", "zz": "àéîklm"}
     rows = [(i, text(rnd, alphabets[lang]), lang, "s", 1) for i, lang in enumerate(["xx", "yy", "zz"] * 60)]
     known = make(rows, DOCS)
-    fresh = [(1000 + i, text(rnd, alphabets[lang]).upper(), lang, "s", 1) for i, lang in enumerate(["xx", "yy", "zz"] * 10)] + [(1, None, None, None, None), (2, "12 34!", None, None, None), (None, "abc fed", None, None, None), (3, "", None, None, None)]
+    fresh = [(1000 + i, text(rnd, alphabets[lang]).upper(), lang, "s", 1) for i, lang in enumerate(["xx", "yy", "zz"] * 10)] + [(1, None, None, None, None), (2, "12 34!", None, None, None), (None, "abc fed", None, None, None), (3, "", None, None, None), (4, "²½ ① Ⅷ", None, None, None)]
     got = {r.doc_id: r for r in identify(make(fresh, DOCS), known).collect()}
     assert all(got[d].lang_pred == lang for d, _, lang, *_ in fresh[:30])
-    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und"] * 4 and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in identify(make(fresh, DOCS), make([], DOCS)).collect()} == {"und"}
     assert identify(make([], DOCS), known).count() == 0
 
