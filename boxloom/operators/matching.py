@@ -27,7 +27,7 @@ def smallest_parents(slices: DataFrame, tolerance: int = 4) -> DataFrame:
     a, b = A(), B()
     slim = slices.select("page_id", "region_id", "x", "y", "w", "h")
     earlier = (b.area > a.area) | ((b.area == a.area) & (C("b_region_id") < C("a_region_id")))
-    pairs = near_pairs(slim, slim, contains(b, a, tolerance) & earlier, margin=tolerance)
+    pairs = near_pairs(slim, slim, contains(b, a, tolerance) & earlier, margin=tolerance, spread=True)
     best = best_partner(
         pairs.withColumnRenamed("a_region_id", "region_id"), ["page_id", "region_id"], F.struct(b.area, C("b_region_id")),
         {"parent_id": C("b_region_id"), "parent_x": b.x, "parent_y": b.y})
@@ -46,7 +46,7 @@ def lines_in_slices(lines: DataFrame, slices: DataFrame, min_confidence: int = 3
         *[C(c).alias("line_" + c) for c in "xywh"])
     doubled = slices.select("page_id", "region_id", *[(C(c) * 2).alias(c) for c in "xywh"])
     a, b = A(), B()
-    pairs = near_pairs(centres, doubled, holds_point(b, a.x, a.y), cell=512)
+    pairs = near_pairs(centres, doubled, holds_point(b, a.x, a.y), cell=512, spread=True)
     line = box("a_line_")
     placed = pairs.withColumnRenamed("a_line_id", "line_id").groupBy("page_id", "line_id").agg(
         F.min_by(F.struct(C("b_region_id"), b.x, b.y), F.struct(b.area, C("b_region_id"))).alias("s"),
@@ -98,7 +98,7 @@ def locate_lines(lines: DataFrame, primitives: DataFrame, min_score: float = 0.4
         (C("x") - F.greatest(F.lit(8), F.ceil(C("h") * 0.8) + 1)).alias("x"), (C("y") - F.greatest(F.lit(6), C("h"))).alias("y"),
         (C("w") + F.greatest(F.lit(8), F.ceil(C("h") * 0.8) + 1) * 2).alias("w"), (C("h") + F.greatest(F.lit(6), C("h")) * 2).alias("h"))
     line = box("a_o")
-    pairs = near_pairs(grown, usable).where(fragment_fits(line, frag)).withColumnRenamed("a_line_id", "line_id")
+    pairs = near_pairs(grown, usable, spread=True).where(fragment_fits(line, frag)).withColumnRenamed("a_line_id", "line_id")
     pairs = pairs.withColumns({"_score": match_score(line, frag) * 0.82, "_on": overlap(expand(line, 2, 3), frag)})
     pairs = pairs.withColumn("_up", (C("_on") > 0) & (C("_on") / F.greatest(F.lit(1), frag.area) >= 0.18))
     joined_up = C("_up")
@@ -164,7 +164,7 @@ def remaining_share(lines: DataFrame, blockers: DataFrame, ident: str = "line_id
     """Part of each line left uncovered; a blocker counts when it covers at least ``floor`` of the line."""
     a, b = A(), B()
     slim = lines.select("page_id", ident, "x", "y", "w", "h")
-    pairs = near_pairs(slim, blockers.select("page_id", "x", "y", "w", "h"), overlap(a, b) / a.area >= floor)
+    pairs = near_pairs(slim, blockers.select("page_id", "x", "y", "w", "h"), overlap(a, b) / a.area >= floor, spread=True)
     covered = pairs.groupBy("page_id", C("a_" + ident).alias(ident)).agg(F.sum(overlap(a, b)).alias("_covered"))
     out = attach(lines, covered, ["page_id", ident], {"_covered": 0})
     area = C("w") * C("h")
@@ -188,7 +188,7 @@ def detection_layer_matches(detections: DataFrame, layers: DataFrame, floor: flo
     lay = layers.select("page_id", "region_id", "kind", "x", "y", "w", "h")
     in_layer, in_det, joint = share_of(a, b), share_of(b, a), iou(a, b)
     score = F.greatest(joint, in_layer * 0.85, in_det * 0.75)
-    pairs = near_pairs(det, lay, overlap(a, b) > 0)
+    pairs = near_pairs(det, lay, overlap(a, b) > 0, spread=True)
     best = pairs.groupBy("page_id", C("a_region_id").alias("detection_id"), C("b_kind").alias("layer_kind")).agg(
         F.max(F.struct(score.alias("score"), (-C("b_region_id")).alias("neg"), joint.alias("iou"), in_layer.alias("det_cov"),
                        in_det.alias("layer_cov"), C("a_class_name").alias("class_name"))).alias("m"))
@@ -213,7 +213,7 @@ def control_text_risks(detections: DataFrame, blocks: DataFrame, floor: float =
     """OCR blocks mostly covered by a control detection."""
     a, b = A(), B()
     controls = detections.where(C("class_name").isin(*CONTROL_CLASSES)).select("page_id", "region_id", "class_name", *"xywh")
-    pairs = near_pairs(controls, blocks.select("page_id", "line_id", *"xywh"), share_of(b, a) >= floor)
+    pairs = near_pairs(controls, blocks.select("page_id", "line_id", *"xywh"), share_of(b, a) >= floor, spread=True)
     return pairs.select("page_id", C("a_region_id").alias("detection_id"), C("a_class_name").alias("class_name"),
                         C("b_line_id").alias("line_id"), (F.rint(share_of(b, a) * 10000.0) / 10000.0).alias("coverage"))
 
@@ -231,7 +231,7 @@ def text_owner_surfaces(blocks: DataFrame, layers: DataFrame) -> DataFrame:
     score = F.when(kind == "raster", cover - F.least(F.lit(0.4), bulk / 5000.0)).otherwise(
         cover * 4.0 + F.when(centred, 1.0).otherwise(0.0) - F.least(F.lit(1.5), bulk / 500.0))
     pairs = near_pairs(blocks.select("page_id", "line_id", *"xywh"),
-                       layers.select("page_id", "region_id", "kind", "is_control", *"xywh"), shape_ok | media_ok)
+                       layers.select("page_id", "region_id", "kind", "is_control", *"xywh"), shape_ok | media_ok, spread=True)
     best = pairs.groupBy("page_id", C("a_line_id").alias("line_id"), role.alias("owner_role")).agg(
         F.max(F.struct(score.alias("score"), (-C("b_region_id")).alias("neg"))).alias("m"))
     return best.select("page_id", "line_id", "owner_role", (-C("m.neg")).alias("owner_id"), C("m.score").alias("score"))
@@ -270,7 +270,7 @@ def container_audit(containers: DataFrame, missing: DataFrame, layers: DataFrame
 def supporting_sources(items: DataFrame, source: str, floor: float = 0.15) -> DataFrame:
     """Distinct sources of other items that agree with an item's box."""
     slim = items.select("page_id", "region_id", source, *"xywh")
-    pairs = near_pairs(slim, slim, (C("a_region_id") != C("b_region_id")) & (iou(A(), B()) >= floor))
+    pairs = near_pairs(slim, slim, (C("a_region_id") != C("b_region_id")) & (iou(A(), B()) >= floor), spread=True)
     found = pairs.groupBy("page_id", C("a_region_id").alias("region_id")).agg(
         F.count("*").alias("n_support"), F.sort_array(F.collect_set("b_" + source)).alias("sources"))
     return attach(items.select("page_id", "region_id"), found, ["page_id", "region_id"], {"n_support": 0})
@@ -280,7 +280,7 @@ def text_overlap(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Text touching each candidate: summed overlap, blocks, touching area and blocks covered by a quarter."""
     a, b = A(), B()
     pairs = near_pairs(candidates.select("page_id", "region_id", *"xywh"), texts.select("page_id", "line_id", *"xywh"),
-                       (overlap(a, b) > 0) & (C("a_region_id") != C("b_line_id")))
+                       (overlap(a, b) > 0) & (C("a_region_id") != C("b_line_id")), spread=True)
     found = pairs.groupBy("page_id", C("a_region_id").alias("region_id")).agg(
         F.sum(overlap(a, b)).alias("overlap_area"), F.count("*").alias("text_blocks"), F.sum(b.area).alias("touching_area"),
         F.count(F.when(overlap(a, b) / b.area >= 0.25, 1)).alias("covered_blocks"))
@@ -315,7 +315,7 @@ def covered_texts(layers: DataFrame, floor: float = 0.80) -> DataFrame:
     shown = layers.where("visible")
     slim = ("page_id", "region_id", "z", *"xywh")
     pairs = near_pairs(shown.where("kind = 'text'").select(*slim), shown.where("kind IN ('raster', 'shape')").select(*slim),
-                       (C("b_z") > C("a_z")) & (share_of(A(), B()) >= floor))
+                       (C("b_z") > C("a_z")) & (share_of(A(), B()) >= floor), spread=True)
     return pairs.select("page_id", C("a_region_id").alias("text_id"), C("b_region_id").alias("cover_id"))
 
 
@@ -332,7 +332,7 @@ def duplicate_owners(layers: DataFrame, min_area: int = 800) -> DataFrame:
     shown = layers.where("visible AND kind IN ('raster', 'shape')").select("page_id", "region_id", "kind", "group_id", *"xywh")
     shared = F.coalesce(C("a_group_id") == C("b_group_id"), F.lit(False))
     pairs = near_pairs(shown, shown, (C("a_region_id") < C("b_region_id")) & (C("a_kind") == C("b_kind")) & ~shared
-                       & (F.least(a.area, b.area) >= min_area) & near_duplicate(a, b))
+                       & (F.least(a.area, b.area) >= min_area) & near_duplicate(a, b), spread=True)
     return pairs.select("page_id", C("a_region_id").alias("left_id"), C("b_region_id").alias("right_id"), C("a_kind").alias("kind"))
 
 
@@ -349,5 +349,5 @@ def shapes_under_raster(shapes: DataFrame, rasters: DataFrame, floor: float = 0.
     a, b = A(), B()
     slim = ("page_id", "region_id", "z", *"xywh")
     pairs = near_pairs(shapes.select(*slim), rasters.select(*slim),
-                       (C("b_z") > C("a_z")) & (b.area >= a.area) & (share_of(a, b) >= floor))
+                       (C("b_z") > C("a_z")) & (b.area >= a.area) & (share_of(a, b) >= floor), spread=True)
     return pairs.groupBy("page_id", C("a_region_id").alias("region_id")).agg(F.min("b_region_id").alias("owner_id"))

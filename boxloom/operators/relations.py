@@ -137,7 +137,7 @@ def containment_and_text_edges(primitives: DataFrame, tolerance: int = 2, reach:
     holds = contains(a, b, tolerance) & (a.area > b.area)
     text = (F.col("a_primitive_type") != "text_region") & (F.col("b_primitive_type") == "text_region")
     near = text & (distance(a, b) <= reach)
-    pairs = near_pairs(slim, slim, (F.col("a_region_id") != F.col("b_region_id")) & (holds | near), margin=reach)
+    pairs = near_pairs(slim, slim, (F.col("a_region_id") != F.col("b_region_id")) & (holds | near), margin=reach, spread=True)
     return pairs.select(
         "page_id",
         F.col("a_region_id").alias("from_id"),

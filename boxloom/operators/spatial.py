@@ -3,7 +3,14 @@
 Every join hashes on ``(page, cell)`` rather than on the page alone, so the pairs examined are those
 of neighbours, and one very large page is spread over as many tasks as it has cells.  A pair is kept
 only in the cell that holds the top-left corner of what the two rectangles share, so no distinct is
-needed.  Cells that are hot all the same are split by adaptive skew handling.
+needed.
+
+With ``spread`` the join first counts the rows of both sides in every cell.  Rectangles on more than
+``LARGE`` cells then go to a coarse level instead of being copied into every cell they cover, and both
+sides of a cell with more than ``DENSE`` rows are dealt to salts, so that the rows that meet under one
+join key stay near ``DENSE`` a side however many rectangles lie on one spot.  The counts reach the rows
+as a table of at most ``SLOTS`` rows, keyed by a hash of the cell: cells that share a slot are split
+alike, which costs copies and changes no result.
 """
 
 from __future__ import annotations
@@ -13,13 +20,80 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boxloom.functions.geometry import Box, box
 
 CELL = 256
+COARSE = 16
+LARGE = 64
+DENSE = 2048
+SLOTS = 4096
+
+# what meets at a level: small with small on the fine grid, large left with any right, small left with large right
+_SMALL, _LARGE_LEFT, _LARGE_RIGHT = 0, 1, 2
+_CELL = ["_level", "_cx", "_cy"]
+
+
+def _span(low: Column, high: Column, margin: int, size: Column | int) -> Column:
+    return F.sequence(F.floor((low - margin) / size), F.floor((high + margin) / size))
 
 
 def _cells(df: DataFrame, b: Box, margin: int, cell: int) -> DataFrame:
-    def span(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor((low - margin) / cell), F.floor((high + margin) / cell))
+    return df.withColumn("_cx", F.explode(_span(b.x, b.x2, margin, cell))).withColumn("_cy", F.explode(_span(b.y, b.y2, margin, cell)))
+
+
+def _size(cell: int) -> Column:
+    return F.when(F.col("_level") == _SMALL, cell).otherwise(cell * COARSE)
+
+
+def _leveled(df: DataFrame, b: Box, margin: int, cell: int, left: bool, meets_large: Column) -> DataFrame:
+    """Rows in the cells of every level they take part in; ``meets_large``: the other side may hold large ones on this page."""
+    def cells(low: Column, high: Column) -> Column:
+        return F.floor((high + margin) / cell) - F.floor((low - margin) / cell) + 1
 
-    return df.withColumn("_cx", F.explode(span(b.x, b.x2))).withColumn("_cy", F.explode(span(b.y, b.y2)))
+    large = cells(b.x, b.x2) * cells(b.y, b.y2) > LARGE
+    own, other = (_LARGE_LEFT, _LARGE_RIGHT) if left else (_LARGE_RIGHT, _LARGE_LEFT)
+    levels = F.when(large, F.array(F.lit(own)) if left else F.array(F.lit(own), F.lit(other))).when(
+        meets_large, F.array(F.lit(_SMALL), F.lit(other))).otherwise(F.array(F.lit(_SMALL)))
+    rows = df.withColumn("_level", F.explode(levels))
+    return rows.withColumn("_cx", F.explode(_span(b.x, b.x2, margin, _size(cell)))).withColumn(
+        "_cy", F.explode(_span(b.y, b.y2, margin, _size(cell))))
+
+
+def _slot(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("int")
+
+
+def spread_plan(left: DataFrame, right: DataFrame, a: Box, b: Box, margin: int, key: str, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Salts of both sides by slot of the cell, and which sides hold large rectangles by slot of the page.
+
+    Each table has one row for a slot that needs more than a plain join, ``SLOTS`` at most.
+    """
+    always = F.lit(True)
+    sides = _leveled(left.select(key, *_sides(a)), a, margin, cell, True, always).select(key, *_CELL, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
+        _leveled(right.select(key, *_sides(b)), b, 0, cell, False, always).select(key, *_CELL, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = sides.groupBy(key, *_CELL).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).where("_l > 0 AND _r > 0")
+    salts = counts.where((F.col("_l") > DENSE) | (F.col("_r") > DENSE)).groupBy(_slot(key, *_CELL).alias("_cell_slot")).agg(
+        F.max(F.ceil(F.col("_l") / DENSE)).alias("_left_salts"), F.max(F.ceil(F.col("_r") / DENSE)).alias("_right_salts"))
+    pages = counts.where(F.col("_level") != _SMALL).groupBy(_slot(key).alias("_page_slot")).agg(
+        F.max(F.col("_level") == _LARGE_LEFT).alias("_left_large"), F.max(F.col("_level") == _LARGE_RIGHT).alias("_right_large"))
+    return salts, pages
+
+
+def _sides(b: Box) -> list[Column]:
+    return [b.x, b.y, b.w, b.h]
+
+
+def _salted(df: DataFrame, b: Box, margin: int, key: str, cell: int, left: bool, plan: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Rows of one side under every (cell, salt) where they meet the other side."""
+    salts, pages = plan
+    # the hash of a whole row deals it out, the same way when a lost task is run again
+    fields = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    mine, others = ("_left_salts", "_right_salts") if left else ("_right_salts", "_left_salts")
+    rows = df.withColumn("_deal", F.xxhash64(*fields)).withColumn("_page_slot", _slot(key)).join(F.broadcast(pages), "_page_slot", "left")
+    rows = _leveled(rows, b, margin, cell, left, F.coalesce(F.col("_right_large" if left else "_left_large"), F.lit(False)))
+    rows = rows.withColumn("_cell_slot", _slot(key, *_CELL)).join(F.broadcast(salts), "_cell_slot", "left")
+    own = F.pmod(F.col("_deal"), F.coalesce(F.col(mine), F.lit(1)))
+    n = F.coalesce(F.col(others), F.lit(1))
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    pair = ("_own", "_other") if left else ("_other", "_own")
+    return rows.select(*df.columns, *_CELL, F.col(pair[0]).alias("_sa"), F.col(pair[1]).alias("_sb"))
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,31 +110,39 @@ def near_pairs(
     left_prefix: str = "a_",
     right_prefix: str = "b_",
     cell: int = CELL,
+    spread: bool = False,
 ) -> DataFrame:
     """Pairs on one page whose larger axis gap is at most ``margin`` and that satisfy ``on``.
 
-    Touching rectangles have gap 0.  Columns come back prefixed; ``on`` speaks in those names.
+    Touching rectangles have gap 0.  Columns come back prefixed; ``on`` speaks in those names.  ``spread`` reads
+    both sides once more to count them; use it where a page may hold dense spots or giant rectangles.
     """
     a, b = box(left_prefix), box(right_prefix)
-    ls = _cells(prefixed(left, left_prefix, (key,)), a, margin, cell)
-    rs = _cells(prefixed(right, right_prefix, (key,)), b, 0, cell)
-    corner_x = F.floor(F.greatest(a.x - margin, b.x) / cell)
-    corner_y = F.floor(F.greatest(a.y - margin, b.y) / cell)
+    ls, rs = prefixed(left, left_prefix, (key,)), prefixed(right, right_prefix, (key,))
+    if spread:
+        plan = spread_plan(ls, rs, a, b, margin, key, cell)
+        ls, rs = _salted(ls, a, margin, key, cell, True, plan), _salted(rs, b, 0, key, cell, False, plan)
+        size, at = _size(cell), [*_CELL, "_sa", "_sb"]
+    else:
+        ls, rs = _cells(ls, a, margin, cell), _cells(rs, b, 0, cell)
+        size, at = F.lit(cell), ["_cx", "_cy"]
+    corner_x = F.floor(F.greatest(a.x - margin, b.x) / size)
+    corner_y = F.floor(F.greatest(a.y - margin, b.y) / size)
     touch = (
         (a.x - margin <= b.x2) & (b.x <= a.x2 + margin) & (a.y - margin <= b.y2) & (b.y <= a.y2 + margin)
     )
     condition = touch if on is None else touch & on
-    joined = ls.join(rs, [key, "_cx", "_cy"]).where(
+    joined = ls.join(rs, [key, *at]).where(
         condition & (F.col("_cx") == corner_x) & (F.col("_cy") == corner_y)
     )
-    return joined.drop("_cx", "_cy")
+    return joined.drop(*at)
 
 
 def self_pairs(df: DataFrame, on: Column | None = None, margin: int = 0, key: str = "page_id",
-               ident: str = "region_id", cell: int = CELL) -> DataFrame:
+               ident: str = "region_id", cell: int = CELL, spread: bool = True) -> DataFrame:
     """Unordered neighbour pairs of one table, the smaller id on the left."""
     ordered = F.col("a_" + ident) < F.col("b_" + ident)
-    return near_pairs(df, df, ordered if on is None else ordered & on, margin, key, cell=cell)
+    return near_pairs(df, df, ordered if on is None else ordered & on, margin, key, cell=cell, spread=spread)
 
 
 def keep_matching(left: DataFrame, right: DataFrame, on: Column | None = None, margin: int = 0,
