@@ -11,29 +11,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from boxloom.operators.ranking import following, row_numbers
 
 C = F.col
+# half pixels of a centre that share a slot
+SLOT = 64
 
 
 def rows_by_centre(items: DataFrame, key: list[str], factor: float = 0.42, least: int = 8) -> DataFrame:
     """First-fit rows on the centre line; the tolerance follows the row's first member.
 
-    Items of equal centre and height land in the same row, so the fold runs over those pairs.
+    Items of equal centre and height land in the same row, so the work runs over those spots.  A fold finds the spots that
+    open a row and looks only at open rows that a later centre can still reach: row heads lie more than ``least`` apart, so
+    these are few.  Every spot then meets the heads in reach by an equi-join on slots of the centre and takes the lowest row.
     """
-    spots = items.groupBy(*key, (C("y") * 2 + C("h")).alias("_cy"), C("h").alias("_h")).agg(F.min("x").alias("_x"))
-    lists = spots.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_cy", "_x", "_h"))).alias("s"))
-    row = "struct<cy:bigint,h:bigint>"
-    zero = F.struct(F.array().cast(f"array<{row}>").alias("rows"), F.array().cast("array<struct<cy:bigint,h:bigint,row:int>>").alias("out"))
+    spots = items.groupBy(*key, (C("y") * 2 + C("h")).cast("bigint").alias("_cy"), C("h").cast("bigint").alias("_h")).agg(F.min("x").alias("_x"))
+    lists = spots.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_cy", "_x", "_h"))).alias("s"), F.max("_h").alias("_top"))
+    row = "array<struct<cy:bigint,h:bigint>>"
+    zero = F.struct(F.array().cast(row).alias("open"), F.array().cast(row).alias("heads"))
+
+    def reach(h: Column) -> Column:
+        return 2 * F.greatest(F.lit(float(least)), h * factor)
 
     def step(acc: Column, s: Column) -> Column:
-        fits = F.transform(acc["rows"], lambda r: F.abs(s["_cy"] - r["cy"]) <= 2 * F.greatest(F.lit(float(least)), F.least(r["h"], s["_h"]) * factor))
-        at = F.array_position(fits, True)
-        place = F.when(at > 0, at).otherwise(F.size(acc["rows"]) + 1).cast("int")
-        head = F.struct(s["_cy"].cast("bigint").alias("cy"), s["_h"].cast("bigint").alias("h"))
-        grown = F.when(at > 0, acc["rows"]).otherwise(F.concat(acc["rows"], F.array(head)))
-        entry = F.struct(s["_cy"].cast("bigint").alias("cy"), s["_h"].cast("bigint").alias("h"), place.alias("row"))
-        return F.struct(grown.alias("rows"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    placed = lists.select(*key, F.explode(F.aggregate("s", zero, step)["out"]).alias("p")).select(
-        *key, C("p.cy").alias("_cy"), C("p.h").alias("_h"), C("p.row").alias("row_no"))
+        live = F.filter(acc["open"], lambda r: r["cy"] >= s["_cy"] - reach(C("_top")))
+        fits = F.exists(live, lambda r: s["_cy"] - r["cy"] <= reach(F.least(r["h"], s["_h"])))
+        head = F.array(F.struct(s["_cy"].alias("cy"), s["_h"].alias("h")))
+        return F.when(fits, F.struct(live.alias("open"), acc["heads"].alias("heads"))).otherwise(
+            F.struct(F.concat(live, head).alias("open"), F.concat(acc["heads"], head).alias("heads")))
+
+    heads = lists.select(*key, F.posexplode(F.aggregate("s", zero, step)["heads"]).alias("_i", "_head")).select(
+        *key, (C("_i") + 1).alias("_row"), C("_head.cy").alias("_head_cy"), C("_head.h").alias("_head_h"), F.floor(C("_head.cy") / SLOT).alias("_slot"))
+    near = spots.withColumn("_slot", F.explode(F.sequence(F.floor((C("_cy") - reach(C("_h"))) / SLOT), F.floor(C("_cy") / SLOT)))).join(heads, [*key, "_slot"])
+    # heads below a spot have higher numbers than the row it found, so the lowest fitting number is the first fit
+    placed = near.where(F.abs(C("_cy") - C("_head_cy")) <= reach(F.least("_h", "_head_h"))).groupBy(*key, "_cy", "_h").agg(F.min("_row").alias("row_no"))
     return items.withColumn("_cy", C("y") * 2 + C("h")).withColumn("_h", C("h")).join(placed, [*key, "_cy", "_h"]).drop("_cy", "_h")
 
 

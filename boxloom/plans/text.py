@@ -27,9 +27,9 @@ def lines_from_words(words: DataFrame, min_conf: int = 25) -> DataFrame:
 
 
 def harmonized_sizes(layers: DataFrame) -> DataFrame:
-    """Font sizes that move to the row's mode: same row, family and tone, at least three, within the threshold."""
-    rows = rows_by_centre(layers, ["page_id"])
-    key = ["page_id", "row_no", "family", "tone"]
+    """Font sizes that move to the row's mode: same row, family, script and tone, at least three, within the threshold."""
+    rows = rows_by_centre(layers, ["page_id"]).withColumn("script", F.coalesce("script", F.lit("")))
+    key = ["page_id", "row_no", "family", "script", "tone"]
     sizes = rows.groupBy(*key, "font_size").agg(F.count("*").alias("k"))
     per_row = sizes.groupBy("page_id", "row_no").agg(F.sum("k").alias("in_row"))
     per_key = sizes.groupBy(*key).agg(F.sum("k").alias("n"), F.max("k").alias("best"))

@@ -169,8 +169,9 @@ def w13_closed(spark, sf_dir):
     return bd.close_gaps(row_flags(spark, sf_dir), 3)
 
 
-# text layers with a font size, family and colour
+# text layers with a font size, family, script and colour
 _TEXT = ("page_id, region_id, x, y, w, h, 10 + (score_milli % 7) + (h {d} 16) AS font_size, concat('F', suppkey % 2) AS family, "
+         "CASE suppkey % 5 WHEN 0 THEN 'cjk' WHEN 1 THEN NULL ELSE 'latin' END AS script, "
          "CASE WHEN partkey % 2 = 0 THEN '#101010' ELSE '#2040F0' END AS color")
 fixture("text_layers", "SELECT " + _TEXT.format(d="//") + " FROM regions WHERE kind_no <= 2", "regions")
 
@@ -181,14 +182,14 @@ fixture("text_layers", "SELECT " + _TEXT.format(d="//") + " FROM regions WHERE k
         'row': coalesce(list_min(list_transform(list_filter(acc, lambda k: k.head AND abs(x[1].cy - k.cy) <= 2 * greatest(8, least(k.h, x[1].h) * 0.42::DOUBLE)), lambda k: k.row)),
           list_max(list_transform(acc, lambda k: k.row)) + 1),
         'head': len(list_filter(acc, lambda k: k.head AND abs(x[1].cy - k.cy) <= 2 * greatest(8, least(k.h, x[1].h) * 0.42::DOUBLE))) = 0}}))) AS r FROM text_layers GROUP BY page_id),
-    t AS (SELECT l.*, f.r.row AS row_no, count(*) OVER (PARTITION BY l.page_id, f.r.row) AS in_row, CASE color WHEN '#101010' THEN 'neutral' ELSE 'blue' END AS tone
+    t AS (SELECT l.*, f.r.row AS row_no, count(*) OVER (PARTITION BY l.page_id, f.r.row) AS in_row, CASE color WHEN '#101010' THEN 'neutral' ELSE 'blue' END AS tone, coalesce(script, '') AS sc
       FROM text_layers l JOIN f ON l.page_id = f.page_id AND l.region_id = f.r.id),
-    c AS (SELECT *, count(*) OVER (PARTITION BY page_id, row_no, family, tone) AS n FROM t WHERE in_row >= 3),
-    s AS (SELECT page_id, row_no, family, tone, font_size, count(*) AS k FROM c WHERE n >= 3 GROUP BY ALL),
-    m AS (SELECT page_id, row_no, family, tone, max(k) AS best FROM s GROUP BY ALL),
-    mode AS (SELECT s.page_id, s.row_no, s.family, s.tone, floor(median(s.font_size) + 0.5) AS mode FROM s JOIN m USING (page_id, row_no, family, tone) WHERE s.k = m.best GROUP BY ALL),
-    e AS (SELECT c.page_id, c.region_id, c.font_size, mode.mode, count(*) OVER (PARTITION BY c.page_id, c.row_no, c.family, c.tone) AS eligible
-      FROM c JOIN mode USING (page_id, row_no, family, tone) WHERE c.n >= 3 AND abs(c.font_size - mode.mode) <= greatest(3, least(6, floor(mode.mode * 0.18::DOUBLE + 0.5))))
+    c AS (SELECT *, count(*) OVER (PARTITION BY page_id, row_no, family, sc, tone) AS n FROM t WHERE in_row >= 3),
+    s AS (SELECT page_id, row_no, family, sc, tone, font_size, count(*) AS k FROM c WHERE n >= 3 GROUP BY ALL),
+    m AS (SELECT page_id, row_no, family, sc, tone, max(k) AS best FROM s GROUP BY ALL),
+    mode AS (SELECT s.page_id, s.row_no, s.family, s.sc, s.tone, floor(median(s.font_size) + 0.5) AS mode FROM s JOIN m USING (page_id, row_no, family, sc, tone) WHERE s.k = m.best GROUP BY ALL),
+    e AS (SELECT c.page_id, c.region_id, c.font_size, mode.mode, count(*) OVER (PARTITION BY c.page_id, c.row_no, c.family, c.sc, c.tone) AS eligible
+      FROM c JOIN mode USING (page_id, row_no, family, sc, tone) WHERE c.n >= 3 AND abs(c.font_size - mode.mode) <= greatest(3, least(6, floor(mode.mode * 0.18::DOUBLE + 0.5))))
     SELECT page_id, region_id, font_size, mode AS new_size FROM e WHERE eligible >= 2 AND font_size <> mode"""))
 def a27(spark, sf_dir):
     layers = spark.sql("SELECT " + _TEXT.format(d="div") + " FROM {t} WHERE kind_no <= 2", t=fx.regions(spark, sf_dir))
