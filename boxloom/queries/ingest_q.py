@@ -112,7 +112,7 @@ def src8(spark, sf_dir):
     SELECT project_id, page_index, slice_id, name, CASE WHEN cut_mode IN ('shape', 'subject') THEN 'subject' WHEN cut_mode = 'card' THEN 'card' ELSE 'rect' END AS cut_mode, nx AS x, ny AS y,
       greatest(8, least(w, width - nx)) AS w, greatest(8, least(h, height - ny)) AS h FROM n"""))
 def snk4(spark, sf_dir):
-    """Rows of the per-project snapshot; ``save_slices`` writes them with dynamic partition overwrite."""
+    """Rows of the per-project snapshot; ``save_slices`` stores them as a new version."""
     from boxloom.sources.sinks import snapshot
 
     return snapshot(fx.catalog_slices(spark, sf_dir), fx.catalog_pages(spark, sf_dir))

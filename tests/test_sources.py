@@ -33,12 +33,64 @@ def test_snapshot_replaces_only_given_projects(spark, tmp_path):
     out = str(tmp_path / "slices")
     sinks.save_slices(spark.createDataFrame([(1, 1, 10, "n", "shape", 95, 5, 50, 2), (2, 1, 20, "n", "card", 0, 0, 10, 10)], SLICES), pages, out)
     sinks.save_slices(spark.createDataFrame([(1, 1, 11, "n", "card", 0, 0, 10, 10)], SLICES), pages, out)
-    rows = {(r.project_id, r.slice_id, r.cut_mode) for r in spark.read.parquet(out).collect()}
+    rows = {(r.project_id, r.slice_id, r.cut_mode) for r in sinks.read_version(spark, out, SLICES).collect()}
     assert rows == {(1, 11, "card"), (2, 20, "card")}
     with pytest.raises(ValueError):
         sinks.save_slices(spark.createDataFrame([(1, 7, 12, "n", "card", 0, 0, 10, 10)], SLICES), pages, out)
 
 
+def stored(spark, out, version=None):
+    return sorted((r.project_id, r.slice_id) for r in sinks.read_version(spark, out, SLICES, version=version).collect())
+
+
+def some(spark, projects, first):
+    return spark.createDataFrame([(p, 1, first + p, "n", "card", 0, 0, 10, 10) for p in projects], SLICES)
+
+
+def test_versions_with_growing_buckets(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "v")
+    assert stored(spark, out) == []
+    monkeypatch.setattr(sinks, "ROWS_PER_BUCKET", 10)
+    one, two = some(spark, range(15), 100), some(spark, range(3, 5), 500)
+    first = sinks.save_version(one, out, given=one)
+    assert {e.buckets for e in sinks._stored(spark, out)} == {2}
+    sinks.save_version(two, out, given=two)
+    want = sorted([(p, 100 + p) for p in range(15) if p not in (3, 4)] + [(3, 503), (4, 504)])
+    assert stored(spark, out) == want
+    # the old version can still be read, and more rows bring more buckets
+    assert stored(spark, out, first) == [(p, 100 + p) for p in range(15)]
+    three = some(spark, range(20, 50), 100)
+    sinks.save_version(three, out, given=three)
+    assert {e.buckets for e in sinks._stored(spark, out)} == {8}
+    assert stored(spark, out) == want + [(p, 100 + p) for p in range(20, 50)]
+    # only buckets of the given projects are written again
+    before = {e.bucket: e.save for e in sinks._stored(spark, out)}
+    four = some(spark, [20], 900)
+    sinks.save_version(four, out, given=four)
+    after = {e.bucket: e.save for e in sinks._stored(spark, out)}
+    assert sum(before[b] != after[b] for b in before) == 1
+    sinks.save_version(some(spark, [1], 0).limit(0), out, given=spark.range(50).withColumnRenamed("id", "project_id"))
+    assert stored(spark, out) == []
+    sinks.save_version(one, out, given=one)
+    assert len(stored(spark, out)) == 15
+
+
+def test_failed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "v")
+    one = some(spark, range(6), 100)
+    sinks.save_version(one, out, given=one)
+    deal = sinks._bucketed
+    # the rows fail while they are written, after some files are there
+    monkeypatch.setattr(sinks, "_bucketed", lambda rows, n: deal(rows, 8).withColumn(
+        "name", F.when(F.col("bucket") == F.lit(3), F.raise_error(F.lit("lost"))).otherwise(F.col("name"))))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_version(some(spark, range(40), 700), out, given=some(spark, range(40), 700))
+    assert stored(spark, out) == [(p, 100 + p) for p in range(6)]
+    monkeypatch.undo()
+    sinks.write_manifest(one, str(tmp_path / "m"))
+    assert sinks.read_version(spark, str(tmp_path / "m"), SLICES, "json").count() == 6
+
+
 def test_summary_writers(spark, tmp_path):
     sinks.write_summary(spark.createDataFrame([(1, "ok")], "case_id bigint, status string"), str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s" / "json")).first()["status"] == "ok"
