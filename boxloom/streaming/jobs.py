@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 C = F.col
 FINISHED = ("succeeded", "failed", "canceled")
@@ -41,58 +41,123 @@ def job_timeouts(outcomes: DataFrame, seconds: int) -> DataFrame:
     return ran.where(C("finished_at").isNull() | (C("finished_at") > limit)).select("job_id", "running_at", limit.alias("timed_out_at"))
 
 
-STATE = "status string, queued_at timestamp, running_at timestamp, finished_at timestamp"
-OUTPUT = "job_id bigint, " + STATE
+# times in microseconds; due is the event time in milliseconds at which the job's timer rings
+STATE = "status string, queued_at bigint, running_at bigint, finished_at bigint, due bigint"
+EVENT = "us bigint, event_id bigint, status string"
+OUTPUT = "job_id bigint, status string, queued_at bigint, running_at bigint, finished_at bigint"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHUNK = 4096
+ALWAYS, NEVER = (float("-inf"), 0), (float("inf"), 0)
 
+# what a job waits for in each state; the status it then has is that of the event
+NEXT = {None: ("queued",), "queued": ("running", "canceled"), "running": FINISHED[:2]}
 
-def _advance(state: list, status: str, ts) -> list:
-    """One transition; anything the current state does not allow is ignored."""
-    now = state[0]
-    if now is None and status == "queued":
-        return ["queued", ts, None, None]
-    if now == "queued" and status == "running":
-        return ["running", state[1], ts, None]
-    if (now == "queued" and status == "canceled") or (now == "running" and status in ("succeeded", "failed")):
-        return [status, state[1], state[2], ts]
-    return state
+
+def _advance(state: tuple, status: str, us: int) -> tuple:
+    """The state after an event it waits for."""
+    _, queued, running, _ = state
+    if status == "queued":
+        return status, us, None, None
+    return (status, queued, us, None) if status == "running" else (status, queued, running, us)
+
+
+class JobStates(StatefulProcessor):
+    """State of each job, moved by the earliest event it waits for.
+
+    The events of a batch come in no order and may be any number.  They are read as an iterator; those the job may still need after
+    its first step are put aside in a state list, which is read again once for each further step, so a task holds a chunk of
+    events and never the log of a job.  Timers end jobs that wait too long and clear finished jobs: event-time state knows no
+    time to live of its own.
+    """
+
+    def __init__(self, limit_us: int, queue_limit_us: int):
+        self.limit, self.queue_limit = limit_us, queue_limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", STATE)
+        self.aside = handle.getListState("aside", EVENT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self.job.get() if self.job.exists() else (None,) * 5
+        state, due = tuple(stored[:4]), stored[4]
+        before = state
+        if state[0] not in FINISHED:
+            state = self._follow(state, ((r.us, r.event_id, r.status) for r in rows))
+        if state[0] is not None and state != before:
+            self._store(state, due, timerValues.getCurrentWatermarkInMs())
+            yield Row(job_id=key[0], status=state[0], queued_at=state[1], running_at=state[2], finished_at=state[3])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.job.exists():
+            return
+        status, queued, running, finished, due = self.job.get()
+        if due != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        if status in FINISHED:
+            self.job.clear()
+            return
+        end = ("canceled", queued, None, queued + self.queue_limit) if status == "queued" else ("failed", queued, running, running + self.limit)
+        self._store(end, None, timerValues.getCurrentWatermarkInMs())
+        yield Row(job_id=key[0], status=end[0], queued_at=end[1], running_at=end[2], finished_at=end[3])
+
+    def close(self) -> None:
+        pass
+
+    def _follow(self, state: tuple, events) -> tuple:
+        """The state after all steps that the events of a batch allow."""
+        step, chunk = None, []
+        # latest time at which the job can take each step, as far as read: later events of that kind are never taken
+        queued = NEVER if state[0] is None else ALWAYS
+        bound = {"running": ALWAYS if state[0] == "running" else NEVER, "canceled": NEVER, "end": NEVER}
+        for event in events:
+            at, status = event[:2], event[2]
+            if status in NEXT[state[0]] and (step is None or at < step[:2]):
+                step = event
+            if status == "queued":
+                queued = min(queued, at)
+                continue
+            kind = "end" if status in NEXT["running"] else status
+            if kind not in bound or at > bound[kind]:
+                continue
+            if at > (bound["running"] if kind == "end" else queued):
+                bound[kind] = at
+            chunk.append(event)
+            if len(chunk) == CHUNK:
+                self.aside.appendList(chunk)
+                chunk = []
+        if chunk:
+            self.aside.appendList(chunk)
+        while step is not None:
+            state, at, step = _advance(state, step[2], step[0]), step[:2], None
+            if state[0] in FINISHED:
+                break
+            for us, event_id, status in self.aside.get():
+                if status in NEXT[state[0]] and at < (us, event_id) and (step is None or (us, event_id) < step[:2]):
+                    step = (us, event_id, status)
+        self.aside.clear()
+        return state
+
+    def _store(self, state: tuple, due: int | None, watermark: int) -> None:
+        if due is not None:
+            self.handle.deleteTimer(due)
+        status, queued, running, finished = state
+        # a finished job keeps a small row for a while, so that late events cannot reopen it
+        ends = queued + self.queue_limit if status == "queued" else running + self.limit if status == "running" else finished + self.limit
+        ring = max(ends // 1000, watermark + 1)
+        self.handle.registerTimer(ring)
+        self.job.update((*state, ring))
 
 
 def job_states_stream(events: DataFrame, timeout: str = "1 hour", watermark: str = "10 minutes", queue_timeout: str = "7 days") -> DataFrame:
     """Every change of a job's state.
 
     Finished jobs free their state, running ones fail when their time is up, and queued ones that never start are
-    canceled after ``queue_timeout``, so no state stays for ever.
+    canceled after ``queue_timeout``, so no state stays for ever.  State lives in RocksDB, on the executors' disks.
     """
-    limit, queue_limit = pd.Timedelta(timeout), pd.Timedelta(queue_timeout)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = list(state.get) if state.exists else [None, None, None, None]
-        before = list(current)
-        if state.hasTimedOut and current[0] == "queued":
-            current = ["canceled", current[1], None, current[1] + queue_limit]
-        elif state.hasTimedOut and current[0] == "running":
-            current = ["failed", current[1], current[2], current[2] + limit]
-        elif state.hasTimedOut:
-            pass
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for status, ts in zip(rows["status"], rows["ts"]):
-                current = _advance(current, status, ts)
-        if current[0] is None:
-            return
-        # a finished job keeps a small row until the watermark passes, so that late events cannot reopen it
-        if state.hasTimedOut and before[0] in FINISHED:
-            state.remove()
-            return
-        state.update(tuple(current))
-        if current[0] == "queued":
-            state.setTimeoutTimestamp(max(int((current[1] + queue_limit).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        elif current[0] == "running":
-            state.setTimeoutTimestamp(max(int((current[2] + limit).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        elif current[0] in FINISHED:
-            state.setTimeoutTimestamp(max(int(current[3].timestamp() * 1000) + int(limit.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        if current != before:
-            yield pd.DataFrame([[key[0], *current]], columns=["job_id", "status", "queued_at", "running_at", "finished_at"])
-
-    return events.withWatermark("ts", watermark).groupBy("job_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    limit, queue_limit = (int(pd.Timedelta(t).total_seconds() * 1_000_000) for t in (timeout, queue_timeout))
+    rows = events.where(C("job_id").isNotNull() & C("ts").isNotNull() & C("status").isNotNull()).withWatermark("ts", watermark).select(
+        "job_id", "event_id", "status", "ts", F.unix_micros("ts").alias("us"))
+    changes = rows.groupBy("job_id").transformWithState(JobStates(limit, queue_limit), OUTPUT, "Update", "EventTime")
+    return changes.select("job_id", "status", *[F.timestamp_micros(n).alias(n) for n in ("queued_at", "running_at", "finished_at")])

@@ -80,3 +80,32 @@ def test_dedupe_stream_keeps_one_row_per_key(spark, tmp_path):
     stream, batch = stream_of(spark, tmp_path)
     out = run(windows.skip_unchanged(stream, ["job_id", "status"], "1000 hours"), "unchanged", "append", tmp_path)
     assert out.count() == batch.select("job_id", "status").distinct().count()
+
+
+def test_a_long_log_of_one_job(spark, tmp_path):
+    """Many events of one job in no order: the outcome is that of the batch."""
+    configure(spark)
+    names = F.array(*[F.lit(n) for n in ("running", "succeeded", "failed", "canceled", "queued")])
+    at = F.pmod(F.col("id") * 7919, F.lit(100003))
+    log = spark.range(100000).select(F.col("id").alias("event_id"), F.lit(1).cast("bigint").alias("job_id"),
+                                      F.get(names, F.when(at < 300, 0).when(at < 600, 1).when(at == 700, 4).otherwise(F.pmod(at, F.lit(3)))).alias("status"),
+                                      F.timestamp_seconds(at + 1700000000).alias("ts"))
+    path = str(tmp_path / "long")
+    log.repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    out = run(jobs.job_states_stream(stream, "100000 hours", queue_timeout="100000 hours"), "long_log", "update", tmp_path)
+    got = [(r.status, r.queued_at, r.running_at, r.finished_at) for r in out.collect()]
+    assert got == [(r.status, r.queued_at, r.running_at, r.finished_at) for r in jobs.job_outcomes(spark.read.parquet(path)).collect()]
+
+
+def test_stage_pairs_stream_joins_within_the_bound(spark, tmp_path):
+    configure(spark)
+    rows = [(1, 1, "start", "2024-01-01 00:00:00"), (2, 1, "end", "2024-01-01 00:05:00"), (3, 2, "start", "2024-01-01 00:00:00"),
+            (4, 2, "end", "2024-01-01 02:00:00"), (5, 3, "end", "2024-01-01 00:00:00"), (6, 3, "start", "2024-01-01 00:01:00"), (7, 1, "end", "2024-01-01 00:09:00")]
+    batch = spark.createDataFrame(rows, "event_id bigint, job_id bigint, status string, t string").select("event_id", "job_id", "status", F.to_timestamp("t").alias("ts"))
+    path = str(tmp_path / "pairs-data")
+    batch.repartition(1).write.parquet(path)
+    stream = spark.readStream.schema(batch.schema).parquet(path)
+    out = run(windows.stage_pairs_stream(stream.where("status = 'start'"), stream.where("status = 'end'"), "1 HOUR"), "pairs", "append", tmp_path)
+    assert sorted((r.job_id, str(r.started_at), str(r.ended_at)) for r in out.collect()) == [
+        (1, "2024-01-01 00:00:00", "2024-01-01 00:05:00"), (1, "2024-01-01 00:00:00", "2024-01-01 00:09:00")]
