@@ -8,8 +8,12 @@ indexed; a text with one known word has neighbours.  Weights are (1 + log tf) *
 ``FULL_G``; no term has weight 0, so all count in the products and in the norm.  Plain TF-IDF (relevance 1 for all)
 follows a text's subject, not its tone.
 
-Terms are held by 64-bit hash.  The most common ones are a dense matrix that a block of texts is multiplied with, the
-others have postings; all products are added up, so the nearest examples are the exact ones.  Neighbours vote with their
+Terms are held by 64-bit hash.  Examples are ordered by their strongest term and dealt to blocks; each of the longest
+lists has its largest weight in every block.  A text's bound in a block is the sum over these maxima plus the largest
+exact sum over the short lists, for which maxima would be no shorter than the lists.  Blocks are opened by
+falling bounds: first the ``FIRST_BLOCKS`` best ones, then those whose bound reaches the last of the k cosines found so far;
+no other block can hold a nearer example, so the nearest examples are the exact ones.  The classifier is
+fitted in one task over the bounded sample and lies in the shared folder; the driver sees its path only.  Neighbours vote with their
 cosine, beside ``PRIOR`` votes for the class shares; the share of toxic votes is calibrated by a monotone fit on leave-one-out scores of the examples, weighted back
 to the class shares of all labelled rows.  A text without a known term has no neighbour and gets the toxic share of such
 examples.
@@ -22,6 +26,7 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import operator
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,9 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import CACHE_ENTRIES, mix, plain_words
+from boxloom.llm.common import CACHE_ENTRIES, file_system, fresh_folder, mix, plain_words
 
-BLOCK = 64
+# texts that are scored together, examples of a block, blocks opened before any bound is known
+TEXTS, BLOCK, FIRST_BLOCKS = 64, 16, 8
 PREFIXES = range(5, 11)
 REPEATED = (2, 4)
 # shares from which a text is marked, and the words from which shares are asked for
@@ -44,6 +50,7 @@ COMMON_TERMS = 1024
 PRIOR = 1.0
 NEIGHBOURS = 15
 DECISION = 0.3
+PIECE_BYTES = 1 << 20
 
 
 def terms_of(word: str) -> list[str]:
@@ -55,6 +62,14 @@ def _hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
 
 
+def term_hashes(word: str) -> list[int]:
+    """Hashes of ``terms_of`` a word."""
+    if not word.isascii():
+        return [_hash(t) for t in terms_of(word)]
+    raw, digest = word.encode(), xxhash.xxh64_intdigest
+    return [digest(raw), *[digest(raw[:n] + b"*") for n in PREFIXES[: max(0, len(raw) - PREFIXES[0] + 1)]]]
+
+
 def _repeat_hashes(hashes: np.ndarray, least: int) -> np.ndarray:
     """Hashes of the marks for terms that a text repeats."""
     return mix(hashes + np.uint64(least))
@@ -82,7 +97,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of all terms of a text."""
     words = plain_words(text)
-    pairs = [(_hash(term), n) for word, n in Counter(words).items() for term in terms_of(word)]
+    pairs = [(h, n) for word, n in Counter(words).items() for h in term_hashes(word)]
     keys, counts = _summed(np.array([h for h, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
     marks = [np.array([_hash(m) for m in _marks(text, words)] if words else [], np.uint64)]
     marks += [_repeat_hashes(keys[counts >= least], least) for least in REPEATED]
@@ -90,8 +105,8 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([keys, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
 
 
-def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[list, dict[int, int]]:
-    """Examples (id, label, hashes and counts of terms) by falling id and the number of labelled rows of each class."""
+def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """Examples (id, label, hashes and counts of terms) and the number of labelled rows of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sizes = {int(r["label"]): int(r["count"]) for r in known.groupBy("label").count().collect()}
     picked = None
@@ -109,8 +124,7 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[li
     # the sample is at most 2 * per_class ids, so its broadcast is bounded
     texts = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), F.col("id") == F.col("doc_id"))
     rows = texts.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"), F.min("text").alias("text"))
-    found = rows.mapInArrow(counted, "doc_id bigint, label int, terms binary, counts binary").collect()
-    return sorted(([r["doc_id"], r["label"], r["terms"], r["counts"]] for r in found), reverse=True), sizes
+    return rows.mapInArrow(counted, "doc_id bigint, label int, terms binary, counts binary"), sizes
 
 
 def _relevance(toxic_df: np.ndarray, df: np.ndarray, toxic: int, clean: int) -> np.ndarray:
@@ -144,11 +158,12 @@ class Index:
         common = np.argsort(-df, kind="stable")[:COMMON_TERMS]
         self.row = np.full(len(hashes), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.common, self.dense = common, None
+        self.common, self.blocks, self.maxima = common, None, None
         self.known: dict[str, bytes] = {}
+        self.opened = self.bounded = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None, "known": {}}
+        return self.__dict__ | {"blocks": None, "maxima": None, "known": {}}
 
     @property
     def postings(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,7 +185,7 @@ class Index:
         if len(self.known) + len(words) > CACHE_ENTRIES // 2:
             self.known.clear()
         words = [w for w in words if w not in self.known]
-        found = [[_hash(t) for t in terms_of(w)] for w in words]
+        found = [term_hashes(w) for w in words]
         numbers = self.numbers(np.array([h for f in found for h in f], np.uint64)).astype(np.int32)
         ends = np.cumsum([0] + [4 * len(f) for f in found]) - 4 * np.cumsum(np.concatenate([[0], numbers < 0]))[np.cumsum([0] + [len(f) for f in found])]
         packed = numbers[numbers >= 0].tobytes()
@@ -212,33 +227,56 @@ class Index:
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list | None = None) -> list[list[tuple[float, int]]]:
         """``nearest`` for each of some vectors."""
-        size = len(self.ids)
+        size, count = len(self.ids), -(-len(self.ids) // BLOCK)
         if not size:
             return [[] for _ in vectors]
-        if self.dense is None:
-            self.dense = np.zeros((size, len(self.common)), np.float32)
+        if self.blocks is None:
+            # the long lists, block by block, and their maxima
+            self.blocks = np.zeros((count, BLOCK, len(self.common)), np.float32)
             for row, term in enumerate(self.common.tolist()):
                 held = slice(self.begin[term], self.begin[term + 1])
-                self.dense[self.places[held], row] = self.weights[held]
+                self.blocks[self.places[held] // BLOCK, self.places[held] % BLOCK, row] = self.weights[held]
+            self.maxima = self.blocks.max(axis=1)
         asked = np.zeros((len(vectors), len(self.common)))
+        total = np.zeros((len(vectors), count * BLOCK))
         for i, (terms, values) in enumerate(vectors):
             rows = self.row[terms]
             asked[i, rows[rows >= 0]] = values[rows >= 0]
-        # single precision finds the candidates; their sums are then made in double precision
-        sums = asked.astype(np.float32) @ self.dense.T
-        result = []
-        for i, (terms, values) in enumerate(vectors):
-            rare = self.row[terms] < 0
-            terms, values = terms[rare], values[rare]
+            terms, values = terms[rows < 0], values[rows < 0]
             lengths = self.begin[terms + 1] - self.begin[terms]
             at = np.repeat(self.begin[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            rest = np.bincount(self.places[at], self.weights[at] * np.repeat(values, lengths), size)
-            total = sums[i] + rest
-            if without is not None and without[i] is not None:
-                total[self.ids == without[i]] = 0.0
-            least = max(0.0, np.partition(total, size - k)[size - k] - 1e-5) if size > k else 0.0
-            places = np.flatnonzero((total >= least) & (total > 0))
-            exact = np.round(rest[places] + self.dense[places].astype(np.float64) @ asked[i], 12)
+            total[i] = np.bincount(self.places[at], self.weights[at] * np.repeat(values, lengths), count * BLOCK)
+        rest = total.copy()
+        single = asked.astype(np.float32)
+        # single precision finds the candidates; their sums are then made in double precision
+        bounds = single @ self.maxima.T + rest.reshape(len(vectors), count, BLOCK).max(axis=2) + 1e-5
+        left_out = [np.flatnonzero(self.ids == d) if d is not None else [] for d in without or [None] * len(vectors)]
+        seen = np.zeros(bounds.shape, bool)
+
+        def open_blocks(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                texts = np.flatnonzero(wanted[:, b])
+                total[texts, b * BLOCK : (b + 1) * BLOCK] += single[texts] @ self.blocks[b].T
+            seen[wanted] = True
+
+        def last_of_nearest() -> np.ndarray:
+            shown = np.where(np.repeat(seen, BLOCK, axis=1), total, 0.0)
+            for i, places in enumerate(left_out):
+                shown[i, places] = 0.0
+            return np.maximum(0.0, np.partition(shown, -k, axis=1)[:, -k] - 1e-5) if shown.shape[1] > k else np.zeros(len(vectors))
+
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bounds, min(FIRST_BLOCKS, count) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        open_blocks(first)
+        open_blocks((bounds >= last_of_nearest()[:, None]) & ~seen)
+        self.opened, self.bounded = self.opened + int(seen.sum()), self.bounded + seen.size
+        least = last_of_nearest()
+        result = []
+        for i in range(len(vectors)):
+            ready = np.repeat(seen[i], BLOCK)
+            ready[left_out[i]] = False
+            places = np.flatnonzero(ready & (total[i] >= least[i]) & (total[i] > 0))
+            exact = np.round(rest[i, places] + self.blocks[places // BLOCK, places % BLOCK].astype(np.float64) @ asked[i], 12)
             best = sorted((-c, d, p) for c, d, p in zip(exact.tolist(), self.ids[places].tolist(), places.tolist()))[:k]
             result.append([(-c, p) for c, _, p in best if c < 0])
         return result
@@ -288,13 +326,22 @@ class Classifier:
         relevance = _relevance(np.bincount(terms[(labels[held] == 1)[places]], minlength=len(hashes)), df, count[1], count[0])
         # a term that every example holds keeps a positive weight
         idf = np.log(1 + len(ids) / df) * relevance
+        # like examples stand side by side, ordered by their strongest term
+        strength = (1 + np.log(counts)) * idf.astype(np.float32)[terms]
+        starts = np.cumsum(lengths) - lengths
+        strongest = np.lexsort((terms, -strength, places))[starts[held]]
+        held = held[np.lexsort((ids[held], -strength[strongest], terms[strongest]))]
+        size = lengths[held]
+        moved = np.repeat(starts[held] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        terms, counts, places = terms[moved], counts[moved], np.repeat(np.arange(len(held), dtype=np.int32), size)
+        del strength, strongest, moved
         self.index = Index(ids[held], labels[held].astype(np.float64), share[held], hashes, idf, terms, places, counts)
         none = lengths == 0
         self.without = float((labels * share)[none].sum() / share[none].sum()) if none.any() else 0.0
         ends = np.cumsum(lengths[held])
         xs, at = [], []
-        for first in range(0, len(held), BLOCK):
-            block = range(first, min(first + BLOCK, len(held)))
+        for first in range(0, len(held), TEXTS):
+            block = range(first, min(first + TEXTS, len(held)))
             vectors = [self.index.weighted(terms[ends[i] - lengths[held[i]] : ends[i]], counts[ends[i] - lengths[held[i]] : ends[i]]) for i in block]
             for i, found in zip(block, self.index.nearest_of(vectors, without=[int(self.index.ids[i]) for i in block])):
                 if found:
@@ -304,25 +351,58 @@ class Classifier:
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list]]:
         """Calibrated score and nearest examples of each text."""
-        for first in range(0, len(texts), BLOCK):
-            for found in self.index.nearest_of(self.index.vectors(texts[first : first + BLOCK])):
+        for first in range(0, len(texts), TEXTS):
+            for found in self.index.nearest_of(self.index.vectors(texts[first : first + TEXTS])):
                 near = [(int(self.index.ids[p]), c, int(self.index.labels[p])) for c, p in found[:3]]
                 yield (float(np.interp(self.index.vote(found), self.knots, self.levels)), near) if found else (self.without, [])
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> Classifier:
-    """Fit on a bounded sample of the labelled rows; see the module text for the bounds."""
-    return Classifier(*_sample(documents, labels, per_class))
+class Model:
+    """A fitted classifier, stored in pieces in the shared folder; each worker reads it once."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def load(self) -> Classifier:
+        from pyarrow import parquet
+
+        if self.path not in _LOADED:
+            system, path = file_system(self.path)
+            pieces = sorted(parquet.read_table(path, filesystem=system).to_pylist(), key=lambda r: r["piece"])
+            _LOADED.clear()
+            # without a labelled row there is no piece
+            _LOADED[self.path] = pickle.loads(b"".join(r["bytes"] for r in pieces)) if pieces else Classifier([], {})
+        return _LOADED[self.path]
+
+
+# the model that this worker read last
+_LOADED: dict[str, Classifier] = {}
+
+
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:
+    """Fit on a bounded sample of the labelled rows, in one task; see the module text for the bounds."""
+    examples, sizes = _sample(documents, labels, per_class)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [list(r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        rows.sort(key=lambda r: -r[0])
+        packed = pickle.dumps(Classifier(rows, sizes), protocol=5)
+        for i in range(0, len(packed), PIECE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([i // PIECE_BYTES], pa.int64()), pa.array([packed[i : i + PIECE_BYTES]], pa.binary())], ["piece", "bytes"])
+
+    path = fresh_folder(documents.sparkSession, "toxicity-model")
+    examples.repartition(1).mapInArrow(fit, "piece bigint, bytes binary").write.parquet(path)
+    return Model(path)
 
 
-def score(documents: DataFrame, classifier: Classifier) -> DataFrame:
+def score(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` and ``evidence`` (nearest examples: id, cosine, label) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+        classifier = model.load()
         for batch in batches:
-            results = list(shared.value.scores(batch.column(1).to_pylist()))
+            results = list(classifier.scores(batch.column(1).to_pylist()))
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in results]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s for s, _ in results], pa.float64()), pa.array([int(s >= DECISION) for s, _ in results], pa.int32()), pa.array(evidence, kind)],
@@ -332,14 +412,14 @@ def score(documents: DataFrame, classifier: Classifier) -> DataFrame:
         run, "doc_id bigint, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
 
 
-def keep_clean(documents: DataFrame, classifier: Classifier) -> DataFrame:
+def keep_clean(documents: DataFrame, model: Model) -> DataFrame:
     """The documents that the classifier does not call toxic, with all their columns, in one pass without a join."""
-    shared = documents.sparkSession.sparkContext.broadcast(classifier)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = model.load()
         for batch in batches:
-            keep = [s < DECISION for s, _ in shared.value.scores(batch.column(at).to_pylist())]
+            keep = [s < DECISION for s, _ in classifier.scores(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from boxloom.llm.language import identify
-from boxloom.llm.toxicity import keep_clean, score, train
+from boxloom.llm.toxicity import BLOCK, keep_clean, score, train
 from tests.llm.conftest import DOCS
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -46,12 +46,12 @@ def test_toxicity(make):
     assert {e.label for e in got[0].evidence} == {1}
     assert {r.doc_id for r in keep_clean(docs, model).select("doc_id").collect()} == {i for i in range(400) if i % 5} | {900, 901}
     # the index equals a search over all examples
-    index = model.index
+    index = model.load().index
     for i in range(0, 400, 7):
         v = index.vector(index.known_terms(rows[i][1]))
         every = []
         for terms, places, weights in index.postings:
-            sums = [0.0] * 64
+            sums = [0.0] * BLOCK
             for t, p, w in zip(terms.tolist(), places.tolist(), weights.tolist()):
                 sums[p] += v.get(t, 0.0) * w
             every += [(round(x, 12), 0) for x in sums]
