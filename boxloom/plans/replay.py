@@ -18,6 +18,12 @@ OWNER_RANK = {"editable_text": 50, "preserve_raster": 40, "raster_icon": 35, "sh
 CONFIDENCE_ORDER = {"high": 0, "medium": 1}
 OVERLAP_ORDER = {"image_replay": 0, "text_replay": 1, "shape_replay": 2, "icon_replay": 3}
 BUDGET_ORDER = {"shape_replay": 0, "image_replay": 1, "icon_replay": 2, "text_replay": 3}
+# fixed values: sources of promoted objects, roles that need a replacement style
+ICON_SOURCES = ("m29_6_internal_icon_candidate", "m29_6_foreground_claim")
+SHAPE_SOURCES = ("m29_6_internal_shape_candidate", "m29_6_foreground_claim")
+STYLED_ROLES = ("status_dot_candidate", "table_marker_candidate", "internal_overlay_badge", "internal_pill_button", "internal_circle_control")
+# what is known of an object's origin; objects without these columns have no promoted icons
+EVIDENCE = ("promotion", "parent_media", "has_asset", "row_crop", "text_share", "evidence_score", "label_blocked", "media_share", "readable_media")
 PLAN_ORDER = {**BUDGET_ORDER, "preserve_in_parent_raster": 4, "fallback_only": 5, "diagnostic_only": 6}
 
 
@@ -33,7 +39,25 @@ def with_actions(objects: DataFrame) -> DataFrame:
 
 def object_edges(objects: DataFrame) -> DataFrame:
     """Relation edges with the attributes the plan rules read."""
-    return region_relations(objects, carry=("pixel_owner", "replay_decision", "confidence", "action"))
+    known = tuple(c for c in EVIDENCE if c in objects.columns)
+    return region_relations(objects, carry=("pixel_owner", "replay_decision", "confidence", "action", *known))
+
+
+def promoted_icon(p: str = "") -> Column:
+    """The object is an icon that was promoted out of a media object."""
+    return F.coalesce((C(p + "pixel_owner") == "raster_icon") & (C(p + "replay_decision") == "icon_replay") & C(p + "promotion").isin(*ICON_SOURCES), F.lit(False))
+
+
+def spared_icon(media: str, icon: str, media_id: Column) -> Column:
+    """An icon that may lie on its media: promoted out of it with pixels of its own, or anchored to a label and blocked."""
+    own = C(icon + "promotion").isin(*ICON_SOURCES) & (C(icon + "parent_media") == media_id) & (C(icon + "has_asset") | C(icon + "row_crop"))
+    anchored = C(icon + "label_blocked") & (C(icon + "media_share") >= 0.80) & C(media + "readable_media")
+    return F.coalesce(own, F.lit(False)) | F.coalesce(anchored, F.lit(False))
+
+
+def spared_label(icon: str) -> Column:
+    """A promoted icon with pixels of its own that hardly touches text may overlap its label."""
+    return F.coalesce(C(icon + "promotion").isin(*ICON_SOURCES) & (C(icon + "has_asset") | C(icon + "row_crop")) & (F.coalesce(C(icon + "text_share"), F.lit(0.0)) <= 0.14), F.lit(False))
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -58,14 +82,17 @@ def near_equal_duplicates(edges: DataFrame) -> DataFrame:
     """Objects given up because a near-equal one outranks them, taken in id order.
 
     An object not yet given up at its turn gives up every later near-equal one of no higher priority, or itself when a
-    later one, not given up before that turn, is of higher priority.
+    later one, not given up before that turn, is of higher priority.  Two promoted icons compare by evidence score.
     """
     def priority(p: str) -> Column:
         weight = {"high": 3, "medium": 2, "low": 1}
         return rank_of(C(p + "pixel_owner"), OWNER_RANK, 0) * 10 + rank_of(C(p + "confidence"), weight, 0)
 
-    pairs = cut_lineage(edges.where("primary_rel = 'near_equal'").select(
-        "page_id", C("left_id").alias("first"), C("right_id").alias("second"), (priority("a_") >= priority("b_")).alias("wins")))
+    wins = priority("a_") >= priority("b_")
+    if "a_promotion" in edges.columns:
+        score = lambda p: F.coalesce(C(p + "evidence_score"), F.lit(0.0))
+        wins = F.when(promoted_icon("a_") & promoted_icon("b_"), score("a_") >= score("b_")).otherwise(wins)
+    pairs = cut_lineage(edges.where("primary_rel = 'near_equal'").select("page_id", C("left_id").alias("first"), C("right_id").alias("second"), wins.alias("wins")))
     by_earlier = suppressed(pairs.where("wins").select("page_id", F.struct(C("first").alias("r")).alias("rank"), "first", "second"))
     active = pairs.join(by_earlier.withColumnRenamed("id", "first"), ["page_id", "first"], "left_anti")
     since = active.where("wins").groupBy("page_id", "second").agg(F.min("first").alias("since"))
@@ -80,19 +107,23 @@ def overlap_losers(edges: DataFrame) -> DataFrame:
                         (-C(p + "w") * C(p + "h")).alias("s"), C("left_id" if p == "a_" else "right_id").alias("i"))
 
     swapped = rank("b_") < rank("a_")
+    over_media = over_label = F.lit(False)
+    if "a_promotion" in edges.columns:  # of an image or text and an icon, the icon ranks second
+        over_media = F.when(swapped, spared_icon("b_", "a_", C("right_id"))).otherwise(spared_icon("a_", "b_", C("left_id")))
+        over_label = F.when(swapped, spared_label("a_")).otherwise(spared_label("b_"))
     ranked = edges.select(
         "page_id", "primary_rel", F.least(rank("a_"), rank("b_")).alias("rank"),
         F.when(swapped, C("right_id")).otherwise(C("left_id")).alias("first"), F.when(swapped, C("left_id")).otherwise(C("right_id")).alias("second"),
         F.when(swapped, C("b_action")).otherwise(C("a_action")).alias("one"), F.when(swapped, C("a_action")).otherwise(C("b_action")).alias("two"),
-        (C("a_pixel_owner") == C("b_pixel_owner")).alias("same_owner"),
+        (C("a_pixel_owner") == C("b_pixel_owner")).alias("same_owner"), over_media.alias("over_media"), over_label.alias("over_label"),
         (C("shared_area") / F.least(C("a_w") * C("a_h"), C("b_w") * C("b_h"))).alias("ratio"))
     held = C("primary_rel").isin("contains", "contained_by")
     same = (C("one") == C("two")) & C("same_owner")
     loses = (C("primary_rel") == "near_equal") | ((C("primary_rel") != "disjoint") & (
         (same & (C("one") == "image_replay") & ((C("ratio") >= 0.35) | (held & (C("ratio") >= 0.20))))
         | (same & (C("one") != "image_replay") & (C("ratio") >= 0.20))
-        | ((C("one") == "image_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.20))
-        | ((C("one") == "text_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.25))))
+        | ((C("one") == "image_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.20) & ~C("over_media"))
+        | ((C("one") == "text_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.25) & ~C("over_label"))))
     return suppressed(ranked.where(loses).select("page_id", "rank", "first", "second"))
 
 
@@ -106,6 +137,73 @@ def cleanup_targets(edges: DataFrame) -> DataFrame:
         F.when(text, "editable_text_contained_by_media").otherwise("shape_background_contained_by_media").alias("reason"))
 
 
+def icon_risk() -> Column:
+    """Why a promoted icon may not be erased from its media; null if it may."""
+    def outside(name: str, low: float, high: float) -> Column:
+        return F.coalesce((C(name) < low) | (C(name) > high), F.lit(False))
+
+    return ladder([
+        (~F.coalesce(C("has_asset"), F.lit(False)), "cleanup_rejected_missing_transparent_replacement"),
+        (outside("text_share", 0.0, 0.18), "cleanup_rejected_text_overlap_risk"),
+        (outside("alpha_coverage", 0.04, 0.88), "cleanup_rejected_alpha_coverage_risk"),
+        (outside("edge_alpha_coverage", 0.0, 0.18) | outside("edge_alpha_mean", 0.0, 36.0), "cleanup_rejected_edge_alpha_risk"),
+        (F.coalesce(C("largest_part") < 0.35, F.lit(False)), "cleanup_rejected_fragmented_replacement_risk")], None)
+
+
+def shape_risk() -> Column:
+    """Why a shape may not be erased from a media object; null if it may."""
+    promoted = F.coalesce(C("promotion").isin(*SHAPE_SOURCES), F.lit(False))
+    bare = F.coalesce(C("role_inside").isin(*STYLED_ROLES), F.lit(False)) & ~F.coalesce(C("has_style"), F.lit(False))
+    return ladder([
+        (C("parent_media").isNotNull() & (C("parent_media") != C("target_id")), "cleanup_rejected_parent_media_mismatch"),
+        (F.coalesce(C("text_share") > 0.24, F.lit(False)), "cleanup_rejected_text_overlap_risk"),
+        (promoted & (F.coalesce(C("evidence_score"), F.lit(0.0)) < 0.68), "cleanup_rejected_low_shape_evidence"),
+        (promoted & bare, "cleanup_rejected_missing_shape_replacement_style")], None)
+
+
+def judged_targets(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Media objects that an object may be erased from (``reason``), or may not and why (``risk``).
+
+    ``evidence`` has a row per object: the columns of ``EVIDENCE`` and of the risks, ``foreground_claim`` among them.  Texts and shapes
+    are erased from every media object that holds them, a promoted icon from its parent, a label-anchored blocked icon from every holder.
+    """
+    held = directed(edges).where((C("other_replay_decision") == "image_replay") & (C("other_pixel_owner") == "preserve_raster") & is_visible(C("own_action")))
+    held = held.select("page_id", C("own_id").alias("region_id"), C("other_id").alias("target_id"), C("own_replay_decision").alias("kind"),
+                       lies_in_media(0.20).alias("mostly"), lies_in_media(0.70).alias("wholly"))
+    d = held.join(evidence.select(*PAIR, *(c for c in evidence.columns if c not in (*PAIR, "kind", "target_id"))), PAIR)
+    icon = (C("kind") == "icon_replay") & C("mostly")
+    claim = F.coalesce((C("promotion") == "m29_6_foreground_claim") | C("foreground_claim"), F.lit(False))
+    promoted = icon & F.coalesce(C("promotion").isin(*ICON_SOURCES) & (C("parent_media") == C("target_id")), F.lit(False))
+    anchored = icon & F.coalesce(C("label_blocked"), F.lit(False))
+    far = F.when(C("media_share") < 0.80, "cleanup_rejected_low_media_containment")
+
+    def rule(when: Column, reason, risk) -> Column:
+        return F.when(when, F.struct(F.lit(reason).alias("reason") if isinstance(reason, str) else reason.alias("reason"), risk.cast("string").alias("risk")))
+
+    rules = F.array_compact(F.array(
+        rule((C("kind") == "text_replay") & C("mostly"), "editable_text_contained_by_media", F.lit(None)),
+        rule((C("kind") == "shape_replay") & C("wholly"), F.when(claim, "foreground_claim_removed_from_residual_media").otherwise("shape_background_contained_by_media"), shape_risk()),
+        rule(promoted, F.when(claim, "foreground_claim_removed_from_residual_media").otherwise("promoted_internal_asset_contained_by_media"), icon_risk()),
+        rule(anchored, "label_anchored_blocked_asset_contained_by_media", far)))
+    return d.select("page_id", "region_id", "target_id", F.explode(rules).alias("r")).select("page_id", "region_id", "target_id", "r.reason", "r.risk")
+
+
+def plan_targets(plan: DataFrame, judged: DataFrame) -> DataFrame:
+    """Cleanup rows of the plan's visible rows: ``target``, ``target_id``, ``reason``, ``risk``.
+
+    Every visible row erases its place in the fallback.  A target that lost its own place to a visible overlap is pruned, which is
+    a risk of the row; a rejected target is a risk without a target.
+    """
+    shown = plan.where(is_visible(C("final_action"))).select(*PAIR)
+    lost = plan.where("why = 'visible_overlap_duplicate_suppressed'").select("page_id", C("region_id").alias("target_id"), F.lit(True).alias("pruned"))
+    fallback = shown.select(*PAIR, F.lit("fallback").alias("target"), F.lit(None).cast("bigint").alias("target_id"), F.lit("replayed_visible_object").alias("reason"), F.lit(None).cast("string").alias("risk"))
+    copied = judged.join(shown, PAIR).join(lost, ["page_id", "target_id"], "left")
+    kept = C("risk").isNull() & C("pruned").isNull()
+    copied = copied.select(*PAIR, F.when(kept, "copied_image_asset").alias("target"), C("target_id"), F.when(kept, C("reason")).alias("reason"),
+                           F.coalesce("risk", F.when(C("pruned"), "copied_image_cleanup_target_suppressed")).alias("risk"))
+    return fallback.unionByName(copied)
+
+
 def budget(visible: DataFrame, limit: int) -> DataFrame:
     """Rank of each visible object in the node budget and whether it falls outside."""
     order = [rank_of(C("action"), BUDGET_ORDER, 9), rank_of(C("confidence"), CONFIDENCE_ORDER, 2), C("region_id")]
