@@ -26,7 +26,8 @@ def merge_new_slices(boxes: DataFrame, slices: DataFrame, order: list[Column], l
 def controlled_groups(groups: DataFrame, members: DataFrame, order: list[Column], most: int = 24) -> DataFrame:
     """Groups accepted in order while their members are still free, at most ``most`` per page."""
     info = groups.select("page_id", "group_id", F.struct(*order, C("group_id").alias("_id")).alias("rank"))
-    shared = member_overlaps(members).where(C("share") > 0)
+    # one common member is enough
+    shared = member_overlaps(members, 0.0)
     one, two = [info.select("page_id", C("group_id").alias(n), C("rank").alias("r_" + n)) for n in ("one", "two")]
     edges = shared.join(one, ["page_id", "one"]).join(two, ["page_id", "two"]).where(C("r_one") < C("r_two"))
     lost = suppressed(edges.select("page_id", C("r_one").alias("rank"), C("one").alias("first"), C("two").alias("second")))

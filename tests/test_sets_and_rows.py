@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from boxloom.operators import banding
-from boxloom.plans import clusters, text
+from boxloom.plans import claims, clusters, text
 
 MEMBERS = "page_id bigint, group_id bigint, member_id bigint"
 
@@ -63,3 +63,17 @@ def test_scripts_keep_their_own_size(spark):
             for i, (size, script) in enumerate([(14, "latin"), (14, "latin"), (15, "latin"), (15, "cjk"), (16, "cjk"), (16, "cjk"), (14, None), (14, None), (13, None)])]
     moved = {r.region_id: r.new_size for r in text.harmonized_sizes(spark.createDataFrame(rows, schema)).collect()}
     assert moved == {2: 14, 3: 16, 8: 14}
+
+
+def test_controlled_groups_share_no_member(spark):
+    rng = random.Random(5)
+    groups = {g: {rng.randrange(40) for _ in range(rng.randrange(2, 6))} for g in range(30)}
+    rows = [(1, g, m) for g, ms in groups.items() for m in ms]
+    info = spark.createDataFrame([(1, g, -len(ms)) for g, ms in groups.items()], "page_id bigint, group_id bigint, s bigint")
+    got = [r.group_id for r in claims.controlled_groups(info, spark.createDataFrame(rows, MEMBERS), [F.col("s")], 3).orderBy("position").collect()]
+    free, want = set(range(40)), []
+    for g in sorted(groups, key=lambda g: (-len(groups[g]), g)):
+        if groups[g] <= free:
+            want.append(g)
+            free -= groups[g]
+    assert got == want[:3]
