@@ -4,7 +4,8 @@ A text is split by the pattern of the vocabulary; every piece is encoded by itse
 position, token); a recursive query joins neighbouring tokens with the merge table and contracts each piece's leftmost pair of
 the least rank until nothing merges.  Decoding joins token ids with the vocabulary and concatenates by an ordered aggregate.
 
-Only different pieces are encoded; the pieces a worker met first are remembered up to ``KNOWN_PIECES``.  Long pieces use a
+Only different pieces are encoded; the pieces a worker met first are remembered up to ``KNOWN_PIECES``, and the units between
+blanks up to ``KNOWN_UNITS``.  ``round_trip`` encodes and decodes in one worker, which holds one database.  Long pieces use a
 second form of the recursion that contracts all occurrences of the least pair at once where no later merge can come
 in between, and that is restarted after a bounded number of levels, so its memory stays in proportion to the piece.
 
@@ -23,25 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.common import resident
+
 # pieces that a worker remembers
 KNOWN_PIECES = 600_000
-CHUNK_BYTES = 300_000
+# units behind a blank that a worker remembers with their ids
+KNOWN_UNITS = 400_000
+CHUNK_BYTES = 100_000
 LONG_PIECE = 64
 LEVEL_ROWS = 2_000_000
 # A blank splits safely unless white space stands on both of its sides or it ends the text behind white space.
 UNSAFE_BLANK = re.compile(r"\s (?:\s|$)")
 
+# a row links to the place e of its following token, so that a level needs no order
 SHORT_SQL = """
-WITH RECURSIVE s(w, p, t, n, lvl) AS (
-  SELECT w, p, t, coalesce(lead(t) OVER (PARTITION BY w ORDER BY p), -1), 0 FROM pieces
+WITH RECURSIVE s(w, p, t, e, lvl) AS (
+  SELECT w, p, t, coalesce(lead(p) OVER (PARTITION BY w ORDER BY p), -1), 0 FROM pieces
   UNION ALL
-  (WITH ranked AS (SELECT s.w, s.p, s.t, s.lvl, g.r FROM s LEFT JOIN merges g ON g.k = s.t * 65536 + s.n),
-        least AS (SELECT w, min(r * 65536 + p) AS best FROM ranked GROUP BY w HAVING best IS NOT NULL),
-        merged AS (SELECT r.w, r.p, CASE WHEN r.p = best % 65536 THEN best // 65536 ELSE r.t END AS t, best % 65536 AS place, r.lvl + 1 AS lvl
-                   FROM ranked r JOIN least USING (w))
-   SELECT w, p, t, n, lvl FROM (
-     SELECT w, p, t, lvl, coalesce(CASE WHEN p = place THEN lead(t, 2) OVER o ELSE lead(t) OVER o END, -1) AS n, coalesce((lag(p) OVER o) = place, false) AS gone
-     FROM merged WINDOW o AS (PARTITION BY w ORDER BY p)) WHERE NOT gone))
+  (WITH ranked AS (SELECT a.*, b.e AS after, g.r FROM s a LEFT JOIN s b ON b.w = a.w AND b.p = a.e LEFT JOIN merges g ON g.k = a.t * 65536 + b.t),
+        least AS (SELECT w, min(r * 65536 + p) AS best, arg_min(e, r * 65536 + p) AS gone FROM ranked GROUP BY w HAVING best IS NOT NULL)
+   SELECT r.w, r.p, CASE WHEN r.p = best % 65536 THEN best // 65536 ELSE r.t END, CASE WHEN r.p = best % 65536 THEN r.after ELSE r.e END, r.lvl + 1
+   FROM ranked r JOIN least USING (w) WHERE r.p <> gone))
 SELECT s.w, s.p, s.t FROM s JOIN (SELECT w, max(lvl) AS lvl FROM s GROUP BY w) USING (w, lvl) ORDER BY s.w, s.p
 """
 
@@ -77,6 +80,7 @@ class BytePairs:
         self.split = regex.compile(pattern).findall
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.has_merges = self.has_vocabulary = False
@@ -161,6 +165,8 @@ class BytePairs:
         tails: set[str] = set()
         for s in split:
             tails.update(s[1:])
+        held = tails & self.units.keys()
+        tails -= held
         parts = {u: self.split(u) for u in heads} | {" " + u: self.split(" " + u) for u in tails}
         new = self.encode_pieces(list({p for found in parts.values() for p in found} - self.known.keys()))
         if len(self.known) + len(new) <= KNOWN_PIECES:
@@ -168,6 +174,11 @@ class BytePairs:
         value = lambda p: new[p] if p in new else self.known[p]
         head = {u: b"".join(map(value, parts[u])) for u in heads}
         tail = {u: b"".join(map(value, parts[" " + u])) for u in tails}
+        if len(self.units) + len(tail) <= KNOWN_UNITS:
+            self.units.update(tail)
+            tail = self.units
+        else:
+            tail.update((u, self.units[u]) for u in held)
         return [b"" if s[0] is None else head[s[0]] + b"".join(map(tail.__getitem__, s[1:])) for s in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -183,14 +194,9 @@ class BytePairs:
         return [row.encode("utf-16-le")[::2] for row in shown.split(ROW_SIGN)[:-1]]
 
 
-_CODERS: dict[tuple[str, str], BytePairs] = {}
-
-
 def coder(path: str, pattern: str) -> BytePairs:
     """The coder of this worker process, built once."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = BytePairs(path, pattern)
-    return _CODERS[path, pattern]
+    return resident(("byte_pairs", path, pattern), lambda: BytePairs(path, pattern))
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -215,3 +221,15 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coder(path, pattern).decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+
+
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``ids`` and ``decoded`` of every whole text: ``decode`` of ``encode`` in one pass, so that a task has one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = coder(path, pattern)
+        for batch in batches:
+            ids = both.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(both.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")

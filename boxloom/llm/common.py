@@ -97,6 +97,23 @@ def held_out(column) -> "F.Column":
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+# what this worker process holds between tasks: one model at a time, as an idle worker keeps its memory
+_RESIDENT: dict = {}
+
+
+def resident(key, build):
+    """The model of this worker process under ``key``, built once; it takes the place of any other."""
+    if key not in _RESIDENT:
+        release()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Give up what earlier operators left in this worker process."""
+    _RESIDENT.clear()
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to ``CACHE_ENTRIES`` words."""
 

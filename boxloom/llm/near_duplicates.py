@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import WordHashes, mix, only, shingle_hashes, stored
+from boxloom.llm.common import WordHashes, mix, only, release, shingle_hashes, stored
 from boxloom.llm.components import components
 
 SKETCH, LISTED = 64, 32
@@ -59,6 +59,7 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
     """``rank`` (id), ``n`` (set size), a digest of the set (``d1``, ``d2``) and its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, size, hashes) for t in batch.column(1).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import CACHE_ENTRIES, WordHashes, mix
+from boxloom.llm.common import CACHE_ENTRIES, WordHashes, mix, release
 
 RADIUS = 4
 TOKEN = re.compile(r"[^\W_]+|\n")
@@ -89,6 +89,7 @@ def unit_rows(documents: DataFrame) -> DataFrame:
     """One row for each different unit of a document: ``h1``, ``h2``, ``rank`` (its id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes = LowerHashes()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)

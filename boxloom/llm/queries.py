@@ -45,7 +45,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_pairs.decode(byte_pairs.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = byte_pairs.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

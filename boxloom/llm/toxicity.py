@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import CACHE_ENTRIES, file_system, fresh_folder, mix, plain_words
+from boxloom.llm.common import CACHE_ENTRIES, file_system, fresh_folder, mix, plain_words, resident
 
 # texts that are scored together, examples of a block, blocks opened before any bound is known
 TEXTS, BLOCK, FIRST_BLOCKS = 64, 16, 8
@@ -366,17 +366,13 @@ class Model:
     def load(self) -> Classifier:
         from pyarrow import parquet
 
-        if self.path not in _LOADED:
+        def read() -> Classifier:
             system, path = file_system(self.path)
             pieces = sorted(parquet.read_table(path, filesystem=system).to_pylist(), key=lambda r: r["piece"])
-            _LOADED.clear()
             # without a labelled row there is no piece
-            _LOADED[self.path] = pickle.loads(b"".join(r["bytes"] for r in pieces)) if pieces else Classifier([], {})
-        return _LOADED[self.path]
+            return pickle.loads(b"".join(r["bytes"] for r in pieces)) if pieces else Classifier([], {})
 
-
-# the model that this worker read last
-_LOADED: dict[str, Classifier] = {}
+        return resident(("toxicity", self.path), read)
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> Model:

@@ -40,7 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (32-bit little-endian), their number, and the text they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_pairs.decode(byte_pairs.encode(docs, path, pattern), path, pattern)
+    coded = byte_pairs.round_trip(docs, path, pattern)
     return coded.select("doc_id", F.decode("decoded", "UTF-8").alias("text"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from boxloom.llm.byte_pairs import BytePairs, decode, encode
+from boxloom.llm import common
+from boxloom.llm.byte_pairs import BytePairs, decode, encode, round_trip
 from tests.llm.conftest import DOCS
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,3 +46,28 @@ def test_operator(make, reference):
     assert sorted((r.doc_id or 0, np.frombuffer(r.ids, dtype="<u4").tolist(), bytes(r.decoded)) for r in got) == [
         (0, [], b""), (1, reference.encode_ordinary("hello  world"), b"hello  world"), (1, reference.encode_ordinary("hello  world"), b"hello  world"), (3, [], b"")]
     assert encode(make([], DOCS), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_full_memory_changes_nothing(reference, monkeypatch):
+    monkeypatch.setattr("boxloom.llm.byte_pairs.KNOWN_UNITS", 40)
+    own, rnd = BytePairs(PATH, public_tokenizers.PATTERN), random.Random(8)
+    for _ in range(6):
+        batch = [" ".join(rnd.choice(["zu", "wörter", "don't", "x1y2", "quagmires,", "."]) + str(rnd.randrange(9)) for _ in range(30)) for _ in range(3)]
+        assert [np.frombuffer(g, dtype="<u4").tolist() for g in own.encode(batch)] == [reference.encode_ordinary(t) for t in batch]
+    assert 0 < len(own.units) <= 40
+
+
+def test_round_trip_in_one_worker(make, reference):
+    rows = [(1, "hello  world ", "en", "s", 1), (None, None, None, None, None), (3, "a b\nc", None, None, None)]
+    found = round_trip(make(rows, DOCS), PATH, public_tokenizers.PATTERN)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id or 0, np.frombuffer(r.ids, dtype="<u4").tolist(), bytes(r.decoded)) for r in found.collect()) == [
+        (0, [], b""), (1, reference.encode_ordinary("hello  world "), b"hello  world "), (3, reference.encode_ordinary("a b\nc"), b"a b\nc")]
+
+
+def test_a_worker_holds_one_model():
+    common.release()
+    assert common.resident("one", list) is common.resident("one", list)
+    common.resident("two", list)
+    assert list(common._RESIDENT) == ["two"]
+    common.release()
