@@ -32,6 +32,8 @@ KNOWN_PIECES = 600_000
 KNOWN_UNITS = 400_000
 CHUNK_BYTES = 100_000
 LONG_PIECE = 64
+# ids that one aggregate decodes, unless a row has more
+DECODED_IDS = 200_000
 LEVEL_ROWS = 2_000_000
 # A blank splits safely unless white space stands on both of its sides or it ends the text behind white space.
 UNSAFE_BLANK = re.compile(r"\s (?:\s|$)")
@@ -182,7 +184,18 @@ class BytePairs:
         return [b"" if s[0] is None else head[s[0]] + b"".join(map(tail.__getitem__, s[1:])) for s in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes that the ids of each row stand for, by one ordered aggregate over all rows; a sign between rows parts them again."""
+        """Bytes that the ids of each row stand for."""
+        result, group, size = [], [], 0
+        for row in ids:
+            if group and size + len(row) > 4 * DECODED_IDS:
+                result += self._decoded(group)
+                group, size = [], 0
+            group.append(row)
+            size += len(row)
+        return result + self._decoded(group) if group else result
+
+    def _decoded(self, ids: list[bytes]) -> list[bytes]:
+        """Some rows by one ordered aggregate; a sign between rows parts them again."""
         self._vocabulary()
         values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
         if len(values) and (values.max() > max(self.ranks.values()) or values.min() < 0):

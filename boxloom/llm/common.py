@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -110,8 +112,13 @@ def resident(key, build):
 
 
 def release() -> None:
-    """Give up what earlier operators left in this worker process."""
-    _RESIDENT.clear()
+    """Give up what earlier operators left in this worker process, to the system where its allocator can."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 class WordHashes(dict):

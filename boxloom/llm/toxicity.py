@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import CACHE_ENTRIES, file_system, fresh_folder, mix, plain_words, resident
+from boxloom.llm.common import CACHE_ENTRIES, file_system, fresh_folder, mix, plain_words, release, resident
 
 # texts that are scored together, examples of a block, blocks opened before any bound is known
 TEXTS, BLOCK, FIRST_BLOCKS = 64, 16, 8
@@ -115,6 +115,7 @@ def _sample(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[Da
         picked = part if picked is None else picked.unionByName(part)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [term_counts(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -380,6 +381,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 3000) -> Mod
     examples, sizes = _sample(documents, labels, per_class)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rows = [list(r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
         rows.sort(key=lambda r: -r[0])
         packed = pickle.dumps(Classifier(rows, sizes), protocol=5)

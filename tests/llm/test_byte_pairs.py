@@ -71,3 +71,10 @@ def test_a_worker_holds_one_model():
     common.resident("two", list)
     assert list(common._RESIDENT) == ["two"]
     common.release()
+
+
+def test_rows_are_decoded_in_groups(pairs, monkeypatch):
+    monkeypatch.setattr("boxloom.llm.byte_pairs.DECODED_IDS", 5)
+    coded = pairs.encode(texts()[:60])
+    assert pairs.decode(coded) == [(t or "").encode() for t in texts()[:60]]
+    assert pairs.decode([]) == []
