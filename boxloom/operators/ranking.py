@@ -12,12 +12,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from boxloom.session import cut_lineage
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+# rows of a group that a task sorts
+GROUP = 100_000
+
+
+def has_large_groups(df: DataFrame, keys: list[str]) -> bool:
+    """Some group has more rows than a task should sort; one job that counts."""
+    return not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).isEmpty()
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str, large: bool = True) -> DataFrame:
     """1-based rank of each row in its group, by ``order`` (whose ties are broken anyhow).
 
-    Rows are dealt to range partitions of (keys, order), whose bounds Spark samples, so a group of any size is cut into pieces
+    Where no group is ``large`` a window ranks them.  Else rows are dealt to range partitions of (keys, order), whose bounds Spark samples, so a group of any size is cut into pieces
     that fit a task; the pieces are counted and a running sum over the counts shifts the ranks inside each piece.
     """
+    if not large:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     names = [f"_o{i}" for i in range(len(order))]
     shown = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
     # the piece of a row must not change when a task runs again

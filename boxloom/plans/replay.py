@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from boxloom.functions.geometry import box, gap, half_even, overlap
 from boxloom.functions.ladders import is_visible, ladder, replay_action, target_role
 from boxloom.operators.greedy import suppressed
-from boxloom.operators.ranking import row_numbers
-from boxloom.operators.relations import region_relations
+from boxloom.operators.ranking import has_large_groups, row_numbers
+from boxloom.operators.relations import RelationOptions, near_threshold, primary_relation, region_relations
+from boxloom.operators.spatial import near_pairs, settled
 from boxloom.session import cut_lineage
 
 C = F.col
@@ -78,53 +80,65 @@ def lies_in_media(threshold) -> Column:
     return (C("primary_rel") == "near_equal") | C("contained") | (C("own_in_other") >= threshold)
 
 
-def near_equal_duplicates(edges: DataFrame) -> DataFrame:
-    """Objects given up because a near-equal one outranks them, taken in id order.
+def _conflicts(edges: DataFrame) -> DataFrame:
+    """Edges on which one end may be given up, and no more of them than the two rules read.
 
-    An object not yet given up at its turn gives up every later near-equal one of no higher priority, or itself when a
-    later one, not given up before that turn, is of higher priority.  Two promoted icons compare by evidence score.
+    ``near``: the ends are nearly equal, and ``wins`` if the earlier one ranks no lower.  ``loses``: of two visible ends ``second`` is
+    given up for ``first``, which stands at ``rank``.
     """
     def priority(p: str) -> Column:
         weight = {"high": 3, "medium": 2, "low": 1}
         return rank_of(C(p + "pixel_owner"), OWNER_RANK, 0) * 10 + rank_of(C(p + "confidence"), weight, 0)
 
-    wins = priority("a_") >= priority("b_")
-    if "a_promotion" in edges.columns:
-        score = lambda p: F.coalesce(C(p + "evidence_score"), F.lit(0.0))
-        wins = F.when(promoted_icon("a_") & promoted_icon("b_"), score("a_") >= score("b_")).otherwise(wins)
-    pairs = cut_lineage(edges.where("primary_rel = 'near_equal'").select("page_id", C("left_id").alias("first"), C("right_id").alias("second"), wins.alias("wins")))
-    by_earlier = suppressed(pairs.where("wins").select("page_id", F.struct(C("first").alias("r")).alias("rank"), "first", "second"))
-    active = pairs.join(by_earlier.withColumnRenamed("id", "first"), ["page_id", "first"], "left_anti")
-    since = active.where("wins").groupBy("page_id", "second").agg(F.min("first").alias("since"))
-    yielding = active.where("NOT wins").join(since, ["page_id", "second"], "left").where(C("since").isNull() | (C("since") >= C("first")))
-    return by_earlier.unionByName(yielding.select("page_id", C("first").alias("id"))).distinct()
-
-
-def overlap_losers(edges: DataFrame) -> DataFrame:
-    """Visible objects given up because a better visible one covers too much of them."""
     def rank(p: str) -> Column:
         return F.struct(rank_of(C(p + "action"), OVERLAP_ORDER, 9).alias("a"), rank_of(C(p + "confidence"), CONFIDENCE_ORDER, 2).alias("c"),
                         (-C(p + "w") * C(p + "h")).alias("s"), C("left_id" if p == "a_" else "right_id").alias("i"))
 
-    swapped = rank("b_") < rank("a_")
+    read = [f"{p}_{c}" for c in ("pixel_owner", "replay_decision", "confidence", "action", "w", "h", *EVIDENCE) for p in "ab"]
+    # expressions of one step are not written out in the next
+    edges = settled(edges.where("primary_rel <> 'disjoint'").select("page_id", "left_id", "right_id", "primary_rel", "shared_area", *[c for c in read if c in edges.columns]))
+    edges = settled(edges.withColumns({"a_rank": rank("a_"), "b_rank": rank("b_")}).withColumn("swapped", C("b_rank") < C("a_rank")))
+    wins, swapped = priority("a_") >= priority("b_"), C("swapped")
     over_media = over_label = F.lit(False)
-    if "a_promotion" in edges.columns:  # of an image or text and an icon, the icon ranks second
+    if "a_promotion" in edges.columns:
+        score = lambda p: F.coalesce(C(p + "evidence_score"), F.lit(0.0))
+        wins = F.when(promoted_icon("a_") & promoted_icon("b_"), score("a_") >= score("b_")).otherwise(wins)
+        # of an image or text and an icon, the icon ranks second
         over_media = F.when(swapped, spared_icon("b_", "a_", C("right_id"))).otherwise(spared_icon("a_", "b_", C("left_id")))
         over_label = F.when(swapped, spared_label("a_")).otherwise(spared_label("b_"))
-    ranked = edges.select(
-        "page_id", "primary_rel", F.least(rank("a_"), rank("b_")).alias("rank"),
+    near = C("primary_rel") == "near_equal"
+    ranked = settled(edges.select(
+        "page_id", "left_id", "right_id", "primary_rel", near.alias("near"), F.when(near, wins).alias("wins"), F.least("a_rank", "b_rank").alias("rank"),
         F.when(swapped, C("right_id")).otherwise(C("left_id")).alias("first"), F.when(swapped, C("left_id")).otherwise(C("right_id")).alias("second"),
         F.when(swapped, C("b_action")).otherwise(C("a_action")).alias("one"), F.when(swapped, C("a_action")).otherwise(C("b_action")).alias("two"),
         (C("a_pixel_owner") == C("b_pixel_owner")).alias("same_owner"), over_media.alias("over_media"), over_label.alias("over_label"),
-        (C("shared_area") / F.least(C("a_w") * C("a_h"), C("b_w") * C("b_h"))).alias("ratio"))
+        (C("shared_area") / F.least(C("a_w") * C("a_h"), C("b_w") * C("b_h"))).alias("ratio")))
     held = C("primary_rel").isin("contains", "contained_by")
     same = (C("one") == C("two")) & C("same_owner")
-    loses = (C("primary_rel") == "near_equal") | ((C("primary_rel") != "disjoint") & (
-        (same & (C("one") == "image_replay") & ((C("ratio") >= 0.35) | (held & (C("ratio") >= 0.20))))
+    loses = is_visible(C("one")) & is_visible(C("two")) & (C("near")
+        | (same & (C("one") == "image_replay") & ((C("ratio") >= 0.35) | (held & (C("ratio") >= 0.20))))
         | (same & (C("one") != "image_replay") & (C("ratio") >= 0.20))
         | ((C("one") == "image_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.20) & ~C("over_media"))
-        | ((C("one") == "text_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.25) & ~C("over_label"))))
-    return suppressed(ranked.where(loses).select("page_id", "rank", "first", "second"))
+        | ((C("one") == "text_replay") & (C("two") == "icon_replay") & (C("ratio") >= 0.25) & ~C("over_label")))
+    return ranked.select("page_id", "left_id", "right_id", "near", "wins", F.coalesce(loses, F.lit(False)).alias("loses"), "rank", "first", "second").where("near OR loses")
+
+
+def near_equal_duplicates(edges: DataFrame) -> DataFrame:
+    """Objects given up because a near-equal one outranks them, taken in id order.
+
+    An object not yet given up at its turn gives up every later near-equal one of no higher priority, or itself when a
+    later one, not given up before that turn, is of higher priority.  Two promoted icons compare by evidence score.
+    """
+    return _near_equal(cut_lineage(_conflicts(edges).where("near").select("page_id", "left_id", "right_id", "wins")))
+
+
+def _near_equal(conflicts: DataFrame) -> DataFrame:
+    pairs = conflicts.select("page_id", C("left_id").alias("first"), C("right_id").alias("second"), "wins")
+    by_earlier = suppressed(pairs.where("wins").select("page_id", F.struct(C("first").alias("r")).alias("rank"), "first", "second"))
+    active = pairs.join(by_earlier.withColumnRenamed("id", "first"), ["page_id", "first"], "left_anti")
+    since = active.where("wins").groupBy("page_id", "second").agg(F.min("first").alias("since"))
+    yielding = active.where("NOT wins").join(since, ["page_id", "second"], "left").where(C("since").isNull() | (C("since") >= C("first")))
+    return by_earlier.unionByName(yielding.select("page_id", C("first").alias("id"))).distinct()
 
 
 def cleanup_targets(edges: DataFrame) -> DataFrame:
@@ -161,16 +175,36 @@ def shape_risk() -> Column:
         (promoted & bare, "cleanup_rejected_missing_shape_replacement_style")], None)
 
 
+def media_holds(objects: DataFrame, options: RelationOptions = RelationOptions()) -> DataFrame:
+    """(page_id, region_id, target_id, kind, shown, mostly, wholly): media objects on or near an object, and how far it lies in them.
+
+    The rows are those of the directed edges whose other end is a media object; only these are sent to meet the objects.
+    """
+    a, b = box("a_"), box("b_")
+    media = (C("replay_decision") == "image_replay") & (C("pixel_owner") == "preserve_raster")
+    pairs = near_pairs(objects.select(*PAIR, "x", "y", "w", "h", C("replay_decision").alias("kind"), is_visible(C("action")).alias("shown")),
+                       objects.where(media).select(*PAIR, "x", "y", "w", "h"),
+                       (C("a_region_id") != C("b_region_id")) & (gap(a, b) <= near_threshold(a, b, options)), margin=options.near_max, spread=True)
+    related = pairs.select("page_id", C("a_region_id").alias("region_id"), C("b_region_id").alias("target_id"), C("a_kind").alias("kind"), C("a_shown").alias("shown"),
+                           primary_relation(a, b, options).alias("primary_rel"), half_even(overlap(a, b) / a.area, 6).alias("own_in_other"))
+    related = related.withColumn("contained", C("primary_rel") == "contained_by")
+    return related.select(*PAIR, "target_id", "kind", "shown", lies_in_media(0.20).alias("mostly"), lies_in_media(0.70).alias("wholly"))
+
+
 def judged_targets(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The targets that ``edges`` hold, judged (see ``judged_holds``)."""
+    held = directed(edges).where((C("other_replay_decision") == "image_replay") & (C("other_pixel_owner") == "preserve_raster"))
+    return judged_holds(held.select("page_id", C("own_id").alias("region_id"), C("other_id").alias("target_id"), C("own_replay_decision").alias("kind"),
+                                    is_visible(C("own_action")).alias("shown"), lies_in_media(0.20).alias("mostly"), lies_in_media(0.70).alias("wholly")), evidence)
+
+
+def judged_holds(holds: DataFrame, evidence: DataFrame) -> DataFrame:
     """Media objects that an object may be erased from (``reason``), or may not and why (``risk``).
 
     ``evidence`` has a row per object: the columns of ``EVIDENCE`` and of the risks, ``foreground_claim`` among them.  Texts and shapes
     are erased from every media object that holds them, a promoted icon from its parent, a label-anchored blocked icon from every holder.
     """
-    held = directed(edges).where((C("other_replay_decision") == "image_replay") & (C("other_pixel_owner") == "preserve_raster") & is_visible(C("own_action")))
-    held = held.select("page_id", C("own_id").alias("region_id"), C("other_id").alias("target_id"), C("own_replay_decision").alias("kind"),
-                       lies_in_media(0.20).alias("mostly"), lies_in_media(0.70).alias("wholly"))
-    d = held.join(evidence.select(*PAIR, *(c for c in evidence.columns if c not in (*PAIR, "kind", "target_id"))), PAIR)
+    d = holds.where("shown").join(evidence.select(*PAIR, *(c for c in evidence.columns if c not in (*PAIR, "kind", "target_id", "shown", "mostly", "wholly"))), PAIR)
     icon = (C("kind") == "icon_replay") & C("mostly")
     claim = F.coalesce((C("promotion") == "m29_6_foreground_claim") | C("foreground_claim"), F.lit(False))
     promoted = icon & F.coalesce(C("promotion").isin(*ICON_SOURCES) & (C("parent_media") == C("target_id")), F.lit(False))
@@ -214,23 +248,28 @@ def budget(visible: DataFrame, limit: int) -> DataFrame:
 def replay_plan(objects: DataFrame, max_visible: int = 260) -> DataFrame:
     """One plan row per object with its final action, and why it was given up if it was."""
     acted = with_actions(objects)
+    large = has_large_groups(objects, ["page_id"])
     # read four times below
-    edges = cut_lineage(object_edges(acted))
-    dup = near_equal_duplicates(edges).select("page_id", C("id").alias("region_id"), F.lit("near_equal_duplicate_suppressed").alias("why"))
-    rest = acted.join(dup.select(*PAIR), PAIR, "left_anti")
-    shown = rest.where(is_visible(C("action")))
-    gone = dup.select("page_id", C("region_id").alias("id"))
-    live = edges.where(is_visible(C("a_action")) & is_visible(C("b_action"))).join(
-        gone.withColumnRenamed("id", "left_id"), ["page_id", "left_id"], "left_anti").join(
-        gone.withColumnRenamed("id", "right_id"), ["page_id", "right_id"], "left_anti")
-    lost = overlap_losers(live).select("page_id", C("id").alias("region_id"), F.lit("visible_overlap_duplicate_suppressed").alias("why"))
-    kept = budget(shown.join(lost.select(*PAIR), PAIR, "left_anti"), max_visible)
-    over = kept.where("over_budget").select(*PAIR, F.lit("node_budget_suppressed").alias("why"))
-    reasons = dup.unionByName(lost).unionByName(over)
-    plan = acted.join(reasons, PAIR, "left")
+    conflicts = cut_lineage(_conflicts(object_edges(acted)))
+    dup = cut_lineage(_near_equal(conflicts.where("near")))
+    live = conflicts.where("loses").select("page_id", "rank", "first", "second")
+    for end in ("first", "second"):
+        live = live.join(dup.withColumnRenamed("id", end), ["page_id", end], "left_anti")
+    lost = suppressed(live)
+    reasons = [df.select("page_id", C("id").alias("region_id"), F.lit(why).alias("why")) for df, why in (
+        (dup, "near_equal_duplicate_suppressed"), (lost, "visible_overlap_duplicate_suppressed"))]
+    # objects and reasons meet where the pages are ranked, so the objects are sent once
+    marks = reasons[0].unionByName(reasons[1]).withColumn("_object", F.lit(False))
+    rows = acted.withColumns({"why": F.lit(None).cast("string"), "_object": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
+    rows = rows.repartition(*(PAIR if large else ["page_id"])).withColumn("why", F.max("why").over(Window.partitionBy(*PAIR))).where("_object").drop("_object")
+    free = C("why").isNull() & is_visible(C("action"))
+    order = [(~free).cast("int"), rank_of(C("action"), BUDGET_ORDER, 9), rank_of(C("confidence"), CONFIDENCE_ORDER, 2), C("region_id")]
+    ranked = row_numbers(rows, ["page_id"], order, "_rank", large)
+    over = free & (C("_rank") > max_visible)
+    plan = ranked.withColumn("why", F.when(over, "node_budget_suppressed").otherwise(C("why"))).drop("_rank")
     final = F.when(C("why").isNotNull(), "suppress_duplicate").otherwise(C("action"))
     planned = plan.withColumn("final_action", final).withColumn("final_role", F.when(C("why").isNull(), C("role")))
-    return row_numbers(planned, ["page_id"], [rank_of(C("final_action"), PLAN_ORDER, 7), C("region_id")], "position")
+    return row_numbers(planned, ["page_id"], [rank_of(C("final_action"), PLAN_ORDER, 7), C("region_id")], "position", large)
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from boxloom.functions.ladders import is_visible
 from boxloom.plans import replay as rp
 from boxloom.queries.fixture_sql import FIXTURE_SQL, fixture
 from boxloom.queries.ladders_q import acted
@@ -85,22 +86,22 @@ fixture("v_judged", f"""
 
 
 def with_evidence(spark, sf_dir):
-    """Regions with what a detector would know of their origin; the parent is the first media object near them."""
+    """Regions with what a detector would know of their origin, and the media objects near them; the parent is the first of these."""
     objects = acted(spark, sf_dir)
-    near = rp.directed(rp.object_edges(objects)).where("other_replay_decision = 'image_replay' AND other_pixel_owner = 'preserve_raster'")
-    holder = near.groupBy("page_id", C("own_id").alias("region_id")).agg(F.min("other_id").alias("holder"))
-    return cut_lineage(objects.join(holder, rp.PAIR, "left").selectExpr("*", *[f"{e} AS {n}" for n, e in _EVIDENCE.items()]))
+    holds = cut_lineage(rp.media_holds(objects))
+    holder = holds.groupBy(*rp.PAIR).agg(F.min("target_id").alias("holder"))
+    return objects.join(holder, rp.PAIR, "left").selectExpr("*", *[f"{e} AS {n}" for n, e in _EVIDENCE.items()]), holds
 
 
 @query("g11_evidence_plan", sql("v_plan", "SELECT page_id, region_id, final_action, why, position FROM v_plan"))
 def g11_evidence(spark, sf_dir):
-    return rp.replay_plan(with_evidence(spark, sf_dir), 8).select("page_id", "region_id", "final_action", "why", "position")
+    return rp.replay_plan(with_evidence(spark, sf_dir)[0], 8).select("page_id", "region_id", "final_action", "why", "position")
 
 
 @query("g11_judged_targets", sql("v_judged", "SELECT * FROM v_judged"))
 def g11_judged(spark, sf_dir):
-    objects = with_evidence(spark, sf_dir)
-    return rp.judged_targets(rp.object_edges(objects), objects)
+    objects, holds = with_evidence(spark, sf_dir)
+    return rp.judged_holds(holds, objects)
 
 
 @query("g11_plan_targets", sql("v_plan v_judged", f"""
@@ -111,6 +112,7 @@ def g11_judged(spark, sf_dir):
       coalesce(j.risk, CASE WHEN l.region_id IS NOT NULL THEN 'copied_image_cleanup_target_suppressed' END)
     FROM v_judged j JOIN shown s ON j.page_id = s.page_id AND j.region_id = s.region_id LEFT JOIN lost l ON j.page_id = l.page_id AND j.target_id = l.region_id"""))
 def g11_targets(spark, sf_dir):
-    objects = with_evidence(spark, sf_dir)
-    plan = cut_lineage(rp.replay_plan(objects, 8))
-    return rp.plan_targets(plan, rp.judged_targets(rp.object_edges(objects), objects))
+    objects, holds = with_evidence(spark, sf_dir)
+    # the targets read the visible rows and those that lost their place
+    plan = rp.replay_plan(objects, 8).where(is_visible(C("final_action")) | (C("why") == "visible_overlap_duplicate_suppressed"))
+    return rp.plan_targets(cut_lineage(plan.select(*rp.PAIR, "final_action", "why")), rp.judged_holds(holds, objects))
