@@ -95,14 +95,17 @@ def crop_owners(layers: DataFrame, page_w: int, page_h: int) -> DataFrame:
     margins = sum(((m >= 3).cast("int") for m in (c.y - p.y, p.x2 - c.x2, p.y2 - c.y2)), (c.x - p.x >= 3).cast("int"))
     parent = (p.area > c.area) & (C("b_role") != "rect") & ~canvas & (p.area >= c.area * F.when(image, 1.03).otherwise(1.12)) & (
         p.area <= share * page) & (share_of(c, p) >= 0.9) & (image | (margins >= 2))
-    pairs = near_pairs(slim, slim, (C("a_region_id") != C("b_region_id")) & (overlap(p, c) > 0)).where(same | parent)
+    pairs = near_pairs(slim, slim, overlap(p, c) > 0, spread=True, first=C("a_region_id") != C("b_region_id")).where(same | parent)
     best = pairs.groupBy("page_id", C("a_region_id").alias("region_id")).agg(
         F.max(F.when(same, F.struct(score("b_").alias("s"), C("b_region_id").alias("id")))).alias("twin"),
         F.min(F.when(~same, F.struct(p.area.alias("a"), (-C("b_prio")).alias("p"), C("b_region_id").alias("id")))).alias("around"))
-    owner = best.select(*KEY, F.coalesce("twin.id", "around.id").alias("owner_id"),
-                        F.when(C("twin").isNotNull(), "same_region_duplicate").otherwise("internal_fragment_covered_by_component_crop").alias("reason"))
-    linked = layers.select(*KEY, "x", "y", "w", "h").join(owner, KEY, "left").select(
-        C("page_id").alias("tree_id"), C("region_id").alias("node_id"), C("owner_id").alias("parent_id"), "reason", F.lit(0).alias("ord"), "x", "y", "w", "h")
+    owner = cut_lineage(best.select(*KEY, F.coalesce("twin.id", "around.id").alias("owner_id"),
+                                    F.when(C("twin").isNotNull(), "same_region_duplicate").otherwise("internal_fragment_covered_by_component_crop").alias("reason")))
+    # only crops on a link are walked; those that stay are the roots
+    kept = owner.select("page_id", C("owner_id").alias("region_id")).distinct().join(owner.select(*KEY), KEY, "left_anti")
+    rows = owner.unionByName(kept, allowMissingColumns=True)
+    linked = rows.select(C("page_id").alias("tree_id"), C("region_id").alias("node_id"), C("owner_id").alias("parent_id"), "reason", F.lit(0).alias("ord"),
+                         *[F.lit(0).cast("bigint").alias(n) for n in "xy"])
     found = walk(linked, lists=False).where("parent_id IS NOT NULL")
     return found.select(C("tree_id").alias("page_id"), C("node_id").alias("region_id"), C("parent_id").alias("owner_id"), "reason", "root_id")
 

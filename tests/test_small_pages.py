@@ -3,6 +3,8 @@
 import random
 
 from boxloom.operators import ranking, spatial
+from boxloom.operators.tree import walk
+from boxloom.plans import claims
 from boxloom.plans import replay as rp
 from tests.test_evidence_plan import ROWS, SCHEMA as EVIDENCE
 from tests.test_spread import SCHEMA, boxes, touching
@@ -39,3 +41,12 @@ def test_holds_are_the_directed_edges_to_media(spark):
     objects = rp.with_actions(spark.createDataFrame(ROWS, EVIDENCE))
     edges = sorted(map(str, rp.judged_targets(rp.object_edges(objects), objects).collect()))
     assert sorted(map(str, rp.judged_holds(rp.media_holds(objects), objects).collect())) == edges and edges
+
+
+def test_crops_that_stay_are_not_walked(spark, monkeypatch):
+    rows = [(1, 1, 0, 0, 200, 200), (1, 2, 20, 20, 100, 100), (1, 3, 20, 20, 100, 101), (1, 4, 600, 600, 30, 30)]
+    layers = spark.createDataFrame([(*r, "image_region", 0) for r in rows], SCHEMA + ", role string, z int")
+    walked = []
+    monkeypatch.setattr(claims, "walk", lambda nodes, **kw: walked.append(nodes.count()) or walk(nodes, **kw))
+    got = {(r.region_id, r.owner_id, r.root_id) for r in claims.crop_owners(layers, 1080, 1920).collect()}
+    assert got == {(2, 3, 1), (3, 1, 1)} and walked == [3]
