@@ -1,19 +1,27 @@
 """Trees held as adjacency rows (tree_id, node_id, parent_id, ord).
 
 Links are followed by pointer doubling: a row knows an ancestor and what lies between, and joining it with that ancestor's row
-doubles the distance, so the number of rounds is the logarithm of the depth.
+doubles the distance, so the number of rounds is the logarithm of the depth.  Trees of at most ``WHOLE`` rows are not
+followed that way: their rows are sent once and walked level by level, many trees of a task at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from boxloom.functions.geometry import hull
 from boxloom.session import cut_lineage
 
 C = F.col
+LISTS = ("path", "ancestors", "preorder")
+# rows of a tree that is walked in one piece, and rows that a task walks at a time
+WHOLE, TOGETHER = 2048, 16_384
 
 
 def _composed(state: DataFrame, key: str, combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
@@ -51,16 +59,26 @@ def followed(links: DataFrame, key: str = "tree_id") -> tuple[DataFrame, int]:
     return state, rounds
 
 
-def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id", lists: bool = True) -> DataFrame:
-    """Depth, root and summed offsets of every node that hangs on a root, and with ``lists`` its path, ancestor ids and preorder key.
+def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id", lists: bool | tuple[str, ...] = True) -> DataFrame:
+    """Depth, root, summed offsets and number of children of every node that hangs on a root, and with ``lists`` its path, ancestor ids and preorder key.
 
     ``abs_x``/``abs_y`` read x and y as relative to the parent; ``marked_depth`` counts ancestors for which ``marked``
-    holds.  Lists are as long as the depth.  Where an id is repeated in a tree, there is a row for every way to a root; nodes on
+    holds; ``lists`` may also name those wanted.  Lists are as long as the depth.  Where an id is repeated in a tree, there is a row for every way to a root; nodes on
     or below a cycle or a missing parent have none (see ``unreached``).
     """
+    named = LISTS if lists is True else tuple(lists or ())
+    mark = F.coalesce((F.lit(False) if marked is None else marked).cast("int"), F.lit(0))
+    large = nodes.groupBy(key).agg(F.count("*").alias("_n")).where(C("_n") > WHOLE).select(key)
+    if large.isEmpty():
+        return _walk_small(nodes, mark, key, named)
+    followed_ = _walk_large(nodes.join(large, key, "left_semi").select(nodes.columns), mark, key, named)
+    return followed_.unionByName(_walk_small(nodes.join(large, key, "left_anti").select(nodes.columns), mark, key, named))
+
+
+def _walk_large(nodes: DataFrame, mark: Column, key: str, named: tuple[str, ...]) -> DataFrame:
+    """Trees of any size, by pointer doubling."""
     state, rounds = followed(nodes, key)
     reached = state.where("jump IS NULL AND lost IS NULL").select(key, "node_id").distinct()
-    mark = F.coalesce((F.lit(False) if marked is None else marked).cast("int"), F.lit(0))
     root = C("parent_id").isNull()
     base = nodes.withColumn("_mark", mark).join(reached, [key, "node_id"], "left_semi").withColumns({
         "jump": C("parent_id"), "depth": F.when(root, 0).otherwise(1), "marked_depth": C("_mark"), "root_id": C("node_id"), "abs_x": C("x"), "abs_y": C("y")})
@@ -69,18 +87,111 @@ def walk(nodes: DataFrame, marked: Column | None = None, key: str = "tree_id", l
         return up + own
 
     combine = {"depth": summed, "marked_depth": summed, "abs_x": summed, "abs_y": summed, "root_id": lambda up, own: up}
-    if lists:
-        none = F.array().cast("array<bigint>")
-        base = base.withColumns({
-            "path": F.when(root, F.lit("root")).otherwise(F.concat(F.lit(".children["), C("ord").cast("string"), F.lit("]"))),
-            "ancestors": F.array(C("node_id").cast("bigint")), "preorder": F.when(root, none).otherwise(F.array(C("ord").cast("bigint")))})
-        combine |= {"path": F.concat, "ancestors": F.concat, "preorder": F.concat}
+    none = F.array().cast("array<bigint>")
+    starts = {
+        "path": F.when(root, F.lit("root")).otherwise(F.concat(F.lit(".children["), C("ord").cast("string"), F.lit("]"))),
+        "ancestors": F.array(C("node_id").cast("bigint")), "preorder": F.when(root, none).otherwise(F.array(C("ord").cast("bigint")))}
+    base = base.withColumns({c: starts[c] for c in named})
+    combine |= {c: F.concat for c in named}
     out = cut_lineage(base)
     for _ in range(rounds):
         out = cut_lineage(_composed(_composed(out, key, combine), key, combine))
     # a node is no ancestor of its own
     out = out.withColumn("marked_depth", C("marked_depth") - C("_mark"))
-    return (out.withColumn("ancestors", F.slice("ancestors", F.lit(1), C("depth"))) if lists else out).drop("_mark", "jump")
+    if "ancestors" in named:
+        out = out.withColumn("ancestors", F.slice("ancestors", F.lit(1), C("depth")))
+    return with_children(out.drop("_mark", "jump"), key)
+
+
+def _walk_small(nodes: DataFrame, mark: Column, key: str, named: tuple[str, ...]) -> DataFrame:
+    """Trees that fit a task: their rows lie together, and a task walks the trees it holds."""
+    types = {f.name: f.dataType for f in nodes.schema.fields}
+    new = {"depth": IntegerType(), "marked_depth": IntegerType(), "root_id": types["node_id"], "abs_x": types["x"], "abs_y": types["y"]}
+    new |= {c: StringType() if c == "path" else ArrayType(LongType()) for c in named} | {"children": LongType()}
+    kept = nodes.columns
+    schema = StructType([StructField(n, t) for n, t in ({c: types[c] for c in kept} | new).items()])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_trees(batches, key):
+            yield from _ways(table, kept, key, named).to_batches(max_chunksize=TOGETHER)
+
+    whole = nodes.where(C(key).isNotNull() & C("node_id").isNotNull()).withColumn("_mark", mark)
+    return whole.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _whole_trees(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by tree, cut between trees."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            table = pa.Table.from_batches(held)
+            last = table[key][table.num_rows - 1]
+            end = pc.index(table[key], last).as_py()
+            held = table.slice(end).to_batches()
+            if end:
+                yield table.slice(0, end)
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _ways(table: pa.Table, kept: list[str], key: str, named: tuple[str, ...]) -> pa.Table:
+    """A row for every way from a root down; each level finds the rows below it by their parent."""
+    table = table.combine_chunks()
+    col = {c: table[c].combine_chunks() if table[c].num_chunks != 1 else table[c].chunk(0) for c in {*kept, "_mark"}}
+    n = table.num_rows
+    tree = pc.dictionary_encode(col[key]).indices.to_numpy().astype(np.int64)
+    ids = pc.dictionary_encode(pa.concat_arrays([col["node_id"], col["parent_id"].cast(col["node_id"].type)]))
+    code = pc.fill_null(ids.indices, -1).to_numpy().astype(np.int64)
+    node, root = tree * len(ids.dictionary) + code[:n], code[n:] < 0
+    below = np.flatnonzero(~root)
+    parent = (tree * len(ids.dictionary) + code[n:])[below]
+    order = np.argsort(parent, kind="stable")
+    below, parent = below[order], parent[order]
+    size = np.bincount(tree)
+    mark, piece = col["_mark"].to_numpy().astype(np.int32), None
+    if "path" in named:
+        piece = pc.binary_join_element_wise(".children[", col["ord"].cast(pa.string()), "]", "")
+
+    chain = np.flatnonzero(root)[:, None]
+    x, y, marks = col["x"].take(pa.array(chain[:, 0])), col["y"].take(pa.array(chain[:, 0])), np.zeros(len(chain), np.int32)
+    path = pa.array(["root"] * len(chain), pa.string())
+    levels: dict[str, list] = {c: [] for c in ("row", "depth", "marked_depth", "top", "abs_x", "abs_y", *named)}
+    while len(chain):
+        rows, depth = chain[:, -1], chain.shape[1] - 1
+        for name, value in (("row", rows), ("depth", np.full(len(rows), depth, np.int32)), ("marked_depth", marks), ("top", chain[:, 0]), ("abs_x", x), ("abs_y", y)):
+            levels[name].append(value)
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * depth)
+        for name, value in (("path", path), ("ancestors", lambda: _lists(col["node_id"], chain[:, :-1], ends)), ("preorder", lambda: _lists(col["ord"], chain[:, 1:], ends))):
+            if name in named:
+                levels[name].append(value() if callable(value) else value)
+        # ids repeated on a cycle would lead on for ever
+        first, last = np.searchsorted(parent, node[rows]), np.searchsorted(parent, node[rows], "right")
+        counts = np.where(depth + 1 < size[tree[rows]], last - first, 0)
+        up = np.repeat(np.arange(len(rows)), counts)
+        at = below[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(up))]
+        above, own = pa.array(up), pa.array(at)
+        marks = marks[up] + mark[rows[up]]
+        x, y = (pc.add_checked(v.take(above), col[c].take(own)).cast(col[c].type) for v, c in ((x, "x"), (y, "y")))
+        if piece is not None:
+            path = pc.binary_join_element_wise(path.take(above), piece.take(own), "")
+        chain = np.concatenate([chain[up], at[:, None]], axis=1)
+    if not levels["row"]:
+        rows, top = np.empty(0, np.int64), np.empty(0, np.int64)
+    else:
+        rows, top = np.concatenate(levels["row"]), np.concatenate(levels["top"])
+    reached = np.sort((tree * len(ids.dictionary) + code[n:])[rows[~root[rows]]])
+    children = np.searchsorted(reached, node[rows], "right") - np.searchsorted(reached, node[rows])
+    out = {c: col[c].take(pa.array(rows)) for c in kept}
+    out |= {c: pa.array(np.concatenate(levels[c]) if levels[c] else [], pa.int32()) for c in ("depth", "marked_depth")}
+    out["root_id"] = col["node_id"].take(pa.array(top))
+    out |= {c: pa.concat_arrays(levels[c]) if levels[c] else col[c[-1]].slice(0, 0) for c in ("abs_x", "abs_y")}
+    out |= {c: pa.concat_arrays(levels[c]) if levels[c] else pa.array([], pa.string() if c == "path" else pa.list_(pa.int64())) for c in named}
+    return pa.table(out | {"children": pa.array(children, pa.int64())})
+
+
+def _lists(values: pa.Array, rows: np.ndarray, ends: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(ends, values.take(pa.array(rows.ravel())).cast(pa.int64()))
 
 
 def unreached(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
@@ -91,7 +202,9 @@ def unreached(nodes: DataFrame, key: str = "tree_id") -> DataFrame:
 
 
 def with_children(walked: DataFrame, key: str = "tree_id") -> DataFrame:
-    """Add the number of direct children."""
+    """Add the number of direct children, where ``walk`` has not done so."""
+    if "children" in walked.columns:
+        return walked
     counts = walked.where(C("parent_id").isNotNull()).groupBy(key, C("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
     return walked.join(counts, [key, "node_id"], "left").fillna(0, ["children"])
 

@@ -22,7 +22,7 @@ fixture("pre_walk", """
 
 
 def styled(spark, sf_dir):
-    return walk(fx.style_elements(spark, sf_dir))
+    return walk(fx.style_elements(spark, sf_dir), lists=("path", "preorder"))
 
 
 def _tokens(uses, key, order):

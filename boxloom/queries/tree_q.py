@@ -24,6 +24,10 @@ fixture("walked", _walk_sql("trees").format(me="walked"), "trees")
 fixture("walked4", _walk_sql("trees4").format(me="walked4"), "trees4")
 
 
+# of the lists, what containers need
+_ABOVE = ("ancestors",)
+
+
 def walked(spark, sf_dir, arity=3, lists=True):
     return tr.walk(fx.trees(spark, sf_dir, arity), (C("type") == "frame") & (C("node_id") % 2 == 0), lists=lists)
 
@@ -52,7 +56,7 @@ fixture("facts4", _facts_sql("walked4"), "walked4")
 
 @query("g4_subtree_facts", sql("facts", "SELECT * FROM facts", recursive=True))
 def g4(spark, sf_dir):
-    return tr.subtree_facts(walked(spark, sf_dir))
+    return tr.subtree_facts(walked(spark, sf_dir, lists=_ABOVE))
 
 
 @query("g4_marked_depth", sql("walked", "SELECT tree_id, node_id, depth, frames_above FROM walked", recursive=True))
@@ -99,13 +103,13 @@ _ROUNDED = f"""{even('r0', 3)} AS recall, {even('p0', 3)} AS precision, CASE WHE
     SELECT tree_id, reference_n, candidate_n, matched, matched_candidate, {_ROUNDED} FROM q""", recursive=True))
 def a20(spark, sf_dir):
     trees = fx.table(spark, sf_dir, "documents").select(C("doc_id").alias("tree_id"))
-    return ev.grouping_quality(trees, tr.containers(walked(spark, sf_dir, 3)), tr.containers(walked(spark, sf_dir, 4)))
+    return ev.grouping_quality(trees, tr.containers(walked(spark, sf_dir, 3, _ABOVE)), tr.containers(walked(spark, sf_dir, 4, _ABOVE)))
 
 
 @query("a20_container_verdicts", sql("facts facts4", _CMP + """
     SELECT tree_id, node_id, CASE WHEN best >= 0.6 THEN 'matched' ELSE 'extra' END AS verdict FROM cm""", recursive=True))
 def a20_verdicts(spark, sf_dir):
-    found = ev.container_verdicts(tr.containers(walked(spark, sf_dir, 4)), tr.containers(walked(spark, sf_dir, 3)))
+    found = ev.container_verdicts(tr.containers(walked(spark, sf_dir, 4, _ABOVE)), tr.containers(walked(spark, sf_dir, 3, _ABOVE)))
     return found.select("tree_id", "node_id", "verdict")
 
 
@@ -116,7 +120,7 @@ def a20_verdicts(spark, sf_dir):
     SELECT count(*) AS cases, {even('avg(score)', 3)} AS mean_score, min(score) AS worst_score, {even('avg(container_ratio)', 3)} AS mean_ratio FROM s""", recursive=True))
 def a21(spark, sf_dir):
     trees = fx.table(spark, sf_dir, "documents").select(C("doc_id").alias("tree_id"))
-    reference, candidate = walked(spark, sf_dir, 3), walked(spark, sf_dir, 4)
+    reference, candidate = walked(spark, sf_dir, 3, _ABOVE), walked(spark, sf_dir, 4, _ABOVE)
     quality = ev.grouping_quality(trees, tr.containers(reference), tr.containers(candidate))
     return ev.batch_score(quality, reference, candidate)
 
@@ -134,8 +138,8 @@ fixture("records", f"""
 
 
 def records(spark, sf_dir):
-    cand = walked(spark, sf_dir, 4)
-    verdicts = ev.container_verdicts(tr.containers(cand), tr.containers(walked(spark, sf_dir, 3)))
+    cand = walked(spark, sf_dir, 4, _ABOVE)
+    verdicts = ev.container_verdicts(tr.containers(cand), tr.containers(walked(spark, sf_dir, 3, _ABOVE)))
     events = fx.table(spark, sf_dir, "events").where("event_type = 'signup'").selectExpr(
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS node_id", "event_id")
     return ev.feature_records(verdicts, cand, events)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.operators import tree
-from boxloom.plans import hierarchy
+from boxloom.plans import evaluation, hierarchy
 
 LINKS = "page_id bigint, child_id bigint, parent_id bigint"
 
@@ -51,6 +51,37 @@ def test_walk_and_lost_nodes_equal_a_traversal(spark, seed):
     assert {(q.tree_id, q.node_id): q.reason for q in tree.unreached(nodes).collect()} == lost and lost
 
 
+def test_small_trees_are_sent_once(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(tree, "cut_lineage", lambda df: cuts.append(1) or df)
+    # node 3 twice: its child has two rows; 8 and 9 on a cycle, 7 without its parent
+    rows = [(t, i, p, i, i, 1) for t in range(3) for i, p in ((1, None), (2, 1), (3, 1), (3, 2), (4, 3), (8, 9), (9, 8), (7, 99))]
+    nodes = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, ord int, x bigint, y bigint")
+    got = sorted((r.node_id, r.depth, r.path, r.ancestors, r.abs_x, r.children) for r in tree.walk(nodes).where("tree_id = 1").collect())
+    a, b = "root.children[3]", "root.children[2].children[3]"
+    assert got == [(1, 0, "root", [], 1, 2), (2, 1, "root.children[2]", [1], 3, 1), (3, 1, a, [1], 4, 2), (3, 2, b, [1, 2], 6, 2),
+                   (4, 2, a + ".children[4]", [1, 3], 8, 0), (4, 3, b + ".children[4]", [1, 2, 3], 10, 0)]
+    assert not cuts
+
+
+def test_small_and_large_trees_together(spark, monkeypatch):
+    rows = [(t, i, i // 2 or None, i % 2, i, t) for t in range(40) for i in range(1, 3 + t)]
+    nodes = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, ord int, x bigint, y bigint").repartition(5)
+    monkeypatch.setattr(tree, "TOGETHER", 7)
+    plain = sorted(map(str, tree.walk(nodes, F.col("node_id") % 3 == 0).collect()))
+    monkeypatch.setattr(tree, "WHOLE", 20)
+    assert sorted(map(str, tree.walk(nodes, F.col("node_id") % 3 == 0).collect())) == plain and len(plain) == len(rows)
+
+
+def test_containers_of_small_trees_are_not_copied_into_cells(spark):
+    rows = [(t, i, 0, 0, 900, 100 * i) for t in range(3) for i in range(1, 9)]
+    own = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, x bigint, y bigint, w bigint, h bigint")
+    found = evaluation.agreeing_containers(own, own.where("node_id % 2 = 0"))
+    assert "sequence(" not in found._jdf.queryExecution().toString()
+    verdicts = {(r.tree_id, r.node_id): r.verdict for r in evaluation.container_verdicts(own, own.where("node_id = 8")).collect()}
+    assert verdicts == {(t, i): "matched" if i >= 5 else "extra" for t in range(3) for i in range(1, 9)}
+
+
 def on_cycles(rows):
     out = set()
     for page in {p for p, _, _ in rows}:
