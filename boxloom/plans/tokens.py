@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boxloom.functions.color import normal_hex
 from boxloom.functions.ladders import confidence_for_count
-from boxloom.operators.ranking import first_per_group, following, row_numbers
+from boxloom.operators.ranking import first_per_group, following, has_large_groups, row_numbers
+from boxloom.session import cut_lineage
 
 C = F.col
 
@@ -16,12 +17,13 @@ def ranked_tokens(uses: DataFrame, value: list[str], order: list[Column] | None
 
     ``uses`` holds tree_id, the value columns, preorder, part and path.
     """
-    keyed = uses.withColumn("_key", F.to_json(F.struct(*value), {"ignoreNullFields": "false"}))
+    # read three times
+    keyed = cut_lineage(uses.withColumn("_key", F.to_json(F.struct(*value), {"ignoreNullFields": "false"})))
     counts = keyed.groupBy("tree_id", "_key").agg(F.count("*").alias("count"), *[F.first(v).alias(v) for v in value])
     early = first_per_group(keyed, ["tree_id", "_key"], [C("preorder"), C("part"), C("path")], paths, "_n")
     places = early.groupBy("tree_id", "_key").agg(F.array_sort(F.collect_list(F.struct("_n", "path"))).alias("_p"))
     joined = counts.join(places, ["tree_id", "_key"])
-    ranked = row_numbers(joined, ["tree_id"], [-C("count"), *(order or [C(v) for v in value])], "rank")
+    ranked = row_numbers(joined, ["tree_id"], [-C("count"), *(order or [C(v) for v in value])], "rank", has_large_groups(counts, ["tree_id"]))
     return ranked.select("tree_id", "rank", *value, "count", confidence_for_count(C("count")).alias("confidence"), C("_p.path").alias("paths"))
 
 
@@ -48,11 +50,21 @@ def text_style_tokens(elements: DataFrame) -> DataFrame:
 
 def spacing_tokens(elements: DataFrame) -> DataFrame:
     """Positive gaps between neighbouring siblings along each axis."""
-    kids = elements.where("parent_id IS NOT NULL")
-
-    def gaps(axis: str, p: str, s: str, q: str) -> DataFrame:
-        nxt = following(kids, ["tree_id", "parent_id"], C(p), [C(p), C(q), C("node_id")], [p])
-        gap = nxt.withColumn("value", C("next_" + p) - C(p) - C(s)).where("value > 0")
-        return gap.select("tree_id", F.lit(axis).alias("axis"), "value", "preorder", F.lit(0).alias("part"), C("path"))
-
-    return ranked_tokens(gaps("horizontal", "x", "w", "y").unionByName(gaps("vertical", "y", "h", "x")), ["axis", "value"])
+    axes = [("horizontal", "x", "w", "y"), ("vertical", "y", "h", "x")]
+    kids = cut_lineage(elements.where("parent_id IS NOT NULL").select("tree_id", "parent_id", "node_id", *"xywh", "preorder", "path"))
+
+    def next_by(p: str, q: str) -> Column:
+        return F.lead(p).over(Window.partitionBy("tree_id", "parent_id").orderBy(p, q, "node_id"))
+
+    def gaps(nxt: DataFrame, axis: str, p: str, s: str) -> DataFrame:
+        return nxt.select("tree_id", F.lit(axis).alias("axis"), (C("next_" + p) - C(p) - C(s)).alias("value"), "preorder", F.lit(0).alias("part"), "path")
+
+    if has_large_groups(kids, ["tree_id", "parent_id"]):
+        sides = [gaps(following(kids, ["tree_id", "parent_id"], C(p), [C(p), C(q), C("node_id")], [p]), axis, p, s) for axis, p, s, q in axes]
+        uses = sides[0].unionByName(sides[1])
+    else:
+        # both neighbours from one exchange
+        both = kids.withColumns({"next_" + p: next_by(p, q) for _, p, _, q in axes})
+        found = F.array(*[F.struct(F.lit(axis).alias("axis"), (C("next_" + p) - C(p) - C(s)).alias("value")) for axis, p, s, _ in axes])
+        uses = both.select("tree_id", F.explode(found).alias("g"), "preorder", F.lit(0).alias("part"), "path").select("tree_id", "g.*", "preorder", "part", "path")
+    return ranked_tokens(uses.where("value > 0"), ["axis", "value"])

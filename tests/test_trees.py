@@ -6,8 +6,8 @@ from math import ceil, fsum, log2
 import pytest
 from pyspark.sql import functions as F
 
-from boxloom.operators import tree
-from boxloom.plans import evaluation, hierarchy
+from boxloom.operators import ranking, tree
+from boxloom.plans import evaluation, hierarchy, tokens
 
 LINKS = "page_id bigint, child_id bigint, parent_id bigint"
 
@@ -82,6 +82,19 @@ def test_containers_of_small_trees_are_not_copied_into_cells(spark):
     assert verdicts == {(t, i): "matched" if i >= 5 else "extra" for t in range(3) for i in range(1, 9)}
 
 
+def test_spacing_of_many_siblings_equals_that_of_few(spark, monkeypatch):
+    rows = [(t, i, 1 if i > 1 else None, 40 * (i * 7 % 11), 30 * (i % 4), 20, 20, [i], f"p{i}") for t in range(3) for i in range(1, 10)]
+    nodes = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, x bigint, y bigint, w bigint, h bigint, preorder array<bigint>, path string")
+    cuts, original = [], tokens.cut_lineage
+    monkeypatch.setattr(tokens, "cut_lineage", lambda df: cuts.append(1) or original(df))
+    few = tokens.spacing_tokens(nodes)
+    # ranks of small trees come from one window, without range partitions
+    assert "_piece" not in few._jdf.queryExecution().toString() and len(cuts) == 2
+    plain = sorted(map(str, few.collect()))
+    monkeypatch.setattr(ranking, "GROUP", 2)
+    assert sorted(map(str, tokens.spacing_tokens(nodes).collect())) == plain and plain
+
+
 def on_cycles(rows):
     out = set()
     for page in {p for p, _, _ in rows}:
