@@ -80,7 +80,7 @@ def x1(spark, sf_dir):
 def x2(spark, sf_dir):
     def page_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["owned"]]
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "regions": [len(own)], "area": [int((own["w"] * own["h"]).sum())]})
+        return own.assign(area=own["w"] * own["h"]).groupby("page_id", as_index=False).agg(regions=("area", "size"), area=("area", "sum"))
 
     cells = hooks.per_cell(fx.regions(spark, sf_dir).select("page_id", "x", "y", "w", "h"), page_sums, "page_id bigint, regions bigint, area bigint")
     return cells.groupBy("page_id").agg(F.sum("regions").alias("regions"), F.sum("area").alias("area"))

@@ -122,3 +122,20 @@ def test_cell_hook_has_one_contract_at_every_size(spark):
     assert {r["page_id"]: r["sum(own)"] for r in parts} == {1: 3, 2: 1, 3: 120_000}
     assert all(r["sum(seen)"] > r["sum(own)"] for r in parts)
 
+
+
+def test_cell_hook_gets_many_whole_cells_at_a_time(spark):
+    rows = [(p, x, y) for p in range(200) for x in (1, 5000) for y in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "page_id bigint, x bigint, y bigint").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+
+    def calls(p):
+        sizes = p.groupby(["page_id", "cell_x", "cell_y"]).size()
+        return p.iloc[:1].assign(cells=len(sizes), split=int((sizes != 3).sum()))[["cells", "split"]]
+
+    try:
+        got = per_cell(df, calls, "cells bigint, split bigint").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sum(r.cells for r in got) == 400 and not any(r.split for r in got) and len(got) < 100
