@@ -80,7 +80,8 @@ def batches(items: DataFrame, page_height: int, cap: int = 25, window: int = 640
         b0 = acc["b"] + outside.cast("bigint")
         total = n0 + s["_k"]
         more = F.floor((total - 1) / cap)
-        end = F.when(acc["end"].isNull(), limit(s["y"])).when(outside | (more > 0), limit(F.greatest(F.lit(0), s["y"] - overlap))).otherwise(acc["end"])
+        # a first position that overfills its batch opens the next one with an overlap, like any other
+        end = F.when(outside | (more > 0), limit(F.greatest(F.lit(0), s["y"] - overlap))).when(acc["end"].isNull(), limit(s["y"])).otherwise(acc["end"])
         entry = F.struct(s["y"].cast("bigint").alias("y"), b0.alias("b"), n0.alias("n"))
         return F.struct(end.alias("end"), ((total - 1) % cap + 1).alias("n"), (b0 + more).alias("b"), F.concat(acc["out"], F.array(entry)).alias("out"))
 

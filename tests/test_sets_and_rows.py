@@ -57,6 +57,14 @@ def test_rows_of_ten_thousand_centres(spark):
         assert got[b[1]] == at + 1
 
 
+def test_batch_after_a_full_first_position(spark):
+    # seven at y 100: the second batch opens there and reaches from 60 to 360, so the item at 365 opens a third
+    rows = [(1, i, i, 100, 10, 300) for i in range(7)] + [(1, 7, 0, 365, 10, 10)]
+    df = spark.createDataFrame(rows, "page_id bigint, region_id bigint, x bigint, y bigint, w bigint, h bigint")
+    got = {r.region_id: r.batch for r in banding.batches(df, 1920, 5, 300, 40).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 2, 7: 3}
+
+
 def test_scripts_keep_their_own_size(spark):
     schema = "page_id bigint, region_id bigint, x bigint, y bigint, w bigint, h bigint, font_size int, family string, script string, tone string"
     rows = [(1, i, i * 50, 10, 40, 20, size, "F", script, "blue")
