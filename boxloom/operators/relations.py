@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxloom.functions.geometry import Box, box, contains, distance, gap, half_even, half_up, overlap
-from boxloom.operators.spatial import near_pairs, self_pairs
+from boxloom.operators.spatial import near_pairs, self_pairs, settled
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,9 @@ SECONDARY_LABELS = (
 )
 
 
-def primary_relation(a: Box, b: Box, o: RelationOptions = RelationOptions()) -> Column:
-    """near_equal, contains, contained_by, overlaps or disjoint; the first that holds."""
-    shared = overlap(a, b)
+def primary_relation(a: Box, b: Box, o: RelationOptions = RelationOptions(), shared: Column | None = None) -> Column:
+    """near_equal, contains, contained_by, overlaps or disjoint; the first that holds.  ``shared`` is the overlap where it is known."""
+    shared = overlap(a, b) if shared is None else shared
     a_in_b, b_in_a = shared / a.area, shared / b.area
     return (
         F.when((a_in_b >= o.near_equal) & (b_in_a >= o.near_equal), "near_equal")
@@ -98,12 +98,14 @@ def region_relations(regions: DataFrame, options: RelationOptions = RelationOpti
     slim = regions.select("page_id", "region_id", "x", "y", "w", "h", *carry)
     a, b = box("a_"), box("b_")
     pairs = self_pairs(slim, gap(a, b) <= near_threshold(a, b, options), margin=options.near_max)
-    shared = overlap(a, b)
+    shared = F.col("_shared")
+    # filters on the relation then read a value
+    pairs = settled(settled(pairs.withColumn("_shared", overlap(a, b))).withColumn("_relation", primary_relation(a, b, options, shared)))
     return pairs.select(
         "page_id",
         F.col("a_region_id").alias("left_id"),
         F.col("b_region_id").alias("right_id"),
-        primary_relation(a, b, options).alias("primary_rel"),
+        F.col("_relation").alias("primary_rel"),
         secondary_relations(a, b, options).alias("secondary_rels"),
         shared.alias("shared_area"),
         half_even(shared / a.area, 6).alias("left_in_right"),

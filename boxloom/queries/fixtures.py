@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxloom.operators.spatial import settled
+
 PAGE_W, PAGE_H = 1080, 1920
 
 
@@ -55,7 +57,8 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "explode(CASE (l_partkey + l_linenumber) % 10 WHEN 0 THEN array(0L, 1L) WHEN 5 THEN array(0L, 2L) "
         "WHEN 7 THEN array(0L, 3L) ELSE array(0L) END) AS copy_no"
     )
-    base = table(spark, sf_dir, "lineitem").selectExpr("*", copies).selectExpr(*REGION_BASE)
+    # settled, as the joins ask of every box that it is not null, and would work all of it out again for that
+    base = settled(table(spark, sf_dir, "lineitem").selectExpr("*", copies).selectExpr(*REGION_BASE))
     return base.selectExpr(
         "page_id", "region_id", *REGION_BOX, "score_milli", "kind_no",
         *[f"{expr} AS {name}" for name, expr in KIND.items()], "partkey", "suppkey", "copy_no",
