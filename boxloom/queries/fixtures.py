@@ -5,7 +5,9 @@ All of them are map-side projections (plus explode), so deriving them costs no s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxloom.operators.spatial import settled
 
@@ -109,9 +111,21 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+# characters of documents that are dealt to a task
+TASK_CHARS = 4_000_000
+
+
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of the documents dealt out by id, so that what is grouped by document later stays where it is."""
+    docs = table(spark, sf_dir, "documents")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / TASK_CHARS))
+    return docs.select("doc_id", "text").repartition(parts, "doc_id")
+
+
+def ocr_words(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Every whitespace-separated token of every document, set on a 6-column grid."""
-    tokens = table(spark, sf_dir, "documents").selectExpr(
+    tokens = (dealt_documents(spark, sf_dir) if dealt else table(spark, sf_dir, "documents")).selectExpr(
         "doc_id AS page_id",
         "posexplode(filter(split(regexp_replace(text, '[ \\\\n\\\\t\\\\r]+', ' '), ' '), t -> t <> '')) AS (pos, text)",
     )

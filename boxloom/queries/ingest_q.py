@@ -1,6 +1,6 @@
 """Parsing of derived text in the source formats, and raster statistics."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from boxloom.functions.geometry import half_even
 from boxloom.operators import raster as ra
@@ -41,14 +41,21 @@ def src2(spark, sf_dir):
     SELECT page_id, pos // 24 AS part, (pos % 24) AS ord, text, x, y, CASE WHEN pos % 5 = 0 THEN w + 2 ELSE w END AS w, h, conf
     FROM ocr_words WHERE conf >= 70"""))
 def src3(spark, sf_dir):
-    words = fx.ocr_words(spark, sf_dir)
-    # payloads of 24 words, in the parallel-array form of the OCR service
-    row = F.struct("pos", "text", (C("conf") / 100).alias("s"), F.when(C("pos") % 5 != 0, F.array(*[v.cast("double") for v in (
-        C("x"), C("y"), C("x") + C("w"), C("y") + C("h"))])).alias("b"),
-        F.array(*[F.array(px.cast("double"), py.cast("double")) for px, py in ((C("x"), C("y")), (C("x") + C("w") + 2, C("y")), (C("x"), C("y") + C("h")))]).alias("p"))
-    grouped = words.groupBy("page_id", F.expr("pos div 24").alias("part")).agg(F.sort_array(F.collect_list(row)).alias("r"))
-    payload = F.to_json(F.struct(C("r.text").alias("rec_texts"), C("r.s").alias("rec_scores"), C("r.b").alias("rec_boxes"), C("r.p").alias("rec_polys")),
-                        {"ignoreNullFields": "false"})
+    words = fx.ocr_words(spark, sf_dir, dealt=True)
+    # payloads of 24 words, in the parallel-array form of the OCR service; the words of a page are in one task, so nothing is sent
+    grouped = words.groupBy("page_id", F.expr("pos div 24").alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "text", "conf", *"xywh"))).alias("r"))
+
+    def numbers(*values) -> Column:
+        return F.array(*[v.cast("double") for v in values])
+
+    def box(r: Column) -> Column:
+        return F.when(r["pos"] % 5 != 0, numbers(r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]))
+
+    def polygon(r: Column) -> Column:
+        return F.array(numbers(r["x"], r["y"]), numbers(r["x"] + r["w"] + 2, r["y"]), numbers(r["x"], r["y"] + r["h"]))
+
+    payload = F.to_json(F.struct(C("r.text").alias("rec_texts"), F.transform("r", lambda r: r["conf"] / 100).alias("rec_scores"), F.transform("r", box).alias("rec_boxes"),
+                                 F.transform("r", polygon).alias("rec_polys")), {"ignoreNullFields": "false"})
     return ing.parse_ocr_arrays(grouped.select("page_id", "part", payload.alias("payload")))
 
 

@@ -75,3 +75,8 @@ def test_tracks_pass_the_tolerance_of_the_last_start():
 
     value, group = np.array([5, 9, 10, 30, 0, 100, 7]), np.array([0, 0, 0, 0, 1, 1, 2])
     assert _tracks(value, group, np.array([0, 4, 6]), np.array([4.9, 100.0, 4.0])).tolist() == [3, 1, 1]
+
+
+def test_words_are_grouped_where_their_document_is(spark):
+    plan = QUERIES["src3_parse_ocr_arrays"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
