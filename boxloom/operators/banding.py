@@ -1,14 +1,21 @@
 """Rows, bands, batches and runs inside a page.
 
 The rules look at one coordinate after another.  Each first reduces a page to its distinct pixel coordinates, of which
-there are no more than a page has pixels along an axis, and folds or windows over those.
+there are no more than a page has pixels along an axis, and folds or windows over those.  Pages that a task takes whole
+(``page_batches``, ``page_regular_rows``) are read item by item instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from boxloom.operators.ranking import following, row_numbers
+from boxloom.operators.whole_pages import by_pages, in_tasks
 
 C = F.col
 # half pixels of a centre that share a slot
@@ -94,6 +101,74 @@ def batches(items: DataFrame, page_height: int, cap: int = 25, window: int = 640
     return joined.withColumn("batch", C("_start") + C("b") + F.floor((C("n") + C("_j") - 1) / cap)).drop("_start", "b", "n", "_j")
 
 
+def page_batches(items: DataFrame, page_height: int, cap: int = 25, window: int = 640, overlap: int = 80) -> DataFrame:
+    """(page_id, region_id, batch) of ``batches``: a task goes through the pages it takes whole, the others are folded by position."""
+    def work(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        y, h, found = rows["y"].tolist(), rows["h"].tolist(), []
+        for low, high in pairwise([*starts.tolist(), len(y)]):
+            batch = held = end = bottom = 0
+            for i in range(low, high):
+                top = y[i]
+                if i == low or top - bottom >= max(96, min(180, h[i] * 2)):
+                    batch, held, end = batch + 1, 1, min(page_height, top + window)
+                elif held >= cap or top >= end:
+                    batch, held, end = batch + 1, 1, min(page_height, max(0, top - overlap) + window)
+                else:
+                    held += 1
+                bottom = top + h[i] if i == low else max(bottom, top + h[i])
+                found.append(batch)
+        yield pa.RecordBatch.from_pydict({"page_id": rows["page_id"], "region_id": rows["region_id"], "batch": pa.array(found, pa.int64())})
+
+    return by_pages(items, [*"xywh"], lambda small: in_tasks(small.sortWithinPartitions("page_id", "y", "x", "region_id"), work, "page_id bigint, region_id bigint, batch bigint"),
+                    lambda others: batches(others, page_height, cap, window, overlap))
+
+
+def first_fit(cy: list[int], h: list[int], factor: float = 0.42, least: int = 8) -> list[int]:
+    """Row of each item of a page, as ``rows_by_centre`` numbers them; items come in order of twice the centre, x and height."""
+    heads, first, found = [], 0, []
+    for c, size in zip(cy, h):
+        # a head never reaches further than by its own height
+        while first < len(heads) and c - heads[first][0] > 2 * max(least, heads[first][1] * factor):
+            first += 1
+        for k in range(first, len(heads)):
+            if c - heads[k][0] <= 2 * max(least, min(heads[k][1], size) * factor):
+                found.append(k + 1)
+                break
+        else:
+            heads.append((c, size))
+            found.append(len(heads))
+    return found
+
+
+def in_row_order(small: DataFrame) -> DataFrame:
+    """Whole pages with ``cy``, in the order that ``first_fit`` reads."""
+    return small.withColumn("cy", C("y") * 2 + C("h")).sortWithinPartitions("page_id", "cy", "x", "h", "region_id")
+
+
+def _regular(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cy, h, page = rows["cy"].tolist(), rows["h"].tolist(), rows["page_id"].tolist()
+    centres, found = (rows["x"] + rows["w"] / 2).tolist(), []
+    for low, high in pairwise([*starts.tolist(), len(cy)]):
+        members = {}
+        for i, row in enumerate(first_fit(cy[low:high], h[low:high]), low):
+            members.setdefault(row, []).append(centres[i])
+        for row, cx in members.items():
+            n = len(cx)
+            if n >= 3:
+                cx.sort()
+                mean = (cx[-1] - cx[0]) / (n - 1)
+                off = max(abs(b - a - mean) for a, b in pairwise(cx))
+                found.append((page[low], row, n, mean > 0 and off <= max(18.0, mean * 0.35)))
+    names = ("page_id", "row_no", "n", "regular")
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_()))], names=names)
+
+
+def page_regular_rows(items: DataFrame) -> DataFrame:
+    """``regular_rows`` of the ``rows_by_centre`` of all pages: most are taken whole by a task."""
+    return by_pages(items, [*"xywh"], lambda small: in_tasks(in_row_order(small), _regular, "page_id bigint, row_no int, n bigint, regular boolean"),
+                    lambda others: regular_rows(rows_by_centre(others, ["page_id"]), ["page_id", "row_no"]))
+
+
 def regular_rows(items: DataFrame, key: list[str]) -> DataFrame:
     """Rows of at least three items whose centre gaps all stay near their mean."""
     centred = items.withColumn("_cx", C("x") + C("w") / 2)

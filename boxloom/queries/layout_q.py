@@ -126,7 +126,7 @@ def w7(spark, sf_dir):
     m AS (SELECT page_id, band, coalesce(sum(max(r.b)) OVER (PARTITION BY page_id ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f GROUP BY page_id, band)
     SELECT f.page_id, f.r.id AS region_id, m.start + f.r.b AS batch FROM f JOIN m USING (page_id, band)"""))
 def w8(spark, sf_dir):
-    return bd.batches(fx.regions(spark, sf_dir), fx.PAGE_H, 5, 300, 40).select("page_id", "region_id", "batch")
+    return bd.page_batches(fx.regions(spark, sf_dir), fx.PAGE_H, 5, 300, 40)
 
 
 @query("w9_regular_spacing", sql("region_rows", """
