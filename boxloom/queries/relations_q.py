@@ -107,8 +107,7 @@ def j4_page_label_counts(spark, sf_dir):
     SELECT 'primary' AS family, primary_rel AS label, count(*) AS n FROM all_edges GROUP BY 2
     UNION ALL SELECT 'secondary', label, count(*) FROM (SELECT unnest(secondary_rels) AS label FROM all_edges) GROUP BY 2"""))
 def a3_relation_label_counts(spark, sf_dir):
-    table = dealt(spark, sf_dir)
-    return all_pairs.label_counts(table, cut_lineage(rel.region_relations(table)))
+    return all_pairs.page_label_counts(regions(spark, sf_dir))
 
 
 _SHARE = "(area / 2073600.0)"

@@ -80,3 +80,25 @@ def test_tracks_pass_the_tolerance_of_the_last_start():
 def test_words_are_grouped_where_their_document_is(spark):
     plan = QUERIES["src3_parse_ocr_arrays"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+@pytest.mark.parametrize("name, rows", [("a3_relation_label_counts", 1), ("w8_bounded_batches", 0), ("w9_regular_spacing", 0), ("a27_harmonized_sizes", 0)])
+def test_rows_of_counts_and_rows_are_sent_once(spark, name, rows):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and plan.count("Aggregate") == rows and "LogicalRDD" not in plan
+
+
+@pytest.mark.parametrize("name", ["a3_relation_label_counts", "w8_bounded_batches", "w9_regular_spacing", "a27_harmonized_sizes"])
+def test_queries_agree_where_all_pages_are_spread(spark, monkeypatch, name):
+    whole = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(wp, "PAGE_ROWS", 20)
+    assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == whole
+
+
+def test_sizes_that_are_not_known(spark):
+    from boxloom.plans import text
+
+    rows = [(1, k, 10 * k, 0, 8, 8, size, "F", None, "neutral") for k, size in enumerate((12, 12, 13, None, 40))]
+    rows += [(2, k, 10 * k, 0, 8, 8, size, "F", "latin", "neutral") for k, size in enumerate((None, None, 13, 14))]
+    df = spark.createDataFrame(rows, "page_id long, region_id long, x long, y long, w long, h long, font_size long, family string, script string, tone string")
+    assert [tuple(r) for r in text.page_harmonized_sizes(df).collect()] == [tuple(r) for r in text.harmonized_sizes(df).collect()] == [(1, 2, 13, 12)]
