@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxloom.functions.geometry import half_up, hull
 from boxloom.functions.text import has_cjk
-from boxloom.operators.banding import rows_by_centre
+from boxloom.operators.banding import first_fit, in_row_order, rows_by_centre
+from boxloom.operators.whole_pages import by_pages, in_tasks
 
 C = F.col
 LINE = ["page_id", "block", "par", "line"]
@@ -40,6 +47,46 @@ def harmonized_sizes(layers: DataFrame) -> DataFrame:
     return rows.join(eligible, key).where(near & (C("font_size") != C("mode"))).select("page_id", "region_id", "font_size", C("mode").alias("new_size"))
 
 
+# a size that is not known
+MISSING = -1 << 62
+
+
+def _moved(sizes: dict) -> tuple[int, set]:
+    """Mode of a row's sizes with their counts, and the sizes that move to it."""
+    best = max(sizes.values())
+    modes = sorted(s for s, k in sizes.items() if k == best and s != MISSING)
+    if not modes:
+        return 0, set()
+    mode = math.floor((modes[(len(modes) - 1) // 2] + modes[len(modes) // 2]) / 2 + 0.5)
+    near = {s for s in sizes if abs(s - mode) <= max(3, min(6, math.floor(mode * 0.18 + 0.5)))}
+    return mode, near - {mode} if sum(sizes[s] for s in near) >= 2 else set()
+
+
+def _harmonized(rows: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cy, h, page, ids, size = (rows[c].tolist() for c in ("cy", "h", "page_id", "region_id", "font_size"))
+    kinds = list(zip(rows["family"].tolist(), rows["script"].tolist(), rows["tone"].tolist()))
+    found = []
+    for low, high in pairwise([*starts.tolist(), len(cy)]):
+        members = {}
+        for i, row in enumerate(first_fit(cy[low:high], h[low:high]), low):
+            members.setdefault((row, *kinds[i]), []).append(i)
+        for (_, family, _, tone), items in members.items():
+            # three of a kind are three of their row as well; what is not known equals nothing
+            if len(items) >= 3 and family is not None and tone is not None:
+                sizes = {}
+                for i in items:
+                    sizes[size[i]] = sizes.get(size[i], 0) + 1
+                mode, moved = _moved(sizes)
+                found += [(page[low], ids[i], size[i], mode) for i in items if size[i] in moved]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], names=["page_id", "region_id", "font_size", "new_size"])
+
+
+def page_harmonized_sizes(layers: DataFrame) -> DataFrame:
+    """``harmonized_sizes`` of all pages: most are taken whole by a task.  Sizes are whole numbers."""
+    columns = [*"xywh", F.coalesce(C("font_size").cast("bigint"), F.lit(MISSING)).alias("font_size"), "family", F.coalesce("script", F.lit("")).alias("script"), "tone"]
+    return by_pages(layers, columns, lambda small: in_tasks(in_row_order(small), _harmonized, "page_id bigint, region_id bigint, font_size bigint, new_size bigint"), harmonized_sizes)
+
+
 def scale_profile(lines: DataFrame, fallback: Column) -> DataFrame:
     """Working unit of a page from the median height of regular text and a fallback."""
     regular = (C("conf") >= 50) & C("h").between(6, 96) & (C("w") > 0) & (C("w") / F.greatest(F.lit(1), C("h")) <= 18)

@@ -193,7 +193,7 @@ fixture("text_layers", "SELECT " + _TEXT.format(d="//") + " FROM regions WHERE k
     SELECT page_id, region_id, font_size, mode AS new_size FROM e WHERE eligible >= 2 AND font_size <> mode"""))
 def a27(spark, sf_dir):
     layers = spark.sql("SELECT " + _TEXT.format(d="div") + " FROM {t} WHERE kind_no <= 2", t=fx.regions(spark, sf_dir))
-    return tp.harmonized_sizes(layers.withColumn("tone", color_family(C("color"))))
+    return tp.page_harmonized_sizes(layers.withColumn("tone", color_family(C("color"))))
 
 
 @query("a26_scale_profile", sql("text_lines", """
