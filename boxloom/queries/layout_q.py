@@ -134,8 +134,7 @@ def w8(spark, sf_dir):
     m AS (SELECT page_id, row_no, count(*) AS n, (max(cx) - min(cx)) / (count(*) - 1) AS a FROM g GROUP BY 1, 2 HAVING count(*) >= 3)
     SELECT m.page_id, m.row_no, m.n, a > 0 AND max(abs(gap - a)) <= greatest(18, a * 0.35::DOUBLE) AS regular FROM m JOIN g USING (page_id, row_no) WHERE gap IS NOT NULL GROUP BY m.page_id, m.row_no, m.n, a"""))
 def w9(spark, sf_dir):
-    rows = bd.rows_by_centre(fx.regions(spark, sf_dir), ["page_id"])
-    return bd.regular_rows(rows, ["page_id", "row_no"])
+    return bd.page_regular_rows(fx.regions(spark, sf_dir))
 
 
 # tile rows of a page that hold the top of some media region
