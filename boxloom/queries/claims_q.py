@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from boxloom.plans import claims as cl
+from boxloom.plans.clusters import accepted_groups
 from boxloom.queries import fixtures as fx
-from boxloom.queries.cluster_q import bundles
+from boxloom.queries.cluster_q import bundles_by_page
 from boxloom.queries.fixture_sql import fixture, greedy, inside, inter, ioa, iou
 from boxloom.queries.registry import query, sql
 from boxloom.queries.relations_q import typed_primitives
@@ -28,8 +29,9 @@ def g3_merge(spark, sf_dir):
     p AS (SELECT page_id, r.g AS group_id, row_number() OVER (PARTITION BY page_id ORDER BY -r.s, r.n, r.g) AS position FROM k)
     SELECT * FROM p WHERE position <= 4"""))
 def g14(spark, sf_dir):
-    groups, members = bundles(spark, sf_dir)
-    return cl.controlled_groups(groups, members, [(-C("score")).alias("s"), C("n")], 4).select("page_id", "group_id", "position")
+    order = [(-C("score")).alias("s"), C("n")]
+    return bundles_by_page(spark, sf_dir, lambda groups: accepted_groups(groups, order, 0.0).where("kept AND position <= 4").select("page_id", "group_id", "position"),
+                           lambda groups, members: cl.controlled_groups(groups, members, order, 4))
 
 
 # claims folded owner by owner, smallest owner first
