@@ -102,3 +102,13 @@ def test_sizes_that_are_not_known(spark):
     rows += [(2, k, 10 * k, 0, 8, 8, size, "F", "latin", "neutral") for k, size in enumerate((None, None, 13, 14))]
     df = spark.createDataFrame(rows, "page_id long, region_id long, x long, y long, w long, h long, font_size long, family string, script string, tone string")
     assert [tuple(r) for r in text.page_harmonized_sizes(df).collect()] == [tuple(r) for r in text.harmonized_sizes(df).collect()] == [(1, 2, 13, 12)]
+
+
+@pytest.mark.parametrize("name", ["g14_controlled_groups", "u5_uncertain_objects", "u4_duplicate_clusters"])
+def test_groups_are_made_and_accepted_where_their_page_is(spark, monkeypatch, name):
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+    whole = sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(wp, "PAGE_ROWS", 25)
+    assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == whole
