@@ -61,7 +61,7 @@ def g13_rasters(spark, sf_dir):
 @query("g13_suppressed_layers", sql("stack_gone", "SELECT page_id, region_id, reason, owner_id FROM stack_gone"))
 def g13_layers(spark, sf_dir):
     """Structural rasters, covered shapes and repeated shapes, one pass after another."""
-    return st.suppressed_layers(stacked(spark, sf_dir), fx.PAGE_W, fx.PAGE_H).select("page_id", "region_id", "reason", "owner_id")
+    return st.page_suppressed_layers(stacked(spark, sf_dir), fx.PAGE_W, fx.PAGE_H)
 
 
 @query("g13_remaining_assets", sql("stacked structural", """

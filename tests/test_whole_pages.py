@@ -112,3 +112,12 @@ def test_groups_are_made_and_accepted_where_their_page_is(spark, monkeypatch, na
     whole = sorted(map(tuple, df.collect()))
     monkeypatch.setattr(wp, "PAGE_ROWS", 25)
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == whole
+
+
+def test_layers_are_suppressed_where_their_page_is(spark, monkeypatch):
+    df = QUERIES["g13_suppressed_layers"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "LogicalRDD" not in plan
+    whole = sorted(map(str, df.collect()))
+    monkeypatch.setattr(wp, "PAGE_ROWS", 9)
+    assert len({r.reason for r in df.collect()}) == 3 and sorted(map(str, QUERIES["g13_suppressed_layers"](spark, SF).collect())) == whole
